@@ -61,13 +61,14 @@ def key_template_groups(keys: DataFrame, key_col: str = "key",
 
 
 def prefix_rollup(keys: DataFrame, key_col: str = "key", n: int = 5,
-                  top: int | None = 50) -> DataFrame:
+                  top: int | None = 50, samples: bool = True) -> DataFrame:
     """Distinct keys under every ``/`` prefix (O-22).
 
     Keys are deduplicated once, up front, so each prefix needs a plain count.
     Kept: depth 1, or prefixes with at least two keys; ordered by depth,
     count desc, prefix; the first ``top`` (None keeps all).
-    Returns ``(prefix, depth, count, sample_keys array<string>)``.
+    Returns ``(prefix, depth, count, sample_keys array<string>)``; without
+    ``samples`` the sample column (and its window) is left out.
     """
     distinct_keys = keys.select(F.col(key_col).alias("key")).where(
         F.col("key").isNotNull()).distinct()
@@ -79,10 +80,12 @@ def prefix_rollup(keys: DataFrame, key_col: str = "key", n: int = 5,
     ordered = [F.col("depth"), F.col("count").desc(), F.col("prefix")]
     if top is not None:
         kept = kept.orderBy(*ordered).limit(top)
-    samples = sample_keys_per_group(
+    if not samples:
+        return kept.select("prefix", "depth", "count").orderBy(*ordered)
+    sampled = sample_keys_per_group(
         exploded.join(kept.select("prefix"), "prefix", "left_semi"),
         "prefix", "key", n)
-    return (kept.join(samples, "prefix")
+    return (kept.join(sampled, "prefix")
             .select("prefix", "depth", "count", "sample_keys")
             .orderBy(*ordered))
 

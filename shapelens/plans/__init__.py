@@ -1,0 +1,3 @@
+"""Registered, oracle-checked queries over the testdata (imported for effect)."""
+
+from shapelens.plans import keys  # noqa: F401
