@@ -1,3 +1,4 @@
 """Registered, oracle-checked queries over the testdata (imported for effect)."""
 
 from shapelens.plans import keys  # noqa: F401
+from shapelens.plans import documents  # noqa: F401

@@ -57,3 +57,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one parquet table of a scale-factor folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread an under-partitioned input over the cluster's cores.
+
+    A large scan already has far more splits than cores and is returned as is;
+    only a small input (for example one parquet row group) is rebalanced, so
+    per-row parsing does not run in a single task.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shapelens.session import ensure_parallelism
+
 
 def read_documents(df: DataFrame, json_col: str = "json", id_col: str = "doc_id",
                    collection_col: str | None = None) -> DataFrame:
@@ -18,11 +20,11 @@ def read_documents(df: DataFrame, json_col: str = "json", id_col: str = "doc_id"
     cols = [F.col(id_col).alias("doc_id")]
     if collection_col:
         cols.append(F.col(collection_col).alias("collection"))
-    return df.select(*cols, doc.alias("doc")).select(
+    kids = F.try_variant_get(F.col("doc"), "$", "map<string,variant>")
+    return ensure_parallelism(df).select(*cols, doc.alias("doc")).select(
         "*",
         F.col("doc").isNotNull().alias("is_valid"),
-        F.coalesce(F.expr("schema_of_variant(doc)").startswith("OBJECT"),
-                   F.lit(False)).alias("is_object"))
+        kids.isNotNull().alias("is_object"))
 
 
 def document_validity(docs: DataFrame) -> DataFrame:
