@@ -156,10 +156,11 @@ def typed_leaves(docs: DataFrame, doc_col: str = "doc",
 
 def path_type_counts(docs: DataFrame, doc_col: str = "doc",
                      by: Sequence[str] = ()) -> DataFrame:
-    """``by`` + ``(path, type, type_count)``: leaves counted per path and type.
+    """``by`` + ``(path, type, type_count)`` in one pass over the documents.
 
     Each task pre-counts its batches, so the shuffle moves one row per
-    (path, type) per batch, whatever the skew of paths.
+    (path, type) per batch, whatever the skew of paths. The rows with null
+    path and type count the object documents of each group.
     """
     by = list(by)
     schema = T.StructType(_fields(docs, by) + [
@@ -175,22 +176,23 @@ def field_profile(docs: DataFrame, doc_col: str = "doc",
                   by: Sequence[str] = ()) -> DataFrame:
     """Per path and type: counts and percentages (O-18).
 
-    Returns ``by`` + ``(path, type, type_count, type_pct, occurrences,
-    occurrence_pct)``; ``type_pct`` is relative to the path's occurrences,
-    ``occurrence_pct`` to all object documents (of the group).
+    ``doc_col`` is VARIANT or JSON text. Returns ``by`` + ``(path, type,
+    type_count, type_pct, occurrences, occurrence_pct)``; ``type_pct`` is
+    relative to the path's occurrences, ``occurrence_pct`` to all object
+    documents (of the group). Text that is not a JSON object is not counted.
     """
     by = list(by)
-    objects = docs.where(F.col(doc_col).isNotNull())
-    per_type = path_type_counts(objects, doc_col, by)
+    counts = path_type_counts(docs, doc_col, by)
+    per_type = counts.where(F.col("path").isNotNull())
+    doc_totals = counts.where(F.col("path").isNull())
     per_path = per_type.withColumn(
         "occurrences", F.sum("type_count").over(Window.partitionBy(*by, "path")))
-    doc_counts = objects.where(_kids(F.col(doc_col)).isNotNull())
     if by:
-        totals = doc_counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_docs"))
-        with_totals = per_path.join(totals, by)
+        with_totals = per_path.join(
+            doc_totals.select(*by, F.col("type_count").alias("_docs")), by)
     else:
         with_totals = per_path.withColumn(
-            "_docs", doc_counts.select(F.count(F.lit(1))).scalar())
+            "_docs", doc_totals.select(F.sum("type_count")).scalar())
     return with_totals.select(
         *by, "path", "type",
         F.col("type_count").cast("bigint"),

@@ -91,13 +91,13 @@ def q_pct(spark, sf):
 
 @query("field_profile", _profile_oracle(_ORDER_DOCS))
 def q_field_profile(spark, sf):
-    return field_profile(order_docs(spark, sf))
+    # JSON text straight into the profile: one parse per document.
+    return field_profile(spark_sql(spark, sf, ORDER_DOCUMENTS), "json")
 
 
 @query("field_profile_events", _profile_oracle(_EVENT_DOCS))
 def q_field_profile_events(spark, sf):
-    docs = read_documents(spark_sql(spark, sf, EVENT_DOCUMENTS), "json", "doc_id")
-    return field_profile(docs)
+    return field_profile(spark_sql(spark, sf, EVENT_DOCUMENTS), "json")
 
 
 @query("document_columns", f"""
@@ -110,7 +110,7 @@ SELECT path AS name,
 FROM p GROUP BY path
 """)
 def q_document_columns(spark, sf):
-    return document_columns(field_profile(order_docs(spark, sf)))
+    return document_columns(field_profile(spark_sql(spark, sf, ORDER_DOCUMENTS), "json"))
 
 
 @query("sample_documents", """
