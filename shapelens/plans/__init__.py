@@ -3,3 +3,4 @@
 from shapelens.plans import keys  # noqa: F401
 from shapelens.plans import documents  # noqa: F401
 from shapelens.plans import catalog  # noqa: F401
+from shapelens.plans import objects  # noqa: F401
