@@ -3,15 +3,14 @@ search mappings, versions (O-24..O-30, O-38, O-41, O-42)."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shapelens.functions.flatten import mapping_rows
 from shapelens.functions.values import format_bytes
 
 # Fixed value: the note shown for a cache whose keys cannot be listed.
@@ -106,35 +105,6 @@ def object_counts(objects: Mapping[str, DataFrame]) -> DataFrame:
         .where(F.col("count") > 0)
 
 
-def _mapping_fields(mapping: dict, prefix: str = "") -> list[tuple]:
-    out = []
-    for name, spec in (mapping or {}).items():
-        spec = spec if isinstance(spec, dict) else {}
-        full = prefix + "." + name if prefix else name
-        analyzer = spec.get("analyzer")
-        out.append((full, spec.get("type") or "object",
-                    f"Analyzer: {analyzer}" if analyzer else None))
-        if spec.get("properties"):
-            out.extend(_mapping_fields(spec["properties"], full))
-        for sub, sub_spec in (spec.get("fields") or {}).items():
-            sub_type = sub_spec.get("type") if isinstance(sub_spec, dict) else None
-            out.append((full + "." + sub, sub_type or "unknown", None))
-    return out
-
-
-def _mapping_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for index, text in zip(pdf["index"].tolist(), pdf["mapping"].tolist()):
-            try:
-                doc = json.loads(text) if text else {}
-            except ValueError:
-                doc = {}
-            props = doc.get("properties") if isinstance(doc, dict) else None
-            rows.extend((index, *f) for f in _mapping_fields(props or {}))
-        yield pd.DataFrame(rows, columns=["index", "path", "type", "comment"])
-
-
 def flatten_mapping(df: DataFrame, index_col: str = "index",
                     mapping_col: str = "mapping") -> DataFrame:
     """Search-engine mapping trees -> one row per field (O-41).
@@ -148,5 +118,5 @@ def flatten_mapping(df: DataFrame, index_col: str = "index",
         df.schema[mapping_col].dataType, T.VariantType) else F.col(mapping_col)
     src = df.select(F.col(index_col).cast("string").alias("index"), text.alias("mapping"))
     schema = "index string, path string, type string, comment string"
-    return src.mapInPandas(_mapping_rows, schema).select(
+    return src.mapInPandas(mapping_rows, schema).select(
         "index", "path", "type", F.lit(True).alias("nullable"), "comment")
