@@ -5,3 +5,4 @@ from shapelens.plans import documents  # noqa: F401
 from shapelens.plans import catalog  # noqa: F401
 from shapelens.plans import objects  # noqa: F401
 from shapelens.plans import render  # noqa: F401
+from shapelens.plans import streams  # noqa: F401
