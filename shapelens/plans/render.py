@@ -16,7 +16,10 @@ from shapelens.operators.documents import field_profile
 from shapelens.operators.render import (nest_collections, nest_table_details, render_database, render_listing,
                                         render_objects, render_table_details, write_markdown)
 from shapelens.plans import duck
-from shapelens.plans.catalog import COLUMN_DUMPS, FK_KEY_USAGE, FK_RULES, INDEX_ROWS, QUEUES, SEARCH_STATS
+from shapelens.operators.catalog import list_routines, list_views
+from shapelens.operators.objects import cache_totals, storage_stats, vector_profile
+from shapelens.plans.catalog import (COLUMN_DUMPS, EXCHANGES, FK_KEY_USAGE, FK_RULES, INDEX_ROWS,
+                                     QUEUES, ROUTINE_LISTING, SEARCH_STATS, VIEW_LISTING)
 from shapelens.plans.inputs import KEY_LISTING, ORDER_DOCUMENTS, PREFIX_KEYS
 from shapelens.plans.keys import _DUCK_PREFIXES
 from shapelens.plans.objects import TOPIC_CONFIGS
@@ -236,3 +239,92 @@ def q_render_collections(spark, sf):
     stats = text.groupBy("collection").agg(F.count(F.lit(1)).cast("bigint").alias("document_count")) \
         .withColumn("sample_size", F.col("document_count"))
     return render_objects(nest_collections(profile, stats), "collections").select("text")
+
+
+@query("render_views", f"""
+SELECT {_j("'### View: ' || name", "CASE WHEN schema <> '' THEN '**Schema**: ' || schema || chr(10) ELSE '' END || "
+           "CASE WHEN coalesce(comment, '') <> '' THEN '**Description**: ' || comment || chr(10) ELSE '' END || ''",
+           "'**Definition**:'", "'```sql'", "coalesce(definition, '')", "'```'", "''")} AS text
+FROM ({duck_sql(VIEW_LISTING)}) WHERE upper(kind) = 'VIEW'
+""")
+def q_render_views(spark, sf):
+    return render_objects(list_views(spark_sql(spark, sf, VIEW_LISTING)), "views").select("text")
+
+
+@query("render_routines", f"""
+SELECT {_j("'### ' || name", "'**Schema**: ' || schema",
+           "CASE WHEN coalesce(return_type, '') <> '' THEN '**Returns**: ' || return_type || chr(10) "
+           "ELSE '' END || ''")} AS text
+FROM ({duck_sql(ROUTINE_LISTING)}) WHERE upper(routine_type) IN ('PROCEDURE', 'FUNCTION')
+""")
+def q_render_routines(spark, sf):
+    return render_objects(list_routines(spark_sql(spark, sf, ROUTINE_LISTING), "oracle"),
+                          "routines").select("text")
+
+
+@query("render_exchanges", f"""
+SELECT {_j("'### Exchange: ' || name", "'**Type**: ' || type",
+           "'**Durable**: ' || CASE WHEN durable THEN 'Yes' ELSE 'No' END",
+           "'**Auto Delete**: ' || CASE WHEN auto_delete THEN 'Yes' ELSE 'No' END",
+           "'**Internal**: ' || CASE WHEN internal THEN 'Yes' ELSE 'No' END",
+           "''", "'---'", "''")} AS text
+FROM ({duck_sql(EXCHANGES)}) WHERE name <> ''
+""")
+def q_render_exchanges(spark, sf):
+    ex = normalise_topology(spark_sql(spark, sf, EXCHANGES), "exchanges")
+    return render_objects(ex, "exchanges").select("text")
+
+
+@query("render_cache", f"""
+SELECT {_j("'### Pattern: *'", "'**Count**: ' || format('{:,}', coalesce(sum(s_nationkey), 0))",
+           "''", "'**Note**: N/A (the cache does not support key enumeration)'", "''",
+           "'---'", "''")} AS text
+FROM supplier
+""")
+def q_render_cache(spark, sf):
+    stats = read_table(spark, sf, "supplier").select(
+        F.col("s_name").alias("server"), F.col("s_nationkey").alias("curr_items"))
+    return render_objects(cache_totals(stats), "cache_patterns").select("text")
+
+
+@query("render_storage_tables")
+def q_render_storage_tables(spark, sf):
+    st = storage_stats({t: read_table(spark, sf, t) for t in TESTDATA_TABLES}).select(
+        F.col("table").alias("name"), F.lit("Parquet").alias("engine"),
+        F.lit(None).cast("string").alias("partition_key"),
+        F.lit(None).cast("string").alias("sorting_key"),
+        F.lit(None).cast("string").alias("primary_key"), "total_rows", "total_bytes")
+    return render_objects(st, "storage_tables")
+
+
+@query("render_vector_collections", """
+SELECT '### Collection: embeddings' || chr(10) || '**Entities**: ' || format('{:,}', count(vec_id))
+       || chr(10) || '' || chr(10) || '**Fields**:' || chr(10) || '' || chr(10)
+       || '| Name | Type | Primary | Dimension |' || chr(10)
+       || '|------|------|---------|-----------|' || chr(10)
+       || '| **vec_id** | Int64 | Yes | - |' || chr(10)
+       || '| embedding | FloatVector(' || CAST(max(len(embedding)) AS VARCHAR) || ') | No | '
+       || CAST(max(len(embedding)) AS VARCHAR) || ' |' || chr(10)
+       || '| label | Int32 | No | - |' || chr(10) || '' || chr(10) || '---' || chr(10) || '' AS text
+FROM embeddings
+""")
+def q_render_vector_collections(spark, sf):
+    prof = vector_profile(read_table(spark, sf, "embeddings"), "vec_id", "embedding")
+    field = "struct<name:string,type:string,is_primary:boolean,dimension:int>"
+    coll = prof.select(
+        F.lit("embeddings").alias("name"), F.lit(None).cast("string").alias("description"),
+        "entities", F.lit(None).cast("int").alias("shards"),
+        F.array(
+            F.struct(F.lit("vec_id").alias("name"), F.lit("Int64").alias("type"),
+                     F.lit(True).alias("is_primary"), F.lit(None).cast("int").alias("dimension")),
+            F.struct(F.lit("embedding").alias("name"),
+                     F.concat(F.lit("FloatVector("), F.col("dimension").cast("string"),
+                              F.lit(")")).alias("type"),
+                     F.lit(False).alias("is_primary"), F.col("dimension").alias("dimension")),
+            F.struct(F.lit("label").alias("name"), F.lit("Int32").alias("type"),
+                     F.lit(False).alias("is_primary"),
+                     F.lit(None).cast("int").alias("dimension"))).cast(f"array<{field}>")
+        .alias("fields"),
+        F.lit(None).cast("array<struct<index_name:string,field_name:string,index_type:string,"
+                         "metric:string>>").alias("indexes"))
+    return render_objects(coll, "vector_collections").select("text")
