@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapelens.functions.keys import key_prefixes, key_template
+from shapelens.session import ensure_parallelism
 
 
 def top_n_per_group(df: DataFrame, group: str | Sequence[str],
@@ -42,7 +43,7 @@ def key_template_groups(keys: DataFrame, key_col: str = "key",
     ordered by count desc, pattern. Sample keys are the ``n`` smallest keys of
     the template; every input key is counted.
     """
-    typed = keys.select(
+    typed = ensure_parallelism(keys).select(
         F.col(key_col).alias("key"),
         (F.col(type_col) if type_col else F.lit(None).cast("string")).alias("type"),
     ).withColumn("pattern", key_template(F.col("key")))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from shapelens.functions.flatten import mapping_rows
 from shapelens.functions.values import format_bytes
+from shapelens.session import union_all
 
 # Fixed value: the note shown for a cache whose keys cannot be listed.
 CACHE_NOTE = "N/A (the cache does not support key enumeration)"
@@ -53,7 +54,7 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     parts = [df.agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
              .select(F.lit(name).alias("table"), "row_count")
              for name, df in tables.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def cache_totals(stats: DataFrame, note: str = CACHE_NOTE) -> DataFrame:
@@ -79,7 +80,7 @@ def storage_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
                          .alias("total_bytes"))
         parts.append(rows.select(F.lit(name).alias("table"), "total_rows",
                                  size.scalar().alias("total_bytes")))
-    out = reduce(DataFrame.unionByName, parts)
+    out = union_all(parts)
     return out.withColumn("size_text", format_bytes(F.col("total_bytes")))
 
 

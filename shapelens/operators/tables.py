@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shapelens.session import union_all
+
 
 def check_foreign_key(child: DataFrame, child_cols: Sequence[str],
                       parent: DataFrame, parent_cols: Sequence[str]) -> DataFrame:
@@ -42,31 +44,43 @@ def _string_like(dt: T.DataType) -> bool:
     return isinstance(dt, (T.StringType, T.VarcharType, T.CharType))
 
 
+def _quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def column_profile(df: DataFrame, approx: bool = True) -> DataFrame:
     """One row per column: (column, type, non_null, nulls, nullable, max_length
-    [, distinct_approx]) from a single aggregation pass (O-39)."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, f in enumerate(df.schema.fields):
-        c = F.col(f"`{f.name}`")
-        aggs.append(F.count(c).alias(f"_nn{i}"))
-        aggs.append((F.max(F.length(c)) if _string_like(f.dataType)
-                     else F.lit(None).cast("int")).alias(f"_ml{i}"))
+    [, distinct_approx]) from a single aggregation pass (O-39).
+
+    The wide aggregate and its unpivot are each one generated SQL statement,
+    so a table with hundreds of columns is analysed once, not per column.
+    """
+    fields = df.schema.fields
+    aggs = ["count(1) AS _rows"]
+    rows = []
+    for i, f in enumerate(fields):
+        c = _quote(f.name)
+        aggs.append(f"count({c}) AS _nn{i}")
+        aggs.append(f"max(length({c})) AS _ml{i}" if _string_like(f.dataType)
+                    else f"CAST(NULL AS INT) AS _ml{i}")
         if approx:
-            aggs.append(F.approx_count_distinct(c).alias(f"_ad{i}"))
-    wide = df.agg(*aggs)
-    entries = []
-    for i, f in enumerate(df.schema.fields):
-        fields = [F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
-                  F.col(f"_nn{i}").cast("bigint").alias("non_null"),
-                  (F.col("_rows") - F.col(f"_nn{i}")).cast("bigint").alias("nulls"),
-                  F.col(f"_ml{i}").cast("int").alias("max_length")]
+            aggs.append(f"approx_count_distinct({c}) AS _ad{i}")
+        parts = [f"'column', {_sql_text(f.name)}",
+                 f"'type', {_sql_text(f.dataType.simpleString())}",
+                 f"'non_null', CAST(_nn{i} AS BIGINT)",
+                 f"'nulls', CAST(_rows - _nn{i} AS BIGINT)",
+                 f"'nullable', _rows - _nn{i} > 0",
+                 f"'max_length', CAST(_ml{i} AS INT)"]
         if approx:
-            fields.append(F.col(f"_ad{i}").cast("bigint").alias("distinct_approx"))
-        entries.append(F.struct(*fields))
-    out = wide.select(F.inline(F.array(*entries)))
-    cols = ["column", "type", "non_null", "nulls",
-            (F.col("nulls") > 0).alias("nullable"), "max_length"]
-    return out.select(*cols, *(["distinct_approx"] if approx else []))
+            parts.append(f"'distinct_approx', CAST(_ad{i} AS BIGINT)")
+        rows.append("named_struct(" + ", ".join(parts) + ")")
+    spark = df.sparkSession
+    wide = spark.sql(f"SELECT {', '.join(aggs)} FROM {{src}}", src=df)
+    return spark.sql(f"SELECT inline(array({', '.join(rows)})) FROM {{wide}}", wide=wide)
 
 
 def unique_keys(df: DataFrame, candidates: Sequence[Sequence[str]],
@@ -91,4 +105,4 @@ def unique_keys(df: DataFrame, candidates: Sequence[Sequence[str]],
             F.coalesce(F.max("_n"), F.lit(0)).alias("_max"),
         ).select(F.lit(label).alias("columns"), "rows", "distinct_rows", "has_null",
                  ((F.col("_max") <= 1) & ~F.col("has_null")).alias("is_unique")))
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)

@@ -11,7 +11,7 @@ from shapelens.operators.objects import (cache_totals, config_map, flatten_mappi
                                          topic_rollup, vector_profile)
 from shapelens.operators.tables import check_foreign_key, column_profile, unique_keys
 from shapelens.plans.registry import duck_sql, query, spark_sql
-from shapelens.session import TESTDATA_TABLES, read_table
+from shapelens.session import TESTDATA_TABLES, read_table, union_all
 
 # Column names and Spark type names of the testdata tables (for the oracle of
 # column_profile, which cannot ask DuckDB for Spark's type names).
@@ -254,12 +254,8 @@ def _profile_oracle() -> str:
 
 @query("column_profile", _profile_oracle())
 def q_column_profile(spark, sf):
-    parts = [column_profile(read_table(spark, sf, t), approx=False)
-             .select(F.lit(t).alias("table"), "*") for t in TESTDATA_COLUMNS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_all([column_profile(read_table(spark, sf, t), approx=False)
+                      .select(F.lit(t).alias("table"), "*") for t in TESTDATA_COLUMNS])
 
 
 @query("column_profile_approx")
@@ -292,8 +288,5 @@ def _unique_oracle() -> str:
 
 @query("unique_keys", _unique_oracle())
 def q_unique_keys(spark, sf):
-    out = None
-    for t, cands in UNIQUE_CANDIDATES:
-        part = unique_keys(read_table(spark, sf, t), cands, table=t)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return union_all([unique_keys(read_table(spark, sf, t), cands, table=t)
+                      for t, cands in UNIQUE_CANDIDATES])

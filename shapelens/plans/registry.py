@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shapelens.session import TESTDATA_TABLES, read_table
+from shapelens.session import TESTDATA_TABLES, ensure_parallelism, read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -37,9 +37,14 @@ _PLACEHOLDER = re.compile(r"\{([a-z_]+)\}")
 
 
 def spark_sql(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
-    """Run an input template in Spark with ``{table}`` bound to the parquet table."""
+    """Run an input template in Spark with ``{table}`` bound to the parquet table.
+
+    The shape-mapping expressions are per-row work, so single-split inputs are
+    spread over the cores first (a no-op for inputs with enough splits).
+    """
     names = sorted(set(_PLACEHOLDER.findall(template)) & set(TESTDATA_TABLES))
-    return spark.sql(template, **{n: read_table(spark, sf_dir, n) for n in names})
+    return spark.sql(template, **{n: ensure_parallelism(read_table(spark, sf_dir, n))
+                                  for n in names})
 
 
 def duck_sql(template: str) -> str:

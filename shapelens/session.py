@@ -67,8 +67,25 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     only a small input (for example one parquet row group) is rebalanced, so
     per-row parsing does not run in a single task.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """UNION ALL (by position) of many DataFrames, analysed once.
+
+    Chaining ``unionByName`` re-analyses the growing plan at every step, which
+    is quadratic in the number of inputs; one SQL statement is not. Frames are
+    aligned to the column order of the first one.
+    """
+    if len(frames) == 1:
+        return frames[0]
+    cols = frames[0].columns
+    spark = frames[0].sparkSession
+    names = {f"u{i}": f.select(*cols) for i, f in enumerate(frames)}
+    return spark.sql(" UNION ALL ".join(f"SELECT * FROM {{{n}}}" for n in names), **names)
