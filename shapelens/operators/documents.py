@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from shapelens.functions.flatten import leaf_rows, leaf_type_counts
 
 from shapelens.functions.values import pct, value_type
-from shapelens.session import ensure_parallelism
+from shapelens.session import ensure_checkpoint_dir, ensure_parallelism
 
 OBJECT_MAP = "map<string,variant>"
 DEFAULT_MAX_DEPTH = 8
@@ -180,20 +180,23 @@ def field_profile(docs: DataFrame, doc_col: str = "doc",
     type_count, type_pct, occurrences, occurrence_pct)``; ``type_pct`` is
     relative to the path's occurrences, ``occurrence_pct`` to all object
     documents (of the group). Text that is not a JSON object is not counted.
+
+    One pass over the documents: leaf counts and document totals come out of
+    the same aggregate (an ungrouped profile uses a hidden constant group). That
+    aggregate, one row per (group, path, type), is checkpointed to the shared
+    checkpoint folder, so the totals join reads it instead of walking the
+    documents a second time.
     """
-    by = list(by)
-    counts = path_type_counts(docs, doc_col, by)
+    keys = list(by) or ["_all"]
+    src = docs if by else docs.withColumn("_all", F.lit(0))
+    ensure_checkpoint_dir(docs.sparkSession)
+    counts = path_type_counts(src, doc_col, keys).checkpoint(eager=True)
     per_type = counts.where(F.col("path").isNotNull())
-    doc_totals = counts.where(F.col("path").isNull())
+    doc_totals = counts.where(F.col("path").isNull()).select(
+        *keys, F.col("type_count").alias("_docs"))
     per_path = per_type.withColumn(
-        "occurrences", F.sum("type_count").over(Window.partitionBy(*by, "path")))
-    if by:
-        with_totals = per_path.join(
-            doc_totals.select(*by, F.col("type_count").alias("_docs")), by)
-    else:
-        with_totals = per_path.withColumn(
-            "_docs", doc_totals.select(F.sum("type_count")).scalar())
-    return with_totals.select(
+        "occurrences", F.sum("type_count").over(Window.partitionBy(*keys, "path")))
+    return per_path.join(doc_totals, keys).select(
         *by, "path", "type",
         F.col("type_count").cast("bigint"),
         pct(F.col("type_count"), F.col("occurrences")).alias("type_pct"),

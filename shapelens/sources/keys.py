@@ -20,7 +20,19 @@ def scan_keys(df: DataFrame, key_col: str = "key", glob: str = "*",
     if prefix:
         out = out.where(F.col(key_col).startswith(prefix))
     if glob and glob != "*":
+        literal = _literal_prefix(glob)
+        if literal:
+            # A prefix filter the file scan can push down, ahead of the regex.
+            out = out.where(F.col(key_col).startswith(literal))
         out = out.where(F.col(key_col).rlike(glob_to_regex(glob)))
     if max_keys is not None:
         out = out.orderBy(F.col(key_col)).limit(max_keys)
     return out
+
+
+def _literal_prefix(glob: str) -> str:
+    """The characters of a glob before its first wildcard or escape."""
+    for i, c in enumerate(glob):
+        if c in "*?[\\":
+            return glob[:i]
+    return glob
