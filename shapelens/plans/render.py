@@ -177,13 +177,6 @@ def q_render_tables(spark, sf):
     return render_objects(_mysql_catalogue(spark, sf), "tables")
 
 
-@query("render_table_details")
-def q_render_table_details(spark, sf):
-    nested = _mysql_catalogue(spark, sf)
-    return render_table_details(nested, "shop", "Brand#1").unionByName(
-        render_table_details(nested, "shop", "no_such_table"))
-
-
 def _database_lines(spark, sf):
     blocks = {"key_patterns": _key_pattern_blocks(spark, sf),
               "topics": _topic_blocks(spark, sf),
@@ -328,3 +321,121 @@ def q_render_vector_collections(spark, sf):
         F.lit(None).cast("array<struct<index_name:string,field_name:string,index_type:string,"
                          "metric:string>>").alias("indexes"))
     return render_objects(coll, "vector_collections").select("text")
+
+
+# Catalogue whose indexes and foreign keys belong to the same tables as the
+# mysql column dump (tables named by brand), for rendering whole table blocks.
+RENDER_INDEX_ROWS = """
+SELECT concat('Brand#', CAST(c_custkey % 25 + 1 AS STRING)) AS table,
+  CASE c_custkey % 4 WHEN 0 THEN 'PRIMARY' ELSE concat('idx_', CAST(c_custkey % 4 AS STRING))
+  END AS index_name,
+  c_name AS column_name, CAST(floor(c_custkey / 100) AS INT) AS seq,
+  CAST(c_custkey % 4 % 2 AS INT) AS non_unique,
+  CASE c_custkey % 4 WHEN 3 THEN 'FULLTEXT' ELSE 'BTREE' END AS index_type
+FROM {customer}"""
+RENDER_FK_KEY_USAGE = """
+SELECT 'shop' AS schema, concat('fk_', CAST(s_suppkey % 10 AS STRING)) AS constraint_name,
+  concat('Brand#', CAST(s_suppkey % 10 + 1 AS STRING)) AS table,
+  s_name AS column_name, CAST(floor(s_suppkey / 10) AS INT) AS ordinal,
+  concat('ref', CAST(s_suppkey % 10 AS STRING)) AS referenced_table,
+  concat('r', CAST(s_nationkey AS STRING)) AS referenced_column
+FROM {supplier}"""
+RENDER_FK_RULES = """
+SELECT DISTINCT 'shop' AS schema, concat('fk_', CAST(s_suppkey % 10 AS STRING)) AS constraint_name,
+  CASE s_suppkey % 10 % 3 WHEN 0 THEN 'CASCADE' WHEN 1 THEN 'RESTRICT' ELSE '' END AS update_rule,
+  CASE WHEN s_suppkey % 10 % 2 = 0 THEN 'CASCADE' ELSE 'NO ACTION' END AS delete_rule
+FROM {supplier}"""
+
+
+def _render_catalogue(spark, sf):
+    cols = normalise_columns(spark_sql(spark, sf, COLUMN_DUMPS["mysql"]), "mysql")
+    tables = cols.groupBy("table").agg(F.count(F.lit(1)).cast("bigint").alias("row_count")) \
+        .select("table", F.lit("shop").alias("schema"),
+                F.lit(None).cast("string").alias("comment"), "row_count")
+    idx = assemble_indexes(spark_sql(spark, sf, RENDER_INDEX_ROWS))
+    fks = assemble_foreign_keys(spark_sql(spark, sf, RENDER_FK_KEY_USAGE),
+                                spark_sql(spark, sf, RENDER_FK_RULES))
+    return nest_table_details(tables, cols, idx, fks.drop("schema"))
+
+
+_MYSQL_COLUMNS = f"""
+SELECT table_name AS "table", ordinal_position AS ordinal, column_name AS name,
+  column_type AS type, is_nullable = 'YES' AS nullable, column_default AS default_value,
+  nullif(column_comment, '') AS comment, coalesce(column_key = 'PRI', false) AS is_primary_key,
+  coalesce(contains(extra, 'auto_increment'), false) AS is_auto_increment
+FROM ({duck_sql(COLUMN_DUMPS["mysql"])})"""
+
+_TABLE_BLOCKS = f"""
+WITH cols AS ({_MYSQL_COLUMNS}),
+cl AS (SELECT "table", count(*) AS rc,
+  string_agg('| ' || CASE WHEN is_primary_key THEN '**' || name || '** (PK)' ELSE name END
+             || ' | ' || CASE WHEN is_auto_increment THEN type || ' AUTO_INCREMENT' ELSE type END
+             || ' | ' || CASE WHEN nullable THEN 'YES' ELSE 'NO' END
+             || ' | ' || CASE WHEN coalesce(default_value, '') <> '' THEN default_value ELSE '-' END
+             || ' | ' || coalesce(comment, '') || ' |', chr(10) ORDER BY ordinal, name) AS lines
+  FROM cols GROUP BY "table"),
+ix AS (SELECT "table", index_name AS name,
+         string_agg(column_name, ', ' ORDER BY seq, column_name) AS columns,
+         min(non_unique) = 0 AS is_unique, index_name = 'PRIMARY' AS is_primary,
+         min(index_type) AS type
+       FROM ({duck_sql(RENDER_INDEX_ROWS)}) GROUP BY "table", index_name),
+il AS (SELECT "table", string_agg('- ' || CASE WHEN is_primary THEN 'PRIMARY KEY'
+             WHEN is_unique THEN 'UNIQUE' ELSE 'INDEX' END
+             || CASE WHEN coalesce(type, '') <> '' THEN ' (' || type || ')' ELSE '' END
+             || ': `' || name || '` on (' || columns || ')', chr(10) ORDER BY name) AS lines
+       FROM ix GROUP BY "table"),
+fj AS (SELECT k.*, r.update_rule, r.delete_rule
+       FROM ({duck_sql(RENDER_FK_KEY_USAGE)}) k JOIN ({duck_sql(RENDER_FK_RULES)}) r
+       ON k.schema = r.schema AND k.constraint_name = r.constraint_name),
+fx AS (SELECT "table", constraint_name AS name, referenced_table, delete_rule, update_rule,
+         string_agg(column_name, ', ' ORDER BY ordinal, column_name, referenced_column) AS cols,
+         string_agg(referenced_column, ', ' ORDER BY ordinal, column_name, referenced_column)
+           AS rcols
+       FROM fj GROUP BY "table", constraint_name, referenced_table, delete_rule, update_rule),
+fl AS (SELECT "table", string_agg('- `' || name || '`: (' || cols || ') REFERENCES '
+             || referenced_table || '(' || rcols || ')'
+             || CASE WHEN coalesce(delete_rule, '') <> ''
+                     THEN chr(10) || '  - ON DELETE: ' || delete_rule ELSE '' END
+             || CASE WHEN coalesce(update_rule, '') <> ''
+                     THEN chr(10) || '  - ON UPDATE: ' || update_rule ELSE '' END,
+             chr(10) ORDER BY name) AS lines
+       FROM fx GROUP BY "table")
+SELECT {_j("'### Table: ' || cl.\"table\"", "'**Schema**: shop'",
+           "'**Row Count**: ' || format('{:,}', cl.rc)", "''", "'**Columns**:'", "''",
+           "'| Name | Type | Nullable | Default | Comment |'",
+           "'|------|------|----------|---------|---------|'", "cl.lines", "''")}
+  || CASE WHEN il.lines IS NULL THEN ''
+          ELSE {_j("''", "'**Indexes**:'", "il.lines", "''")} END
+  || chr(10) || CASE WHEN fl.lines IS NULL THEN {_j("'**Foreign Keys**: None'", "''")}
+          ELSE {_j("'**Foreign Keys**:'", "fl.lines", "''")} END
+  || chr(10) || '---' || chr(10) AS text
+FROM cl LEFT JOIN il USING ("table") LEFT JOIN fl USING ("table")
+"""
+
+
+@query("render_table_blocks", _TABLE_BLOCKS)
+def q_render_table_blocks(spark, sf):
+    return render_objects(_render_catalogue(spark, sf), "tables").select("text")
+
+
+_TABLE_CTES = _TABLE_BLOCKS[:_TABLE_BLOCKS.index("\nSELECT '### Table: '")]
+
+
+@query("render_table_details", _TABLE_CTES + f"""
+SELECT {_j("'# Table: ' || cl.\"table\"", "''", "'**Schema**: shop'",
+           "'**Row Count**: ' || format('{:,}', cl.rc)", "''", "'## Columns'", "''",
+           "'| Name | Type | Nullable | Default | Comment |'",
+           "'|------|------|----------|---------|---------|'", "cl.lines", "''")}
+  || CASE WHEN il.lines IS NULL THEN ''
+          ELSE {_j("''", "'## Indexes'", "''", "il.lines", "''")} END
+  || CASE WHEN fl.lines IS NULL THEN ''
+          ELSE {_j("''", "'## Foreign Keys'", "''", "fl.lines")} END AS text
+FROM cl LEFT JOIN il USING ("table") LEFT JOIN fl USING ("table")
+WHERE cl."table" = 'Brand#1'
+UNION ALL
+SELECT 'Table "no_such_table" not found in database "shop".' AS text
+""")
+def q_render_table_details(spark, sf):
+    nested = _render_catalogue(spark, sf)
+    return render_table_details(nested, "shop", "Brand#1").unionByName(
+        render_table_details(nested, "shop", "no_such_table"))
