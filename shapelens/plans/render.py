@@ -187,9 +187,32 @@ def _database_lines(spark, sf):
                            totals={"key_patterns": keys})
 
 
-@query("render_database")
+def _render_database_oracle() -> str:
+    from shapelens.plans.registry import ORACLES
+
+    def blocks(name: str) -> str:
+        return f"SELECT text FROM ({ORACLES[name]})"
+
+    header = ["# Database Schema: testdata", "", "**Database Type**: SPARK", "**Version**: 4.1", ""]
+    parts = [f"SELECT 0 AS section, '{line}' AS text" for line in header]
+    keys_total = f"(SELECT count(*) FROM ({duck_sql(KEY_LISTING)}))"
+    for section, heading, name in [
+            (5, f"'## Key Patterns (Total Keys: ' || format('{{:,}}', {keys_total}) || ')'",
+             "render_key_patterns"),
+            (7, "'## Topics (' || CAST((SELECT count(*) FROM (" + ORACLES["render_topics"]
+             + ")) AS VARCHAR) || ')'", "render_topics"),
+            (8, "'## Queues (' || CAST((SELECT count(*) FROM (" + ORACLES["render_queues"]
+             + ")) AS VARCHAR) || ')'", "render_queues"),
+            (11, "'## Key Prefixes (Total Keys: Unknown)'", "render_prefixes")]:
+        parts.append(f"SELECT {section} AS section, {heading} AS text")
+        parts.append(f"SELECT {section} AS section, '' AS text")
+        parts.append(f"SELECT {section} AS section, text FROM ({blocks(name)})")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("render_database", _render_database_oracle())
 def q_render_database(spark, sf):
-    return _database_lines(spark, sf)
+    return _database_lines(spark, sf).select("section", "text")
 
 
 @query("write_markdown")
