@@ -19,7 +19,7 @@ def _event_stream(spark, sf):
 
 
 @query("stream_key_templates", f"""
-SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start,
        {duck.key_template("concat(event_type, ':', CAST(user_id AS VARCHAR))")} AS pattern,
        CAST(count(*) AS BIGINT) AS count
 FROM events GROUP BY 1, 2
@@ -28,7 +28,8 @@ def q_stream_key_templates(spark, sf):
     ev = _event_stream(spark, sf).withColumn(
         "key", F.concat(F.col("event_type"), F.lit(":"), F.col("user_id").cast("string")))
     out = run_available_now(spark, stream_key_templates(ev, "ts", "key", "1 day", "1 hour"))
-    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+    # Epoch seconds: comparable across engines and session time zones.
+    return out.select(F.unix_seconds("window_start").alias("window_start"),
                       "pattern", F.col("count").cast("bigint"))
 
 

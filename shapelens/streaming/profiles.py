@@ -28,11 +28,14 @@ def stream_key_templates(stream: DataFrame, ts_col: str, key_col: str,
 
     Rows whose window ended before the watermark are dropped by Spark in
     append/update mode (judged against the previous micro-batch's watermark);
-    complete mode keeps every row. TIMESTAMP_NTZ event times are read as UTC.
+    complete mode keeps every row. TIMESTAMP_NTZ event times are read as UTC
+    wall-clock times, independent of the session time zone.
     """
     ts = F.col(ts_col)
     if isinstance(stream.schema[ts_col].dataType, T.TimestampNTZType):
-        ts = F.to_utc_timestamp(ts.cast("timestamp"), "UTC")
+        # Wall-clock text + "Z": the same instant whatever the session time zone.
+        ts = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")) \
+            .cast("timestamp")
     events = stream.select(ts.alias("event_time"), key_template(F.col(key_col)).alias("pattern"))
     return (events.withWatermark("event_time", watermark)
             .groupBy(F.window("event_time", window).alias("window"), "pattern")
