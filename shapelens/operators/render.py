@@ -439,44 +439,47 @@ def render_database(blocks: Mapping[str, DataFrame], name: str, db_type: str,
     ``blocks`` maps a kind to its ``render_objects`` output; ``totals`` maps
     key-pattern kinds to a one-row DataFrame with column ``total``. Sections
     come in fixed order with ``## Kind (n)`` headings; with no object at all
-    the document says there is no schema data.
+    the document says there is no schema data. Headings come from one grouped
+    count over all blocks and joins with small fixed tables, so the whole
+    document is one plan whose shuffles Spark can reuse (no scalar subqueries).
     """
-    spark = next(iter(blocks.values())).sparkSession if blocks else None
+    from shapelens.session import union_all
+
+    spark = next(iter(blocks.values())).sparkSession
     header = [f"# Database Schema: {name}", "", f"**Database Type**: {db_type.upper()}"]
     if version:
         header.append(f"**Version**: {version}")
     header.append("")
-    rows = [(0, f"{i:06d}", line) for i, line in enumerate(header)]
-    head = spark.createDataFrame(rows, "section int, sort_key string, text string")
-    parts = [head]
-    counts = []
-    for s, (kind, heading) in enumerate(SECTIONS, start=1):
-        if kind not in blocks:
-            continue
-        b = blocks[kind]
-        n = b.select(F.count(F.lit(1)).alias("n"))
-        counts.append(n)
-        total = (totals or {}).get(kind)
-        total_text = (thousands(total.select(F.first("total")).scalar()) if total is not None
-                      else _lit("Unknown"))
-        title = F.lit(heading.split("{")[0])
-        tail = heading.split("}")[-1]
-        label = _c("n").cast("string") if "{n}" in heading else F.coalesce(total_text, _lit("Unknown"))
-        heads = n.where(_c("n") > 0).select(F.inline(F.array(
-            F.struct(F.lit(s).alias("section"), _lit("").alias("sort_key"),
-                     F.concat(title, label, _lit(tail)).alias("text")),
-            F.struct(F.lit(s).alias("section"), _lit("\u0000").alias("sort_key"),
-                     _lit("").alias("text")))))
-        parts.append(heads)
-        parts.append(b.select(F.lit(s).alias("section"),
-                              F.concat(_lit("\u0001"), _c("sort_key")).alias("sort_key"), "text"))
-    any_data = reduce(DataFrame.unionByName, counts).agg(F.sum("n").alias("n")) if counts else None
-    no_data = spark.createDataFrame([(99, f"{i:06d}", line) for i, line in enumerate(NO_DATA_LINES)],
-                                    "section int, sort_key string, text string")
-    if any_data is not None:
-        no_data = no_data.where(F.coalesce(any_data.select("n").scalar(), F.lit(0)) == 0)
-    parts.append(no_data)
-    return reduce(DataFrame.unionByName, parts)
+    head = spark.createDataFrame([(0, f"{i:06d}", line) for i, line in enumerate(header)],
+                                 "section int, sort_key string, text string")
+    numbered = {kind: (s, heading) for s, (kind, heading) in enumerate(SECTIONS, start=1)}
+    used = [(numbered[k][0], k) for k in blocks if k in numbered]
+    body = union_all([blocks[k].select(F.lit(s).alias("section"),
+                                       F.concat(_lit("\u0001"), _c("sort_key")).alias("sort_key"),
+                                       "text") for s, k in used])
+    counts = body.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    titles = spark.createDataFrame(
+        [(s, numbered[k][1].split("{")[0], numbered[k][1].split("}")[-1], "{n}" in numbered[k][1])
+         for s, k in used], "section int, title string, tail string, by_count boolean")
+    total_rows = [t.select(F.lit(numbered[k][0]).alias("section"),
+                           F.col("total").cast("bigint").alias("total"))
+                  for k, t in (totals or {}).items() if k in numbered]
+    with_totals = counts.join(titles, "section")
+    if total_rows:
+        with_totals = with_totals.join(union_all(total_rows), "section", "left")
+    else:
+        with_totals = with_totals.withColumn("total", F.lit(None).cast("bigint"))
+    label = F.when(_c("by_count"), _c("n").cast("string")) \
+        .otherwise(F.coalesce(thousands(_c("total")), _lit("Unknown")))
+    heads = with_totals.select("section", F.inline(F.array(
+        F.struct(_lit("").alias("sort_key"), F.concat(_c("title"), label, _c("tail")).alias("text")),
+        F.struct(_lit("\u0000").alias("sort_key"), _lit("").alias("text")))))
+    no_data = spark.createDataFrame(
+        [(99, f"{i:06d}", line, 1) for i, line in enumerate(NO_DATA_LINES)],
+        "section int, sort_key string, text string, _k int")
+    any_object = counts.agg(F.sum("n").alias("n")).where(_c("n") > 0).select(F.lit(1).alias("_k"))
+    no_data = no_data.join(any_object, "_k", "left_anti").drop("_k")
+    return union_all([head, heads, body, no_data])
 
 
 def markdown_text(lines: DataFrame, max_lines: int = 200_000) -> str:
