@@ -4,7 +4,6 @@ search mappings, versions (O-24..O-30, O-38, O-41, O-42)."""
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -1,6 +1,5 @@
 import os
 
-from pyspark.sql import functions as F
 
 from shapelens.operators.render import (markdown_text, nest_table_details, render_database,
                                         render_listing, render_objects, render_table_details,
