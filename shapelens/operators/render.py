@@ -439,10 +439,10 @@ def render_database(blocks: Mapping[str, DataFrame], name: str, db_type: str,
     key-pattern kinds to a one-row DataFrame with column ``total``. Sections
     come in fixed order with ``## Kind (n)`` headings; with no object at all
     the document says there is no schema data. Headings come from one grouped
-    count over all blocks and joins with small fixed tables, so the whole
-    document is one plan whose shuffles Spark can reuse (no scalar subqueries).
+    count over all blocks and joins with small fixed tables; the rendered blocks
+    are checkpointed once, so no block pipeline runs twice.
     """
-    from shapelens.session import union_all
+    from shapelens.session import ensure_checkpoint_dir, union_all
 
     spark = next(iter(blocks.values())).sparkSession
     header = [f"# Database Schema: {name}", "", f"**Database Type**: {db_type.upper()}"]
@@ -453,9 +453,12 @@ def render_database(blocks: Mapping[str, DataFrame], name: str, db_type: str,
                                  "section int, sort_key string, text string")
     numbered = {kind: (s, heading) for s, (kind, heading) in enumerate(SECTIONS, start=1)}
     used = [(numbered[k][0], k) for k in blocks if k in numbered]
+    # One row per rendered object: small next to the inputs. Checkpointed to the
+    # shared folder so the body and its heading counts read one copy.
+    ensure_checkpoint_dir(spark)
     body = union_all([blocks[k].select(F.lit(s).alias("section"),
                                        F.concat(_lit("\u0001"), _c("sort_key")).alias("sort_key"),
-                                       "text") for s, k in used])
+                                       "text") for s, k in used]).checkpoint(eager=True)
     counts = body.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
     titles = spark.createDataFrame(
         [(s, numbered[k][1].split("{")[0], numbered[k][1].split("}")[-1], "{n}" in numbered[k][1])
