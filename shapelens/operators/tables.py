@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapelens.session import union_all
 
 
 def check_foreign_key(child: DataFrame, child_cols: Sequence[str],
@@ -88,21 +87,31 @@ def unique_keys(df: DataFrame, candidates: Sequence[Sequence[str]],
     """Test candidate keys on data (O-40).
 
     Returns one row per candidate: (columns, rows, distinct_rows, has_null,
-    is_unique). Keys are grouped (not count-distinct), so the work spills
-    instead of failing; ``is_unique`` needs no duplicate and no null.
+    is_unique). All candidates of a table come from one scan: a GROUPING SETS
+    aggregate (partial, map-side, so a hot key value is one row per task) and a
+    second small aggregate per set. Keys are grouped, not count-distinct, so the
+    work spills instead of failing; ``is_unique`` needs no duplicate and no null.
     """
-    parts = []
-    for cols in candidates:
-        cols = list(cols)
-        label = ", ".join(cols) if table is None else f"{table}({', '.join(cols)})"
-        has_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-        grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"),
-                                        F.max(has_null).alias("_null"))
-        parts.append(grouped.agg(
-            F.sum("_n").cast("bigint").alias("rows"),
-            F.count(F.lit(1)).cast("bigint").alias("distinct_rows"),
-            F.coalesce(F.max("_null"), F.lit(False)).alias("has_null"),
-            F.coalesce(F.max("_n"), F.lit(0)).alias("_max"),
-        ).select(F.lit(label).alias("columns"), "rows", "distinct_rows", "has_null",
-                 ((F.col("_max") <= 1) & ~F.col("has_null")).alias("is_unique")))
-    return union_all(parts)
+    sets: list[list[str]] = []
+    for cand in candidates:
+        if list(cand) not in sets:
+            sets.append(list(cand))
+    cols = list(dict.fromkeys(c for s_ in sets for c in s_))
+    bit = {c: 1 << (len(cols) - 1 - j) for j, c in enumerate(cols)}
+    gids = [sum(bit[c] for c in cols if c not in s_) for s_ in sets]
+    labels = [", ".join(s_) if table is None else f"{table}({', '.join(s_)})" for s_ in sets]
+    null_case = "CASE grouping_id() " + " ".join(
+        f"WHEN {g} THEN " + " OR ".join(f"{_quote(c)} IS NULL" for c in s_)
+        for g, s_ in zip(gids, sets)) + " END"
+    label_case = "CASE gid " + " ".join(
+        f"WHEN {g} THEN {_sql_text(lab)}" for g, lab in zip(gids, labels)) + " END"
+    grouping = ", ".join("(" + ", ".join(_quote(c) for c in s_) + ")" for s_ in sets)
+    spark = df.sparkSession
+    per_key = spark.sql(
+        f"SELECT grouping_id() AS gid, count(1) AS n, {null_case} AS nul "
+        f"FROM {{src}} GROUP BY GROUPING SETS ({grouping})", src=df)
+    return spark.sql(
+        f"SELECT {label_case} AS columns, CAST(sum(n) AS BIGINT) AS rows, "
+        f"CAST(count(1) AS BIGINT) AS distinct_rows, coalesce(max(nul), false) AS has_null, "
+        f"coalesce(max(n), 0) <= 1 AND NOT coalesce(max(nul), false) AS is_unique "
+        f"FROM {{per_key}} GROUP BY gid", per_key=per_key)
