@@ -19,24 +19,26 @@ def check_foreign_key(child: DataFrame, child_cols: Sequence[str],
                       parent: DataFrame, parent_cols: Sequence[str]) -> DataFrame:
     """Does every child key occur in the parent? (O-15)
 
-    Returns (child_rows, null_rows, orphan_rows, holds). Child keys are
-    counted per distinct key first, so a hot key is one row before the
-    anti-join shuffle; parent keys are deduplicated the same way.
+    Returns (child_rows, null_rows, orphan_rows, holds) from one scan of each
+    side: child rows are counted per distinct key first (a hot key becomes one
+    row before any shuffle), the distinct parent keys are left-joined, and one
+    aggregate yields all totals. Keys with a null part never match.
     """
     child_cols, parent_cols = list(child_cols), list(parent_cols)
-    keyed = child.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(child_cols)])
-    any_null = reduce(lambda a, b: a | b, [F.col(f"_k{i}").isNull()
-                                          for i in range(len(child_cols))])
-    per_key = keyed.where(~any_null).groupBy(*keyed.columns).agg(
-        F.count(F.lit(1)).alias("_n"))
-    parent_keys = parent.select(*[F.col(c).alias(f"_k{i}")
-                                  for i, c in enumerate(parent_cols)]).distinct()
-    orphans = per_key.join(parent_keys, keyed.columns, "left_anti")
-    totals = keyed.agg(F.count(F.lit(1)).cast("bigint").alias("child_rows"),
-                       F.count_if(any_null).cast("bigint").alias("null_rows"))
-    orphan_rows = orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint")).scalar()
-    return totals.select("child_rows", "null_rows", orphan_rows.alias("orphan_rows")) \
-        .withColumn("holds", F.col("orphan_rows") == 0)
+    keys = [f"_k{i}" for i in range(len(child_cols))]
+    keyed = child.select(*[F.col(c).alias(k) for c, k in zip(child_cols, keys)])
+    per_key = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    parent_keys = parent.select(*[F.col(c).alias(k) for c, k in zip(parent_cols, keys)]) \
+        .distinct().withColumn("_found", F.lit(True))
+    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    joined = per_key.join(parent_keys, keys, "left")
+    totals = joined.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("child_rows"),
+        F.coalesce(F.sum(F.when(any_null, F.col("_n"))), F.lit(0)).cast("bigint")
+        .alias("null_rows"),
+        F.coalesce(F.sum(F.when(~any_null & F.col("_found").isNull(), F.col("_n"))), F.lit(0))
+        .cast("bigint").alias("orphan_rows"))
+    return totals.withColumn("holds", F.col("orphan_rows") == 0)
 
 
 def _string_like(dt: T.DataType) -> bool:
