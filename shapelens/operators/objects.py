@@ -68,17 +68,18 @@ def cache_totals(stats: DataFrame, note: str = CACHE_NOTE) -> DataFrame:
 def storage_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table, total_rows, total_bytes, size_text) of file-based tables (O-28).
 
-    Bytes are the sizes of the distinct files behind each table, from the
-    file-source ``_metadata`` column, so no data column is read.
+    One pass per table over the file-source ``_metadata`` column (no data
+    column is read): rows are counted per file, then summed, and each file's
+    size is added once.
     """
     parts = []
     for name, df in tables.items():
-        rows = df.agg(F.count(F.lit(1)).cast("bigint").alias("total_rows"))
-        files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-        size = files.agg(F.coalesce(F.sum("file_size"), F.lit(0)).cast("bigint")
-                         .alias("total_bytes"))
-        parts.append(rows.select(F.lit(name).alias("table"), "total_rows",
-                                 size.scalar().alias("total_bytes")))
+        per_file = df.groupBy("_metadata.file_path", "_metadata.file_size").agg(
+            F.count(F.lit(1)).alias("_rows"))
+        parts.append(per_file.agg(
+            F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("total_rows"),
+            F.coalesce(F.sum("file_size"), F.lit(0)).cast("bigint").alias("total_bytes"))
+            .select(F.lit(name).alias("table"), "total_rows", "total_bytes"))
     out = union_all(parts)
     return out.withColumn("size_text", format_bytes(F.col("total_bytes")))
 
