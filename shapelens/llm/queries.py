@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelens.llm import language
+from shapelens.llm import language, toxicity
 from shapelens.llm.common import crc_mod
 from shapelens.session import read_table
 
@@ -31,3 +31,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     prototypes = language.fit(docs, where=~held_out)
     return (language.identify(docs, prototypes, keep=["doc_id"])
             .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = crc_mod("doc_id", 4) == 2
+    machine = toxicity.fit(docs, labels, where=~held_out)
+    return (toxicity.score(docs, machine, keep=["doc_id"])
+            .select("doc_id", held_out.alias("held_out"), "score",
+                    (F.col("score") >= 0.3).cast("int").alias("predicted")))
