@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelens.llm import language, toxicity
+from shapelens.llm import language, toxicity, urls
 from shapelens.llm.common import crc_mod
 from shapelens.session import read_table
 
@@ -42,3 +42,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (toxicity.score(docs, machine, keep=["doc_id"])
             .select("doc_id", held_out.alias("held_out"), "score",
                     (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
+#: The rules of op5.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+@query("op5_url_filter")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return (urls.judge(pages, URL_RULES)
+            .select("page_id", "host", "path", "rule", "verdict", "score"))
