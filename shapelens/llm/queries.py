@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelens.llm import language, toxicity, urls
+from shapelens.llm import html_text, language, toxicity, urls
 from shapelens.llm.common import crc_mod
 from shapelens.session import read_table
 
@@ -54,3 +54,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return (urls.judge(pages, URL_RULES)
             .select("page_id", "host", "path", "rule", "verdict", "score"))
+
+
+@query("op8_html_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return (html_text.extract(pages, keep=["page_id", "url"])
+            .withColumn("n_chars", F.length("text").cast("long")))
