@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelens.llm import html_text, language, toxicity, urls
+from shapelens.llm import decontaminate, html_text, language, toxicity, urls
 from shapelens.llm.common import crc_mod
 from shapelens.session import read_table
 
@@ -61,3 +61,41 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return (html_text.extract(pages, keep=["page_id", "url"])
             .withColumn("n_chars", F.length("text").cast("long")))
+
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP2_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+b AS (SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark WHERE item_id IS NOT NULL),
+n AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, list_aggregate(list_slice(w, i, i + n - 1), 'string_agg', ' ') AS k
+    FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM n)),
+places AS (SELECT row_id, n, i, list_aggregate(list_slice(w, i, i + n - 1), 'string_agg', ' ') AS k
+    FROM (SELECT row_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+          FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+found AS (SELECT p.row_id, p.i, p.n, win.item_id FROM places p JOIN win ON p.n = win.n AND p.k = win.k),
+hit AS (SELECT row_id, count(DISTINCT pos) AS n_hit FROM
+    (SELECT row_id, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT row_id, i, n FROM found)) GROUP BY row_id),
+ids AS (SELECT row_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM
+    (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY row_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n_hit, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(ids.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids.ids, '')) AS items_sha256,
+    coalesce(hit.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (row_id) LEFT JOIN ids USING (row_id)
+"""
+
+
+@query("op2_decontaminate", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    ids = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return (decontaminate.hits(docs, items, keep=["doc_id"])
+            .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                    F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
+                    (F.col("n_hit") > 0).alias("contaminated")))
