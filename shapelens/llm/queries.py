@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelens.llm import decontaminate, html_text, language, toxicity, urls
+from shapelens.llm import decontaminate, html_text, language, mixture, toxicity, urls
 from shapelens.llm.common import crc_mod
 from shapelens.session import read_table
 
@@ -99,3 +99,32 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                     F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
                     (F.col("n_hit") > 0).alias("contaminated")))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat_ws(':', '10', CAST(doc_id AS VARCHAR), md5(text))) AS rank FROM documents),
+s AS (SELECT source, n, [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+    FROM (SELECT source, CAST(sum(size) AS DOUBLE) AS n FROM d GROUP BY source)),
+r AS (SELECT *, row_number() OVER (ORDER BY 2.0 * n / w, source NULLS LAST) AS k,
+    1.5::DOUBLE * sum(n) OVER () - 2.0 * (sum(n) OVER o - n) AS rest,
+    sum(w) OVER () - (sum(w) OVER o - w) AS total
+    FROM s WHERE n > 0 WINDOW o AS (ORDER BY 2.0 * n / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT rest, total FROM r WHERE w * rest / total <= 2.0 * n ORDER BY k LIMIT 1),
+t AS (SELECT s.source, s.n, CASE WHEN s.n = 0 THEN 0.0 WHEN f.rest IS NULL OR s.w * f.rest / f.total > 2.0 * s.n
+    THEN 2.0 * s.n ELSE s.w * f.rest / f.total END AS target FROM s LEFT JOIN f ON true),
+u AS (SELECT d.doc_id, d.size, CAST(t.n AS BIGINT) AS source_size, CAST(t.target AS DOUBLE) AS target,
+    CASE WHEN t.n > 0 THEN floor(t.target / t.n) ELSE 0 END AS whole, t.n,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.rank
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2.0 AS reached
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+    CAST(size * (whole + CASE WHEN reached <= target - whole * n THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM u
+"""
+
+
+@query("op10_source_mix", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixture.mix(docs, keep=["doc_id"]).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
