@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelens.llm import decontaminate, html_text, language, mixture, shards, toxicity, urls
+from shapelens.llm import decontaminate, html_text, jaccard, language, mixture, shards, toxicity, urls
 from shapelens.llm.common import crc_mod
 from shapelens.session import read_table
 
@@ -136,3 +136,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(docs, keep=["doc_id"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP3_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + least(5, len(w)) - 1) AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+r AS (SELECT s.doc_id, s.g, n.n FROM s JOIN n USING (doc_id)),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c, any_value(x.n) AS na, any_value(y.n) AS nb
+    FROM r x JOIN r y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM i WHERE 100 * c >= 80 * (na + nb - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT reach.a AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id
+FROM reach LEFT JOIN n ON n.doc_id = reach.a GROUP BY reach.a
+"""
+
+
+@query("op3_jaccard_join", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.components(docs).select("doc_id", "n_shingles", "component_id")
