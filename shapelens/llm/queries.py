@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelens.llm import decontaminate, html_text, jaccard, language, mixture, shards, toxicity, urls
+from shapelens.llm import decontaminate, html_text, jaccard, language, lines, mixture, shards, toxicity, urls
 from shapelens.llm.common import crc_mod
 from shapelens.session import read_table
 
@@ -158,3 +158,30 @@ FROM reach LEFT JOIN n ON n.doc_id = reach.a GROUP BY reach.a
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, text, md5(text) AS h, string_split(text, chr(10)) AS l FROM documents),
+u AS (SELECT doc_id, h, i, l[i] AS line,
+    string_split(trim(regexp_replace(translate(l[i], '{_UP}', '{_LOW}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ') AS w
+    FROM (SELECT doc_id, h, l, unnest(range(1, len(l) + 1)) AS i FROM d WHERE text <> '')),
+r AS (SELECT doc_id, h, i, line,
+    len(w) >= 5 AND row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS LAST, h, i) > 1 AS gone,
+    sum(length(line) + 1) OVER (PARTITION BY doc_id, h ORDER BY i) - length(line) - 1 AS start FROM u),
+k AS (SELECT doc_id, h, count(*) AS n, count(*) FILTER (gone) AS g,
+    coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(line) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS spans,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id, h)
+SELECT d.doc_id, coalesce(k.n, 0) AS n_units, coalesce(k.g, 0) AS n_removed, coalesce(k.spans, '') AS removed,
+    CAST(coalesce(length(k.kept), 0) AS BIGINT) AS kept_chars, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.h = k.h
+"""
+
+
+@query("op9_line_dedup", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("kept_text", F.lit(""))
+    spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return lines.dedup(docs, keep=["doc_id"]).select(
+        "doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed"),
+        F.length(text).cast("long").alias("kept_chars"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
