@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelens.llm import decontaminate, html_text, jaccard, language, lines, mixture, shards, toxicity, urls
+from shapelens.llm import decontaminate, html_text, imatch, jaccard, language, lines, mixture, shards, toxicity, urls
 from shapelens.llm.common import crc_mod
 from shapelens.session import read_table
 
@@ -185,3 +185,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(docs, keep=["doc_id"]).select(
         "doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed"),
         F.length(text).cast("long").alias("kept_chars"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op6_imatch")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
