@@ -7,9 +7,10 @@ source's texts are all taken floor(target / size) times; for the fraction that
 remains, the texts whose words come first in a seeded hash order are taken once
 more, so that the words taken miss the target by half a text at most.
 
-Sizes are read once and written to the shared folder. Running sums are built in
-two steps: by (source, slice of the hash order), then inside the one slice in
-which the fraction ends, so no source passes through one task.
+Running sums are built in two steps: by (source, slice of the hash order), then
+row by row inside the one slice in which a source's fraction ends. Rows of other
+slices are taken or not as a whole, so only a sliver of the rows is exchanged
+and no source passes through one task.
 
 Edge cases: null and empty texts have size 0 and are taken 0 times; a null
 source is a source of its own, last in order; a source without words has target
@@ -61,15 +62,15 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     """
     added = ("size", "source_size", "target", "copies")
     kept = [c for c in keep or docs.columns if c.lower() not in added]
-    own, at, rank, before = (scratch_name(docs, c) for c in ("own_source", "slice", "rank", "before"))
+    own, at, end, rank, before = (scratch_name(docs, c) for c in ("own_source", "slice", "end", "rank", "before"))
     # md5 text in ascending order is the order of the mix; its beginning is the slice.
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.md5(text)).cast("binary"))
     rows = docs.select(*kept, F.concat(F.lit("s"), F.col(source)).alias(own), words(F.col(text)).alias("size"),
                        place.alias(rank)).fillna("", [own])
     first = F.conv(F.substring(rank, 1, 6), 16, 10).cast("long")
-    rows = shared_table(rows.withColumn(at, F.floor(first * slices / (1 << 24)).cast("int")), "mix-sizes")
+    rows = rows.withColumn(at, F.floor(first * slices / (1 << 24)).cast("int"))
 
-    part = rows.groupBy(own, at).agg(F.sum("size").alias("n"))
+    part = shared_table(rows.groupBy(own, at).agg(F.sum("size").alias("n")), "mix-slices")
     totals = sorted(part.groupBy(own).agg(F.sum("n")).collect(), key=lambda r: (r[0] == "", r[0]))
     sizes = [r[1] for r in totals]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], budget * sum(sizes), epochs)
@@ -78,13 +79,16 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
         [(r[0], n, t, w, t - w * n) for r, n, t, w in zip(totals, sizes, targets, whole)],
         f"{own} string, source_size bigint, target double, whole int, more double")
     up_to = Window.partitionBy(own).orderBy(at)  # one row for a slice
-    part = part.withColumn(before, F.sum("n").over(up_to) - F.col("n")).join(plan, own)
-    joined = rows.join(shared_table(part, "mix-slices"), [own, at])
-    ended = F.col(before) + F.col("n") <= F.col("more")
-    split = (F.col(before) < F.col("more")) & ~ended
+    reach = part.withColumn(before, F.sum("n").over(up_to) - F.col("n")).join(F.broadcast(plan), own)
+    ends = reach.where((F.col(before) <= F.col("more")) & (F.col(before) + F.col("n") > F.col("more")))
+    ends = ends.select(own, F.col(at).alias(end), before).collect()  # one row for a source at most
+    plan = plan.join(F.broadcast(docs.sparkSession.createDataFrame(ends, f"{own} string, {end} int, {before} bigint")), own, "left")
+    joined = rows.join(F.broadcast(plan), own)  # one row for a source, as the driver holds them
+    split = F.coalesce(F.col(at) == F.col(end), F.lit(False))
+    plain = F.when((F.col(at) < F.col(end)) | F.col(end).isNull(), F.when(F.col("more") > 0, 1).otherwise(0)).otherwise(0)
     inside = Window.partitionBy(own, at).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
     reached = F.col(before) + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2
-    extra = joined.where(~split).withColumn("extra", ended.cast("int")).unionByName(
+    extra = joined.where(~split).withColumn("extra", plain).unionByName(
         joined.where(split).withColumn("extra", (reached <= F.col("more")).cast("int")))
     return extra.select(*kept, "size", "source_size", "target",
                         F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).alias("copies"))
