@@ -59,7 +59,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", unit: str
           keep: list[str] | None = None) -> DataFrame:
     """Append n_units, kept_text and removed (array of start, end) to the ``keep`` columns (all) of every row."""
     kept = [c for c in keep or docs.columns if c.lower() not in ("n_units", "kept_text", "removed")]
-    own_key, own_text, mark, gone = (scratch_name(docs, c) for c in ("own_key", "own_text", "mark", "gone"))
+    own_key, own_text, mark, gone, k, h = (scratch_name(docs, c) for c in ("own_key", "own_text", "mark", "gone", "k", "h"))
     rows = docs.select(*kept, F.col(key).alias(own_key), F.col(text).alias(own_text), F.md5(F.col(text).cast("binary")).alias(mark))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +84,8 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", unit: str
     rank = F.struct(F.col("k").isNull().alias("none"), "k", "h", "i")
     first = table.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     later = (table.join(shared_table(first, "unit-firsts"), "digest").where(rank != F.col("first"))
-             .groupBy("k", "h").agg(F.collect_set("i").alias(gone)))
-    joined = rows.join(later, F.col(own_key).eqNullSafe(F.col("k")) & (F.col(mark) == F.col("h")), "left")
+             .groupBy(F.col("k").alias(k), F.col("h").alias(h)).agg(F.collect_set("i").alias(gone)))
+    joined = rows.join(later, F.col(own_key).eqNullSafe(F.col(k)) & (F.col(mark) == F.col(h)), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
