@@ -8,9 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The type names a document value can be given.
-DOCUMENT_TYPE_NAMES = ("null", "array", "object", "date", "number", "double",
-                       "boolean", "string", "unknown")
 # Size units, 1024 apart; the last one absorbs larger sizes.
 BYTE_UNITS = ("B", "KB", "MB", "GB", "TB")
 NUMERIC_VARIANT_TYPES = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT",
@@ -31,7 +28,9 @@ def value_type(value) -> Column:
     v = _col(value)
     schema = F.schema_of_variant(v)
     head = F.regexp_extract(schema, r"^([A-Z_]+)", 1)
-    as_double = F.try_variant_get(v, "$", "double")
+    # Decimals first: a long one loses its fraction as a double.
+    whole = F.coalesce(F.try_variant_get(v, "$", "decimal(38,18)") % 1 == 0,
+                       F.try_variant_get(v, "$", "double") % 1 == 0)
     return (F.when(v.isNull() | (schema == "VOID"), F.lit("null"))
             .when(head == "OBJECT", F.lit("object"))
             .when(head == "ARRAY", F.lit("array"))
@@ -39,7 +38,7 @@ def value_type(value) -> Column:
             .when(head == "STRING", F.lit("string"))
             .when(head.isin("DATE", "TIMESTAMP", "TIMESTAMP_NTZ"), F.lit("date"))
             .when(head.isin(*NUMERIC_VARIANT_TYPES),
-                  F.when(as_double % 1 == 0, F.lit("number")).otherwise(F.lit("double")))
+                  F.when(whole, F.lit("number")).otherwise(F.lit("double")))
             .otherwise(F.lit("unknown")))
 
 

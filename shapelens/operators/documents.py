@@ -1,131 +1,39 @@
 """Schema inference over document collections (O-18..O-20, O-32, O-33).
 
-Flattening (O-33) walks each document in a small helper run by
-``mapInPandas`` inside Spark's tasks (any depth, microseconds per document).
-Profiling (O-18) counts ``(path, type)`` per batch inside the task, so the only
-large shuffle moves one partial count per (path, type) per batch, whatever the
-skew of paths; percentages come from a small second aggregation.
-
-``flatten_documents_sql`` is the same flatten built only from Spark array
-expressions (one projection per level, up to ``max_depth``); it is kept as an
-independent cross-check and for callers that cannot run Python workers. It is
-about a hundred times slower per document.
+Documents are VARIANT values; text is parsed by ``try_parse_json`` first, so one
+rule says what is valid. A small Arrow function lists the paths of a document
+(any depth); values and types come from the VARIANT itself, so dates, long
+decimals and numbers beyond double range stay what they are. Counts per (path,
+type) combine inside each task, so the shuffle moves one partial count per
+(path, type) per task, whatever the skew of paths.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapelens.functions.flatten import leaf_rows, leaf_type_counts
-
+from shapelens.functions.flatten import leaf_paths, value_at
 from shapelens.functions.values import pct, value_type
-from shapelens.session import ensure_checkpoint_dir, ensure_parallelism
-
-OBJECT_MAP = "map<string,variant>"
-DEFAULT_MAX_DEPTH = 8
-
-
-def _kids(value: Column) -> Column:
-    """Children of an object value as a map, or null when not an object."""
-    return F.try_variant_get(value, "$", OBJECT_MAP)
-
-
-def _entry(path: Column, depth: Column, value: Column, dotted: Column) -> Column:
-    kids = _kids(value)
-    return F.struct(path.alias("path"), depth.alias("depth"),
-                    F.when(kids.isNull(), value).alias("value"),
-                    kids.alias("kids"), dotted.alias("dotted"))
-
-
-def _root_entries(doc: Column) -> Column:
-    return F.transform(F.map_entries(_kids(doc)), lambda e: _entry(
-        e["key"], F.lit(1), e["value"], F.instr(e["key"], ".") > 0))
 
+#: Type given to documents that are no objects, in rows without a path.
+NO_OBJECT = "no object"
 
-def _descend(entries: Column) -> Column:
-    # The previous level is referenced exactly once: fused code generation
-    # would otherwise repeat it per reference, doubling the work per level.
-    return F.flatten(F.transform(entries, lambda e: F.when(
-        e["kids"].isNotNull(),
-        F.transform(F.map_entries(e["kids"]), lambda c: _entry(
-            F.concat(e["path"], F.lit("."), c["key"]), e["depth"] + 1, c["value"],
-            e["dotted"] | (F.instr(c["key"], ".") > 0))),
-    ).otherwise(F.array(e))))
 
+def as_variant(docs: DataFrame, doc_col: str) -> Column:
+    """The document as VARIANT; null for text that does not parse."""
+    if isinstance(docs.schema[doc_col].dataType, T.VariantType):
+        return F.col(doc_col)
+    return F.try_parse_json(F.col(doc_col).cast("string"))
 
-def _by_path_then_depth(a: Column, b: Column) -> Column:
-    return (F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1)
-            .when(a["depth"] < b["depth"], -1).when(a["depth"] > b["depth"], 1)
-            .otherwise(0))
 
-
-def leaf_entries(docs: DataFrame, doc_col: str = "doc",
-                 keep: Sequence[str] = ("doc_id",),
-                 max_depth: int = DEFAULT_MAX_DEPTH) -> DataFrame:
-    """``keep`` columns + ``entries`` array of leaf entries per object document.
-
-    A key containing ``.`` can collide with a nested path (``{"a.b": 1,
-    "a": {"b": 2}}``); such documents keep one entry per path, the one with
-    fewer levels (the literal dotted key).
-    """
-    out = ensure_parallelism(docs).select(
-        *keep, _root_entries(F.col(doc_col)).alias("entries"))
-    for _ in range(max_depth - 1):
-        out = out.withColumn("entries", _descend(F.col("entries")))
-    entries = F.col("entries")
-    return (out
-            .withColumn("_dotted", F.exists(entries, lambda e: e["dotted"]))
-            .withColumn("entries", F.when(
-                F.col("_dotted"), F.array_sort(entries, _by_path_then_depth))
-                .otherwise(entries))
-            .withColumn("entries", F.when(F.col("_dotted"), F.filter(
-                entries, lambda e, i: (i == 0) | (
-                    F.get(entries, i - 1)["path"] != e["path"])))
-                .otherwise(entries))
-            .drop("_dotted"))
-
-
-def _checked_value(max_depth: int) -> Column:
-    return F.when(F.col("kids").isNotNull(), F.raise_error(F.lit(
-        f"document nesting exceeds max_depth={max_depth}; raise max_depth"))) \
-        .otherwise(F.col("value"))
-
-
-def flatten_documents_sql(docs: DataFrame, doc_col: str = "doc",
-                      keep: Sequence[str] = ("doc_id",),
-                      max_depth: int = DEFAULT_MAX_DEPTH) -> DataFrame:
-    """Nested objects -> one row per dotted leaf path (O-33).
-
-    Returns ``keep`` columns + ``(path, value VARIANT)``. Arrays, nulls and
-    dates are leaves; empty objects yield nothing.
-    """
-    leaves = leaf_entries(docs, doc_col, keep, max_depth)
-    return leaves.select(*keep, F.inline("entries")).select(
-        *keep, "path", _checked_value(max_depth).alias("value"))
-
-
-def typed_leaves_sql(docs: DataFrame, doc_col: str = "doc",
-                 keep: Sequence[str] = ("doc_id",),
-                 max_depth: int = DEFAULT_MAX_DEPTH) -> DataFrame:
-    """``keep`` + ``(path, type)`` per leaf: flatten then classify (O-33 + O-34)."""
-    flat = flatten_documents_sql(docs, doc_col, keep, max_depth)
-    return flat.select(*keep, "path", value_type(F.col("value")).alias("type"))
-
-
-def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
-    return [df.schema[c] for c in names]
-
-
-def _json_text(docs: DataFrame, doc_col: str, keep: Sequence[str]) -> DataFrame:
-    """``keep`` + JSON text of each document, spread over the cluster's cores."""
-    text = F.to_json(F.col(doc_col)) if isinstance(
-        docs.schema[doc_col].dataType, T.VariantType) else F.col(doc_col)
-    return ensure_parallelism(docs.select(*keep, text.alias("_json")))
+def _with_paths(docs: DataFrame, doc_col: str, keep: Sequence[str]) -> DataFrame:
+    """``keep`` + ``_doc`` and ``_paths`` (null unless the document is an object)."""
+    return docs.select(*keep, as_variant(docs, doc_col).alias("_doc")) \
+        .withColumn("_paths", leaf_paths(F.col("_doc")))
 
 
 def flatten_documents(docs: DataFrame, doc_col: str = "doc",
@@ -133,43 +41,39 @@ def flatten_documents(docs: DataFrame, doc_col: str = "doc",
     """Nested objects -> one row per dotted leaf path (O-33).
 
     Returns ``keep`` columns + ``(path, value VARIANT)``. Arrays, nulls and
-    dates are leaves; empty objects yield nothing; any depth.
+    dates are leaves; empty objects yield nothing; any depth. A key with a dot
+    can collide with a nested path (``{"a.b": 1, "a": {"b": 2}}``): the one
+    with fewer levels stays.
     """
-    keep = list(keep)
-    schema = T.StructType(_fields(docs, keep) + [
-        T.StructField("path", T.StringType()), T.StructField("type", T.StringType()),
-        T.StructField("value_json", T.StringType())])
-    rows = _json_text(docs, doc_col, keep).mapInPandas(
-        partial(leaf_rows, text_col="_json", keep=keep, with_values=True), schema)
-    return rows.select(*keep, "path", F.parse_json("value_json").alias("value"))
-
-
-def typed_leaves(docs: DataFrame, doc_col: str = "doc",
-                 keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` + ``(path, type)`` per leaf: flatten then classify (O-33 + O-34)."""
-    keep = list(keep)
-    schema = T.StructType(_fields(docs, keep) + [
-        T.StructField("path", T.StringType()), T.StructField("type", T.StringType())])
-    return _json_text(docs, doc_col, keep).mapInPandas(
-        partial(leaf_rows, text_col="_json", keep=keep, with_values=False), schema)
+    rows = _with_paths(docs, doc_col, keep).select(*keep, "_doc", F.explode("_paths").alias("_steps"))
+    return rows.select(*keep, F.array_join("_steps", ".").alias("path"),
+                       value_at(F.col("_doc"), F.col("_steps")).alias("value"))
 
 
 def path_type_counts(docs: DataFrame, doc_col: str = "doc",
                      by: Sequence[str] = ()) -> DataFrame:
     """``by`` + ``(path, type, type_count)`` in one pass over the documents.
 
-    Each task pre-counts its batches, so the shuffle moves one row per
-    (path, type) per batch, whatever the skew of paths. The rows with null
-    path and type count the object documents of each group.
+    Rows without a path count the documents of each group: those that are
+    objects under the null type, the others under ``NO_OBJECT``.
     """
     by = list(by)
-    schema = T.StructType(_fields(docs, by) + [
-        T.StructField("path", T.StringType()), T.StructField("type", T.StringType()),
-        T.StructField("n", T.LongType())])
-    partial_counts = _json_text(docs, doc_col, by).mapInPandas(
-        partial(leaf_type_counts, text_col="_json", by=by), schema)
-    return partial_counts.groupBy(*by, "path", "type").agg(
-        F.sum("n").alias("type_count"))
+    none = F.array().cast("array<array<string>>")
+    each = F.array_append(F.coalesce("_paths", none), F.lit(None).cast("array<string>"))
+    rows = _with_paths(docs, doc_col, by).select(
+        *by, "_doc", F.col("_paths").isNull().alias("_other"), F.explode(each).alias("_steps"))
+    kind = F.when(F.col("_steps").isNotNull(), value_type(value_at(F.col("_doc"), F.col("_steps")))) \
+        .when(F.col("_other"), F.lit(NO_OBJECT))
+    return rows.select(*by, F.array_join("_steps", ".").alias("path"), kind.alias("type")) \
+        .groupBy(*by, "path", "type").agg(F.count(F.lit(1)).alias("type_count"))
+
+
+def object_documents(docs: DataFrame, doc_col: str = "doc", by: Sequence[str] = ()) -> DataFrame:
+    """``by`` + number of documents that are objects (``docs``) and that aren't (``others``)."""
+    doc = as_variant(docs, doc_col)
+    is_object = F.coalesce(F.startswith(F.to_json(doc), F.lit("{")), F.lit(False))
+    return docs.select(*by, is_object.alias("_is")).groupBy(*by).agg(
+        F.count_if("_is").alias("docs"), F.count_if(~F.col("_is")).alias("others"))
 
 
 def field_profile(docs: DataFrame, doc_col: str = "doc",
@@ -179,24 +83,21 @@ def field_profile(docs: DataFrame, doc_col: str = "doc",
     ``doc_col`` is VARIANT or JSON text. Returns ``by`` + ``(path, type,
     type_count, type_pct, occurrences, occurrence_pct)``; ``type_pct`` is
     relative to the path's occurrences, ``occurrence_pct`` to all object
-    documents (of the group). Text that is not a JSON object is not counted.
-
-    One pass over the documents: leaf counts and document totals come out of
-    the same aggregate (an ungrouped profile uses a hidden constant group). That
-    aggregate, one row per (group, path, type), is checkpointed to the shared
-    checkpoint folder, so the totals join reads it instead of walking the
-    documents a second time.
+    documents (of the group). Documents that are no objects are not profiled;
+    ``object_documents`` counts them. Document totals are a second, light
+    aggregate, so no intermediate result is stored and no job runs before the
+    caller's own.
     """
-    keys = list(by) or ["_all"]
-    src = docs if by else docs.withColumn("_all", F.lit(0))
-    ensure_checkpoint_dir(docs.sparkSession)
-    counts = path_type_counts(src, doc_col, keys).checkpoint(eager=True)
-    per_type = counts.where(F.col("path").isNotNull())
-    doc_totals = counts.where(F.col("path").isNull()).select(
-        *keys, F.col("type_count").alias("_docs"))
+    by = list(by)
+    per_type = path_type_counts(docs, doc_col, by).where(F.col("path").isNotNull())
     per_path = per_type.withColumn(
-        "occurrences", F.sum("type_count").over(Window.partitionBy(*keys, "path")))
-    return per_path.join(doc_totals, keys).select(
+        "occurrences", F.sum("type_count").over(Window.partitionBy(*by, "path")))
+    totals = object_documents(docs, doc_col, by).select(*by, F.col("docs").alias("_docs"))
+    if by:
+        per_path = per_path.join(totals, by)
+    else:
+        per_path = per_path.withColumn("_docs", totals.scalar())
+    return per_path.select(
         *by, "path", "type",
         F.col("type_count").cast("bigint"),
         pct(F.col("type_count"), F.col("occurrences")).alias("type_pct"),
@@ -239,34 +140,28 @@ def sample_documents(df: DataFrame, id_col: str = "doc_id", n: int = 1000,
 
 def sample_documents_per_group(df: DataFrame, group: str, id_col: str,
                                n: int, seed: str = "0") -> DataFrame:
-    """The same sample rule applied within each group (top-n per group)."""
+    """The same sample rule applied within each group (top-n per group).
+
+    Only ids are ranked; the documents are picked by a semi-join.
+    """
     w = Window.partitionBy(group).orderBy(sample_order(F.col(id_col), seed),
                                           F.col(id_col))
-    return (df.withColumn("_rank", F.row_number().over(w))
-            .where(F.col("_rank") <= n).drop("_rank"))
+    chosen = (df.select(group, id_col).withColumn("_rank", F.row_number().over(w))
+              .where(F.col("_rank") <= n).drop("_rank"))
+    return df.join(chosen, [group, id_col], "left_semi")
 
 
 def collection_profile(docs: DataFrame, collection_col: str = "collection",
-                       id_col: str = "doc_id", doc_col: str = "doc",
-                       sample_size: int | None = None, seed: str = "0") -> DataFrame:
+                       doc_col: str = "doc") -> DataFrame:
     """Per collection: (collection, document_count, sample_size, field_count) (O-19).
 
-    ``sample_size=None`` profiles every document.
+    Every document is profiled, so ``sample_size`` is the number of documents.
+    One pass: document and field counts follow from the same path counts.
     """
-    counts = docs.groupBy(collection_col).agg(
-        F.count(F.lit(1)).alias("document_count"))
-    sampled = docs if sample_size is None else sample_documents_per_group(
-        docs, collection_col, id_col, sample_size, seed)
-    sizes = sampled.groupBy(collection_col).agg(
-        F.count(F.lit(1)).alias("sample_size"))
-    fields = (typed_leaves(sampled, doc_col, keep=[collection_col])
-              .select(collection_col, "path").distinct()
-              .groupBy(collection_col).agg(F.count(F.lit(1)).alias("field_count")))
-    return (counts.join(sizes, collection_col, "left")
-            .join(fields, collection_col, "left")
-            .select(F.col(collection_col).alias("collection"),
-                    F.col("document_count").cast("bigint"),
-                    F.coalesce(F.col("sample_size"), F.lit(0)).cast("bigint")
-                    .alias("sample_size"),
-                    F.coalesce(F.col("field_count"), F.lit(0)).cast("bigint")
-                    .alias("field_count")))
+    per_path = path_type_counts(docs, doc_col, [collection_col]).groupBy(collection_col, "path").agg(
+        F.sum("type_count").alias("n"))
+    out = per_path.groupBy(collection_col).agg(
+        F.sum(F.when(F.col("path").isNull(), F.col("n"))).cast("bigint").alias("document_count"),
+        F.count("path").cast("bigint").alias("field_count"))
+    return out.select(F.col(collection_col).alias("collection"), "document_count",
+                      F.col("document_count").alias("sample_size"), "field_count")

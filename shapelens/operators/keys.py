@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapelens.functions.keys import key_prefixes, key_template
-from shapelens.session import ensure_parallelism
 
 
 def top_n_per_group(df: DataFrame, group: str | Sequence[str],
@@ -43,7 +42,7 @@ def key_template_groups(keys: DataFrame, key_col: str = "key",
     ordered by count desc, pattern. Sample keys are the ``n`` smallest keys of
     the template; every input key is counted.
     """
-    typed = ensure_parallelism(keys).select(
+    typed = keys.select(
         F.col(key_col).alias("key"),
         (F.col(type_col) if type_col else F.lit(None).cast("string")).alias("type"),
     ).withColumn("pattern", key_template(F.col("key")))
@@ -61,31 +60,31 @@ def key_template_groups(keys: DataFrame, key_col: str = "key",
             .orderBy(F.col("count").desc(), F.col("pattern")))
 
 
+def distinct_keys(keys: DataFrame, key_col: str = "key") -> DataFrame:
+    """(key, n): every distinct key, null included, with its number of rows."""
+    return keys.groupBy(F.col(key_col).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def prefix_rollup(keys: DataFrame, key_col: str = "key", n: int = 5,
-                  top: int | None = 50, samples: bool = True) -> DataFrame:
+                  samples: bool = True) -> DataFrame:
     """Distinct keys under every ``/`` prefix (O-22).
 
     Keys are deduplicated once, up front, so each prefix needs a plain count.
     Kept: depth 1, or prefixes with at least two keys; ordered by depth,
-    count desc, prefix; the first ``top`` (None keeps all).
-    Returns ``(prefix, depth, count, sample_keys array<string>)``; without
-    ``samples`` the sample column (and its window) is left out.
+    count desc, prefix. Returns ``(prefix, depth, count, sample_keys
+    array<string>)``; without ``samples`` the sample column (and its window) is
+    left out. The ``n`` sample keys of a prefix are picked before the join, so a
+    hot prefix never joins more than ``n`` rows per input partition.
     """
-    distinct_keys = keys.select(F.col(key_col).alias("key")).where(
-        F.col("key").isNotNull()).distinct()
-    exploded = distinct_keys.select(
+    exploded = distinct_keys(keys, key_col).where(F.col("key").isNotNull()).select(
         "key", F.inline(key_prefixes(F.col("key"))))
     counts = exploded.groupBy("prefix", "depth").agg(
         F.count(F.lit(1)).alias("count"))
     kept = counts.where((F.col("depth") == 1) | (F.col("count") >= 2))
     ordered = [F.col("depth"), F.col("count").desc(), F.col("prefix")]
-    if top is not None:
-        kept = kept.orderBy(*ordered).limit(top)
     if not samples:
         return kept.select("prefix", "depth", "count").orderBy(*ordered)
-    sampled = sample_keys_per_group(
-        exploded.join(kept.select("prefix"), "prefix", "left_semi"),
-        "prefix", "key", n)
+    sampled = sample_keys_per_group(exploded, "prefix", "key", n)
     return (kept.join(sampled, "prefix")
             .select("prefix", "depth", "count", "sample_keys")
             .orderBy(*ordered))
@@ -96,19 +95,14 @@ def key_totals(keys: DataFrame, rollup: DataFrame,
     """(scanned_keys, distinct_keys, overlapped_total) (O-23).
 
     ``overlapped_total`` is the sum of counts over the kept prefixes, which
-    counts a key once per kept prefix above it.
+    counts a key once per kept prefix above it. Null keys count in neither.
     """
-    totals = keys.agg(F.count(F.col(key_col)).alias("scanned_keys"),
-                      F.count_distinct(F.col(key_col)).alias("distinct_keys"))
+    totals = distinct_keys(keys, key_col).where(F.col("key").isNotNull()).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("scanned_keys"),
+        F.count(F.lit(1)).alias("distinct_keys"))
     overlapped = rollup.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint")
                             .alias("overlapped_total"))
     return totals.select(
         F.col("scanned_keys").cast("bigint"),
         F.col("distinct_keys").cast("bigint"),
         overlapped.scalar().alias("overlapped_total"))
-
-
-def prefix_key_count(keys: DataFrame, prefix: str, key_col: str = "key") -> DataFrame:
-    """Number of keys under one prefix (the per-prefix detail count)."""
-    return keys.where(F.col(key_col).startswith(prefix)).agg(
-        F.count(F.lit(1)).alias("row_count"))

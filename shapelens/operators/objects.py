@@ -5,16 +5,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from shapelens.functions.flatten import mapping_rows
+from shapelens.functions.flatten import leaf_paths, value_at
 from shapelens.functions.values import format_bytes
+from shapelens.operators.documents import as_variant
 from shapelens.session import union_all
 
 # Fixed value: the note shown for a cache whose keys cannot be listed.
-CACHE_NOTE = "N/A (the cache does not support key enumeration)"
+CACHE_NOTE = "N/A (Memcached does not support key enumeration)"
 
 
 def topic_rollup(partition_rows: DataFrame, topics: DataFrame | None = None) -> DataFrame:
@@ -65,23 +65,21 @@ def cache_totals(stats: DataFrame, note: str = CACHE_NOTE) -> DataFrame:
         .select(F.lit("*").alias("pattern"), "count", F.lit(note).alias("note"))
 
 
-def storage_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(table, total_rows, total_bytes, size_text) of file-based tables (O-28).
+def storage_stats(paths: Mapping[str, str], spark: SparkSession) -> DataFrame:
+    """(table, total_rows, total_bytes, size_text) of Parquet tables by path (O-28).
 
-    One pass per table over the file-source ``_metadata`` column (no data
-    column is read): rows are counted per file, then summed, and each file's
-    size is added once.
+    Rows are counted from the files' metadata (no data column is read); sizes
+    come from the file listing, so files without rows count too.
     """
     parts = []
-    for name, df in tables.items():
-        per_file = df.groupBy("_metadata.file_path", "_metadata.file_size").agg(
-            F.count(F.lit(1)).alias("_rows"))
-        parts.append(per_file.agg(
-            F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("total_rows"),
-            F.coalesce(F.sum("file_size"), F.lit(0)).cast("bigint").alias("total_bytes"))
-            .select(F.lit(name).alias("table"), "total_rows", "total_bytes"))
-    out = union_all(parts)
-    return out.withColumn("size_text", format_bytes(F.col("total_bytes")))
+    for name, path in paths.items():
+        files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+                 .option("recursiveFileLookup", True).load(path))
+        size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("total_bytes"))
+        rows = spark.read.parquet(path).agg(F.count(F.lit(1)).cast("bigint").alias("total_rows"))
+        parts.append(rows.select(F.lit(name).alias("table"), "total_rows",
+                                 size.scalar().alias("total_bytes")))
+    return union_all(parts).withColumn("size_text", format_bytes(F.col("total_bytes")))
 
 
 def vector_profile(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -106,18 +104,49 @@ def object_counts(objects: Mapping[str, DataFrame]) -> DataFrame:
         .where(F.col("count") > 0)
 
 
+def _mapping_docs(df: DataFrame, index_col: str, mapping_col: str) -> DataFrame:
+    return df.select(F.col(index_col).cast("string").alias("index"),
+                     as_variant(df, mapping_col).alias("mapping"))
+
+
 def flatten_mapping(df: DataFrame, index_col: str = "index",
                     mapping_col: str = "mapping") -> DataFrame:
     """Search-engine mapping trees -> one row per field (O-41).
 
-    A parent object is itself a row (its type, or ``object``), then its nested
-    ``properties``, then its multi-``fields`` (``unknown`` when untyped);
-    comment ``Analyzer: x``. Mappings are small per index; each is walked in a
-    task-side helper and indices are spread over the cluster.
+    A field is whatever stands under a ``properties`` key (of the root or of
+    another field) or under a field's ``fields`` key. So every leaf of the
+    mapping names the fields above it: the beginnings of its keys that alternate
+    ``properties`` and a name, the last pair with ``fields`` for a multi-field.
+    Type ``object`` (multi-fields: ``unknown``) where none is given; comment
+    ``Analyzer: x``. Mappings that don't parse have no fields;
+    ``unparsable_mappings`` lists them.
     """
-    text = F.to_json(F.col(mapping_col)) if isinstance(
-        df.schema[mapping_col].dataType, T.VariantType) else F.col(mapping_col)
-    src = df.select(F.col(index_col).cast("string").alias("index"), text.alias("mapping"))
-    schema = "index string, path string, type string, comment string"
-    return src.mapInPandas(mapping_rows, schema).select(
-        "index", "path", "type", F.lit(True).alias("nullable"), "comment")
+    leaves = _mapping_docs(df, index_col, mapping_col).select(
+        "index", "mapping", F.explode(leaf_paths(F.col("mapping"), empty=True)).alias("steps"))
+    # Beginnings of even length, with what their odd places say.
+    ends = F.filter(F.sequence(F.lit(2), F.greatest(F.size("steps"), F.lit(2)), F.lit(2)),
+                    lambda n: n <= F.size("steps"))
+    own = leaves.select("index", "mapping", F.explode(F.transform(
+        ends, lambda n: F.slice("steps", 1, n))).alias("steps"))
+    odd = F.filter("steps", lambda s, i: i % 2 == 0)
+    above = F.slice(odd, 1, F.size(odd) - 1)
+    last = F.element_at(odd, -1)
+    is_field = F.forall(above, lambda s: s == "properties") & (
+        (last == "properties") | ((last == "fields") & (F.size(odd) > 1)))
+    names = F.array_join(F.filter("steps", lambda s, i: i % 2 == 1), ".")
+    fields = own.where(is_field).withColumns({"path": names, "multi": last == "fields"})
+    given = F.try_variant_get(value_at(F.col("mapping"), F.col("steps")), "$.type", "string")
+    analyzer = F.try_variant_get(value_at(F.col("mapping"), F.col("steps")), "$.analyzer", "string")
+    named = fields.select(
+        "index", "path", "multi",
+        F.coalesce(given, F.when(F.col("multi"), "unknown").otherwise("object")).alias("type"),
+        F.when(~F.col("multi"), F.concat(F.lit("Analyzer: "), analyzer)).alias("comment"))
+    return named.distinct().select("index", "path", "type", F.lit(True).alias("nullable"), "comment")
+
+
+def unparsable_mappings(df: DataFrame, index_col: str = "index",
+                        mapping_col: str = "mapping") -> DataFrame:
+    """(index) of the mappings that are given but don't parse."""
+    docs = df.select(F.col(index_col).cast("string").alias("index"),
+                     as_variant(df, mapping_col).alias("_doc"), F.col(mapping_col).alias("_given"))
+    return docs.where(F.col("_given").isNotNull() & F.col("_doc").isNull()).select("index")

@@ -45,43 +45,34 @@ def _string_like(dt: T.DataType) -> bool:
     return isinstance(dt, (T.StringType, T.VarcharType, T.CharType))
 
 
-def _quote(name: str) -> str:
+def _at(name: str) -> str:
+    """The name as a column reference, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"
 
 
-def _sql_text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def column_profile(df: DataFrame, approx: bool = True) -> DataFrame:
     """One row per column: (column, type, non_null, nulls, nullable, max_length
     [, distinct_approx]) from a single aggregation pass (O-39).
 
-    The wide aggregate and its unpivot are each one generated SQL statement,
-    so a table with hundreds of columns is analysed once, not per column.
+    One wide aggregate and one unpivot, so a table with hundreds of columns is
+    scanned and analysed once, not per column.
     """
-    fields = df.schema.fields
-    aggs = ["count(1) AS _rows"]
+    aggs = [F.count(F.lit(1)).alias("_rows")]
     rows = []
-    for i, f in enumerate(fields):
-        c = _quote(f.name)
-        aggs.append(f"count({c}) AS _nn{i}")
-        aggs.append(f"max(length({c})) AS _ml{i}" if _string_like(f.dataType)
-                    else f"CAST(NULL AS INT) AS _ml{i}")
+    for i, f in enumerate(df.schema.fields):
+        col = F.col(_at(f.name))
+        longest = F.max(F.length(col)) if _string_like(f.dataType) else F.lit(None).cast("int")
+        aggs += [F.count(col).alias(f"_nn{i}"), longest.alias(f"_ml{i}")]
+        nulls = F.col("_rows") - F.col(f"_nn{i}")
+        parts = [F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+                 F.col(f"_nn{i}").cast("bigint").alias("non_null"),
+                 nulls.cast("bigint").alias("nulls"), (nulls > 0).alias("nullable"),
+                 F.col(f"_ml{i}").cast("int").alias("max_length")]
         if approx:
-            aggs.append(f"approx_count_distinct({c}) AS _ad{i}")
-        parts = [f"'column', {_sql_text(f.name)}",
-                 f"'type', {_sql_text(f.dataType.simpleString())}",
-                 f"'non_null', CAST(_nn{i} AS BIGINT)",
-                 f"'nulls', CAST(_rows - _nn{i} AS BIGINT)",
-                 f"'nullable', _rows - _nn{i} > 0",
-                 f"'max_length', CAST(_ml{i} AS INT)"]
-        if approx:
-            parts.append(f"'distinct_approx', CAST(_ad{i} AS BIGINT)")
-        rows.append("named_struct(" + ", ".join(parts) + ")")
-    spark = df.sparkSession
-    wide = spark.sql(f"SELECT {', '.join(aggs)} FROM {{src}}", src=df)
-    return spark.sql(f"SELECT inline(array({', '.join(rows)})) FROM {{wide}}", wide=wide)
+            aggs.append(F.approx_count_distinct(col).alias(f"_ad{i}"))
+            parts.append(F.col(f"_ad{i}").cast("bigint").alias("distinct_approx"))
+        rows.append(F.struct(*parts))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
 def unique_keys(df: DataFrame, candidates: Sequence[Sequence[str]],
@@ -93,27 +84,33 @@ def unique_keys(df: DataFrame, candidates: Sequence[Sequence[str]],
     aggregate (partial, map-side, so a hot key value is one row per task) and a
     second small aggregate per set. Keys are grouped, not count-distinct, so the
     work spills instead of failing; ``is_unique`` needs no duplicate and no null.
+
+    A candidate is a set of columns: permuted candidates share one grouping and
+    each gets its own line. An empty table gives a line of zeros for each.
     """
-    sets: list[list[str]] = []
-    for cand in candidates:
-        if list(cand) not in sets:
-            sets.append(list(cand))
-    cols = list(dict.fromkeys(c for s_ in sets for c in s_))
-    bit = {c: 1 << (len(cols) - 1 - j) for j, c in enumerate(cols)}
-    gids = [sum(bit[c] for c in cols if c not in s_) for s_ in sets]
-    labels = [", ".join(s_) if table is None else f"{table}({', '.join(s_)})" for s_ in sets]
-    null_case = "CASE grouping_id() " + " ".join(
-        f"WHEN {g} THEN " + " OR ".join(f"{_quote(c)} IS NULL" for c in s_)
-        for g, s_ in zip(gids, sets)) + " END"
-    label_case = "CASE gid " + " ".join(
-        f"WHEN {g} THEN {_sql_text(lab)}" for g, lab in zip(gids, labels)) + " END"
-    grouping = ", ".join("(" + ", ".join(_quote(c) for c in s_) + ")" for s_ in sets)
-    spark = df.sparkSession
-    per_key = spark.sql(
-        f"SELECT grouping_id() AS gid, count(1) AS n, {null_case} AS nul "
-        f"FROM {{src}} GROUP BY GROUPING SETS ({grouping})", src=df)
-    return spark.sql(
-        f"SELECT {label_case} AS columns, CAST(sum(n) AS BIGINT) AS rows, "
-        f"CAST(count(1) AS BIGINT) AS distinct_rows, coalesce(max(nul), false) AS has_null, "
-        f"coalesce(max(n), 0) <= 1 AND NOT coalesce(max(nul), false) AS is_unique "
-        f"FROM {{per_key}} GROUP BY gid", per_key=per_key)
+    labels = list(dict.fromkeys(tuple(c) for c in candidates))
+    cols = sorted({c for own in labels for c in own})
+    sets = list(dict.fromkeys(tuple(c for c in cols if c in own) for own in labels))
+    gid = {own: sum(1 << (len(cols) - 1 - j) for j, c in enumerate(cols) if c not in own)
+           for own in sets}
+    any_null = F.lit(False)
+    for own in sets:
+        null = reduce(lambda a, b: a | b, [F.col(_at(c)).isNull() for c in own])
+        any_null = F.when(F.col("_gid") == gid[own], null).otherwise(any_null)
+    per_key = df.groupingSets([[F.col(_at(c)) for c in own] for own in sets],
+                              *[F.col(_at(c)) for c in cols]).agg(
+        F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_n"))
+    per_set = per_key.withColumn("_null", any_null).groupBy("_gid").agg(
+        F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_keys"), F.max("_n").alias("_most"),
+        F.max("_null").alias("_null"))
+    names = [(", ".join(own) if table is None else f"{table}({', '.join(own)})",
+              gid[tuple(c for c in cols if c in own)]) for own in labels]
+    listed = df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(text).alias("columns"), F.lit(g).cast("bigint").alias("_gid"))
+        for text, g in names])))
+    zero, no = F.lit(0), F.lit(False)
+    return listed.join(per_set, "_gid", "left").select(
+        "columns", F.coalesce("_rows", zero).cast("bigint").alias("rows"),
+        F.coalesce("_keys", zero).cast("bigint").alias("distinct_rows"),
+        F.coalesce("_null", no).alias("has_null"),
+        ((F.coalesce("_most", zero) <= 1) & ~F.coalesce("_null", no)).alias("is_unique"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shapelens.functions.values import pct
+from shapelens.functions.values import value_type
 from shapelens.operators.documents import (collection_profile, document_columns,
-                                           field_profile, sample_documents,
-                                           typed_leaves)
+                                           field_profile, flatten_documents,
+                                           object_documents, sample_documents)
 from shapelens.plans import duck
 from shapelens.plans.inputs import EVENT_DOCUMENTS, ORDER_DOCUMENTS
 from shapelens.plans.registry import duck_sql, query, spark_sql
@@ -61,10 +62,17 @@ def q_read_documents(spark, sf):
 
 
 @query("flatten_documents", f"""
-WITH d AS ({_ORDER_DOCS}) {duck.json_leaves('d')}
+WITH d AS ({_ORDER_DOCS}), l AS ({duck.json_leaves('d', 'CAST(t.value AS VARCHAR) AS v')})
+SELECT doc_id, path, CASE WHEN type NOT IN ('number', 'double') THEN v END AS value,
+       CASE WHEN type IN ('number', 'double') THEN CAST(v AS DOUBLE) END AS number, type FROM l
 """)
 def q_flatten_documents(spark, sf):
-    return typed_leaves(order_docs(spark, sf)).select("doc_id", "path", "type")
+    flat = flatten_documents(order_docs(spark, sf))
+    kind = value_type("value")
+    number = F.when(kind.isin("number", "double"), F.try_variant_get("value", "$", "double"))
+    # Engines print numbers differently (4 and 4.0): numbers are compared as numbers.
+    text = F.when(~kind.isin("number", "double"), F.coalesce(F.to_json("value"), F.lit("null")))
+    return flat.select("doc_id", "path", text.alias("value"), number.alias("number"), kind.alias("type"))
 
 
 @query("value_type", f"""
@@ -72,10 +80,22 @@ WITH d AS ({_ORDER_DOCS}), l AS ({duck.json_leaves('d')})
 SELECT type, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY type
 """)
 def q_value_type(spark, sf):
-    return typed_leaves(order_docs(spark, sf)).groupBy("type").agg(
+    flat = flatten_documents(order_docs(spark, sf))
+    return flat.select(value_type("value").alias("type")).groupBy("type").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
+@query("object_documents", f"""
+SELECT CAST(count(*) FILTER (WHERE CASE WHEN json_valid(json) THEN json_type(json) END = 'OBJECT')
+            AS BIGINT) AS docs,
+       CAST(count(*) FILTER (WHERE coalesce(CASE WHEN json_valid(json) THEN json_type(json) END, '')
+            <> 'OBJECT') AS BIGINT) AS others
+FROM ({duck_sql(MIXED_TEXT)})
+""")
+def q_object_documents(spark, sf):
+    return object_documents(spark_sql(spark, sf, MIXED_TEXT), "json")
+
+
 @query("pct", f"""
 WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
 SELECT event_type, CAST(n AS BIGINT) AS n,
@@ -125,17 +145,12 @@ def q_sample_documents(spark, sf):
 @query("collection_profile", f"""
 WITH d AS ({_ORDER_DOCS}),
 c AS (SELECT collection, count(*) AS document_count FROM d GROUP BY collection),
-r AS (SELECT *, row_number() OVER (PARTITION BY collection
-        ORDER BY md5(concat('0', CAST(doc_id AS VARCHAR))), doc_id) AS rn FROM d),
-s AS (SELECT * FROM r WHERE rn <= 1000),
-ss AS (SELECT collection, count(*) AS sample_size FROM s GROUP BY collection),
-l AS ({duck.json_leaves('s', 'd.collection')}),
+l AS ({duck.json_leaves('d', 'd.collection')}),
 f AS (SELECT collection, count(DISTINCT path) AS field_count FROM l GROUP BY collection)
 SELECT c.collection, CAST(document_count AS BIGINT) AS document_count,
-       CAST(coalesce(sample_size, 0) AS BIGINT) AS sample_size,
+       CAST(document_count AS BIGINT) AS sample_size,
        CAST(coalesce(field_count, 0) AS BIGINT) AS field_count
-FROM c LEFT JOIN ss USING (collection) LEFT JOIN f USING (collection)
+FROM c LEFT JOIN f USING (collection)
 """)
 def q_collection_profile(spark, sf):
-    return collection_profile(order_docs(spark, sf), "collection", "doc_id", "doc",
-                              sample_size=1000, seed="0")
+    return collection_profile(order_docs(spark, sf), "collection", "doc")

@@ -100,8 +100,7 @@ _DUCK_ROLLUP = f"""
 WITH {_DUCK_PREFIXES},
 c AS (SELECT prefix, CAST(depth AS INTEGER) AS depth, count(*) AS count
       FROM e GROUP BY prefix, depth),
-kept AS (SELECT * FROM c WHERE depth = 1 OR count >= 2
-         ORDER BY depth, count DESC, prefix LIMIT 50),
+kept AS (SELECT * FROM c WHERE depth = 1 OR count >= 2),
 r AS (SELECT e.prefix, e.key,
              row_number() OVER (PARTITION BY e.prefix ORDER BY e.key) AS rn
       FROM e JOIN kept USING (prefix)),
@@ -115,7 +114,7 @@ SELECT kept.prefix, kept.depth, CAST(kept.count AS BIGINT) AS count, s.sample_ke
 FROM kept JOIN s USING (prefix)
 """)
 def q_prefix_rollup(spark, sf):
-    roll = prefix_rollup(spark_sql(spark, sf, PREFIX_KEYS), "key", n=5, top=50)
+    roll = prefix_rollup(spark_sql(spark, sf, PREFIX_KEYS), "key", n=5)
     return roll.select("prefix", "depth", F.col("count").cast("bigint"),
                        _text_list("sample_keys").alias("sample_keys"))
 
@@ -127,4 +126,4 @@ SELECT (SELECT CAST(count(key) AS BIGINT) FROM ({_PREFIX_KEYS})) AS scanned_keys
 """)
 def q_key_totals(spark, sf):
     keys = spark_sql(spark, sf, PREFIX_KEYS)
-    return key_totals(keys, prefix_rollup(keys, "key", top=50, samples=False), "key")
+    return key_totals(keys, prefix_rollup(keys, "key", samples=False), "key")

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from shapelens.functions.values import extract_version, format_bytes
@@ -100,7 +102,7 @@ def q_object_counts(spark, sf):
 
 @query("cache_totals", """
 SELECT '*' AS pattern, CAST(coalesce(sum(s_nationkey), 0) AS BIGINT) AS count,
-       'N/A (the cache does not support key enumeration)' AS note
+       'N/A (Memcached does not support key enumeration)' AS note
 FROM supplier
 """)
 def q_cache_totals(spark, sf):
@@ -109,9 +111,19 @@ def q_cache_totals(spark, sf):
     return cache_totals(stats)
 
 
+def table_paths(sf: str) -> dict[str, str]:
+    return {t: os.path.join(sf, f"{t}.parquet") for t in TESTDATA_TABLES}
+
+
 @query("storage_stats")
 def q_storage_stats(spark, sf):
-    return storage_stats(_all_tables(spark, sf))
+    return storage_stats(table_paths(sf), spark)
+
+
+@query("storage_rows", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS \"table\", CAST(count(*) AS BIGINT) AS total_rows FROM {t}" for t in TESTDATA_TABLES))
+def q_storage_rows(spark, sf):
+    return storage_stats(table_paths(sf), spark).select("table", "total_rows")
 
 
 def _duck_format_bytes(x: str) -> str:

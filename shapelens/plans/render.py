@@ -22,7 +22,7 @@ from shapelens.plans.catalog import (COLUMN_DUMPS, EXCHANGES, FK_KEY_USAGE, FK_R
                                      QUEUES, ROUTINE_LISTING, SEARCH_STATS, VIEW_LISTING)
 from shapelens.plans.inputs import KEY_LISTING, ORDER_DOCUMENTS, PREFIX_KEYS
 from shapelens.plans.keys import _DUCK_PREFIXES
-from shapelens.plans.objects import TOPIC_CONFIGS
+from shapelens.plans.objects import TOPIC_CONFIGS, table_paths
 from shapelens.plans.registry import duck_sql, query, spark_sql
 from shapelens.session import TESTDATA_TABLES, ensure_checkpoint_dir, read_table
 
@@ -59,14 +59,13 @@ def q_render_key_patterns(spark, sf):
 
 
 def _prefix_blocks(spark, sf):
-    return render_objects(prefix_rollup(spark_sql(spark, sf, PREFIX_KEYS), top=50), "prefixes")
+    return render_objects(prefix_rollup(spark_sql(spark, sf, PREFIX_KEYS)), "prefixes")
 
 
 @query("render_prefixes", f"""
 WITH {_DUCK_PREFIXES},
 c AS (SELECT prefix, depth, count(*) AS count FROM e GROUP BY prefix, depth),
-kept AS (SELECT * FROM c WHERE depth = 1 OR count >= 2
-         ORDER BY depth, count DESC, prefix LIMIT 50),
+kept AS (SELECT * FROM c WHERE depth = 1 OR count >= 2),
 r AS (SELECT e.prefix, e.key, row_number() OVER (PARTITION BY e.prefix ORDER BY e.key) AS rn
       FROM e JOIN kept USING (prefix)),
 s AS (SELECT prefix, string_agg('- ' || key, chr(10) ORDER BY key) AS samples
@@ -293,7 +292,7 @@ def q_render_exchanges(spark, sf):
 
 @query("render_cache", f"""
 SELECT {_j("'### Pattern: *'", "'**Count**: ' || format('{:,}', coalesce(sum(s_nationkey), 0))",
-           "''", "'**Note**: N/A (the cache does not support key enumeration)'", "''",
+           "''", "'**Note**: N/A (Memcached does not support key enumeration)'", "''",
            "'---'", "''")} AS text
 FROM supplier
 """)
@@ -305,7 +304,7 @@ def q_render_cache(spark, sf):
 
 @query("render_storage_tables")
 def q_render_storage_tables(spark, sf):
-    st = storage_stats({t: read_table(spark, sf, t) for t in TESTDATA_TABLES}).select(
+    st = storage_stats(table_paths(sf), spark).select(
         F.col("table").alias("name"), F.lit("Parquet").alias("engine"),
         F.lit(None).cast("string").alias("partition_key"),
         F.lit(None).cast("string").alias("sorting_key"),

@@ -1,14 +1,17 @@
 """Checked streaming queries (O-47, O-48): file streams over the testdata,
-``availableNow`` into a memory table, compared with batch SQL."""
+``availableNow`` into files of the shared folder, compared with batch SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from shapelens.plans import duck
 from shapelens.plans.registry import query
-from shapelens.session import read_table
-from shapelens.streaming.profiles import (profile_percentages, run_available_now,
+from shapelens.session import ensure_checkpoint_dir, read_table
+from shapelens.streaming.profiles import (latest, profile_percentages, run_available_now,
                                           stream_field_profile, stream_key_templates)
 
 
@@ -27,7 +30,8 @@ FROM events GROUP BY 1, 2
 def q_stream_key_templates(spark, sf):
     ev = _event_stream(spark, sf).withColumn(
         "key", F.concat(F.col("event_type"), F.lit(":"), F.col("user_id").cast("string")))
-    out = run_available_now(spark, stream_key_templates(ev, "ts", "key", "1 day", "1 hour"))
+    rows = run_available_now(stream_key_templates(ev, "ts", "key", "1 day", "1 hour"))
+    out = latest(rows, ["window_start", "window_end", "pattern"])
     # Epoch seconds: comparable across engines and session time zones.
     return out.select(F.unix_seconds("window_start").alias("window_start"),
                       "pattern", F.col("count").cast("bigint"))
@@ -46,5 +50,37 @@ SELECT path, type, CAST(type_count AS BIGINT) AS type_count,
 FROM pp, n
 """)
 def q_stream_field_profile(spark, sf):
-    counts = run_available_now(spark, stream_field_profile(_event_stream(spark, sf), "props"))
-    return profile_percentages(counts)
+    rows = run_available_now(stream_field_profile(_event_stream(spark, sf), "props"))
+    return profile_percentages(latest(rows, ["path", "type"]))
+
+
+LATE_CUT = "(SELECT CAST(min(ts) AS TIMESTAMP) + INTERVAL 5 DAY FROM events)"
+
+
+@query("stream_key_templates_append", f"""
+WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS ts, event_type, user_id,
+                  user_id % 10 = 3 AND CAST(ts AS TIMESTAMP) < {LATE_CUT} AS late FROM events),
+m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM e WHERE NOT late),
+k AS (SELECT epoch(date_trunc('day', ts)) AS day,
+        {duck.key_template("concat(event_type, ':', CAST(user_id AS VARCHAR))")} AS pattern
+      FROM e, m WHERE NOT late OR date_trunc('day', ts) + INTERVAL 1 DAY > mark)
+SELECT CAST(day AS BIGINT) AS window_start, pattern, CAST(count(*) AS BIGINT) AS count
+FROM k, m WHERE to_timestamp(day)::TIMESTAMP + INTERVAL 1 DAY <= mark GROUP BY 1, 2
+""")
+def q_stream_key_templates_append(spark, sf):
+    """Append mode with late rows: events of the first days by some users come
+    after all others, two files later, past the watermark."""
+    ev = read_table(spark, sf, "events").withColumn(
+        "key", F.concat(F.col("event_type"), F.lit(":"), F.col("user_id").cast("string")))
+    first = ev.select(F.min("ts") + F.expr("INTERVAL 5 DAYS")).scalar()
+    late = (F.col("user_id") % 10 == 3) & (F.col("ts") < first)
+    path = f"{ensure_checkpoint_dir(spark)}/late-{uuid.uuid4().hex}"
+    rows = ev.select("ts", "key")
+    rows.where(~late).coalesce(1).write.parquet(f"{path}/part=0")
+    rows.where(~late).limit(0).coalesce(1).write.parquet(f"{path}/part=1")
+    rows.where(late).coalesce(1).write.parquet(f"{path}/part=2")
+    stream = (spark.readStream.schema(StructType([*rows.schema, StructField("part", IntegerType())])).option("maxFilesPerTrigger", 1)
+              .parquet(path))
+    out = run_available_now(stream_key_templates(stream, "ts", "key", "1 day", "1 hour"), "append")
+    return out.select(F.unix_seconds("window_start").alias("window_start"), "pattern",
+                      F.col("count").cast("bigint"))

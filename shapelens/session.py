@@ -26,7 +26,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.sql.cteRecursionRowLimit", "-1")
+        .config("spark.driver.memory", "8g")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -46,7 +47,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at a shared folder")
         configured = tempfile.mkdtemp(prefix="shapelens-ckpt-")
@@ -60,22 +61,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread an under-partitioned input over the cluster's cores.
-
-    A large scan already has far more splits than cores and is returned as is;
-    only a small input (for example one parquet row group) is rebalanced, so
-    per-row parsing does not run in a single task.
-    """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL (by position) of many DataFrames, analysed once.
 

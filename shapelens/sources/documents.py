@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelens.session import ensure_parallelism
-
 
 def read_documents(df: DataFrame, json_col: str = "json", id_col: str = "doc_id",
                    collection_col: str | None = None) -> DataFrame:
@@ -20,11 +18,11 @@ def read_documents(df: DataFrame, json_col: str = "json", id_col: str = "doc_id"
     cols = [F.col(id_col).alias("doc_id")]
     if collection_col:
         cols.append(F.col(collection_col).alias("collection"))
-    kids = F.try_variant_get(F.col("doc"), "$", "map<string,variant>")
-    return ensure_parallelism(df).select(*cols, doc.alias("doc")).select(
+    opens = F.coalesce(F.ltrim(F.col(json_col), F.lit(" \t\r\n")).startswith("{"), F.lit(False))
+    return df.select(*cols, doc.alias("doc"), opens.alias("_opens")).select(
         "*",
         F.col("doc").isNotNull().alias("is_valid"),
-        kids.isNotNull().alias("is_object"))
+        (F.col("doc").isNotNull() & F.col("_opens")).alias("is_object")).drop("_opens")
 
 
 def document_validity(docs: DataFrame) -> DataFrame:

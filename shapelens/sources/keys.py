@@ -9,12 +9,11 @@ from shapelens.functions.keys import glob_to_regex
 
 
 def scan_keys(df: DataFrame, key_col: str = "key", glob: str = "*",
-              max_keys: int | None = None, prefix: str | None = None) -> DataFrame:
-    """Keys matching a key-store glob (or a plain prefix), optionally capped.
+              prefix: str | None = None) -> DataFrame:
+    """Keys matching a key-store glob (or a plain prefix).
 
     The glob becomes one anchored regex evaluated in the scan's generated code;
-    a prefix becomes ``startswith``, which parquet can push down. With
-    ``max_keys`` the smallest keys are kept (a deterministic cap; off by default).
+    a prefix becomes ``startswith``, which parquet can push down.
     """
     out = df
     if prefix:
@@ -25,8 +24,6 @@ def scan_keys(df: DataFrame, key_col: str = "key", glob: str = "*",
             # A prefix filter the file scan can push down, ahead of the regex.
             out = out.where(F.col(key_col).startswith(literal))
         out = out.where(F.col(key_col).rlike(glob_to_regex(glob)))
-    if max_keys is not None:
-        out = out.orderBy(F.col(key_col)).limit(max_keys)
     return out
 
 

@@ -2,23 +2,22 @@
 profiles over message bodies (O-48).
 
 Both are plain Structured Streaming aggregations: the per-row work (templating,
-or the task-side document walk) is stateless, and the state holds one count per
+or the listing of paths) is stateless, and the state holds one count per
 (window, template) or (path, type), never the rows themselves.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
-from functools import partial
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapelens.functions.flatten import leaf_type_counts
 from shapelens.functions.keys import key_template
 from shapelens.functions.values import pct
+from shapelens.operators.documents import path_type_counts
 from shapelens.session import ensure_checkpoint_dir
 
 
@@ -47,22 +46,18 @@ def stream_key_templates(stream: DataFrame, ts_col: str, key_col: str,
 def stream_field_profile(stream: DataFrame, json_col: str) -> DataFrame:
     """Running (path, type, type_count) over message bodies (O-48).
 
-    The same batch-local walk as ``field_profile`` feeds a streaming
-    aggregation; the row with null path and type counts object documents.
+    The batch path counts, aggregated in the stream's state: one count per
+    (path, type). The row with null path and type counts object documents.
     Percentages are computed on read with ``profile_percentages``.
     """
-    schema = T.StructType([T.StructField("path", T.StringType()),
-                           T.StructField("type", T.StringType()),
-                           T.StructField("n", T.LongType())])
-    partial_counts = stream.select(F.col(json_col).cast("string").alias("_json")).mapInPandas(
-        partial(leaf_type_counts, text_col="_json", by=[]), schema)
-    return partial_counts.groupBy("path", "type").agg(F.sum("n").alias("type_count"))
+    return path_type_counts(stream, json_col)
 
 
 def profile_percentages(counts: DataFrame) -> DataFrame:
     """Field-profile percentages from a snapshot of ``stream_field_profile``."""
     per_type = counts.where(F.col("path").isNotNull())
-    docs = counts.where(F.col("path").isNull()).select(F.sum("type_count")).scalar()
+    docs = counts.where(F.col("path").isNull() & F.col("type").isNull()).select(
+        F.coalesce(F.sum("type_count"), F.lit(0))).scalar()
     with_occ = per_type.withColumn(
         "occurrences", F.sum("type_count").over(Window.partitionBy("path")))
     return with_occ.select(
@@ -72,18 +67,35 @@ def profile_percentages(counts: DataFrame) -> DataFrame:
         pct(F.col("occurrences"), docs).alias("occurrence_pct"))
 
 
-def run_available_now(spark: SparkSession, result: DataFrame, mode: str = "complete",
-                      name: str | None = None) -> DataFrame:
-    """Run a streaming query over everything available, into a memory table.
+def run_available_now(result: DataFrame, mode: str = "update") -> DataFrame:
+    """Run a streaming query over everything available, into files; read them back.
 
-    The checkpoint goes under the shared ``spark.checkpoint.dir``. Returns the
-    memory table as a batch DataFrame.
+    Results and the stream's own checkpoint go under the shared
+    ``spark.checkpoint.dir``; nothing is gathered on the driver. Append mode uses
+    Spark's exactly-once file sink. In update and complete mode each
+    micro-batch writes its changed (or all) rows into a folder named by the
+    batch number, so a repeated batch replaces its own files; column ``batch``
+    tells them apart.
     """
-    name = name or f"shapelens_{uuid.uuid4().hex}"
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
-    q = (result.writeStream.outputMode(mode).format("memory").queryName(name)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-    return spark.table(name)
+    spark = result.sparkSession
+    root = f"{ensure_checkpoint_dir(spark)}/streams-{uuid.uuid4().hex}"
+    out = result.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = out.format("parquet").option("path", f"{root}/rows").start()
+    else:
+        def save(rows: DataFrame, batch: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+
+        query = out.foreachBatch(save).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    schema = result.schema if mode == "append" else result.schema.add("batch", "long")
+    return spark.read.schema(schema).parquet(f"{root}/rows")
+
+
+def latest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last state of each key from the rows of an update-mode run."""
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("batch")).alias("_last")) \
+        .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others])

@@ -1,12 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shapelens.functions.flatten import json_type, leaves
-from shapelens.operators.documents import (document_columns, field_profile,
-                                           flatten_documents, flatten_documents_sql,
-                                           sample_documents, typed_leaves,
-                                           typed_leaves_sql)
-from shapelens.plans.documents import order_docs
+from shapelens.functions.flatten import leaf_steps
+from shapelens.operators.documents import (NO_OBJECT, collection_profile, document_columns, field_profile,
+                                           flatten_documents, object_documents, path_type_counts,
+                                           sample_documents, sample_documents_per_group)
 from shapelens.sources.documents import document_validity, read_documents
 from shapelens.functions.values import value_type
 
@@ -64,38 +62,60 @@ def test_document_columns(docs):
     assert cols["m.role"].comment == "Occurs in 67% of documents"
 
 
+def typed(docs):
+    flat = flatten_documents(docs)
+    return sorted((r.path, r.type) for r in flat.select("path", value_type("value").alias("type")).collect())
+
+
 def test_dotted_key_collision(spark):
     raw = spark.createDataFrame([(0, '{"a.b":1,"a":{"b":"x","c":2}}')], "doc_id int, json string")
-    d = read_documents(raw, "json", "doc_id")
-    rows = sorted((r.path, r.type) for r in typed_leaves(d).collect())
-    assert rows == [("a.b", "number"), ("a.c", "number")]
-    sql_rows = sorted((r.path, r.type) for r in typed_leaves_sql(d).collect())
-    assert sql_rows == rows
+    assert typed(read_documents(raw, "json", "doc_id")) == [("a.b", "number"), ("a.c", "number")]
+
+
+def test_any_depth(spark):
+    text = '{"k":' * 60 + "1" + "}" * 60
+    raw = spark.createDataFrame([(0, text)], "doc_id int, json string")
+    assert typed(read_documents(raw, "json", "doc_id")) == [(".".join(["k"] * 60), "number")]
+
+
+HARD = ['{"a":1,"a":2}', '{"a":NaN}', '{"a":1}', '{"a":1e999}', '{"a":12345678901234567890.12345}',
+        '{"a\'b":{"c d":[1]},"x\\"y":"z"}', "", "null", "7"]
+
+
+def test_text_and_variant_agree(spark):
+    text = spark.createDataFrame([(i, t) for i, t in enumerate(HARD)] + [(99, None)], "doc_id int, doc string")
+    variant = text.withColumn("doc", F.try_parse_json("doc"))
+    for docs in (text, variant):
+        rows = {(r.path, r.type): r.type_count for r in path_type_counts(docs).collect()}
+        assert rows == {("a", "number"): 1, ("a", "double"): 2, ("a'b.c d", "array"): 1,
+                        ('x"y', "string"): 1, (None, None): 4, (None, NO_OBJECT): 6}
+        assert object_documents(docs).first().asDict() == {"docs": 4, "others": 6}
+    a, b = (sorted(map(str, field_profile(d).collect())) for d in (text, variant))
+    assert a == b
+
+
+def test_values_are_not_rewritten(spark):
+    docs = spark.createDataFrame([(0, '{"n":12345678901234567890.12345,"big":1e999}')], "doc_id int, doc string")
+    got = {r.path: r.text for r in flatten_documents(docs).select("path", F.to_json("value").alias("text")).collect()}
+    assert got["n"] == "12345678901234567890.12345"
 
 
-def test_python_and_sql_flatten_agree(spark):
-    d = order_docs(spark, SF_SMALL)
-    a = typed_leaves(d).groupBy("path", "type").count()
-    b = typed_leaves_sql(d).groupBy("path", "type").count()
-    assert sorted(a.collect()) == sorted(b.collect())
+def test_typed_dates_keep_their_type(spark):
+    docs = spark.sql("select 1 as doc_id, to_variant_object(named_struct('d', date'2024-01-01')) as doc")
+    assert typed(docs) == [("d", "date")]
+    assert [(r.path, r.type) for r in field_profile(docs).collect()] == [("d", "date")]
 
 
-def test_sql_flatten_depth_limit_is_loud(spark):
-    raw = spark.createDataFrame([(0, '{"a":{"b":{"c":{"d":1}}}}')], "doc_id int, json string")
-    d = read_documents(raw, "json", "doc_id")
-    with pytest.raises(Exception, match="max_depth"):
-        flatten_documents_sql(d, max_depth=2).collect()
-    assert [r.path for r in flatten_documents_sql(d, max_depth=4).collect()] == ["a.b.c.d"]
-    assert [r.path for r in flatten_documents(d).collect()] == ["a.b.c.d"]
+def test_collection_profile_counts_every_document(docs):
+    rows = docs.withColumn("collection", F.when(F.col("doc_id") < 3, "a").otherwise("b"))
+    got = {r.collection: (r.document_count, r.sample_size, r.field_count) for r in collection_profile(rows).collect()}
+    assert got == {"a": (3, 3, 9), "b": (3, 3, 0)}
 
 
-def test_value_type_matches_helper(spark):
-    texts = ['1', '1.5', '10.0', '1e2', '"s"', 'true', 'null', '[1]', '{"a":1}']
-    import json
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r.v for r in df.select(value_type(F.parse_json("t")).alias("v")).collect()]
-    expected = [json_type(json.loads(t)) if not t.startswith("{") else "object" for t in texts]
-    assert got == expected
+def test_sample_per_group(spark):
+    df = spark.range(100).selectExpr("id", "id % 3 AS g")
+    got = [r.g for r in sample_documents_per_group(df, "g", "id", 5).collect()]
+    assert sorted(got) == [0] * 5 + [1] * 5 + [2] * 5
 
 
 def test_dates_from_typed_variant(spark):
@@ -110,5 +130,8 @@ def test_sample_is_reproducible(spark):
     assert a == b and len(a) == 50 and len(set(a)) == 50
 
 
-def test_leaves_helper():
-    assert leaves({"a": {"b": 1}, "a.b": 2, "c": {}, "d": [1, {"x": 1}]}) == {"a.b": 2, "d": [1, {"x": 1}]}
+def test_leaf_steps():
+    text = '{"a": {"b": 1}, "a.b": 2, "c": {}, "d": [1, {"x": 1}]}'
+    assert leaf_steps(text, False) == [["a.b"], ["d"]]
+    assert leaf_steps(text, True) == [["a.b"], ["c"], ["d"]]
+    assert leaf_steps("[1]", False) is None and leaf_steps(None, False) is None

@@ -78,7 +78,7 @@ def test_sample_keys_are_capped_per_group(spark):
 
 def test_prefix_rollup_fixture(spark):
     keys = spark.createDataFrame([("/test/" + k,) for k in PREFIX_KEYS], "key string")
-    roll = prefix_rollup(keys, top=50)
+    roll = prefix_rollup(keys)
     got = [(r.prefix, r.depth, r["count"]) for r in roll.collect()]
     assert got == [
         ("/test/", 1, 14), ("/test/users/", 2, 5), ("/test/config/", 2, 3),
@@ -92,7 +92,7 @@ def test_prefix_child_never_exceeds_parent(spark):
     keys = spark.range(0, 300).select(F.concat(
         F.lit("/a/"), (F.col("id") % 7).cast("string"), F.lit("/"),
         (F.col("id") % 5).cast("string"), F.lit("/k"), F.col("id").cast("string")).alias("key"))
-    rows = {r.prefix: r["count"] for r in prefix_rollup(keys, top=None, samples=False).collect()}
+    rows = {r.prefix: r["count"] for r in prefix_rollup(keys, samples=False).collect()}
     for p, n in rows.items():
         parent = p[: p[:-1].rfind("/") + 1]
         if parent in rows:

@@ -26,7 +26,7 @@ def test_hot_template_counts_every_key(spark):
 def test_hot_prefix_and_keys(spark):
     keys = _skewed_keys(spark).select(F.concat(F.lit("/"), F.regexp_replace("key", ":", "/"))
                                       .alias("key"))
-    roll = {r.prefix: r["count"] for r in prefix_rollup(keys, top=None, samples=False).collect()}
+    roll = {r.prefix: r["count"] for r in prefix_rollup(keys, samples=False).collect()}
     assert roll["/hot/"] == 1 and roll["/k/"] == 20000
     u = unique_keys(_skewed_keys(spark), [["key"]]).collect()[0]
     assert (u.rows, u.distinct_rows, u.is_unique) == (30000, 20001, False)

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from shapelens.streaming.profiles import (profile_percentages, run_available_now,
+from shapelens.streaming.profiles import (latest, profile_percentages, run_available_now,
                                           stream_field_profile, stream_key_templates)
 
 SCHEMA = "key string, ts timestamp_ntz, body string"
@@ -26,7 +26,7 @@ def test_late_rows_are_dropped_past_the_watermark(spark, tmp_path):
     _write(spark, src, [("a:3", dt.datetime(2024, 1, 1, 9), "{}"),   # late: dropped
                         ("a:4", dt.datetime(2024, 1, 2, 11), "{}")])
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    out = run_available_now(spark, stream_key_templates(stream, "ts", "key", "1 day", "1 hour"),
+    out = run_available_now(stream_key_templates(stream, "ts", "key", "1 day", "1 hour"),
                             mode="update")
     final = {r.day: r.n for r in out.groupBy(
         F.date_format("window_start", "yyyy-MM-dd").alias("day")).agg(
@@ -41,7 +41,7 @@ def test_stream_field_profile_matches_batch(spark, tmp_path):
                         ("k", dt.datetime(2024, 1, 1), '{"a": 1.5}'),
                         ("k", dt.datetime(2024, 1, 1), 'not json')])
     stream = spark.readStream.schema(SCHEMA).parquet(src)
-    counts = run_available_now(spark, stream_field_profile(stream, "body"))
+    counts = latest(run_available_now(stream_field_profile(stream, "body")), ["path", "type"])
     got = {(r.path, r.type): (r.type_pct, r.occurrence_pct)
            for r in profile_percentages(counts).collect()}
     assert got == {("a", "number"): (50, 100), ("a", "double"): (50, 100),
