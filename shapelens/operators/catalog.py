@@ -11,12 +11,15 @@ small per-object groups are collected.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shapelens.functions.values import format_bytes
+
 # Canonical column rows produced by normalise_columns.
-COLUMN_FIELDS = ("table", "ordinal", "name", "type", "nullable", "default_value",
+COLUMN_FIELDS = ("database", "schema", "table", "ordinal", "name", "type", "nullable", "default_value",
                  "comment", "is_primary_key", "is_auto_increment", "max_length")
 
 # Vector-store field type codes and their names.
@@ -31,6 +34,22 @@ DIALECTS = ("mysql", "postgresql", "opengauss", "sqlite", "oracle", "clickhouse"
             "milvus")
 
 
+# Where an object lives: the parts of its name that a dump may give.
+PLACE = ("database", "schema", "table")
+
+
+def place_of(*frames: DataFrame) -> list[str]:
+    """The parts of a table's name that all the frames have."""
+    return [c for c in PLACE if all(c in f.columns for f in frames)]
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null equal to null (a store without schemas has null ones)."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _falsy_null(c: Column) -> Column:
     """Empty text or zero -> null (a lenient "or undefined")."""
     return F.when(c.cast("string").isin("", "0"), F.lit(None)).otherwise(c)
@@ -51,6 +70,7 @@ def vector_type_name(code: Column) -> Column:
 def normalise_columns(df: DataFrame, dialect: str) -> DataFrame:
     """A store's column-catalogue dump -> canonical ``columns`` rows (O-03).
 
+    ``database`` and ``schema`` are taken over where the dump has them, else null.
     Expected input columns per dialect (system-catalogue names, lower case):
 
     * mysql: table_name, ordinal_position, column_name, column_type, is_nullable,
@@ -112,31 +132,64 @@ def normalise_columns(df: DataFrame, dialect: str) -> DataFrame:
                 c("description"), pk, F.coalesce(c("auto_id"), false), null_long]
     else:
         raise ValueError(f"unknown dialect {dialect!r}; one of {DIALECTS}")
-    types = ["string", "int", "string", "string", "boolean", "string", "string",
+    cols = [c(n) if n in df.columns else F.lit(None) for n in PLACE[:2]] + cols
+    types = ["string", "string", "string", "int", "string", "string", "boolean", "string", "string",
              "boolean", "boolean", "bigint"]
     return df.select(*[col.cast(t).alias(n) for col, t, n in zip(cols, types, COLUMN_FIELDS)])
 
 
+# Names that a dialect keeps for itself, by how they begin.
+INTERNAL_NAMES = {"sqlite": "sqlite_", "clickhouse": "."}
+# What stores without tables list, and how the objects are called.
+LISTED_TYPES = {"mongodb": "collection", "milvus": "collection", "kafka": "topic", "rabbitmq": "queue",
+                "redis": "pattern", "memcached": "pattern", "etcd": "prefix", "elasticsearch": "index",
+                "clickhouse": "table"}
+
+
 def list_tables(df: DataFrame, dialect: str = "mysql",
                 allow: Sequence[str] | None = None) -> DataFrame:
-    """Object listing -> (name, schema, type, comment, row_count) ordered by name (O-05).
-
-    Input: name, schema, table_type, comment, row_count. Base tables only
-    (``BASE TABLE`` / ``TABLE`` / ``table``); internal names (``sqlite_%``,
-    ``.%``) dropped; optional allow-list; empty comment -> null; in mysql and
-    oracle a zero row count is unknown (null).
+    """Object listing of a store -> (name, schema, type, comment, row_count) by name (O-05).
+
+    Relational stores (mysql, postgresql, opengauss, oracle, sqlite): name,
+    [schema], table_type, comment, row_count; base tables only, without names
+    that the dialect keeps for itself; an empty comment is null. A row count of
+    zero is unknown in mysql and oracle; opengauss and sqlite report none.
+
+    Other stores list objects of their own type: mongodb and milvus
+    collections (name, row_count), kafka topics (name), rabbitmq queues (name,
+    row_count: messages), redis and memcached patterns (name, row_count), etcd
+    prefixes (name, depth, row_count; ``Depth: n``), elasticsearch indices
+    (name, health, status, row_count; ``Health: x, Status: y``), clickhouse
+    tables (name, [schema], engine, total_bytes, row_count; ``Engine: x, Size: y``).
+    Missing columns read as null.
     """
-    c = F.col
-    out = df.where(F.upper(c("table_type")).isin("BASE TABLE", "TABLE")) \
-        .where(~c("name").startswith(".") & ~c("name").startswith("sqlite_"))
+    def c(name: str) -> Column:
+        return F.col(name) if name in df.columns else F.lit(None)
+
+    def text(label: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{label}: "), F.coalesce(value.cast("string"), F.lit("unknown")))
+
+    out = df
+    if dialect not in LISTED_TYPES:
+        out = out.where(F.upper(c("table_type")).isin("BASE TABLE", "TABLE"))
+    if dialect in INTERNAL_NAMES:
+        out = out.where(~F.col("name").startswith(INTERNAL_NAMES[dialect]))
     if allow is not None:
-        out = out.where(c("name").isin(list(allow)))
+        out = out.where(F.col("name").isin(list(allow)))
     rows = c("row_count").cast("bigint")
     if dialect in ("mysql", "oracle"):
-        rows = F.when(rows == 0, F.lit(None).cast("bigint")).otherwise(rows)
-    return out.select(c("name"), c("schema"), F.lit("table").alias("type"),
-                      _blank_null(c("comment")).alias("comment"),
-                      rows.alias("row_count")).orderBy("name", "schema")
+        rows = F.when(rows != 0, rows)
+    elif dialect in ("opengauss", "sqlite", "kafka"):
+        rows = F.lit(None).cast("bigint")
+    comment = {
+        "etcd": lambda: text("Depth", c("depth")),
+        "elasticsearch": lambda: F.concat_ws(", ", text("Health", c("health")), text("Status", c("status"))),
+        "clickhouse": lambda: F.concat_ws(", ", text("Engine", c("engine")),
+                                          text("Size", format_bytes(c("total_bytes")))),
+    }.get(dialect, lambda: _blank_null(c("comment").cast("string")))()
+    return out.select(F.col("name"), c("schema").cast("string").alias("schema"),
+                      F.lit(LISTED_TYPES.get(dialect, "table")).alias("type"),
+                      comment.alias("comment"), rows.alias("row_count")).orderBy("name", "schema")
 
 
 def list_views(df: DataFrame) -> DataFrame:
@@ -215,18 +268,18 @@ def flag_primary_keys(columns: DataFrame, constraints: DataFrame,
                       key_usage: DataFrame) -> DataFrame:
     """Flag columns that belong to a PRIMARY KEY constraint (O-10).
 
-    columns: schema, table, name, ...; constraints: schema, constraint_name,
-    table, constraint_type; key_usage: schema, constraint_name, table,
-    column_name. Joins on (schema, table, constraint) and (schema, table,
-    column): a same-named constraint of another table never matches.
+    columns: [database,] schema, table, name, ...; constraints: [database,]
+    schema, constraint_name, table, constraint_type; key_usage: [database,]
+    schema, constraint_name, table, column_name. Joins on the full name of the
+    table: a same-named constraint of another table never matches.
     """
-    pk_cols = (constraints.where(F.col("constraint_type") == "PRIMARY KEY")
-               .select("schema", "constraint_name", "table")
-               .join(key_usage.select("schema", "constraint_name", "table", "column_name"),
-                     ["schema", "constraint_name", "table"])
-               .select("schema", "table", F.col("column_name").alias("name"))
-               .distinct().withColumn("_pk", F.lit(True)))
-    return columns.join(pk_cols, ["schema", "table", "name"], "left") \
+    place = place_of(columns, constraints, key_usage)
+    own = [*place, "constraint_name"]
+    pk_cols = join_on(constraints.where(F.col("constraint_type") == "PRIMARY KEY").select(*own),
+                      key_usage.select(*own, "column_name"), own)
+    pk_cols = pk_cols.select(*place, F.col("column_name").alias("name")).distinct() \
+        .withColumn("_pk", F.lit(True))
+    return join_on(columns, pk_cols, [*place, "name"], "left") \
         .withColumn("is_primary_key", F.coalesce(F.col("_pk"), F.lit(False))).drop("_pk")
 
 
@@ -238,23 +291,42 @@ def _ordered_pairs(first: str, second: str) -> Column:
 def assemble_foreign_keys(key_usage: DataFrame, rules: DataFrame) -> DataFrame:
     """Key-column usage + referential rules -> one row per foreign key (O-11).
 
-    key_usage: schema, constraint_name, table, column_name, ordinal,
-    referenced_table, referenced_column; rules: schema, constraint_name,
-    update_rule, delete_rule. Columns and referenced columns stay aligned, in
-    ordinal order. Returns (schema, table, name, columns, referenced_table,
-    referenced_columns, on_delete, on_update).
+    key_usage: [database,] schema, table, constraint_name, column_name, ordinal,
+    referenced_table, referenced_column; rules: [database,] schema, [table,]
+    constraint_name, update_rule, delete_rule. A rule belongs to the constraint
+    of its table where it names one; rules that say the same count once. Columns
+    and referenced columns stay aligned, in ordinal order. Returns ([database,]
+    schema, table, name, columns, referenced_table, referenced_columns,
+    on_delete, on_update).
     """
-    joined = key_usage.join(rules, ["schema", "constraint_name"])
-    grouped = joined.groupBy("schema", "table", "constraint_name", "referenced_table",
+    place = place_of(key_usage)
+    keys = [*place_of(key_usage, rules), "constraint_name"]
+    joined = join_on(key_usage, rules.select(*keys, "update_rule", "delete_rule").distinct(), keys)
+    grouped = joined.groupBy(*place, "constraint_name", "referenced_table",
                              "delete_rule", "update_rule").agg(
         _ordered_pairs("column_name", "referenced_column").alias("_pairs"))
     return grouped.select(
-        "schema", "table", F.col("constraint_name").alias("name"),
+        *place, F.col("constraint_name").alias("name"),
         F.transform("_pairs", lambda p: p["a"]).alias("columns"), "referenced_table",
         F.transform("_pairs", lambda p: p["b"]).alias("referenced_columns"),
         F.col("delete_rule").alias("on_delete"), F.col("update_rule").alias("on_update"))
 
 
+def foreign_keys_from_lists(df: DataFrame) -> DataFrame:
+    """Foreign keys of a file database, one row per key column -> one per key.
+
+    Input: [database,] [schema,] table, id, seq, from, to, referenced_table,
+    on_delete, on_update. A key is named ``fk_<table>_<id>``.
+    """
+    place = place_of(df)
+    grouped = df.groupBy(*place, "id", "referenced_table", "on_delete", "on_update").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "from", "to"))).alias("_pairs"))
+    return grouped.select(
+        *place, F.concat(F.lit("fk_"), F.col("table"), F.lit("_"), F.col("id").cast("string")).alias("name"),
+        F.transform("_pairs", lambda p: p["from"]).alias("columns"), "referenced_table",
+        F.transform("_pairs", lambda p: p["to"]).alias("referenced_columns"), "on_delete", "on_update")
+
+
 def assemble_foreign_keys_positional(constraints: DataFrame,
                                      cons_columns: DataFrame) -> DataFrame:
     """Foreign keys from constraint headers and positioned columns (O-12).
@@ -303,18 +375,20 @@ def attach_comments(columns: DataFrame, comments: DataFrame,
 def assemble_indexes(index_rows: DataFrame) -> DataFrame:
     """One row per index column -> one row per index (O-16).
 
-    Input: table, index_name, column_name, seq, non_unique, index_type.
-    Columns in (seq, column) order; flags from the first row in that order;
-    primary when the index is named ``PRIMARY``. Returns (table, name, columns,
-    is_unique, is_primary, type).
+    Input: [database,] [schema,] table, index_name, column_name, seq,
+    non_unique, index_type. Columns in (seq, column) order; flags from the
+    first row in that order; primary when the index is named ``PRIMARY``.
+    Returns ([database,] [schema,] table, name, columns, is_unique, is_primary,
+    type).
     """
+    place = place_of(index_rows)
     first = F.struct(F.col("seq"), F.col("column_name"))
-    grouped = index_rows.groupBy("table", "index_name").agg(
+    grouped = index_rows.groupBy(*place, "index_name").agg(
         F.sort_array(F.collect_list(first)).alias("_cols"),
         F.min_by(F.col("non_unique"), first).alias("_non_unique"),
         F.min_by(F.col("index_type"), first).alias("type"))
     return grouped.select(
-        "table", F.col("index_name").alias("name"),
+        *place, F.col("index_name").alias("name"),
         F.transform("_cols", lambda x: x["column_name"]).alias("columns"),
         (F.col("_non_unique") == 0).alias("is_unique"),
         (F.col("index_name") == "PRIMARY").alias("is_primary"), "type")
@@ -331,27 +405,27 @@ def join_index_columns(indexes: DataFrame, index_columns: DataFrame,
                        constraints: DataFrame) -> DataFrame:
     """Index headers x their columns, primary flag from constraints (O-14).
 
-    indexes: table, index_name, indkey (array<int> of column numbers, in index
-    order), is_unique, index_type; index_columns: table, attnum, column_name;
-    constraints: table, constraint_name, constraint_type. The key array is
-    exploded with positions, so the index order is kept. Returns
-    (table, name, columns, is_unique, is_primary, type).
+    indexes: [database,] [schema,] table, index_name, indkey (array<int> of
+    column numbers, in index order), is_unique, index_type; index_columns:
+    [...] table, attnum, column_name; constraints: [...] table, constraint_name,
+    constraint_type. All are matched by the full name of the table that they
+    have in common. The key array is exploded with positions, so the index order
+    is kept. Returns ([...] table, name, columns, is_unique, is_primary, type).
     """
-    keyed = indexes.select("table", "index_name", "is_unique", "index_type",
+    place = place_of(indexes, index_columns, constraints)
+    keyed = indexes.select(*place, "index_name", "is_unique", "index_type",
                            F.posexplode("indkey").alias("seq", "attnum"))
-    cols = keyed.join(index_columns.select("table", "attnum", "column_name"),
-                      ["table", "attnum"])
+    cols = join_on(keyed, index_columns.select(*place, "attnum", "column_name"), [*place, "attnum"])
     pk = constraints.where(F.col("constraint_type") == "PRIMARY KEY").select(
-        "table", F.col("constraint_name").alias("index_name"),
-        F.lit(True).alias("_pk"))
-    flagged = cols.join(pk, ["table", "index_name"], "left")
+        *place, F.col("constraint_name").alias("index_name")).distinct().withColumn("_pk", F.lit(True))
+    flagged = join_on(cols, pk, [*place, "index_name"], "left")
     first = F.struct(F.col("seq"), F.col("column_name"))
-    return flagged.groupBy("table", "index_name").agg(
+    return flagged.groupBy(*place, "index_name").agg(
         F.sort_array(F.collect_list(first)).alias("_cols"),
         F.min_by(F.col("is_unique"), first).alias("is_unique"),
         F.coalesce(F.max("_pk"), F.lit(False)).alias("is_primary"),
         F.min_by(F.col("index_type"), first).alias("type"),
-    ).select("table", F.col("index_name").alias("name"),
+    ).select(*place, F.col("index_name").alias("name"),
              F.transform("_cols", lambda x: x["column_name"]).alias("columns"),
              "is_unique", "is_primary", "type")
 
@@ -368,27 +442,30 @@ def normalise_indexes(df: DataFrame, dialect: str,
       columns, is_unique, is_primary, type); ``primary`` holds (table,
       columns) key columns; a table with no listed primary index gets one
       synthetic ``PRIMARY`` index.
-    Returns (table, name, columns, is_unique, is_primary, type[, metric]).
+    Tables are told apart by database and schema where the dump has them.
+    Returns ([database,] [schema,] table, name, columns, is_unique, is_primary,
+    type[, metric]).
     """
     c = F.col
+    place = place_of(df)
     if dialect == "mongodb":
         single_id = (F.size("key_names") == 1) & (F.element_at("key_names", 1) == "_id")
-        return df.select("table", "name", c("key_names").alias("columns"),
+        return df.select(*place, "name", c("key_names").alias("columns"),
                          (F.coalesce(c("unique"), F.lit(False)) | single_id).alias("is_unique"),
                          (c("name") == "_id_").alias("is_primary"),
                          F.lit(None).cast("string").alias("type"))
     if dialect == "milvus":
-        return df.select("table", "name", F.array(c("field_name")).alias("columns"),
+        return df.select(*place, "name", F.array(c("field_name")).alias("columns"),
                          F.lit(False).alias("is_unique"), F.lit(False).alias("is_primary"),
                          F.coalesce(c("index_type"), F.lit("unknown")).alias("type"),
                          F.coalesce(c("metric"), F.lit("unknown")).alias("metric"))
     if dialect in ("clickhouse", "sqlite"):
-        listed = df.select("table", "name", "columns", "is_unique", "is_primary", "type")
+        listed = df.select(*place, "name", "columns", "is_unique", "is_primary", "type")
         if primary is None:
             return listed
-        has_primary = listed.where(c("is_primary")).select("table").distinct()
-        synthetic = primary.join(has_primary, "table", "left_anti").select(
-            "table", F.lit("PRIMARY").alias("name"), "columns",
+        has_primary = listed.where(c("is_primary")).select(*place).distinct()
+        synthetic = join_on(primary.select(*place, "columns"), has_primary, place, "left_anti").select(
+            *place, F.lit("PRIMARY").alias("name"), "columns",
             F.lit(True).alias("is_unique"), F.lit(True).alias("is_primary"),
             F.lit(None).cast("string").alias("type"))
         return listed.unionByName(synthetic)

@@ -12,11 +12,12 @@ from shapelens.operators.catalog import (VECTOR_TYPE_NAMES, assemble_foreign_key
                                          assemble_foreign_keys_positional,
                                          assemble_indexes, attach_comments,
                                          distinct_indexes, flag_primary_keys,
+                                         foreign_keys_from_lists,
                                          join_index_columns, list_routines,
                                          list_tables, list_views, normalise_columns,
                                          normalise_indexes, normalise_search_indices,
-                                         normalise_topology)
-from shapelens.plans.registry import duck_sql, query, spark_sql
+                                         normalise_topology, place_of)
+from shapelens.plans.registry import ORACLES, QUERIES, duck_sql, query, spark_sql
 from shapelens.session import read_table
 
 COLUMN_DUMPS = {
@@ -83,6 +84,12 @@ SELECT p_brand AS collection, CAST(p_partkey AS INT) AS field_id, p_name AS name
 FROM {part}""",
 }
 
+# The same table names in two databases with two schemas each.
+COLUMN_DUMPS = {k: v.replace("\nFROM {part}", """,
+  concat('db', CAST(p_partkey % 2 AS STRING)) AS database,
+  concat('s', CAST(p_size % 2 AS STRING)) AS schema
+FROM {part}""") for k, v in COLUMN_DUMPS.items()}
+
 _VECTOR_NAME = ("CASE data_type " + " ".join(
     f"WHEN {k} THEN '{v}'" for k, v in VECTOR_TYPE_NAMES.items())
     + " ELSE 'Unknown(' || CAST(data_type AS VARCHAR) || ')' END")
@@ -133,6 +140,9 @@ SELECT collection AS table, field_id AS ordinal, name,
 }
 
 
+COLUMN_ORACLES = {k: v.replace("SELECT ", "SELECT database, schema, ", 1) for k, v in COLUMN_ORACLES.items()}
+
+
 def _register_columns(dialect: str) -> None:
     template = COLUMN_DUMPS[dialect]
 
@@ -154,17 +164,58 @@ SELECT CASE WHEN p_partkey % 11 = 0 THEN concat('sqlite_', p_name)
   CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS comment,
   CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_size END AS row_count
 FROM {part}"""
+_BASE = f"FROM ({duck_sql(TABLE_LISTING)}) WHERE upper(table_type) IN ('BASE TABLE', 'TABLE')"
+
+# Listings of stores without base tables: the dump, and comment, type and row count as DuckDB text.
+OBJECT_LISTINGS = {
+    "mongodb": ("SELECT p_name AS name, CAST(p_size AS BIGINT) AS row_count FROM {part}",
+                "collection", "CAST(NULL AS VARCHAR)", "row_count"),
+    "milvus": ("SELECT p_name AS name, p_type AS comment, CAST(p_size AS BIGINT) AS row_count FROM {part}",
+               "collection", "nullif(comment, '')", "row_count"),
+    "kafka": ("SELECT concat('topic.', c_name) AS name FROM {customer}",
+              "topic", "CAST(NULL AS VARCHAR)", "CAST(NULL AS BIGINT)"),
+    "rabbitmq": ("SELECT s_name AS name, CAST(s_nationkey AS BIGINT) AS row_count FROM {supplier}",
+                 "queue", "CAST(NULL AS VARCHAR)", "row_count"),
+    "redis": ("SELECT concat('user:', CAST(c_nationkey AS STRING), ':*') AS name, count(*) AS row_count "
+              "FROM {customer} GROUP BY concat('user:', CAST(c_nationkey AS STRING), ':*')",
+              "pattern", "CAST(NULL AS VARCHAR)", "row_count"),
+    "etcd": ("SELECT concat('/', p_name, '/') AS name, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END "
+             "AS depth, CAST(p_partkey AS BIGINT) AS row_count FROM {part}",
+             "prefix", "'Depth: ' || coalesce(CAST(depth AS VARCHAR), 'unknown')", "row_count"),
+    "elasticsearch": ("SELECT concat('idx-', p_name) AS name, CASE p_partkey % 3 WHEN 0 THEN 'green' "
+                      "WHEN 1 THEN 'red' END AS health, 'open' AS status, CAST(p_size AS BIGINT) AS row_count "
+                      "FROM {part}", "index",
+                      "'Health: ' || coalesce(health, 'unknown') || ', Status: ' || status", "row_count"),
+    "clickhouse": ("SELECT CASE WHEN p_partkey % 13 = 0 THEN concat('.', p_name) ELSE p_name END AS name, "
+                   "p_brand AS schema, p_type AS engine, CAST(p_size AS BIGINT) AS total_bytes, "
+                   "CAST(p_partkey AS BIGINT) AS row_count FROM {part}", "table",
+                   "'Engine: ' || engine || ', Size: ' || CAST(total_bytes AS VARCHAR) || ' B'", "row_count"),
+}
+
+
+def _register_listing(dialect: str, oracle: str, template: str) -> None:
+    @query(f"list_tables_{dialect}", oracle)
+    def q(spark, sf):
+        return list_tables(spark_sql(spark, sf, template), dialect)
 
 
-@query("list_tables", f"""
+ORACLES["list_tables"] = f"""
 SELECT name, schema, 'table' AS type, nullif(comment, '') AS comment,
-       CAST(nullif(row_count, 0) AS BIGINT) AS row_count
-FROM ({duck_sql(TABLE_LISTING)})
-WHERE upper(table_type) IN ('BASE TABLE', 'TABLE')
-  AND NOT starts_with(name, '.') AND NOT starts_with(name, 'sqlite_')
-""")
-def q_list_tables(spark, sf):
-    return list_tables(spark_sql(spark, sf, TABLE_LISTING), "mysql")
+       CAST(nullif(row_count, 0) AS BIGINT) AS row_count {_BASE}"""
+QUERIES["list_tables"] = lambda spark, sf: list_tables(spark_sql(spark, sf, TABLE_LISTING))
+
+for _d, _keep, _rows in (("mysql", "true", "nullif(row_count, 0)"), ("oracle", "true", "nullif(row_count, 0)"),
+                         ("postgresql", "true", "row_count"), ("opengauss", "true", "NULL"),
+                         ("sqlite", "NOT starts_with(name, 'sqlite_')", "NULL")):
+    _register_listing(_d, f"""
+SELECT name, schema, 'table' AS type, nullif(comment, '') AS comment,
+       CAST({_rows} AS BIGINT) AS row_count {_BASE} AND {_keep}""", TABLE_LISTING)
+for _d, (_t, _type, _comment, _rows) in OBJECT_LISTINGS.items():
+    _schema = "schema" if "AS schema" in _t else "CAST(NULL AS VARCHAR)"
+    _where = "WHERE NOT starts_with(name, '.')" if _d == "clickhouse" else ""
+    _register_listing(_d, f"""
+SELECT name, {_schema} AS schema, '{_type}' AS type, {_comment} AS comment, {_rows} AS row_count
+FROM ({duck_sql(_t)}) {_where}""", _t)
 
 
 VIEW_LISTING = """
@@ -317,15 +368,19 @@ def q_flag_primary_keys(spark, sf):
                              spark_sql(spark, sf, PK_KEY_USAGE))
 
 
+# Two orders share a constraint name, in two schemas and in tables of their own.
 FK_KEY_USAGE = """
-SELECT 'sales' AS schema, concat('fk_', CAST(l_orderkey AS STRING)) AS constraint_name,
-  concat('t', CAST(l_orderkey % 100 AS STRING)) AS table,
+SELECT concat('sales', CAST(l_orderkey % 4 AS STRING)) AS schema,
+  concat('fk_', CAST(CAST(floor(l_orderkey / 8) AS BIGINT) AS STRING)) AS constraint_name,
+  concat('t', CAST(CAST(floor(l_orderkey / 4) AS BIGINT) AS STRING)) AS table,
   concat('c', CAST(l_partkey AS STRING)) AS column_name, l_linenumber AS ordinal,
   concat('ref', CAST(l_orderkey % 7 AS STRING)) AS referenced_table,
   concat('r', CAST(l_suppkey AS STRING)) AS referenced_column
 FROM {lineitem}"""
 FK_RULES = """
-SELECT 'sales' AS schema, concat('fk_', CAST(o_orderkey AS STRING)) AS constraint_name,
+SELECT concat('sales', CAST(o_orderkey % 4 AS STRING)) AS schema,
+  concat('fk_', CAST(CAST(floor(o_orderkey / 8) AS BIGINT) AS STRING)) AS constraint_name,
+  concat('t', CAST(CAST(floor(o_orderkey / 4) AS BIGINT) AS STRING)) AS table,
   CASE o_orderstatus WHEN 'F' THEN 'CASCADE' WHEN 'O' THEN 'RESTRICT' ELSE 'NO ACTION' END
     AS update_rule,
   CASE WHEN o_orderkey % 2 = 0 THEN 'CASCADE' ELSE 'SET NULL' END AS delete_rule
@@ -342,7 +397,7 @@ def _fk_text(df):
 @query("assemble_foreign_keys", f"""
 WITH j AS (SELECT k.*, r.update_rule, r.delete_rule
            FROM ({duck_sql(FK_KEY_USAGE)}) k JOIN ({duck_sql(FK_RULES)}) r
-           ON k.schema = r.schema AND k.constraint_name = r.constraint_name)
+           ON k.schema = r.schema AND k."table" = r."table" AND k.constraint_name = r.constraint_name)
 SELECT schema, "table", constraint_name AS name,
   string_agg(column_name, ', ' ORDER BY ordinal, column_name, referenced_column) AS columns,
   referenced_table,
@@ -393,6 +448,27 @@ def q_assemble_foreign_keys_positional(spark, sf):
         spark_sql(spark, sf, ORA_CONSTRAINTS), spark_sql(spark, sf, ORA_CONS_COLUMNS)))
 
 
+LIST_FKS = """
+SELECT concat('s', CAST(l_orderkey % 2 AS STRING)) AS schema,
+  concat('t', CAST(CAST(floor(l_orderkey / 4) AS BIGINT) AS STRING)) AS table,
+  CAST(floor(l_orderkey / 2) AS BIGINT) % 2 AS id, l_linenumber AS seq,
+  concat('c', CAST(l_partkey AS STRING)) AS col_from, concat('r', CAST(l_suppkey AS STRING)) AS col_to,
+  concat('ref', CAST(l_orderkey AS STRING)) AS referenced_table,
+  'NO ACTION' AS on_delete, 'CASCADE' AS on_update
+FROM {lineitem}"""
+
+
+@query("foreign_keys_sqlite", f"""
+SELECT schema, "table", 'fk_' || "table" || '_' || CAST(id AS VARCHAR) AS name,
+  string_agg(col_from, ', ' ORDER BY seq, col_from, col_to) AS columns, referenced_table,
+  string_agg(col_to, ', ' ORDER BY seq, col_from, col_to) AS referenced_columns, on_delete, on_update
+FROM ({duck_sql(LIST_FKS)}) GROUP BY schema, "table", id, referenced_table, on_delete, on_update
+""")
+def q_foreign_keys_sqlite(spark, sf):
+    dump = spark_sql(spark, sf, LIST_FKS).withColumnsRenamed({"col_from": "from", "col_to": "to"})
+    return _fk_text(foreign_keys_from_lists(dump))
+
+
 @query("attach_comments", """
 SELECT d.doc_id, d.lang, l.quality, l.toxic
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
@@ -402,28 +478,30 @@ def q_attach_comments(spark, sf):
     return attach_comments(docs, read_table(spark, sf, "labels"), keys=("doc_id",))
 
 
+# Ten orders per table, the same table and index names in two schemas; flags differ from row to row.
 INDEX_ROWS = """
-SELECT concat('t', CAST(l_orderkey % 100 AS STRING)) AS table,
-  CASE WHEN l_orderkey % 10 = 0 THEN 'PRIMARY' ELSE concat('idx_', CAST(l_orderkey AS STRING))
-  END AS index_name,
+SELECT concat('s', CAST(CAST(floor(l_orderkey / 10) AS BIGINT) % 2 AS STRING)) AS schema,
+  concat('t', CAST(CAST(floor(l_orderkey / 20) AS BIGINT) AS STRING)) AS table,
+  CASE WHEN l_orderkey % 10 = 0 THEN 'PRIMARY'
+       ELSE concat('idx_', CAST(l_orderkey % 10 AS STRING)) END AS index_name,
   concat('c', CAST(l_partkey AS STRING)) AS column_name, l_linenumber AS seq,
-  CAST(l_orderkey % 2 AS INT) AS non_unique,
-  CASE l_orderkey % 100 % 3 WHEN 0 THEN 'BTREE' WHEN 1 THEN 'HASH' ELSE 'FULLTEXT' END
+  CAST((l_orderkey + l_linenumber) % 2 AS INT) AS non_unique,
+  CASE l_linenumber % 3 WHEN 0 THEN 'BTREE' WHEN 1 THEN 'HASH' ELSE 'FULLTEXT' END
     AS index_type
 FROM {lineitem}"""
 
 
 def _index_text(df):
-    return df.select("table", "name", F.array_join("columns", ", ").alias("columns"),
+    return df.select(*place_of(df), "name", F.array_join("columns", ", ").alias("columns"),
                      "is_unique", "is_primary", "type")
 
 
 @query("assemble_indexes", f"""
-SELECT "table", index_name AS name,
+SELECT schema, "table", index_name AS name,
   string_agg(column_name, ', ' ORDER BY seq, column_name) AS columns,
-  min(non_unique) = 0 AS is_unique, index_name = 'PRIMARY' AS is_primary,
-  min(index_type) AS type
-FROM ({duck_sql(INDEX_ROWS)}) GROUP BY "table", index_name
+  first(non_unique ORDER BY seq, column_name) = 0 AS is_unique, index_name = 'PRIMARY' AS is_primary,
+  first(index_type ORDER BY seq, column_name) AS type
+FROM ({duck_sql(INDEX_ROWS)}) GROUP BY schema, "table", index_name
 """)
 def q_assemble_indexes(spark, sf):
     return _index_text(assemble_indexes(spark_sql(spark, sf, INDEX_ROWS)))
@@ -444,44 +522,48 @@ def q_distinct_indexes(spark, sf):
 
 
 INDEX_HEADERS_DUCK = """
-SELECT concat('t', CAST(o_custkey % 100 AS VARCHAR)) AS table,
-  concat('i', CAST(o_orderkey AS VARCHAR)) AS index_name,
+SELECT concat('s', CAST(o_orderkey % 2 AS VARCHAR)) AS schema, concat('t', CAST(o_custkey % 100 AS VARCHAR)) AS table,
+  concat('i', CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS VARCHAR)) AS index_name,
   [CAST(o_orderkey % 5 + 1 AS INTEGER), CAST(o_orderkey % 3 + 1 AS INTEGER)] AS indkey,
   o_orderkey % 2 = 0 AS is_unique,
   CASE WHEN o_orderkey % 3 = 0 THEN 'btree' ELSE 'hash' END AS index_type
 FROM orders"""
 INDEX_COLUMNS = """
-SELECT concat('t', CAST(c_custkey % 100 AS STRING)) AS table,
+SELECT concat('s', CAST(c_custkey % 2 AS STRING)) AS schema,
+  concat('t', CAST(CAST(floor(c_custkey / 2) AS BIGINT) % 100 AS STRING)) AS table,
   CAST(c_nationkey % 6 + 1 AS INT) AS attnum, min(c_name) AS column_name
 FROM {customer}
-GROUP BY concat('t', CAST(c_custkey % 100 AS STRING)), CAST(c_nationkey % 6 + 1 AS INT)"""
+GROUP BY concat('s', CAST(c_custkey % 2 AS STRING)),
+  concat('t', CAST(CAST(floor(c_custkey / 2) AS BIGINT) % 100 AS STRING)), CAST(c_nationkey % 6 + 1 AS INT)"""
 INDEX_CONSTRAINTS = """
-SELECT concat('t', CAST(o_custkey % 100 AS STRING)) AS table,
-  concat('i', CAST(o_orderkey AS STRING)) AS constraint_name,
+SELECT concat('s', CAST(o_orderkey % 2 AS STRING)) AS schema,
+  concat('t', CAST(o_custkey % 100 AS STRING)) AS table,
+  concat('i', CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING)) AS constraint_name,
   CASE WHEN o_orderkey % 4 = 0 THEN 'PRIMARY KEY' ELSE 'UNIQUE' END AS constraint_type
 FROM {orders}"""
 
 
 @query("join_index_columns", f"""
 WITH i AS ({INDEX_HEADERS_DUCK}),
-k AS (SELECT "table", index_name, is_unique, index_type, u.seq - 1 AS seq, indkey[u.seq] AS attnum
+k AS (SELECT schema, "table", index_name, is_unique, index_type, u.seq - 1 AS seq, indkey[u.seq] AS attnum
       FROM i, unnest(range(1, len(indkey) + 1)) AS u(seq)),
 c AS (SELECT k.*, ic.column_name FROM k JOIN ({duck_sql(INDEX_COLUMNS)}) ic
-      ON k.table = ic.table AND k.attnum = ic.attnum),
-p AS (SELECT "table", constraint_name AS index_name FROM ({duck_sql(INDEX_CONSTRAINTS)})
+      ON k.schema = ic.schema AND k.table = ic.table AND k.attnum = ic.attnum),
+p AS (SELECT DISTINCT schema, "table", constraint_name AS index_name FROM ({duck_sql(INDEX_CONSTRAINTS)})
       WHERE constraint_type = 'PRIMARY KEY')
-SELECT c.table, c.index_name AS name,
+SELECT c.schema, c.table, c.index_name AS name,
   string_agg(column_name, ', ' ORDER BY seq, column_name) AS columns,
-  min(is_unique) AS is_unique, count(p.index_name) > 0 AS is_primary,
-  min(index_type) AS type
-FROM c LEFT JOIN p ON c.table = p.table AND c.index_name = p.index_name
-GROUP BY c.table, c.index_name
+  first(is_unique ORDER BY seq, column_name) AS is_unique, count(p.index_name) > 0 AS is_primary,
+  first(index_type ORDER BY seq, column_name) AS type
+FROM c LEFT JOIN p ON c.schema = p.schema AND c.table = p.table AND c.index_name = p.index_name
+GROUP BY c.schema, c.table, c.index_name
 """)
 def q_join_index_columns(spark, sf):
     orders = read_table(spark, sf, "orders")
     headers = orders.select(
+        F.concat(F.lit("s"), (F.col("o_orderkey") % 2).cast("string")).alias("schema"),
         F.concat(F.lit("t"), (F.col("o_custkey") % 100).cast("string")).alias("table"),
-        F.concat(F.lit("i"), F.col("o_orderkey").cast("string")).alias("index_name"),
+        F.concat(F.lit("i"), F.floor(F.col("o_orderkey") / 2).cast("string")).alias("index_name"),
         F.array((F.col("o_orderkey") % 5 + 1).cast("int"),
                 (F.col("o_orderkey") % 3 + 1).cast("int")).alias("indkey"),
         (F.col("o_orderkey") % 2 == 0).alias("is_unique"),
@@ -532,24 +614,29 @@ def q_normalise_indexes_milvus(spark, sf):
                       "is_unique", "is_primary", "type", "metric")
 
 
-@query("normalise_indexes_clickhouse", """
-WITH listed AS (
-  SELECT p_brand AS table, p_name AS name, p_type AS columns, p_size % 2 = 0 AS is_unique,
-         p_partkey % 97 = 0 AS is_primary, 'minmax' AS type FROM part),
-pk AS (SELECT DISTINCT p_brand AS table, 'key_' || p_brand AS columns FROM part)
-SELECT * FROM listed
+LISTED_INDEXES = """
+SELECT concat('s', CAST(p_size % 2 AS STRING)) AS schema,
+  concat('t', CAST(CAST(floor(p_partkey / 20) AS BIGINT) AS STRING)) AS table, p_name AS name,
+  p_type AS column_name, p_size % 2 = 0 AS is_unique, p_partkey % 97 = 0 AS is_primary, 'minmax' AS type
+FROM {part}"""
+
+
+def _register_listed(dialect: str) -> None:
+    @query(f"normalise_indexes_{dialect}", f"""
+WITH l AS ({duck_sql(LISTED_INDEXES)}),
+pk AS (SELECT DISTINCT schema, "table", 'key_' || "table" AS columns FROM l)
+SELECT schema, "table", name, column_name AS columns, is_unique, is_primary, type FROM l
 UNION ALL
-SELECT pk.table, 'PRIMARY' AS name, pk.columns, true AS is_unique, true AS is_primary,
+SELECT pk.schema, pk."table", 'PRIMARY' AS name, pk.columns, true AS is_unique, true AS is_primary,
        CAST(NULL AS VARCHAR) AS type
-FROM pk WHERE pk."table" NOT IN (SELECT "table" FROM listed WHERE is_primary)
+FROM pk WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.is_primary AND l.schema = pk.schema AND l."table" = pk."table")
 """)
-def q_normalise_indexes_clickhouse(spark, sf):
-    part = read_table(spark, sf, "part")
-    listed = part.select(
-        F.col("p_brand").alias("table"), F.col("p_name").alias("name"),
-        F.array(F.col("p_type")).alias("columns"),
-        (F.col("p_size") % 2 == 0).alias("is_unique"),
-        (F.col("p_partkey") % 97 == 0).alias("is_primary"), F.lit("minmax").alias("type"))
-    primary = part.select(F.col("p_brand").alias("table")).distinct().select(
-        "table", F.array(F.concat(F.lit("key_"), F.col("table"))).alias("columns"))
-    return _index_text(normalise_indexes(listed, "clickhouse", primary))
+    def q(spark, sf):
+        listed = spark_sql(spark, sf, LISTED_INDEXES).withColumn("columns", F.array("column_name"))
+        primary = listed.select("schema", "table").distinct().withColumn(
+            "columns", F.array(F.concat(F.lit("key_"), F.col("table"))))
+        return _index_text(normalise_indexes(listed, dialect, primary))
+
+
+for _d in ("clickhouse", "sqlite"):
+    _register_listed(_d)

@@ -13,17 +13,17 @@ from shapelens.operators.catalog import (assemble_foreign_keys, assemble_indexes
 from shapelens.operators.keys import key_template_groups, prefix_rollup
 from shapelens.operators.objects import config_map, row_counts, topic_rollup
 from shapelens.operators.documents import field_profile
-from shapelens.operators.render import (nest_collections, nest_table_details, render_database, render_listing,
+from shapelens.operators.render import (collection_lines, nest_table_details, render_database, render_listing,
                                         render_objects, render_table_details, write_markdown)
 from shapelens.plans import duck
-from shapelens.operators.catalog import list_routines, list_views
+from shapelens.operators.catalog import list_routines, list_tables, list_views
 from shapelens.operators.objects import cache_totals, storage_stats, vector_profile
 from shapelens.plans.catalog import (COLUMN_DUMPS, EXCHANGES, FK_KEY_USAGE, FK_RULES, INDEX_ROWS,
-                                     QUEUES, ROUTINE_LISTING, SEARCH_STATS, VIEW_LISTING)
+                                     OBJECT_LISTINGS, QUEUES, ROUTINE_LISTING, SEARCH_STATS, VIEW_LISTING)
 from shapelens.plans.inputs import KEY_LISTING, ORDER_DOCUMENTS, PREFIX_KEYS
 from shapelens.plans.keys import _DUCK_PREFIXES
 from shapelens.plans.objects import TOPIC_CONFIGS, table_paths
-from shapelens.plans.registry import duck_sql, query, spark_sql
+from shapelens.plans.registry import ORACLES, duck_sql, query, spark_sql
 from shapelens.session import TESTDATA_TABLES, ensure_checkpoint_dir, read_table
 
 NL = " || chr(10) || "
@@ -129,21 +129,49 @@ def _duck_parse_int(x: str) -> str:
             f"CAST(regexp_extract(coalesce({x}, '0'), '^\\s*([+-]?[0-9]+)', 1) AS BIGINT) END")
 
 
+_LISTED = "SELECT {} AS sort_key, {} AS text"
+
+
+def _listing_oracle(database: str, kind: str, oracle: str) -> str:
+    bullet = (f"'- **' || name || '** ({kind})' || CASE WHEN coalesce(comment, '') <> '' THEN ': ' || comment ELSE '' END"
+              " || CASE WHEN row_count IS NOT NULL THEN ' [' || format('{:,}', row_count) || ' rows]' ELSE '' END")
+    return f"WITH l AS ({oracle})\n" + "\nUNION ALL\n".join([
+        _LISTED.format("'0'", f"'# Tables in {database}'"), _LISTED.format("'1'", "''"),
+        _LISTED.format("'2'", "'Found ' || (SELECT count(*) FROM l) || ' table(s):'"), _LISTED.format("'3'", "''"),
+        _LISTED.format("'4' || name", bullet) + " FROM l"])
+
+
+def _register_rendered_listing(dialect: str) -> None:
+    template, kind, *_ = OBJECT_LISTINGS[dialect]
+
+    @query(f"render_listing_{dialect}", _listing_oracle(dialect, kind, ORACLES[f"list_tables_{dialect}"]))
+    def q(spark, sf):
+        return render_listing(list_tables(spark_sql(spark, sf, template), dialect), dialect)
+
+
+for _d in ("kafka", "etcd", "elasticsearch"):
+    _register_rendered_listing(_d)
+
+
+# Search statistics with nulls and texts that are no numbers in every field.
+NULL_STATS = SEARCH_STATS.replace("CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END",
+                                  "CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE CAST(o_custkey AS STRING) END") \
+    .replace("ELSE 'red' END AS health", "END AS health").replace(
+        "'open' AS status", "CASE WHEN o_orderkey % 4 > 0 THEN 'open' END AS status")
+
+
 @query("render_indices", f"""
-SELECT {_j("'### Index: ' || index", "'**Health**: ' || health", "'**Status**: ' || status",
-           f"'**Documents**: ' || format('{{:,}}', {_duck_parse_int('docs_count')})",
+SELECT {_j("'### Index: ' || index", "'**Health**: ' || coalesce(health, 'unknown')",
+           "'**Status**: ' || coalesce(status, 'unknown')",
+           f"'**Documents**: ' || coalesce(format('{{:,}}', {_duck_parse_int('docs_count')}), 'unknown')",
            "'**Size**: ' || coalesce(store_size, '0b')",
-           f"'**Primary Shards**: ' || CAST({_duck_parse_int('pri')} AS VARCHAR)",
-           f"'**Replica Shards**: ' || CAST({_duck_parse_int('rep')} AS VARCHAR)",
+           f"'**Primary Shards**: ' || coalesce(CAST({_duck_parse_int('pri')} AS VARCHAR), 'unknown')",
+           f"'**Replica Shards**: ' || coalesce(CAST({_duck_parse_int('rep')} AS VARCHAR), 'unknown')",
            "''", "'---'", "''")} AS text
-FROM ({duck_sql(SEARCH_STATS)})
-WHERE {_duck_parse_int('docs_count')} IS NOT NULL AND {_duck_parse_int('pri')} IS NOT NULL
-  AND {_duck_parse_int('rep')} IS NOT NULL
+FROM ({duck_sql(NULL_STATS)})
 """)
 def q_render_indices(spark, sf):
-    idx = normalise_search_indices(spark_sql(spark, sf, SEARCH_STATS)).where(
-        F.col("docs_count").isNotNull() & F.col("primary_shards").isNotNull()
-        & F.col("replica_shards").isNotNull())
+    idx = normalise_search_indices(spark_sql(spark, sf, NULL_STATS))
     return render_objects(idx, "indices").select("text")
 
 
@@ -161,21 +189,6 @@ def q_render_listing(spark, sf):
     return render_listing(listing, "testdata")
 
 
-def _mysql_catalogue(spark, sf):
-    cols = normalise_columns(spark_sql(spark, sf, COLUMN_DUMPS["mysql"]), "mysql")
-    tables = cols.groupBy("table").agg(F.count(F.lit(1)).cast("bigint").alias("row_count")) \
-        .select("table", F.lit("shop").alias("schema"),
-                F.lit(None).cast("string").alias("comment"), "row_count")
-    idx = assemble_indexes(spark_sql(spark, sf, INDEX_ROWS))
-    fks = assemble_foreign_keys(spark_sql(spark, sf, FK_KEY_USAGE), spark_sql(spark, sf, FK_RULES))
-    return nest_table_details(tables, cols, idx, fks.drop("schema"))
-
-
-@query("render_tables")
-def q_render_tables(spark, sf):
-    return render_objects(_mysql_catalogue(spark, sf), "tables")
-
-
 def _database_lines(spark, sf):
     blocks = {"key_patterns": _key_pattern_blocks(spark, sf),
               "topics": _topic_blocks(spark, sf),
@@ -222,10 +235,6 @@ def q_write_markdown(spark, sf):
     return spark.read.text(path)
 
 
-_FIELDS_HEAD = _j("'**Fields** (inferred from ' || CAST(n.docs AS VARCHAR) || ' samples):'", "''",
-                  "'| Field | Types | Occurrence |'", "'|-------|-------|------------|'")
-
-
 @query("render_collections", f"""
 WITH d AS ({duck_sql(ORDER_DOCUMENTS)}),
 l AS ({duck.json_leaves('d', 'd.collection')}),
@@ -238,22 +247,20 @@ f AS (SELECT pp.collection, path,
                         || '%)', ', ' ORDER BY {duck.pct('type_count', 'occurrences')} DESC, type)
                AS types,
              max({duck.pct('occurrences', 'n.docs')}) AS occ
-      FROM pp JOIN n USING (collection) GROUP BY pp.collection, path),
-fl AS (SELECT collection, string_agg('| ' || path || ' | ' || types || ' | '
-                                     || CAST(occ AS VARCHAR) || '% |', chr(10) ORDER BY path)
-                            AS lines
-       FROM f GROUP BY collection)
-SELECT {_j("'### Collection: ' || n.collection",
-           "'**Document Count**: ' || format('{:,}', n.docs)", "''", _FIELDS_HEAD,
-           "fl.lines", "''", "'---'", "''")} AS text
-FROM n JOIN fl USING (collection)
+      FROM pp JOIN n USING (collection) GROUP BY pp.collection, path)
+SELECT {_j("'### Collection: ' || collection", "'**Document Count**: ' || format('{:,}', docs)", "''",
+           "'**Fields** (inferred from ' || CAST(docs AS VARCHAR) || ' samples):'", "''",
+           "'| Field | Types | Occurrence |'", "'|-------|-------|------------|'")} AS text FROM n
+UNION ALL SELECT '| ' || path || ' | ' || types || ' | ' || CAST(occ AS VARCHAR) || '% |' AS text FROM f
+UNION ALL SELECT '' AS text FROM n
+UNION ALL SELECT '---' || chr(10) || '' AS text FROM n
 """)
 def q_render_collections(spark, sf):
     text = spark_sql(spark, sf, ORDER_DOCUMENTS)
     profile = field_profile(text, "json", by=["collection"])
     stats = text.groupBy("collection").agg(F.count(F.lit(1)).cast("bigint").alias("document_count")) \
         .withColumn("sample_size", F.col("document_count"))
-    return render_objects(nest_collections(profile, stats), "collections").select("text")
+    return collection_lines(profile, stats).select("text")
 
 
 @query("render_views", f"""
@@ -345,84 +352,103 @@ def q_render_vector_collections(spark, sf):
     return render_objects(coll, "vector_collections").select("text")
 
 
-# Catalogue whose indexes and foreign keys belong to the same tables as the
-# mysql column dump (tables named by brand), for rendering whole table blocks.
+# A catalogue in which every table has twenty columns, five index columns and
+# five key columns at most, however large the testdata; the same table, index and
+# constraint names stand in two schemas, and some types and names are null.
+RENDER_COLUMNS = """
+SELECT concat('shop', CAST(CAST(floor(p_partkey / 10) AS BIGINT) % 2 AS STRING)) AS schema,
+  concat('t', CAST(CAST(floor(p_partkey / 20) AS BIGINT) AS STRING)) AS table_name,
+  CAST(p_partkey AS INT) AS ordinal_position,
+  CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_name END AS column_name,
+  CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_type END AS column_type,
+  CASE WHEN p_partkey % 3 = 0 THEN 'NO' ELSE 'YES' END AS is_nullable,
+  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS STRING) END AS column_default,
+  CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS column_comment,
+  CASE WHEN p_size % 7 = 0 THEN 'PRI' WHEN p_size % 7 = 1 THEN 'UNI' ELSE '' END AS column_key,
+  CASE WHEN p_partkey % 6 = 0 THEN 'auto_increment' ELSE '' END AS extra,
+  CAST(p_size % 4 * 64 AS BIGINT) AS character_maximum_length
+FROM {part}"""
 RENDER_INDEX_ROWS = """
-SELECT concat('Brand#', CAST(c_custkey % 25 + 1 AS STRING)) AS table,
+SELECT concat('shop', CAST(CAST(floor(c_custkey / 10) AS BIGINT) % 2 AS STRING)) AS schema,
+  concat('t', CAST(CAST(floor(c_custkey / 20) AS BIGINT) AS STRING)) AS table,
   CASE c_custkey % 4 WHEN 0 THEN 'PRIMARY' ELSE concat('idx_', CAST(c_custkey % 4 AS STRING))
   END AS index_name,
-  c_name AS column_name, CAST(floor(c_custkey / 100) AS INT) AS seq,
+  CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_name END AS column_name, CAST(c_custkey AS INT) AS seq,
   CAST(c_custkey % 4 % 2 AS INT) AS non_unique,
-  CASE c_custkey % 4 WHEN 3 THEN 'FULLTEXT' ELSE 'BTREE' END AS index_type
+  CASE c_custkey % 4 WHEN 3 THEN 'FULLTEXT' WHEN 1 THEN NULL ELSE 'BTREE' END AS index_type
 FROM {customer}"""
 RENDER_FK_KEY_USAGE = """
-SELECT 'shop' AS schema, concat('fk_', CAST(s_suppkey % 10 AS STRING)) AS constraint_name,
-  concat('Brand#', CAST(s_suppkey % 10 + 1 AS STRING)) AS table,
-  s_name AS column_name, CAST(floor(s_suppkey / 10) AS INT) AS ordinal,
-  concat('ref', CAST(s_suppkey % 10 AS STRING)) AS referenced_table,
+SELECT concat('shop', CAST(CAST(floor(s_suppkey / 5) AS BIGINT) % 2 AS STRING)) AS schema,
+  concat('fk_', CAST(CAST(floor(s_suppkey / 10) AS BIGINT) % 3 AS STRING)) AS constraint_name,
+  concat('t', CAST(CAST(floor(s_suppkey / 10) AS BIGINT) AS STRING)) AS table,
+  s_name AS column_name, CAST(s_suppkey AS INT) AS ordinal,
+  CASE WHEN CAST(floor(s_suppkey / 5) AS BIGINT) % 4 = 0 THEN NULL ELSE 'ref' END AS referenced_table,
   concat('r', CAST(s_nationkey AS STRING)) AS referenced_column
 FROM {supplier}"""
 RENDER_FK_RULES = """
-SELECT DISTINCT 'shop' AS schema, concat('fk_', CAST(s_suppkey % 10 AS STRING)) AS constraint_name,
-  CASE s_suppkey % 10 % 3 WHEN 0 THEN 'CASCADE' WHEN 1 THEN 'RESTRICT' ELSE '' END AS update_rule,
-  CASE WHEN s_suppkey % 10 % 2 = 0 THEN 'CASCADE' ELSE 'NO ACTION' END AS delete_rule
+SELECT DISTINCT concat('shop', CAST(CAST(floor(s_suppkey / 5) AS BIGINT) % 2 AS STRING)) AS schema,
+  concat('fk_', CAST(CAST(floor(s_suppkey / 10) AS BIGINT) % 3 AS STRING)) AS constraint_name,
+  concat('t', CAST(CAST(floor(s_suppkey / 10) AS BIGINT) AS STRING)) AS table,
+  CASE CAST(floor(s_suppkey / 10) AS BIGINT) % 3 WHEN 0 THEN 'CASCADE' WHEN 1 THEN 'RESTRICT' ELSE '' END
+    AS update_rule,
+  CASE WHEN CAST(floor(s_suppkey / 10) AS BIGINT) % 2 = 0 THEN 'CASCADE' ELSE 'NO ACTION' END AS delete_rule
 FROM {supplier}"""
 
 
 def _render_catalogue(spark, sf):
-    cols = normalise_columns(spark_sql(spark, sf, COLUMN_DUMPS["mysql"]), "mysql")
-    tables = cols.groupBy("table").agg(F.count(F.lit(1)).cast("bigint").alias("row_count")) \
-        .select("table", F.lit("shop").alias("schema"),
-                F.lit(None).cast("string").alias("comment"), "row_count")
+    """The four inputs of a rendered catalogue: tables, columns, indexes, foreign keys."""
+    cols = normalise_columns(spark_sql(spark, sf, RENDER_COLUMNS), "mysql").drop("database")
+    tables = cols.groupBy("schema", "table").agg(F.count(F.lit(1)).cast("bigint").alias("row_count")) \
+        .select("schema", "table", F.lit(None).cast("string").alias("comment"), "row_count")
     idx = assemble_indexes(spark_sql(spark, sf, RENDER_INDEX_ROWS))
     fks = assemble_foreign_keys(spark_sql(spark, sf, RENDER_FK_KEY_USAGE),
                                 spark_sql(spark, sf, RENDER_FK_RULES))
-    return nest_table_details(tables, cols, idx, fks.drop("schema"))
+    return tables, cols, idx, fks
 
 
 _MYSQL_COLUMNS = f"""
-SELECT table_name AS "table", ordinal_position AS ordinal, column_name AS name,
-  column_type AS type, is_nullable = 'YES' AS nullable, column_default AS default_value,
+SELECT schema, table_name AS "table", ordinal_position AS ordinal, coalesce(column_name, 'unknown') AS name,
+  coalesce(column_type, 'unknown') AS type, is_nullable = 'YES' AS nullable, column_default AS default_value,
   nullif(column_comment, '') AS comment, coalesce(column_key = 'PRI', false) AS is_primary_key,
   coalesce(contains(extra, 'auto_increment'), false) AS is_auto_increment
-FROM ({duck_sql(COLUMN_DUMPS["mysql"])})"""
+FROM ({duck_sql(RENDER_COLUMNS)})"""
 
 _TABLE_BLOCKS = f"""
 WITH cols AS ({_MYSQL_COLUMNS}),
-cl AS (SELECT "table", count(*) AS rc,
+cl AS (SELECT schema, "table", count(*) AS rc,
   string_agg('| ' || CASE WHEN is_primary_key THEN '**' || name || '** (PK)' ELSE name END
              || ' | ' || CASE WHEN is_auto_increment THEN type || ' AUTO_INCREMENT' ELSE type END
              || ' | ' || CASE WHEN nullable THEN 'YES' ELSE 'NO' END
              || ' | ' || CASE WHEN coalesce(default_value, '') <> '' THEN default_value ELSE '-' END
              || ' | ' || coalesce(comment, '') || ' |', chr(10) ORDER BY ordinal, name) AS lines
-  FROM cols GROUP BY "table"),
-ix AS (SELECT "table", index_name AS name,
-         string_agg(column_name, ', ' ORDER BY seq, column_name) AS columns,
+  FROM cols GROUP BY schema, "table"),
+ix AS (SELECT schema, "table", index_name AS name,
+         string_agg(coalesce(column_name, 'unknown'), ', ' ORDER BY seq, column_name) AS columns,
          min(non_unique) = 0 AS is_unique, index_name = 'PRIMARY' AS is_primary,
          min(index_type) AS type
-       FROM ({duck_sql(RENDER_INDEX_ROWS)}) GROUP BY "table", index_name),
-il AS (SELECT "table", string_agg('- ' || CASE WHEN is_primary THEN 'PRIMARY KEY'
+       FROM ({duck_sql(RENDER_INDEX_ROWS)}) GROUP BY schema, "table", index_name),
+il AS (SELECT schema, "table", string_agg('- ' || CASE WHEN is_primary THEN 'PRIMARY KEY'
              WHEN is_unique THEN 'UNIQUE' ELSE 'INDEX' END
              || CASE WHEN coalesce(type, '') <> '' THEN ' (' || type || ')' ELSE '' END
              || ': `' || name || '` on (' || columns || ')', chr(10) ORDER BY name) AS lines
-       FROM ix GROUP BY "table"),
+       FROM ix GROUP BY schema, "table"),
 fj AS (SELECT k.*, r.update_rule, r.delete_rule
        FROM ({duck_sql(RENDER_FK_KEY_USAGE)}) k JOIN ({duck_sql(RENDER_FK_RULES)}) r
-       ON k.schema = r.schema AND k.constraint_name = r.constraint_name),
-fx AS (SELECT "table", constraint_name AS name, referenced_table, delete_rule, update_rule,
+       ON k.schema = r.schema AND k."table" = r."table" AND k.constraint_name = r.constraint_name),
+fx AS (SELECT schema, "table", constraint_name AS name, coalesce(referenced_table, 'unknown') AS referenced_table, delete_rule, update_rule,
          string_agg(column_name, ', ' ORDER BY ordinal, column_name, referenced_column) AS cols,
          string_agg(referenced_column, ', ' ORDER BY ordinal, column_name, referenced_column)
            AS rcols
-       FROM fj GROUP BY "table", constraint_name, referenced_table, delete_rule, update_rule),
-fl AS (SELECT "table", string_agg('- `' || name || '`: (' || cols || ') REFERENCES '
+       FROM fj GROUP BY schema, "table", constraint_name, referenced_table, delete_rule, update_rule),
+fl AS (SELECT schema, "table", string_agg('- `' || name || '`: (' || cols || ') REFERENCES '
              || referenced_table || '(' || rcols || ')'
              || CASE WHEN coalesce(delete_rule, '') <> ''
                      THEN chr(10) || '  - ON DELETE: ' || delete_rule ELSE '' END
              || CASE WHEN coalesce(update_rule, '') <> ''
                      THEN chr(10) || '  - ON UPDATE: ' || update_rule ELSE '' END,
              chr(10) ORDER BY name) AS lines
-       FROM fx GROUP BY "table")
-SELECT {_j("'### Table: ' || cl.\"table\"", "'**Schema**: shop'",
+       FROM fx GROUP BY schema, "table")
+SELECT {_j("'### Table: ' || cl.\"table\"", "'**Schema**: ' || cl.schema",
            "'**Row Count**: ' || format('{:,}', cl.rc)", "''", "'**Columns**:'", "''",
            "'| Name | Type | Nullable | Default | Comment |'",
            "'|------|------|----------|---------|---------|'", "cl.lines", "''")}
@@ -431,20 +457,20 @@ SELECT {_j("'### Table: ' || cl.\"table\"", "'**Schema**: shop'",
   || chr(10) || CASE WHEN fl.lines IS NULL THEN {_j("'**Foreign Keys**: None'", "''")}
           ELSE {_j("'**Foreign Keys**:'", "fl.lines", "''")} END
   || chr(10) || '---' || chr(10) AS text
-FROM cl LEFT JOIN il USING ("table") LEFT JOIN fl USING ("table")
+FROM cl LEFT JOIN il USING (schema, "table") LEFT JOIN fl USING (schema, "table")
 """
 
 
 @query("render_table_blocks", _TABLE_BLOCKS)
 def q_render_table_blocks(spark, sf):
-    return render_objects(_render_catalogue(spark, sf), "tables").select("text")
+    return render_objects(nest_table_details(*_render_catalogue(spark, sf)), "tables").select("text")
 
 
 _TABLE_CTES = _TABLE_BLOCKS[:_TABLE_BLOCKS.index("\nSELECT '### Table: '")]
 
 
 @query("render_table_details", _TABLE_CTES + f"""
-SELECT {_j("'# Table: ' || cl.\"table\"", "''", "'**Schema**: shop'",
+SELECT {_j("'# Table: ' || cl.\"table\"", "''", "'**Schema**: ' || cl.schema",
            "'**Row Count**: ' || format('{:,}', cl.rc)", "''", "'## Columns'", "''",
            "'| Name | Type | Nullable | Default | Comment |'",
            "'|------|------|----------|---------|---------|'", "cl.lines", "''")}
@@ -452,12 +478,12 @@ SELECT {_j("'# Table: ' || cl.\"table\"", "''", "'**Schema**: shop'",
           ELSE {_j("''", "'## Indexes'", "''", "il.lines", "''")} END
   || CASE WHEN fl.lines IS NULL THEN ''
           ELSE {_j("''", "'## Foreign Keys'", "''", "fl.lines")} END AS text
-FROM cl LEFT JOIN il USING ("table") LEFT JOIN fl USING ("table")
-WHERE cl."table" = 'Brand#1'
+FROM cl LEFT JOIN il USING (schema, "table") LEFT JOIN fl USING (schema, "table")
+WHERE cl."table" = 't1' AND cl.schema = 'shop1'
 UNION ALL
 SELECT 'Table "no_such_table" not found in database "shop".' AS text
 """)
 def q_render_table_details(spark, sf):
-    nested = _render_catalogue(spark, sf)
-    return render_table_details(nested, "shop", "Brand#1").unionByName(
-        render_table_details(nested, "shop", "no_such_table"))
+    four = _render_catalogue(spark, sf)
+    return render_table_details(*four, "shop", "t1", "shop1").unionByName(
+        render_table_details(*four, "shop", "no_such_table"))

@@ -3,11 +3,11 @@ from pyspark.sql import functions as F
 from shapelens.functions.values import extract_version, format_bytes, pct, thousands
 from shapelens.operators.catalog import (assemble_foreign_keys,
                                          assemble_foreign_keys_positional,
-                                         assemble_indexes, normalise_columns,
+                                         assemble_indexes, join_index_columns, normalise_columns,
                                          normalise_indexes, normalise_topology)
-from shapelens.operators.objects import (cache_totals, config_map, flatten_mapping,
-                                         topic_rollup)
-from shapelens.operators.tables import check_foreign_key, unique_keys
+from shapelens.operators.objects import (cache_totals, config_map, flatten_mapping, storage_stats,
+                                         topic_rollup, unparsable_mappings)
+from shapelens.operators.tables import check_foreign_key, column_profile, unique_keys
 
 
 def test_format_bytes(spark):
@@ -154,3 +154,61 @@ def test_unique_and_foreign_keys(spark):
     child = spark.createDataFrame([(1,), (1,), (5,), (None,)], "pid int")
     r = check_foreign_key(child, ["pid"], parent, ["id"]).collect()[0]
     assert (r.child_rows, r.null_rows, r.orphan_rows, r.holds) == (4, 1, 1, False)
+
+
+def test_same_names_in_two_databases(spark):
+    rows = spark.createDataFrame([("db1", "users", "PRIMARY", "id", 1), ("db2", "users", "PRIMARY", "uid", 1),
+                                  (None, "users", "PRIMARY", "x", 1)],
+                                 "database string, table string, index_name string, column_name string, seq int") \
+        .selectExpr("*", "0 AS non_unique", "'BTREE' AS index_type")
+    got = sorted((str(r.database), r["columns"]) for r in assemble_indexes(rows).collect())
+    assert got == [("None", ["x"]), ("db1", ["id"]), ("db2", ["uid"])]
+    headers = rows.selectExpr("database", "table", "index_name", "array(1) AS indkey", "true AS is_unique", "index_type")
+    numbers = rows.selectExpr("database", "table", "1 AS attnum", "column_name")
+    constraints = rows.where("database = 'db1'").selectExpr(
+        "database", "table", "index_name AS constraint_name", "'PRIMARY KEY' AS constraint_type")
+    got = sorted((str(r.database), r["columns"], r.is_primary) for r in join_index_columns(headers, numbers, constraints).collect())
+    assert got == [("None", ["x"], False), ("db1", ["id"], True), ("db2", ["uid"], False)]
+    listed = spark.createDataFrame([("db1", "t", "p", ["a"], True, True, ""), ("db2", "t", "i", ["a"], True, False, "")],
+                                   "database string, table string, name string, columns array<string>, is_unique boolean, "
+                                   "is_primary boolean, type string")
+    primary = spark.createDataFrame([("db1", "t", ["k"]), ("db2", "t", ["k"])], "database string, table string, columns array<string>")
+    got = sorted((r.database, r.name) for r in normalise_indexes(listed, "sqlite", primary).collect())
+    assert got == [("db1", "p"), ("db2", "PRIMARY"), ("db2", "i")]
+
+
+def test_same_named_foreign_keys_of_two_tables(spark):
+    usage = spark.createDataFrame([("s", "t1", "fk", "c1", 1, "r", "x"), ("s", "t2", "fk", "c2", 1, "r", "y")],
+                                  "schema string, table string, constraint_name string, column_name string, ordinal int, "
+                                  "referenced_table string, referenced_column string")
+    rules = spark.createDataFrame([("s", "fk", "CASCADE", "CASCADE")] * 2,
+                                  "schema string, constraint_name string, update_rule string, delete_rule string")
+    got = sorted((r.table, r["columns"]) for r in assemble_foreign_keys(usage, rules).collect())
+    assert got == [("t1", ["c1"]), ("t2", ["c2"])]
+
+
+def test_column_names_with_any_characters(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "`a{b}` int, `c``d.e` string")
+    got = {r["column"]: (r.non_null, r.nulls, r.max_length) for r in column_profile(df).collect()}
+    assert got == {"a{b}": (2, 0, None), "c`d.e": (1, 1, 1)}
+    keys = {r["columns"]: (r.rows, r.distinct_rows, r.has_null, r.is_unique)
+            for r in unique_keys(df, [["a{b}", "c`d.e"], ["c`d.e", "a{b}"], ["a{b}"], ["c`d.e"]]).collect()}
+    assert keys == {"a{b}, c`d.e": (2, 2, True, False), "c`d.e, a{b}": (2, 2, True, False),
+                    "a{b}": (2, 2, False, True), "c`d.e": (2, 2, True, False)}
+    empty = [tuple(r) for r in unique_keys(df.limit(0), [["a{b}"]]).collect()]
+    assert empty == [("a{b}", 0, 0, False, True)]
+
+
+def test_storage_counts_empty_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0).coalesce(1).write.parquet(path)
+    r = storage_stats({"t": path}, spark).first()
+    assert r.total_rows == 0 and r.total_bytes > 0
+
+
+def test_unparsable_mappings_are_listed(spark):
+    df = spark.createDataFrame([("a", "{bad"), ("b", '{"properties":{"x":{},"y":{"type":"text","fields":{"raw":{}}}}}'), ("c", None)],
+                               "index string, mapping string")
+    assert [r["index"] for r in unparsable_mappings(df).collect()] == ["a"]
+    assert sorted((r["index"], r.path, r.type) for r in flatten_mapping(df).collect()) == [
+        ("b", "x", "object"), ("b", "y", "text"), ("b", "y.raw", "unknown")]

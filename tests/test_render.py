@@ -1,7 +1,7 @@
 import os
 
 
-from shapelens.operators.render import (markdown_text, nest_table_details, render_database,
+from shapelens.operators.render import (collection_lines, nest_table_details, render_database,
                                         render_listing, render_objects, render_table_details,
                                         write_markdown)
 
@@ -24,11 +24,16 @@ def _tables(spark):
                                 "table string, name string, columns array<string>, "
                                 "referenced_table string, referenced_columns array<string>, "
                                 "on_delete string, on_update string")
-    return nest_table_details(tables, cols, idx, fks)
+    return tables, cols, idx, fks
+
+
+def _text(lines):
+    """The whole document, for small ones."""
+    return "\n".join(r.text for r in lines.orderBy("section", "sort_key").collect())
 
 
 def test_table_blocks(spark):
-    blocks = {r.sort_key: r.text for r in render_objects(_tables(spark), "tables").collect()}
+    blocks = {r.sort_key: r.text for r in render_objects(nest_table_details(*_tables(spark)), "tables").collect()}
     users = blocks["users"].split("\n")
     for line in ["### Table: users", "**Description**: User accounts", "**Row Count**: 100",
                  "**Columns**:", "| Name | Type | Nullable | Default | Comment |",
@@ -44,23 +49,24 @@ def test_table_blocks(spark):
 
 
 def test_table_details_page(spark):
-    nested = _tables(spark)
-    page = render_table_details(nested, "testdb", "users").collect()[0].text.split("\n")
+    page = render_table_details(*_tables(spark), "testdb", "users").collect()[0].text.split("\n")
     assert page[0] == "# Table: users" and "## Columns" in page and "## Indexes" in page
-    missing = render_table_details(nested, "testdb", "nope").collect()
+    missing = render_table_details(*_tables(spark), "testdb", "nope").collect()
     assert [r.text for r in missing] == ['Table "nope" not found in database "testdb".']
 
 
 def test_collection_and_key_blocks(spark):
-    coll = spark.createDataFrame(
-        [("users", 1000, 100,
-          [("_id", [("ObjectId", 100)], 100), ("email", [("string", 95), ("null", 5)], 100)],
-          [("_id_", [("_id", "1")], True)])],
-        "name string, document_count bigint, sample_size bigint, "
-        "fields array<struct<name:string,types:array<struct<type:string,percentage:int>>,"
-        "occurrence:int>>, indexes array<struct<name:string,keys:array<struct<k:string,v:string>>,"
-        "unique:boolean>>")
-    text = render_objects(coll, "collections").collect()[0].text.split("\n")
+    profile = spark.createDataFrame(
+        [("users", "_id", "ObjectId", 100, 100), ("users", "email", "string", 95, 100),
+         ("users", "email", "null", 5, 100)],
+        "collection string, path string, type string, type_pct int, occurrence_pct int")
+    stats = spark.createDataFrame([("users", 1000, 100), ("empty", None, None)],
+                                  "collection string, document_count bigint, sample_size bigint")
+    indexes = spark.createDataFrame([("users", "_id_", [("_id", "1")], True)],
+                                    "collection string, name string, keys array<struct<k:string,v:string>>, unique boolean")
+    lines = collection_lines(profile, stats, indexes).orderBy("sort_key").collect()
+    text = "\n".join(r.text for r in lines).split("\n")
+    assert text[:4] == ["### Collection: empty", "**Document Count**: unknown", "", "---"]
     for line in ["### Collection: users", "**Document Count**: 1,000",
                  "**Fields** (inferred from 100 samples):", "| _id | ObjectId (100%) | 100% |",
                  "| email | string (95%), null (5%) | 100% |", "- `_id_` (UNIQUE): { _id: 1 }"]:
@@ -87,7 +93,7 @@ def test_database_document(spark, tmp_path):
     lines = render_database({"topics": render_objects(topics, "topics"),
                              "key_patterns": render_objects(keys, "key_patterns")},
                             "kafka-cluster", "kafka", "Kafka", totals={"key_patterns": total})
-    md = markdown_text(lines)
+    md = _text(lines)
     for s in ["# Database Schema: kafka-cluster", "**Database Type**: KAFKA", "## Topics (1)",
               "### Topic: user-events", "**Partitions**: 3", "**Replication Factor**: 2",
               "**Configuration**:", "- retention.ms: 604800000",
@@ -99,7 +105,7 @@ def test_database_document(spark, tmp_path):
     write_markdown(lines, out)
     assert spark.read.text(out).count() == len(md.split("\n"))
     empty = render_database({"topics": render_objects(topics.limit(0), "topics")}, "x", "redis")
-    assert "**No schema data available**" in markdown_text(empty)
+    assert "**No schema data available**" in _text(empty)
 
 
 def test_listing(spark):
@@ -108,3 +114,46 @@ def test_listing(spark):
     lines = [r.text for r in render_listing(t, "db").orderBy("sort_key").collect()]
     assert lines == ["# Tables in db", "", "Found 2 table(s):", "",
                      "- **q** (topic)", "- **users**: accounts [1,234 rows]"]
+
+
+def test_null_values_keep_their_lines(spark):
+    tables, cols, idx, fks = _tables(spark)
+    nulls = cols.selectExpr("table", "ordinal", "CAST(NULL AS STRING) AS name", "CAST(NULL AS STRING) AS type",
+                            "CAST(NULL AS BOOLEAN) AS nullable", "default_value", "CAST(NULL AS STRING) AS comment",
+                            "CAST(NULL AS BOOLEAN) AS is_primary_key", "is_auto_increment")
+    blank = idx.selectExpr("table", "CAST(NULL AS STRING) AS name", "CAST(NULL AS ARRAY<STRING>) AS columns",
+                           "is_unique", "is_primary", "type")
+    text = render_table_details(tables, nulls, blank, fks, "db", "users").first().text
+    assert "| unknown | unknown AUTO_INCREMENT | NO | - |  |" in text and "- UNIQUE: `unknown` on ()" in text
+    kinds = {"topics": "topic string, partitions bigint, replication_factor int, config map<string,string>",
+             "queues": "name string, durable boolean, auto_delete boolean, messages bigint, consumers bigint",
+             "exchanges": "name string, type string, durable boolean, auto_delete boolean, internal boolean",
+             "indices": "name string, health string, status string, docs_count bigint, store_size string, "
+                        "primary_shards int, replica_shards int",
+             "prefixes": "prefix string, depth int, count bigint, sample_keys array<string>",
+             "key_patterns": "pattern string, count bigint, types map<string,bigint>, sample_keys array<string>",
+             "views": "name string, schema string, definition string, comment string",
+             "routines": "name string, schema string, return_type string, definition string"}
+    for kind, ddl in kinds.items():
+        n = ddl.count(",") + 1 - ddl.count("map<")
+        full = spark.createDataFrame([(None,) * n], ddl)
+        row = render_objects(full, kind).first()
+        assert row.sort_key is not None and "unknown" in row.text, kind
+
+
+def test_same_names_in_two_schemas(spark):
+    tables = spark.createDataFrame([("a", "t", None, 1), ("b", "t", None, 2)],
+                                   "schema string, table string, comment string, row_count bigint")
+    cols = spark.createDataFrame([("a", "t", 1, "x"), ("b", "t", 1, "y")], "schema string, table string, ordinal int, name string") \
+        .selectExpr("*", "'int' AS type", "true AS nullable", "'' AS default_value", "'' AS comment",
+                    "false AS is_primary_key", "false AS is_auto_increment")
+    idx = spark.createDataFrame([("a", "t", "i", ["x"]), ("b", "t", "i", ["y"])],
+                                "schema string, table string, name string, columns array<string>") \
+        .selectExpr("*", "true AS is_unique", "false AS is_primary", "'' AS type")
+    fks = spark.createDataFrame([], "schema string, table string, name string, columns array<string>, referenced_table string, "
+                                    "referenced_columns array<string>, on_delete string, on_update string")
+    got = {r.schema: ([c.name for c in r.columns], [i["columns"] for i in r.indexes])
+           for r in nest_table_details(tables, cols, idx, fks).collect()}
+    assert got == {"a": (["x"], [["x"]]), "b": (["y"], [["y"]])}
+    page = render_table_details(tables, cols, idx, fks, "db", "t", "b").collect()
+    assert len(page) == 1 and "| y |" in page[0].text
