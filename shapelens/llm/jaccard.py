@@ -16,11 +16,12 @@ at least ceil(p (s + t) / (100 + p)) common shingles for sizes s and t.
 * The boundary is where the cost of both, subsets below and list entries above,
   added up over all sets by size, is least.
 
-Candidates under one key are compared with one pivot, not with each other;
-verified links merge classes, and keys whose sets are all in one class are done.
-That repeats with other pivots as long as classes merge and much is left; then
-the pairs left, each of two different classes, are compared. So no link is lost,
-and a group of near copies costs a multiple of its size, not its square.
+Candidates under one key are first compared with one pivot, the set whose
+shingles are the most widespread, and links found merge classes. What two sets
+share is at most what both share with the pivot plus the shared shingles that
+both have beside it, so most pairs that did not meet through the pivot can't
+link. The pairs left, each of two classes and within that bound, are compared.
+So no link is lost, and a group of near copies costs a multiple of its size.
 
 Shuffled shingles are packed: arrays of numbers for each piece of input and
 slice of the hash range. Every phase ends in a table in the shared folder.
@@ -51,11 +52,11 @@ from shapelens.llm.common import as_bytes, pieces, shared_table
 #: Odd multipliers of the word hashes in a shingle.
 FACTORS = [np.uint64(int.from_bytes(hashlib.sha256(f"shingle {i}".encode()).digest()[:8], "big") | 1) for i in range(64)]
 #: Shingles of one slice of the hash range.
-SLICE = 4_000_000
+SLICE = 2_000_000
 #: Sizes among which the boundary is looked for.
 MOST_LIGHT = 64
 #: Word hashes that a task remembers.
-KEPT = 400_000
+KEPT = 150_000
 
 
 class WordHashes(dict):
@@ -155,7 +156,7 @@ def _packed_sets(docs: DataFrame, text: str, words: int, slots: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for piece in pieces(batch, "t", 16 << 20):
+            for piece in pieces(batch, "t", 8 << 20):
                 sets: dict[bytes, np.ndarray] = {}
                 for t in as_bytes(piece.column("t")):
                     own = shingle_set(t, hashes, words)
@@ -211,7 +212,7 @@ def _shared_shingles(table: pa.Table, slots: int) -> pa.Table:
     return to_batch(rows, PACKED)
 
 
-SETS = "set_id binary, size int, shared int, shingles binary, freqs binary"
+SETS = "set_id binary, size int, shared int, spread bigint, shingles binary, freqs binary"
 
 
 def _linkable(table: pa.Table, percent: int) -> pa.Table:
@@ -229,7 +230,8 @@ def _linkable(table: pa.Table, percent: int) -> pa.Table:
         shared = int(ends[i + 1] - ends[i])
         if shared >= least(int(size[i]), percent):
             part = slice(ends[i], ends[i + 1])
-            rows.append((names[i].tobytes(), int(size[i]), shared, shingles[part].tobytes(), freqs[part].tobytes()))
+            spread = int(freqs[part].sum(dtype=np.int64) * 1000 // size[i])
+            rows.append((names[i].tobytes(), int(size[i]), shared, spread, shingles[part].tobytes(), freqs[part].tobytes()))
     return to_batch(rows, SETS)
 
 
@@ -272,42 +274,47 @@ def _costs(sets: DataFrame, percent: int) -> dict[int, tuple[float, float]]:
 
 
 def _keys(sets: DataFrame, light: int, percent: int) -> DataFrame:
-    """(key, set_id, size, heavy): subsets of light sets; prefix shingles of heavy sets and of those that may link to one."""
+    """(key, set_id, size, shared, spread): subsets of light sets; prefix shingles of heavy sets and of those that may link to one."""
+    ddl = "key binary, set_id binary, size int, shared int, spread bigint"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ddl = "key binary, set_id binary, size int"
         for batch in batches:
             rows: list[tuple] = []
-            for name, size, shared, blob in zip(*(batch.column(c).to_pylist() for c in ("set_id", "size", "shared", "shingles"))):
+            columns = ("set_id", "size", "shared", "spread", "shingles")
+            for *own, blob in zip(*(batch.column(c).to_pylist() for c in columns)):
+                _, size, shared, _ = own
                 shingles = [blob[i:i + 8] for i in range(0, len(blob), 8)]
                 if size <= light:
                     for k in subset_sizes(size, percent):
                         for subset in itertools.combinations(sorted(shingles), k):
-                            rows.append((hashlib.blake2b(b"".join(subset), digest_size=16).digest(), name, size))
+                            rows.append((hashlib.blake2b(b"".join(subset), digest_size=16).digest(), *own))
                             if len(rows) >= 50_000:
                                 yield from to_batch(rows, ddl).to_batches()
                                 rows = []
                 if size >= least(light + 1, percent):
-                    rows += ((x, name, size) for x in shingles[:prefix_length(size, shared, percent)])
+                    rows += ((x, *own) for x in shingles[:prefix_length(size, shared, percent)])
             yield from to_batch(rows, ddl).to_batches()
 
-    return sets.select("set_id", "size", "shared", "shingles").mapInArrow(run, "key binary, set_id binary, size int")
+    return sets.select("set_id", "size", "shared", "spread", "shingles").mapInArrow(run, ddl)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs that link."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, common, linked) of every (a, b) pair of set ids."""
     own = sets.select("set_id", "size", "shingles")
     full = (pairs.join(own.toDF("a", "size_a", "x"), "a").join(own.toDF("b", "size_b", "y"), "b")
             .select("a", "b", "size_a", "size_b", "x", "y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = []
-            for s, t, x, y in zip(*(batch.column(c).to_pylist() for c in ("size_a", "size_b", "x", "y"))):
-                common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                mask.append(100 * common >= percent * (s + t - common))
-            yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
+            common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                      for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            sizes = zip(batch.column("size_a").to_pylist(), batch.column("size_b").to_pylist())
+            linked = [c >= needed(s, t, percent) for c, (s, t) in zip(common, sizes)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(common, pa.int32()), pa.array(linked, pa.bool_())],
+                names=["a", "b", "common", "linked"])
 
-    return full.mapInArrow(run, "a binary, b binary")
+    return full.mapInArrow(run, "a binary, b binary, common int, linked boolean")
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -344,30 +351,38 @@ def classes(docs: DataFrame, *, text: str = "text", words: int = 5, percent: int
     lists = lists.where("n > 1").groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key")
     entries = shared_table(keys.join(lists, "key", "left_semi"), "near-keys")
     labels = shared_table(sets.select("set_id", F.col("set_id").alias("label")), "near-labels")
-    for turn in itertools.count():
-        own = entries.join(labels, "set_id")
-        left = own.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
-            F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        left = shared_table(left.where("k > 1"), "near-left")
-        pairs, rows = left.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.sum("n")).first()
-        if not pairs:
-            break
-        last = pairs <= 4 * rows or turn > 0 and pairs > 0.9 * before
-        before = pairs
-        own = shared_table(own.join(left.select("key"), "key", "left_semi").select("key", "set_id", "size", "label"), "near-open")
-        if last:
-            other = own.toDF("key", "set_id_b", "size_b", "label_b")
-            found = own.join(other, "key").where("label < label_b")
-        else:
-            first = F.min_by(F.struct("set_id", "size", "label"), F.xxhash64(F.lit(turn), "set_id"))
-            pivot = own.groupBy("key").agg(first.alias("p")).select(
-                "key", F.col("p.set_id").alias("set_id_b"), F.col("p.size").alias("size_b"), F.col("p.label").alias("label_b"))
-            found = own.join(shared_table(pivot, "near-pivots"), "key").where("label <> label_b")
-        found = (found.where((F.col("size") * percent <= F.col("size_b") * 100) & (F.col("size_b") * percent <= F.col("size") * 100))
-                 .select(F.least("set_id", "set_id_b").alias("a"), F.greatest("set_id", "set_id_b").alias("b")).distinct())
-        labels = _merge(labels, shared_table(_verified(found, sets, percent), "near-links"))
-        if last:
-            break
+    sized = (F.col("size") * percent <= F.col("size_b") * 100) & (F.col("size_b") * percent <= F.col("size") * 100)
+
+    # Every set of a key against the key's pivot.
+    pivot = entries.groupBy("key").agg(F.max_by(F.struct("set_id", "size"), F.struct("spread", "set_id")).alias("p"))
+    pivot = shared_table(pivot.select("key", F.col("p.set_id").alias("pivot"), F.col("p.size").alias("size_b")), "near-pivots")
+    near = entries.join(pivot, "key")
+    first = near.where((F.col("set_id") != F.col("pivot")) & sized).select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
+    first = shared_table(_compared(first.distinct(), sets, percent), "near-first")
+    labels = _merge(labels, first.where("linked").select("a", "b"))
+
+    # What a set shares with the pivot (inside) and beside it (outside); all of it for both where that is not known.
+    known = near.join(first.select(F.col("a").alias("set_id"), F.col("b").alias("pivot"), "common"), ["set_id", "pivot"], "left")
+    inside = F.coalesce("common", "shared")
+    outside = F.when(F.col("set_id") == F.col("pivot"), 0).otherwise(F.coalesce(F.col("shared") - F.col("common"), F.col("shared")))
+    # Sets with a key in common have its pivot in common: a pair comes up once for a pivot, not once for a key.
+    known = known.join(labels, "set_id").select(
+        "pivot", "set_id", "size", "label", inside.alias("inside"), outside.alias("outside"), "key")
+    known = shared_table(known.groupBy("pivot", "set_id", "size", "label", "inside", "outside").agg(
+        F.collect_set("key").alias("keys")), "near-known")
+    most = known.groupBy("pivot").agg(F.max("outside").alias("most"))
+    can = F.col("inside") + F.least("outside", "most") >= F.ceil(F.col("size") * percent / 100)
+    open_ = known.join(most, "pivot").where(can).drop("most")
+    main = open_.groupBy("pivot", "label").agg(F.count("*").alias("n")).groupBy("pivot").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
+    open_ = shared_table(open_.join(main.where("labels > 1").select("pivot", "main"), "pivot"), "near-open")
+    other = open_.select("pivot", *(F.col(c).alias(f"{c}_b") for c in ("set_id", "size", "label", "inside", "outside", "keys")))
+    bound = F.least("inside", "inside_b") + F.least("outside", "outside_b")
+    pairs = open_.where("label <> main").join(other, "pivot").where(
+        (F.col("label") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("label") < F.col("label_b")))
+        & sized & (bound * (100 + percent) >= percent * (F.col("size") + F.col("size_b"))) & F.arrays_overlap("keys", "keys_b"))
+    pairs = pairs.select(F.least("set_id", "set_id_b").alias("a"), F.greatest("set_id", "set_id_b").alias("b")).distinct()
+    labels = _merge(labels, shared_table(_compared(pairs, sets, percent).where("linked").select("a", "b"), "near-links"))
     many = labels.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
     return labels.join(many, "label", "left_semi").select("set_id", "label")
 
@@ -386,9 +401,10 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", word
     own = own.join(label, "set_id", "left").withColumn("class_id", F.coalesce("label", "set_id"))
     own = shared_table(own, "near-own")
     smallest = own.where("label is not null").groupBy("label").agg(F.min("first").alias("smallest"))
-    own = shared_table(own.join(smallest, "label", "left").select(
-        "set_id", "class_id", F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("smallest")).alias("component_id")),
-        "near-components")
+    alone = own.where("label is null").select("set_id", "class_id", F.col("first").alias("component_id"))
+    linked = own.where("label is not null").join(smallest, "label").select(
+        "set_id", "class_id", F.col("smallest").alias("component_id"))
+    own = shared_table(linked.unionByName(alone), "near-components")
     empty = members.where("set_id is null").select(
         key, "n_shingles", F.col(key).alias("component_id"), "set_id", F.col("set_id").alias("class_id"))
     return (members.where("set_id is not null").join(own, "set_id")
