@@ -15,8 +15,8 @@ KEY_SEPARATORS = (":", "_", "-", ".")
 # A part (at index > 0) counts as an id when it is all digits, or at least six
 # hex digits, or at least ten letters/digits (any case), or ends in a digit
 # and is longer than two characters.
-ID_FULL_PATTERN = r"^(?:[0-9]+|(?i:[0-9a-f]{6,})|(?i:[0-9a-z]{10,}))\z"
-ID_DIGIT_END_PATTERN = r"[0-9]\z"
+# ("%s" stands for any character but the separator).
+ID_PART = r"(?:[0-9]+|[0-9a-fA-F]{6,}|[0-9a-zA-Z]{10,}|%s{2,}[0-9])"
 # Rule 2: letters/underscores followed by digits, any case -> letters + "*".
 NUMBER_SUFFIX_PATTERN = r"(?i)^([a-z_]+)([0-9]+)\z"
 # Rule 3: a letter run followed by 16+ hex digits, any case; then every run of
@@ -31,24 +31,13 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _split_literal(key: Column, sep: str) -> Column:
-    # split() takes a regex; keep trailing empty parts (limit -1).
-    return F.split(key, "[" + sep + "]" if sep in ".-" else sep, -1)
-
-
-def looks_like_id(part: Column) -> Column:
-    """True when a key part looks like an identifier (see fixed values above)."""
-    return part.rlike(ID_FULL_PATTERN) | (
-        part.rlike(ID_DIGIT_END_PATTERN) & (F.length(part) > 2))
-
-
 def _separator_template(key: Column, sep: str) -> Column:
-    parts = _split_literal(key, sep)
-    first_id = F.array_min(F.transform(
-        parts, lambda p, i: F.when((i > 0) & looks_like_id(p), i)))
-    kept = F.array_join(F.slice(parts, F.lit(1), first_id), sep)
-    return F.when(key.contains(sep) & first_id.isNotNull(),
-                  F.concat(kept, F.lit(sep + "*")))
+    """Rule 1 as one match: the least number of parts ahead of an id part, and ``*``."""
+    mark = "[" + sep + "]"
+    other = "[^" + sep + "]"
+    ahead = f"{other}*{mark}(?:{other}*{mark})*?"
+    start = F.regexp_extract(key, rf"^({ahead}){ID_PART % other}(?={mark}|\z)", 1)
+    return F.when(start != "", F.concat(start, F.lit("*")))
 
 
 def key_template(key) -> Column:
