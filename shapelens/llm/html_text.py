@@ -34,7 +34,7 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^\"'>]++)*+)(?:>|\Z)"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -128,9 +128,9 @@ class Page:
                 elif kind == "role":
                     dropped = dropped or value.lower() in DROPPED_ROLES
                 elif kind == "style":
-                    dropped = dropped or re.sub(r"\s", "", value.lower()).find("display:none") >= 0
-                else:
-                    dropped = dropped or kind == "hidden" or value.lower() == "true"
+                    dropped = dropped or "display:none" in re.sub(r"\s", "", value.lower())
+                elif kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
+                    dropped = True
         if not dropped:
             dropped = name in DROPPED_TAGS or self._beside(name, words, at)
         if name in CONTAINERS and not dropped:

@@ -216,6 +216,19 @@ def test_html_templates(spark):
     assert not missed and all("\n".join(want[i].split("\n")[1:]) in got[i] for i in want)
 
 
+@pytest.mark.parametrize("part, kept", [
+    ('<p title="a hidden gem" data-role="alert">x</p>', True), ("<p hidden>x</p>", False), ('<div aria-hidden="true">x</div>', False),
+    ('<div aria-hidden="false" width=3>x</div>', True), ('<div style="color:red; display : none">x</div>', False),
+    ('<div class="adSlot">x</div>', False), ('<div class="gadget address">x</div>', True), ('<section id="comments-1">x</section>', False),
+    ("<div role=navigation>x</div>", False), ("<!-- x --><script>x</script><style>x</style><noscript>x</noscript>", False),
+    ("<table><tr><td>x</td></tr></table>", True), ("<select><option>x</select>", False), ("<details><summary>x</summary></details>", True),
+    ('<a title="1 > 0" href=\'"\'>x</a>', True)])
+def test_parts_beside_the_article(part, kept):
+    from shapelens.llm.html_text import Page
+    page = f"<body><article><p>{'long text ' * 9}</p>{part}<p>end</p></article></body>"
+    assert Page(page).text(None).split("\n")[1:-1] == ["x"] * kept
+
+
 def test_water_fill():
     assert mixture.water_fill([100, 100], [3, 1], 100, 2) == [75.0, 25.0]
     assert mixture.water_fill([10, 100, 100], [5, 2, 1], 300, 2) == [20.0, pytest.approx(280 * 2 / 3), pytest.approx(280 / 3)]
