@@ -26,7 +26,6 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.cteRecursionRowLimit", "-1")
         .config("spark.driver.memory", "8g")
     )
     spark = builder.getOrCreate()
