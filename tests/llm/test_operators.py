@@ -229,6 +229,15 @@ def test_parts_beside_the_article(part, kept):
     assert Page(page).text(None).split("\n")[1:-1] == ["x"] * kept
 
 
+def test_malformed_pages():
+    from shapelens.llm.html_text import Page
+    assert Page('<p>one<p class="x>two<p>three').text(None) == "one\ntwo\nthree"
+    assert Page("<div><p>a < b <3 & c &lt;d&gt;</div></div></p>tail<i").text(None) == "a < b <3 & c <d>"
+    assert Page("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>").text(None) == "a\nb\nc\nd"
+    assert Page("x<script>never closed <p>y").text(None) == "x" and Page("<" * 5000).text(None) == "<" * 5000
+    assert Page("<div>" * 3000 + "deep").text(None) == "deep"
+
+
 def test_water_fill():
     assert mixture.water_fill([100, 100], [3, 1], 100, 2) == [75.0, 25.0]
     assert mixture.water_fill([10, 100, 100], [5, 2, 1], 300, 2) == [20.0, pytest.approx(280 * 2 / 3), pytest.approx(280 / 3)]
