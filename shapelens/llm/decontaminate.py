@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shapelens.llm.common import as_bytes, pieces, scratch_name
+from shapelens.llm.common import as_bytes, pieces, scratch_name, tidy
 
 WINDOW = 10
 SHINGLE = 3
@@ -68,7 +68,7 @@ def _windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["id", "w"])
 
     return (items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("id"), F.col(text).alias("t"))
-            .mapInArrow(run, "id bigint, w binary").groupBy("w").agg(F.collect_set("id").alias("ids")))
+            .mapInArrow(tidy(run), "id bigint, w binary").groupBy("w").agg(F.collect_set("id").alias("ids")))
 
 
 def _frequencies(docs: DataFrame, text: str, tokens: set[tuple[bytes, ...]]) -> dict[tuple[bytes, ...], int]:
@@ -87,7 +87,7 @@ def _frequencies(docs: DataFrame, text: str, tokens: set[tuple[bytes, ...]]) ->
             [pa.array([b" ".join(t) for t in total], pa.binary()), pa.array(list(total.values()), pa.int64())],
             names=["token", "n"])
 
-    rows = docs.select(F.col(text).alias("t")).mapInArrow(count, "token binary, n bigint")
+    rows = docs.select(F.col(text).alias("t")).mapInArrow(tidy(count), "token binary, n bigint")
     found = rows.groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row for a token of the block at most
     return {tuple(bytes(r.token).split(b" ")): r.n for r in found}
 
@@ -184,6 +184,6 @@ def _search(rows: DataFrame, kept: list[str], names: tuple[str, str, str], prefi
 
     schema = rows.select(*kept).schema
     if last:
-        return rows.mapInArrow(run, StructType([*schema, *StructType.fromDDL(
+        return rows.mapInArrow(tidy(run), StructType([*schema, *StructType.fromDDL(
             "n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<start:int,words:int>>")]))
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)

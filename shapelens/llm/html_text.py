@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelens.llm.common import ascii_lower, pieces, scratch_name, shared_table
+from shapelens.llm.common import ascii_lower, pieces, scratch_name, shared_table, tidy
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -244,7 +244,7 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", text: str
                  pa.array(list(totals.values()), pa.int64())], names=names)
 
     votes = (rows.select(F.col(host).alias("host"), F.col(html).alias("html"))
-             .mapInArrow(vote, "host string, path string, n bigint")
+             .mapInArrow(tidy(vote), "host string, path string, n bigint")
              .groupBy("host", "path").agg(F.sum("n").alias("n")))
     best = votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), "path")).alias(path))
     best = shared_table(best.withColumnRenamed("host", host), "host-paths")
@@ -261,4 +261,4 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html", text: str
 
     joined = (rows.select(*kept, F.col(html).alias(body), host, spread.alias(salt))
               .join(best, [host, salt], "left").select(*kept, body, path))
-    return joined.mapInArrow(again, pages.select(*kept).schema.add(text, "string"))
+    return joined.mapInArrow(tidy(again), pages.select(*kept).schema.add(text, "string"))

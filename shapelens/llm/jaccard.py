@@ -29,8 +29,9 @@ slice of the hash range. Every phase ends in a table in the shared folder.
 Edge cases: null, empty and blank texts have no shingles, size 0, no links and
 themselves as component; fewer words than a shingle make one shingle; the
 smallest key ignores nulls, and a class of null keys has a null component;
-repeated rows are copies; other columns pass through. Hashes have 64 bits, so
-counts are exact but for collisions within a pair (about 1 in 10^16).
+repeated rows are copies; other columns pass through. Hashes have 48 bits, six
+bytes in a shuffle, so a pair of sets of 500 shingles is judged by one shingle
+too many about once in 10^9 pairs.
 """
 
 from __future__ import annotations
@@ -47,12 +48,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shapelens.llm.common import as_bytes, pieces, shared_table
+from shapelens.llm.common import as_bytes, pieces, shared_table, tidy, tidy_group
 
 #: Odd multipliers of the word hashes in a shingle.
 FACTORS = [np.uint64(int.from_bytes(hashlib.sha256(f"shingle {i}".encode()).digest()[:8], "big") | 1) for i in range(64)]
 #: Shingles of one slice of the hash range.
-SLICE = 2_000_000
+SLICE = 3_000_000
 #: Sizes among which the boundary is looked for.
 MOST_LIGHT = 64
 #: Word hashes that a task remembers.
@@ -84,7 +85,7 @@ def shingle_set(text: bytes, hashes: WordHashes, words: int) -> np.ndarray:
     total = np.full(count, np.uint64(n))
     for j in range(n):
         total += h[j:j + count] * FACTORS[j]
-    return np.unique(mixed(total))
+    return np.unique(mixed(total) >> np.uint64(16))
 
 
 def digest(shingles: np.ndarray) -> bytes | None:
@@ -121,15 +122,25 @@ def sign(docs: DataFrame, *, text: str = "text", words: int = 5, keep: list[str]
                      pa.array(map(digest, sets), pa.binary())], names=[*kept, "n_shingles", "set_id"])
 
     schema = StructType([*docs.select(*kept).schema, *StructType.fromDDL("n_shingles bigint, set_id binary")])
-    return docs.select(*read).mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(tidy(run), schema)
 
 
 PACKED = "slot int, ids binary, sizes binary, counts binary, shingles binary, freqs binary"
 
 
+def six_bytes(shingles: np.ndarray) -> bytes:
+    return np.ascontiguousarray(shingles).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six_bytes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def packed(slot: int, ids, sizes, counts, shingles, freqs=None) -> tuple:
     return (slot, ids.tobytes(), sizes.astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(),
-            shingles.tobytes(), b"" if freqs is None else freqs.astype(np.uint32).tobytes())
+            six_bytes(shingles), b"" if freqs is None else freqs.astype(np.uint32).tobytes())
 
 
 def to_batch(rows: list[tuple], ddl: str) -> pa.Table:
@@ -141,14 +152,15 @@ def to_batch(rows: list[tuple], ddl: str) -> pa.Table:
 
 def unpacked(table: pa.Table):
     """The packed rows of a group, joined: ids (n x 2 numbers), sizes, counts, shingles, freqs."""
-    def of(name, kind):
-        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    return of("ids", np.uint64).reshape(-1, 2), of("sizes", np.uint32), of("counts", np.uint32), of("shingles", np.uint64), of("freqs", np.uint32)
+    def of(name: str) -> bytes:
+        return b"".join(table.column(name).to_pylist())
+    return (np.frombuffer(of("ids"), np.uint64).reshape(-1, 2), np.frombuffer(of("sizes"), np.uint32),
+            np.frombuffer(of("counts"), np.uint32), from_six_bytes(of("shingles")), np.frombuffer(of("freqs"), np.uint32))
 
 
 def dealt(order_key: np.ndarray, slots: int) -> np.ndarray:
-    """The slice of the hash range of each number."""
-    return ((order_key >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+    """The slice of the range of 48-bit hashes that each is in."""
+    return ((order_key >> np.uint64(16)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
 
 
 def _packed_sets(docs: DataFrame, text: str, words: int, slots: int) -> DataFrame:
@@ -156,7 +168,7 @@ def _packed_sets(docs: DataFrame, text: str, words: int, slots: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for piece in pieces(batch, "t", 8 << 20):
+            for piece in pieces(batch, "t", 4 << 20):
                 sets: dict[bytes, np.ndarray] = {}
                 for t in as_bytes(piece.column("t")):
                     own = shingle_set(t, hashes, words)
@@ -180,7 +192,7 @@ def _packed_sets(docs: DataFrame, text: str, words: int, slots: int) -> DataFram
                         rows.append(packed(i, ids[has], sizes[has], counts[has], shingles[part]))
                 yield from to_batch(rows, PACKED).to_batches()
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, PACKED)
+    return docs.select(F.col(text).alias("t")).mapInArrow(tidy(run), PACKED)
 
 
 def _shared_shingles(table: pa.Table, slots: int) -> pa.Table:
@@ -200,7 +212,7 @@ def _shared_shingles(table: pa.Table, slots: int) -> pa.Table:
     freq[order] = np.repeat(lengths, lengths)
     both = freq > 1
     owner, shingles, freq = owner[both], shingles[both], freq[both]
-    slot = dealt(mixed(ids[owner, 0]), slots)
+    slot = dealt(mixed(ids[owner, 0]) >> np.uint64(16), slots)
     order = np.argsort(slot, kind="stable")
     ends = np.searchsorted(slot[order], np.arange(slots + 1))
     rows = []
@@ -269,7 +281,7 @@ def _costs(sets: DataFrame, percent: int) -> dict[int, tuple[float, float]]:
                 [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.float64()))],
                 names=["size", "light", "heavy"])
 
-    rows = sets.where(F.col("size") <= MOST_LIGHT).select("size", "shared", "freqs").mapInArrow(run, "size int, light double, heavy double")
+    rows = sets.where(F.col("size") <= MOST_LIGHT).select("size", "shared", "freqs").mapInArrow(tidy(run), "size int, light double, heavy double")
     return {r[0]: (r[1], r[2]) for r in rows.groupBy("size").agg(F.sum("light"), F.sum("heavy")).collect()}
 
 
@@ -295,7 +307,7 @@ def _keys(sets: DataFrame, light: int, percent: int) -> DataFrame:
                     rows += ((x, *own) for x in shingles[:prefix_length(size, shared, percent)])
             yield from to_batch(rows, ddl).to_batches()
 
-    return sets.select("set_id", "size", "shared", "spread", "shingles").mapInArrow(run, ddl)
+    return sets.select("set_id", "size", "shared", "spread", "shingles").mapInArrow(tidy(run), ddl)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -314,7 +326,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 [batch.column("a"), batch.column("b"), pa.array(common, pa.int32()), pa.array(linked, pa.bool_())],
                 names=["a", "b", "common", "linked"])
 
-    return full.mapInArrow(run, "a binary, b binary, common int, linked boolean")
+    return full.mapInArrow(tidy(run), "a binary, b binary, common int, linked boolean")
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -341,8 +353,8 @@ def classes(docs: DataFrame, *, text: str = "text", words: int = 5, percent: int
     if shingles is None:
         shingles = sign(docs, text=text, words=words, keep=[]).agg(F.sum("n_shingles")).first()[0]
     slots = max(16, -(-(shingles or 0) // SLICE))
-    shared = _packed_sets(docs, text, words, slots).groupBy("slot").applyInArrow(lambda t: _shared_shingles(t, slots), PACKED)
-    sets = shared_table(shared.groupBy("slot").applyInArrow(lambda t: _linkable(t, percent), SETS), "near-sets")
+    shared = _packed_sets(docs, text, words, slots).groupBy("slot").applyInArrow(tidy_group(lambda t: _shared_shingles(t, slots)), PACKED)
+    sets = shared_table(shared.groupBy("slot").applyInArrow(tidy_group(lambda t: _linkable(t, percent)), SETS), "near-sets")
     light = boundary(_costs(sets, percent))
     keys = _keys(sets, light, percent)
     # Keys with the same sets give the same candidates: one of them is enough, and none if it has one set.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapelens.llm.common import pieces, unit_hash
+from shapelens.llm.common import pieces, tidy, unit_hash
 
 DIM = 1024
 N = 3
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Colum
                 schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.int64()))]))
 
     total = (rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-             .mapInArrow(bundle, "lang string, v array<bigint>")
+             .mapInArrow(tidy(bundle), "lang string, v array<bigint>")
              .select("lang", F.posexplode("v").alias("i", "x"))
              .groupBy("lang", "i").agg(F.sum("x").alias("x")))
     out: dict[str, np.ndarray] = {}
@@ -200,4 +200,4 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text: str =
                     names=[*kept, lang_pred, score])
 
     schema = docs.select(*kept).schema.add(lang_pred, "string").add(score, "double")
-    return docs.select(*read).mapInArrow(predict, schema)
+    return docs.select(*read).mapInArrow(tidy(predict), schema)

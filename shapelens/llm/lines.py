@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shapelens.llm.common import pieces, scratch_name, shared_table
+from shapelens.llm.common import pieces, scratch_name, shared_table, tidy
 from shapelens.llm.decontaminate import words_of
 
 SEPARATORS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t]*(?:\n[ \t]*)+")}
@@ -80,7 +80,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", unit: str
     found = rows.where(F.col(own_text).isNotNull()).select(
         F.col(own_key).alias("k"), F.col(mark).alias("h"), F.col(own_text).alias("t"))
     schema = StructType([*StructType.fromDDL("digest binary"), *found.select("k", "h").schema, *StructType.fromDDL("i int")])
-    table = shared_table(found.mapInArrow(split, schema), "units")
+    table = shared_table(found.mapInArrow(tidy(split), schema), "units")
     rank = F.struct(F.col("k").isNull().alias("none"), "k", "h", "i")
     first = table.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     later = (table.join(shared_table(first, "unit-firsts"), "digest").where(rank != F.col("first"))
@@ -104,4 +104,4 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", unit: str
 
     schema = StructType([*docs.select(*kept).schema, *StructType.fromDDL(
         "n_units bigint, kept_text string, removed array<struct<start:int,end:int>>")])
-    return joined.select(*kept, own_text, gone).mapInArrow(cut, schema)
+    return joined.select(*kept, own_text, gone).mapInArrow(tidy(cut), schema)

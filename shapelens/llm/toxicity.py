@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapelens.llm.common import unit_hash
+from shapelens.llm.common import tidy, unit_hash
 
 SLOTS = 1 << 18
 LATENT = 8
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays(
                 [batch.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["y", "slots"])
 
-    found = rows.mapInArrow(slots, "y int, slots array<int>")
+    found = rows.mapInArrow(tidy(slots), "y int, slots array<int>")
     counts = found.groupBy("y").agg(F.count("*").alias("n"))
     n = {r.y: r.n for r in counts.collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays(
                 [batch.column("y"), pa.array(own, pa.list_(pa.int32()))], names=["y", "f"])
 
-    data = rows.mapInArrow(features, "y int, f array<int>").collect()
+    data = rows.mapInArrow(tidy(features), "y int, f array<int>").collect()
     data.sort(key=lambda r: (r.y, r.f))  # the same order on each run
     bias, weight, latent = train_rows([r.f for r in data], np.array([r.y for r in data], float),
                                       np.array([r.r * START for r in ratios], float), seed)
@@ -191,4 +191,4 @@ def score(docs: DataFrame, machine: Machine, *, text: str = "text", keep: list[s
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(machine.score(rows), pa.float64())], names=[*kept, score])
 
-    return docs.select(*read).mapInArrow(run, docs.select(*kept).schema.add(score, "double"))
+    return docs.select(*read).mapInArrow(tidy(run), docs.select(*kept).schema.add(score, "double"))

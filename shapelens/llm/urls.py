@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelens.llm.common import ascii_lower, scratch_name
+from shapelens.llm.common import ascii_lower, scratch_name, tidy
 
 SLOTS = 1 << 16
 GRAMS = (3, 4, 5)
@@ -135,4 +135,4 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, url: str =
     address = F.coalesce(F.regexp_extract(F.col(url), r"(?s)://([^/?#]*)", 1), F.lit(""))
     path = F.coalesce(F.regexp_extract(F.col(url), r"(?s)://[^/?#]*([^?#]*)", 1), F.lit(""))
     rows = pages.select(*kept, ascii_lower(address).alias(h), path.alias(p))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
