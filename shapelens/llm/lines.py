@@ -9,6 +9,12 @@ the others are removed, wherever they stand. The rest of a text is its kept
 units joined as before; the removed spans are given in characters (code points)
 of the original text.
 
+With unit ``passage`` the parts of lines count too. A line's words are cut where
+the hash of three words is the least among its ``REACH`` neighbours on either
+side, so a cut depends on the words near it alone and a passage is cut alike in
+whatever line it stands. Parts are ranked as lines are, and successive parts that
+occur earlier go if they have ``min_run`` words together; lines go as before.
+
 Edge cases: a null text stays null and an empty one empty, without spans; rows
 equal in key and text are one document to the ranking, so each comes out with
 the same units; a text may lose all its units and is then empty; an empty table
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +36,9 @@ from pyspark.sql.types import StructType
 from shapelens.llm.common import pieces, scratch_name, shared_table, tidy
 from shapelens.llm.decontaminate import words_of
 
+#: A part of a line has more words than this, but for the first and the last one.
+REACH = 4
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SEPARATORS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t]*(?:\n[ \t]*)+")}
 
 
@@ -43,6 +53,72 @@ def unit_digest(unit: str, min_words: int) -> bytes | None:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if len(words) >= min_words else None
 
 
+def parts(line: str) -> list[tuple[int, int, bytes, int]]:
+    """(start, end, digest, words) of each part of a line; the parts cover it from its first word to its end."""
+    found = [(m.start(), m[0].encode("utf-8", "surrogatepass").lower()) for m in WORD.finditer(line)]
+    n = len(found)
+    if not n:
+        return []
+    marks = [zlib.crc32(b" ".join(w for _, w in found[i:i + 3])) for i in range(n - 2)]
+    cuts = [0]
+    for i in range(REACH, len(marks) - REACH):
+        if marks[i] == min(marks[i - REACH:i + REACH + 1]) and i - cuts[-1] > REACH:
+            cuts.append(i)
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], n]):
+        own = b"part " + b" ".join(w for _, w in found[a:b])
+        out.append((found[a][0], found[b][0] if b < n else len(line), hashlib.blake2b(own, digest_size=16).digest(), b - a))
+    return out
+
+
+def marked(text: str, kind: str, min_words: int) -> list[tuple[int, int, bytes | None, int]]:
+    """(start, end, digest, words) of each unit; of kind ``passage``, each line (words 0) and then its parts."""
+    if kind != "passage":
+        return [(a, b, unit_digest(text[a:b], min_words), 0) for a, b in units(text, kind)]
+    out = []
+    for a, b in units(text, "line"):
+        line = text[a:b]
+        out.append((a, b, unit_digest(line, min_words), 0))
+        out += ((a + start, a + end, own, n) for start, end, own, n in parts(line))
+    return out
+
+
+def cut_passages(text: str, min_run: int, found: list[tuple[int, int, bytes | None, int]],
+                 removed: set[int]) -> tuple[int, str, list[tuple[int, int]]]:
+    """Number of lines, the text without removed lines and runs of parts, and the spans removed."""
+    lines: list[tuple[int, int]] = []
+    gone: set[int] = set()
+    runs: dict[int, list[list[int]]] = {}  # line: [start, end, words]
+    last = -1
+    for i, (start, end, _, words) in enumerate(found):
+        if not words:
+            lines.append((start, end))
+            if i in removed:
+                gone.add(len(lines) - 1)
+        elif i in removed:
+            own = runs.setdefault(len(lines) - 1, [])
+            if own and last == i - 1:
+                own[-1][1:] = [end, own[-1][2] + words]
+            else:
+                own.append([start, end, words])
+            last = i
+    out, spans, before = [], [], None
+    for i, (start, end) in enumerate(lines):
+        if i in gone:
+            spans.append((start, end))
+            continue
+        if before is not None:
+            out.append(text[lines[i - 1][1]:start])
+        before = i
+        for a, b, words in runs.get(i, ()):
+            if words >= min_run:
+                out.append(text[start:a])
+                spans.append((a, b))
+                start = b
+        out.append(text[start:end])
+    return len(lines), "".join(out), spans
+
+
 def without(text: str, spans: list[tuple[int, int]], removed: set[int]) -> str:
     """The text without the removed units and without a separator for each."""
     out, last = [], None
@@ -56,7 +132,7 @@ def without(text: str, spans: list[tuple[int, int]], removed: set[int]) -> str:
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = 5,
-          keep: list[str] | None = None) -> DataFrame:
+          min_run: int = 15, keep: list[str] | None = None) -> DataFrame:
     """Append n_units, kept_text and removed (array of start, end) to the ``keep`` columns (all) of every row."""
     kept = [c for c in keep or docs.columns if c.lower() not in ("n_units", "kept_text", "removed")]
     own_key, own_text, mark, gone, k, h = (scratch_name(docs, c) for c in ("own_key", "own_text", "mark", "gone", "k", "h"))
@@ -67,8 +143,8 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", unit: str
             for piece in pieces(batch, "t"):
                 at, place, digests = [], [], []
                 for r, t in enumerate(piece.column("t").to_pylist()):
-                    for i, (start, end) in enumerate(units(t, unit)):
-                        if found := unit_digest(t[start:end], min_words):
+                    for i, (_, _, found, words) in enumerate(marked(t, unit, min_words)):
+                        if found and not 0 < words < min_words:
                             at.append(r)
                             place.append(i)
                             digests.append(found)
@@ -92,8 +168,14 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", unit: str
             for piece in pieces(batch, own_text):
                 counts, texts, spans = [], [], []
                 for t, drop in zip(piece.column(own_text).to_pylist(), piece.column(gone).to_pylist()):
-                    own = units(t, unit) if t else []
                     drop = set(drop or ())
+                    if unit == "passage":
+                        n, rest, own = cut_passages(t, min_run, marked(t, unit, min_words), drop) if t else (0, t, [])
+                        counts.append(n)
+                        texts.append(rest)
+                        spans.append([{"start": a, "end": b} for a, b in own])
+                        continue
+                    own = units(t, unit) if t else []
                     counts.append(len(own))
                     texts.append(without(t, own, drop) if drop else t)
                     spans.append([{"start": own[i][0], "end": own[i][1]} for i in sorted(drop)])

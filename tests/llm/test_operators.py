@@ -263,3 +263,29 @@ def test_families_stay_whole(spark):
     assert sizes[0] == 300 and len(sizes) == 601
     assert jaccard.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).agg(
         F.count("*"), F.min("doc_id")).first()[:] == (601, 0)
+
+
+def test_passages_inside_lines(spark):
+    """Passages of 60 words planted in the middle of otherwise unlike lines: the first one stays, the others go."""
+    from shapelens.llm import lines
+    rng = random.Random(5)
+
+    def words(n):
+        return [f"w{rng.randint(0, 99999)}" for _ in range(n)]
+
+    planted = [words(60) for _ in range(40)]
+    texts = [" ".join(words(rng.randint(20, 200)) + planted[i % 40] + words(rng.randint(20, 200))) + "\nown line" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in lines.dedup(docs, unit="passage").collect()}
+    caught = 0
+    for i, text in enumerate(texts):
+        kept, own = got[i].kept_text, " ".join(planted[i % 40])
+        cut = [text[s.start:s.end] for s in got[i].removed]
+        rest = text
+        for s in sorted(got[i].removed, key=lambda s: -s.start):
+            rest = rest[:s.start] + rest[s.end:]
+        assert kept == rest and all(c.strip() in own for c in cut) and got[i].n_units == 2
+        assert i >= 40 or kept == text
+        caught += i >= 40 and own not in kept and sum(len(c.split()) for c in cut) >= 15
+    assert caught >= 0.95 * 160
+    assert sum(own in r.kept_text for own in [" ".join(p) for p in planted] for r in got.values()) <= 40 + 8
