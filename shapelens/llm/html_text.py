@@ -7,7 +7,11 @@ text below it, less link text. A container's path is the list of tags and
 classes down to it, without digits, so that pages of one template share it.
 Spark adds up the scores' shares by host and path; the path with the largest
 total wins. Second pass: the text below every container at its host's winning
-path, or, in a page that has none with text, below the page's own best container.
+path, or, in a page where that holds less than half of the text of the page's own
+best container, below that one. From there the text widens to all ancestors, as
+parts beside the article are left out already: titles, leads and sections outside
+the container come too. Only blocks out there that are mostly links, but for
+headings, are menus without a mark and stay out, as does text outside every block element.
 
 Text blocks end where a block element begins or ends. Character references are
 decoded, white space in a block is one space, blocks are joined by one newline.
@@ -47,6 +51,7 @@ CONTAINERS = frozenset("article body center div html main section table tbody td
 #: A start tag ends an open element of these names, if no container or list stands between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
         "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("article aside body details div dl fieldset figure footer form header html main menu nav ol "
                    "section table td th ul".split())
 
@@ -69,6 +74,8 @@ class Page:
     def __init__(self, source: str):
         self.containers: list[tuple[int, str, float]] = [(-1, "", 0.5)]
         self.blocks: list[tuple[str, int, int]] = []
+        self.headings: set[int] = set()  # numbers of blocks
+        self.loose: set[int] = set()  # blocks outside every block element
         self._open: list[tuple[str, int, bool]] = []  # name, container, dropped
         self._text: list[str] = []
         self._linked = 0
@@ -80,6 +87,10 @@ class Page:
             text = " ".join(entities.unescape("".join(self._text)).split())
             if text:
                 at = self._open[-1][1] if self._open else 0
+                if any(x[0] in HEADINGS for x in self._open):
+                    self.headings.add(len(self.blocks))
+                if not any(x[0] in BLOCKS for x in self._open):
+                    self.loose.add(len(self.blocks))
                 self.blocks.append((text, max(0, len(text) - self._linked), at))
             self._text, self._linked = [], 0
 
@@ -203,19 +214,26 @@ class Page:
         return {p: round(1e6 * s / total) for p, s in by_path.items() if s > 0} if total > 0 else {}
 
     def text(self, path: str | None) -> str:
-        """Text below the containers at ``path``; without any, below the best one."""
-        found = self._below({i for i, c in enumerate(self.containers) if c[1] == path})
-        if not found and self.blocks:
-            scores = self.scores()
-            found = self._below({scores.index(max(scores))})
-        return "\n".join(found)
-
-    def _below(self, tops: set[int]) -> list[str]:
-        inside = set()
+        """Text of the containers at ``path``, or of the best one if they hold too little, and around them."""
+        if not self.blocks:
+            return ""
+        inside = self._below({i for i, c in enumerate(self.containers) if c[1] == path})
+        scores = self.scores()
+        best = self._below({scores.index(max(scores))})
+        if 2 * self._held(inside) < self._held(best) or not any(at in inside for _, _, at in self.blocks):
+            inside = best
+        return "\n".join(text for i, (text, own, at) in enumerate(self.blocks)
+                         if at in inside or i in self.headings or i not in self.loose and 2 * own >= len(text))
+
+    def _held(self, inside: set[int]) -> int:
+        return sum(own for _, own, at in self.blocks if at in inside)
+
+    def _below(self, tops: set[int]) -> set[int]:
+        inside: set[int] = set()
         for i, (parent, _, _) in enumerate(self.containers):
             if i in tops or parent in inside:
                 inside.add(i)
-        return [text for text, _, at in self.blocks if at in inside]
+        return inside
 
 
 def extract(pages: DataFrame, *, url: str = "url", html: str = "html", text: str = "text",

@@ -289,3 +289,20 @@ def test_passages_inside_lines(spark):
         caught += i >= 40 and own not in kept and sum(len(c.split()) for c in cut) >= 15
     assert caught >= 0.95 * 160
     assert sum(own in r.kept_text for own in [" ".join(p) for p in planted] for r in got.values()) <= 40 + 8
+
+
+def test_html_keeps_what_is_around_the_container(spark):
+    """Titles and leads outside the winning container, and pages of a second template with a few words at its path."""
+    from shapelens.llm import html_text
+    rng = random.Random(2)
+    rows, want = [], {}
+    for i in range(40):
+        t, lead, p, q = (" ".join(f"w{rng.randint(0, 999)}" for _ in range(n)) for n in (4, 12, 60, 60))
+        if i % 8:
+            body = f"<div class=wrap><h1><a href=/>{t}</a></h1><div class=lead><p>{lead}</div><div class=post-{i}><p>{p}<p>{q}</div></div>"
+        else:
+            body = f"<div class=wrap><h1><a href=/>{t}</a></h1><div class=post-{i}>{lead}</div></div><div class=long><p>{p}<p>{q}</div>"
+        rows.append((i, f"http://c.example/{i}", f"<body><ul><li><a href=/a>one</a><li><a href=/b>two</a></ul>{body}<footer>end</footer>"))
+        want[i] = f"{t}\n{lead}\n{p}\n{q}"
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == want
