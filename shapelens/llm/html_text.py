@@ -2,7 +2,8 @@
 
 First pass: each page is read into blocks of text inside containers (article,
 main, section, div, ...), without parts that are menus, footers, adverts, forms
-and so on by their tag, role, class or id. Each container gets a score from the
+and so on by their tag, role, class or id; class and id are weighed against the
+text, so that no word there takes out most of a page. Each container gets a score from the
 text below it, less link text. A container's path is the list of tags and
 classes down to it, without digits, so that pages of one template share it.
 Spark adds up the scores' shares by host and path; the path with the largest
@@ -55,7 +56,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("article aside body details div dl fieldset figure footer form header html main menu nav ol "
                    "section table td th ul".split())
 
-DROPPED_TAGS = frozenset("aside audio button canvas dialog footer form menu nav object select svg video".split())
+DROPPED_TAGS = frozenset("aside audio button canvas dialog footer menu nav object select svg video".split())
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu navigation search".split())
 #: Words in a class or id that mark parts beside the article; the second list as beginnings.
 DROPPED_WORDS = frozenset(
@@ -64,6 +65,13 @@ DROPPED_WORDS = frozenset(
 DROPPED_STARTS = ("adsense", "advert", "breadcrumb", "comment", "cookie", "disqus", "footer", "masthead", "navbar",
                   "navig", "newsletter", "notification", "pagina", "promo", "recommend", "related", "sharing",
                   "sidebar", "sponsor", "subscri")
+#: Words that begin like the ones above and mean something else.
+OTHER_WORDS = frozenset("commentaries commentary commentator pagina paginas relatedness".split())
+#: Of the words above, those that stand in the class or id of text as well: such an element goes if it is short or mostly links.
+WEAK_WORDS = frozenset("legal notice notices widget widgets".split())
+WEAK_STARTS = ("notification", "recommend", "related")
+#: Characters beside links that keep an element marked by a weak word.
+ENOUGH = 140
 HEADS = frozenset(("banner", "header"))
 ARTICLE_WORDS = frozenset("article content entry main post story text body".split())
 
@@ -76,7 +84,10 @@ class Page:
         self.blocks: list[tuple[str, int, int]] = []
         self.headings: set[int] = set()  # numbers of blocks
         self.loose: set[int] = set()  # blocks outside every block element
-        self._open: list[tuple[str, int, bool]] = []  # name, container, dropped
+        self._open: list[tuple[str, int, bool, int]] = []  # name, container, dropped, mark
+        self._marks: list[tuple[int, str]] = []  # parent, kind of the marked elements
+        self._marked: list[int] = []  # of each block
+        self._articles: set[int] = set()  # marks around an article or main
         self._text: list[str] = []
         self._linked = 0
         self._links = 0
@@ -91,6 +102,7 @@ class Page:
                     self.headings.add(len(self.blocks))
                 if not any(x[0] in BLOCKS for x in self._open):
                     self.loose.add(len(self.blocks))
+                self._marked.append(self._open[-1][3] if self._open else -1)
                 self.blocks.append((text, max(0, len(text) - self._linked), at))
             self._text, self._linked = [], 0
 
@@ -102,9 +114,9 @@ class Page:
 
     def _close(self, i: int) -> None:
         """Ends the open elements from the i-th on."""
-        if any(name in BLOCKS for name, _, _ in self._open[i:]):
+        if any(name in BLOCKS for name, _, _, _ in self._open[i:]):
             self._flush()
-        self._links -= sum(name == "a" for name, _, _ in self._open[i:])
+        self._links -= sum(name == "a" for name, _, _, _ in self._open[i:])
         del self._open[i:]
 
     def _find(self, names: set[str] | frozenset[str], scopes: frozenset[str]) -> int | None:
@@ -126,7 +138,7 @@ class Page:
             self._add("\n")
         if name in VOID:
             return
-        at, dropped = self._open[-1][1:] if self._open else (0, False)
+        at, dropped, mark = self._open[-1][1:] if self._open else (0, False, -1)
         words: set[str] = set()
         classes = ""
         if rest and not dropped:
@@ -143,27 +155,73 @@ class Page:
                 elif kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
                     dropped = True
         if not dropped:
-            dropped = name in DROPPED_TAGS or self._beside(name, words, at)
+            dropped = name in DROPPED_TAGS
+        if not dropped:
+            kind = self._beside(name, words, at)
+            if kind:
+                self._marks.append((mark, kind))
+                mark = len(self._marks) - 1
+            elif name in ("article", "main") and mark >= 0:
+                self._articles.add(mark)
         if name in CONTAINERS and not dropped:
             label = ".".join([name, *sorted({re.sub(r"\d+", "", c) for c in classes.split()} - {""})])
             weight = {"article": 1.5, "main": 1.3, "body": 0.7, "html": 0.5}.get(name, 1.25 if words & ARTICLE_WORDS else 1.0)
             self.containers.append((at, f"{self.containers[at][1]}>{label}", weight))
             at = len(self.containers) - 1
         self._links += name == "a"
-        self._open.append((name, at, dropped))
+        self._open.append((name, at, dropped, mark))
 
-    def _beside(self, name: str, words: set[str], at: int) -> bool:
-        """Whether an element of that name, with these words in class and id, stands beside the article."""
+    def _beside(self, name: str, words: set[str], at: int) -> str:
+        """How an element of that name, with these words in class and id, is marked as beside the article, if so."""
         if name in ("html", "body"):
-            return False
+            return ""
+        words = words - OTHER_WORDS
         if any(w.startswith("comment") for w in words):
-            return True
+            return "plain" if name in ("article", "main") else "comment"
         if name in ("article", "main"):
-            return False
+            return ""
+        if name == "form":
+            return "plain"
         if name == "header" or words & HEADS and not words & ARTICLE_WORDS:
             inside = f"{self.containers[at][1]}>"
-            return not (">article" in inside or ">main" in inside)
-        return bool(words & DROPPED_WORDS) or any(w.startswith(DROPPED_STARTS) for w in words)
+            return "" if ">article" in inside or ">main" in inside else "plain"
+        found = {w for w in words if w in DROPPED_WORDS or w.startswith(DROPPED_STARTS)}
+        weak = {w for w in found if w in WEAK_WORDS or w.startswith(WEAK_STARTS)}
+        return "plain" if found - weak else "weak" if weak else ""
+
+    def _drop_marked(self) -> None:
+        """Takes out the blocks of marked elements, but for those that hold the page's text.
+
+        An element stays that holds an article or main, or most of the page's
+        text beside links; comments, which may be longer than the article, stay
+        if next to nothing else is there; an element with a weak mark also stays
+        if it is no short text and no list of links.
+        """
+        if not self._marks:
+            return
+        n = len(self._marks)
+        size, held = [0] * n, [0] * n
+        for (text, own, _), m in zip(self.blocks, self._marked):
+            if m >= 0:
+                size[m] += len(text)
+                held[m] += own
+        around = [m in self._articles for m in range(n)]
+        for m in range(n - 1, -1, -1):  # parents come before their children
+            up, kind = self._marks[m]
+            if up >= 0:
+                size[up] += size[m]
+                held[up] += held[m]
+                around[up] = around[up] or around[m] and kind != "comment"
+        total = sum(own for _, own, _ in self.blocks)
+        gone = [False] * n
+        for m, (up, kind) in enumerate(self._marks):
+            most = 10 * held[m] > 9 * total if kind == "comment" else 2 * held[m] > total
+            text = kind == "weak" and held[m] >= ENOUGH and 2 * held[m] >= size[m]
+            gone[m] = up >= 0 and gone[up] or not (most or text or around[m] and kind != "comment")
+        stay = [i for i, m in enumerate(self._marked) if m < 0 or not gone[m]]
+        self.headings = {k for k, i in enumerate(stay) if i in self.headings}
+        self.loose = {k for k, i in enumerate(stay) if i in self.loose}
+        self.blocks = [self.blocks[i] for i in stay]
 
     def _end(self, name: str) -> None:
         if name in BLOCKS:
@@ -195,6 +253,7 @@ class Page:
             else:
                 self._begin(name, m["rest"] or m["rest2"] or "")
         self._flush()
+        self._drop_marked()
 
     def scores(self) -> list[float]:
         """Of each container: text below it, less links, nine tenths for each container between."""

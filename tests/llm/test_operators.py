@@ -306,3 +306,28 @@ def test_html_keeps_what_is_around_the_container(spark):
         want[i] = f"{t}\n{lead}\n{p}\n{q}"
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
     assert got == want
+
+
+LEAD, ARTICLE = "lead text of the page", "long text of the article " * 12
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='elementor-widget'>{}</div>", "<div class='text-widget'><article>{}</article></div>", "<div id=pagina>{}</div>",
+    "<div class=commentary>{}</div>", "<main class='post comments-open'>{}</main>", "<form>{}</form>",
+    "<div>{}</div><section class=related-work>{}</section>", "<div>{}</div><section id=recommendations>{}</section>",
+    "<div>{}</div><section class=legal>{}</section>", "<article>{}<div class=notice>{}</div></article>",
+    "<div class=header-wrap><main>{}</main></div>"])
+def test_marks_do_not_take_the_text(page):
+    from shapelens.llm.html_text import Page
+    body = f"<p>{LEAD}<p>{ARTICLE}"
+    got = Page("<body>" + page.replace("{}", body) + "<div class=legal>terms</div></body>").text(None)
+    assert got == "\n".join([LEAD, ARTICLE.strip()] * page.count("{}"))
+
+
+@pytest.mark.parametrize("part", [
+    f"<div class=comments><p>{ARTICLE * 3}</div>", "<div class=related><a href=/x>{}</a></div>".format(ARTICLE),
+    f"<section id=comments><article class=comment-body>{ARTICLE}</article></section>", "<div class=widget>short</div>",
+    "<form>mail</form>", "<div class=commentlist>x</div>", "<div class=pagination>1 2 3</div>"])
+def test_marked_parts_still_go(part):
+    from shapelens.llm.html_text import Page
+    assert Page(f"<body><div><p>{ARTICLE}</div>{part}</body>").text(None) == ARTICLE.strip()
