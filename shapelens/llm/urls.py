@@ -4,10 +4,12 @@ A rule (host, path, verdict) fits a URL if the URL's host is the rule's or a
 subdomain of it and the URL's path starts with the rule's; the longest rule
 (host and path together) decides, an equally long one by the smaller text. A
 URL that no rule fits is judged by a logistic regression on hashed character
-n-grams of host and path, trained from a small labelled URL table.
+n-grams of host and path, trained from a small labelled URL table. The sums of
+host and path are divided each by the root of its own number of n-grams, so that
+no long path outweighs the host; n-grams that tell nothing leave the bias, allow.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, which
-no rule with a host fits; its score is the regression's bias alone; long URLs
+no rule with a host fits; its score is 0 and its verdict allow; long URLs
 are read whole; repeated rows are judged each; other columns pass through.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shapelens.llm.common import ascii_lower, scratch_name, tidy
 
-SLOTS = 1 << 16
+SLOTS = 1 << 18
 GRAMS = (3, 4, 5)
 #: Beginnings of host names of the small labelled table, by verdict.
 BLOCKED_NAMES = (
@@ -45,23 +47,58 @@ ALLOWED_NAMES = (
 ).split()
 
 
+#: Paths that tell the verdict, on hosts that don't.
+BLOCKED_PATHS = (
+    "/casino/ /casino/bonus /free-bets /bets/live-odds /porn/ /porn/videos.html /xxx/ /xxx-videos/12 /sex-chat /sex/cams "
+    "/poker/room /online-poker.html /slots/free-spins /jackpot /lottery/win-prize /viagra /buy-pills /cheap-pills.html "
+    "/pharma/no-prescription /payday-loans /adult/ /adult-video/3 /escort /warez/crack-keys /keygen /torrent/warez "
+    "/phish/login-verify /malware/download.exe /replica-watches /gambling/ /betting/tips /ads/banner /popup/track"
+).split()
+ALLOWED_PATHS = (
+    "/about /about-us.html /contact /articles/history-of-the-town /blog/2021/05/a-walk-in-the-hills /news/world "
+    "/research/papers /docs/manual /wiki/Main_Page /library/catalogue /recipes/bread-and-soup /science/physics "
+    "/school/courses /health/children /travel/mountains /music/concerts /sports/results /weather/today /help "
+    "/archive/1998 /books/novels /museum/visit /language/grammar /community/events /garden/plants /index.html /search"
+).split()
+PLAIN_HOSTS = ("www.example.org", "example.com", "site.example.net", "pages.org", "www.home.net")
+#: Log odds of a URL whose n-grams tell nothing.
+PRIOR = -1.0
+#: A slot has a weight if its shares in both verdicts differ by a factor of e^TELLING.
+TELLING = 0.7
+#: Short paths that tell nothing.
+PLAIN_PATHS = ("/en/1", "/fr/20.html", "/de/300/", "/es/4000", "/en/77.html", "/p/123", "/a/b/c.html", "/x/y/z/", "/videos/9.html", "/tips/")
+#: A long path that tells nothing: both verdicts have its words.
+PLAIN_WORDS = (
+    "the of and to in is that for it as with on by from at which this all their more one when has been other about into "
+    "time only some could these two may then first any new work years our over such most people after also many well "
+    "der die und das nicht von mit ist les des une est que pour dans los las una por con para como page part item list"
+).split()
+
+
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: each name on several hosts and paths, 1 for block."""
-    hosts = ("www.{}.example.com", "{}.example.org", "blog.{}.example.net", "m.{}.com", "{}.net")
-    paths = ("/", "/en/1", "/fr/20.html", "/de/300/", "/es/4000")
-    return [(f"https://{h.format(name)}{p}", y) for y, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES))
-            for name in names for h, p in zip(hosts, paths)]
-
-
-def slots(host: str, path: str) -> list[int]:
-    """Distinct hashed n-grams of host and path, marked by part."""
-    out = set()
-    for part, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
-        for n in GRAMS:
-            out.update(part + text[i:i + n] for i in range(len(text) - n + 1))
+    """The small labelled table, 1 for block: each name on several hosts and plain paths, each telling path on plain hosts."""
+    hosts = ("www.{}.example.com", "{}.example.org", "blog.{}.example.net", "m.{}.com", "{}.net", "www.{}.org")
+    long = ["/" + "-".join(PLAIN_WORDS[(7 * i + 3 * j) % len(PLAIN_WORDS)] for j in range(30)) for i in range(len(PLAIN_WORDS))]
+    out = []
+    for y, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)):
+        for i, name in enumerate(names):
+            paths = ("/", *(PLAIN_PATHS[(i + k) % len(PLAIN_PATHS)] for k in range(4)), long[i % len(long)])
+            out += [(f"https://{h.format(name)}{p}", y) for h, p in zip(hosts, paths)]
+    out += [(f"https://{h}{p}", y) for y, paths in ((1, BLOCKED_PATHS), (0, ALLOWED_PATHS)) for h in PLAIN_HOSTS for p in paths]
+    return out + [(f"https://{h}{p}", 0) for h in PLAIN_HOSTS for p in ("", "/", *PLAIN_PATHS, *long)]
+
+
+def grams(mark: str, text: str) -> list[int]:
+    """Distinct hashed n-grams of a part of the URL."""
+    text = f"^{text}$"
+    out = {mark + text[i:i + n] for n in GRAMS for i in range(len(text) - n + 1)}
     return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % SLOTS for g in out})
 
 
+def slots(host: str, path: str) -> tuple[list[int], list[int]]:
+    return grams("h", host), grams("p", path)
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     _, mark, rest = (url or "").partition("://")
     end = min((i for i in (rest.find(c) for c in "/?#") if i >= 0), default=len(rest))
@@ -73,23 +110,39 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def train(labelled: Iterable[tuple[str, int]], epochs: int = 300, rate: float = 0.5,
           decay: float = 1e-4) -> tuple[float, np.ndarray]:
-    """Bias and weights by gradient descent on the labelled table (bounded: it is an argument)."""
+    """Bias and weights, by gradient descent on the labelled table (bounded: it is an argument).
+
+    The bias is not learnt: telling n-grams raise or lower it. Slots that both verdicts have alike keep weight 0.
+    """
     table = [(slots(*split_url(u)), y) for u, y in labelled]
     if not table:
-        return -1.0, np.zeros(SLOTS)
-    row = np.repeat(np.arange(len(table)), [len(s) for s, _ in table])
-    col = np.concatenate([np.array(s, np.int64) for s, _ in table])
+        return PRIOR, np.zeros(SLOTS)
+    parts = [s for both, _ in table for s in both]
+    sizes = np.array([len(s) for s in parts])
+    row = np.repeat(np.arange(len(parts)) // 2, sizes)
+    col = np.concatenate([np.array(s, np.int64) for s in parts])
+    scale = np.repeat(1 / np.sqrt(sizes.clip(1)), sizes)
     y = np.array([y for _, y in table], float)
-    scale = 1 / np.sqrt(np.bincount(row, minlength=len(table)).clip(1))
-    weight, bias = np.zeros(SLOTS), 0.0
+    share = [(np.bincount(col, (y == v)[row], SLOTS) + 0.5) / ((y == v).sum() + 1) for v in (0, 1)]
+    known = np.abs(np.log(share[1] / share[0])) >= TELLING
+    weight, bias = np.zeros(SLOTS), PRIOR
     for _ in range(epochs):
-        z = bias + np.bincount(row, weight[col], len(y)) * scale
+        z = bias + np.bincount(row, weight[col] * scale, len(y))
         error = 1 / (1 + np.exp(-z)) - y
-        weight -= rate * (np.bincount(col, (error * scale)[row], SLOTS) / np.sqrt(len(y)) + decay * weight)
-        bias -= rate * error.mean()
+        weight -= known * rate * (np.bincount(col, error[row] * scale, SLOTS) / np.sqrt(len(y)) + decay * weight)
     return bias, weight
 
 
+def score_of(host: str, path: str, bias: float, weight: np.ndarray) -> float:
+    """Score of the regression; 0 without host and path."""
+    if not host and not path:
+        return 0.0
+    z = bias
+    for part in slots(host, path):
+        z += weight[part].sum() / max(1, len(part)) ** 0.5
+    return float(1 / (1 + np.exp(-z)))
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, url: str = "url",
           labelled: Iterable[tuple[str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
     """Append host, path, rule, score (of the regression, 0 to 1) and verdict to every row.
@@ -116,11 +169,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, url: str =
         for batch in batches:
             out: list[list] = [[] for _ in added]
             for host, path in zip(batch.column(h).to_pylist(), batch.column(p).to_pylist()):
-                own = slots(host, path) if host or path else []
-                z = bias + weight[own].sum() / max(1, len(own)) ** 0.5
-                score = float(1 / (1 + np.exp(-z)))
+                score = score_of(host, path, bias, weight)
                 rule = fits(host, path)
-                verdict = rule[1] if rule else "block" if score >= threshold else "allow"
+                verdict = rule[1] if rule else "block" if (host or path) and score >= threshold else "allow"
                 for column, value in zip(out, (host, path, rule and rule[0], score, verdict)):
                     column.append(value)
             types = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]

@@ -331,3 +331,24 @@ def test_marks_do_not_take_the_text(page):
 def test_marked_parts_still_go(part):
     from shapelens.llm.html_text import Page
     assert Page(f"<body><div><p>{ARTICLE}</div>{part}</body>").text(None) == ARTICLE.strip()
+
+
+def test_urls_beyond_the_table(spark):
+    """Names that are not in the labelled table, telling and long paths, and null URLs."""
+    from shapelens.llm import urls
+    blocked = "super-casino poker-stars-bonus porn-videos sex-cams-live betting-odds lotto-jackpot viagra-pills spam-links".split()
+    allowed = "ceramics telescope marathon vineyard lighthouse dentistry botanist violin archery knitting ththon erthan".split()
+    assert not {*blocked, *allowed} & {*urls.BLOCKED_NAMES, *urls.ALLOWED_NAMES}
+    slug = "/" + "-".join(f"{a}-{b}" for a in "old river stones under bright morning sky".split() for b in "walk tree lamp field".split())
+    rows = [(f"https://{h.format(n)}{p}", v) for v, names in (("block", blocked), ("allow", allowed)) for n in names
+            for h in ("www.{}.example.org", "{}.com") for p in ("/", "/en/5", slug)]
+    sure = [("http://www.example.org/casino/free-bets", "block"), ("http://www.example.org/porn/xxx-videos.html", "block"),
+            ("http://www.museum.example.com" + slug * 4, "allow"), ("http://en.wikipedia.org" + slug, "allow"),
+            ("http://www.ththre.example.org/en/1" + "abcde" * 100, "allow"), (None, "allow"), ("no mark", "allow")]
+    table = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows + sure)], "page_id int, url string")
+    got = {r.page_id: (r.verdict, r.score) for r in urls.judge(table, []).collect()}
+    right = [got[i][0] == v for i, (_, v) in enumerate(rows)]
+    print("accuracy", sum(right), len(right), [rows[i] for i, ok in enumerate(right) if not ok])
+    assert sum(right) >= 0.9 * len(right)
+    assert [got[len(rows) + i][0] for i in range(len(sure))] == [v for _, v in sure]
+    assert all((v == "block") == (s >= 0.5) for v, s in got.values())
