@@ -63,6 +63,28 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def byte_table(*parting: tuple[int, int]) -> bytes:
+    """Table for ``bytes.translate``: bytes in the ranges become spaces, A-Z lower case."""
+    out = bytearray(range(256))
+    out[65:91] = range(97, 123)
+    for first, last in parting:
+        out[first:last + 1] = b" " * (last + 1 - first)
+    return bytes(out)
+
+
+def word_lists(raw: bytes, table: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """All words of a text, in lists from some ``most`` bytes each, so that a very long text is no long list."""
+    raw, start = raw.translate(table), 0
+    while len(raw) - start > most:
+        end = raw.rfind(b" ", start, start + most)
+        end = end if end > start else raw.find(b" ", start + most)
+        if end < 0:
+            break
+        yield raw[start:end].split()
+        start = end
+    yield raw[start:].split()
+
+
 def scratch_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have (whatever the case)."""
     taken, name = {c.lower() for c in df.columns}, stem
