@@ -29,6 +29,7 @@ beside ``keep`` are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -43,9 +44,9 @@ from shapelens.llm.common import as_bytes, pieces, tidy
 #: Bytes of an id in the column ``ids`` (unsigned, little-endian).
 WIDTH = 4
 #: Words remembered in each of the two caches of a task.
-REMEMBERED = 400_000
-#: Letters (ASCII, or two bytes of Latin-1) and then closing marks.
-LETTERS_MARKS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]+)")
+REMEMBERED = 600_000
+#: Letters (ASCII, or two bytes of Latin-1) and then ASCII marks or nothing.
+LETTERS_MARKS = re.compile(rb"((?:[a-zA-Z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 
 
 class Words(dict):
@@ -53,28 +54,43 @@ class Words(dict):
 
     The tokenizer's rules part a text at white space and drop it; no merge, special
     token, composed letter or look-ahead reaches over it. They also part letters from the
-    marks after them, and lower-case all, so ``Abc.`` is ``abc`` and ``.``.
+    marks after them, and lower-case all, so ``Abc.`` is ``abc`` and ``.``. To a run of
+    lower-case letters all rules before the merges do nothing but write its bytes as
+    letters, so it goes to the merges at once (``merge``); all else through all rules.
     """
 
-    def __init__(self, encode):
-        self.encode, self.parts = encode, {}
-
-    def _part(self, part: bytes) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            found = np.array(self.encode(part.decode("utf-8", "replace")), "<u4").tobytes()
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            if len(part) <= 64:
-                self.parts[part] = found
-        return found
+    def __init__(self, tokenizer):
+        self.tokenizer, self.merge, self.letters, self.marks = tokenizer, tokenizer.model.tokenize, {}, {}
+        # Byte-level BPE writes a byte as its Latin-1 character, one that doesn't print as the next from U+0100 on.
+        plain = [b for b in range(256) if 0x21 <= b <= 0x7E or b >= 0xA1 and b != 0xAD]
+        self.written = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+    def _all_rules(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         parted = LETTERS_MARKS.fullmatch(word) if len(word) <= 64 else None
-        found = self._part(parted[1].lower()) + self._part(parted[2]) if parted else self._part(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
+        if parted is None:
+            found = self._all_rules(word)
+        else:
+            low = parted[1].decode().lower()
+            found = self.letters.get(low)
+            if found is None:
+                written = low if low.isascii() else low.encode().decode("latin-1").translate(self.written)
+                found = array("I", [t.id for t in self.merge(written)]).tobytes()
+                if len(self.letters) >= REMEMBERED:
+                    self.letters.clear()
+                self.letters[low] = found
+            if parted[2]:
+                marks = self.marks.get(parted[2])
+                if marks is None:
+                    marks = self._all_rules(parted[2])
+                    if len(self.marks) < REMEMBERED:
+                        self.marks[parted[2]] = marks
+                found += marks
         if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
             self[word] = found
         return found
 
@@ -89,8 +105,7 @@ def word_encoder(path: str | None) -> Words:
     if path is None:
         import public_tokenizers
         path = public_tokenizers.path("word_bpe_49k.json")
-    tokenizer = Tokenizer.from_file(path)
-    return Words(lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
+    return Words(Tokenizer.from_file(path))
 
 
 class Piece:
