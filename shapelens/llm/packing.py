@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shapelens.llm.common import as_bytes, pieces, tidy
+from shapelens.llm.common import as_bytes, pieces, scratch_name, tidy
 
 #: Bytes of an id in the column ``ids`` (unsigned, little-endian).
 WIDTH = 4
@@ -206,6 +206,7 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacity:
     """
     added = ("start", "length", "doc_tokens", "sequence_id", "offset", "ids")
     kept = [c for c in keep or [key] if c.lower() not in added]
+    own = scratch_name(docs, "own_text")
     end = np.array([end_id], "<u4").tobytes()
     schema = StructType([*docs.select(*kept).schema, *StructType.fromDDL(
         "start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")])
@@ -234,13 +235,13 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacity:
 
         for batch in batches:
             types = [batch.schema.field(i).type for i in range(len(kept))]
-            for piece in pieces(batch, "_text"):
+            for piece in pieces(batch, own):
                 values = zip(*(piece.column(i).to_pylist() for i in range(len(kept)))) if kept else [()] * piece.num_rows
-                for value, raw in zip(values, as_bytes(piece.column("_text"))):
+                for value, raw in zip(values, as_bytes(piece.column(own))):
                     ids = words.ids(raw) + end
                     yield from done(packer.add((*value, len(ids) // WIDTH), ids))
         yield from done(packer.close())
         if rows:
             yield out()
 
-    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(tidy(run), schema)
+    return docs.select(*kept, F.col(text).alias(own)).mapInArrow(tidy(run), schema)
