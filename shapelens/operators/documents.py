@@ -1,11 +1,11 @@
 """Schema inference over document collections (O-18..O-20, O-32, O-33).
 
 Documents are VARIANT values; text is parsed by ``try_parse_json`` first, so one
-rule says what is valid. A small Arrow function lists the paths of a document
-(any depth); values and types come from the VARIANT itself, so dates, long
-decimals and numbers beyond double range stay what they are. Counts per (path,
-type) combine inside each task, so the shuffle moves one partial count per
-(path, type) per task, whatever the skew of paths.
+rule says what is valid. Paths and types are those of a document's shape
+(``functions.shapes``): documents are counted by shape, with partial counts
+inside each task, and each distinct shape is walked once. So a profile costs one
+parse of each document, its shuffle moves a row for each shape and task, and
+nothing leaves the JVM.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapelens.functions.flatten import leaf_paths, value_at
-from shapelens.functions.values import pct, value_type
+from shapelens.functions.shapes import is_object, leaf_type, leaves, shape, shape_leaves, whole_doubles
+from shapelens.functions.values import pct
 
 #: Type given to documents that are no objects, in rows without a path.
 NO_OBJECT = "no object"
@@ -30,24 +30,43 @@ def as_variant(docs: DataFrame, doc_col: str) -> Column:
     return F.try_parse_json(F.col(doc_col).cast("string"))
 
 
-def _with_paths(docs: DataFrame, doc_col: str, keep: Sequence[str]) -> DataFrame:
-    """``keep`` + ``_doc`` and ``_paths`` (null unless the document is an object)."""
-    return docs.select(*keep, as_variant(docs, doc_col).alias("_doc")) \
-        .withColumn("_paths", leaf_paths(F.col("_doc")))
-
-
 def flatten_documents(docs: DataFrame, doc_col: str = "doc",
                       keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Nested objects -> one row per dotted leaf path (O-33).
 
     Returns ``keep`` columns + ``(path, value VARIANT)``. Arrays, nulls and
-    dates are leaves; empty objects yield nothing; any depth. A key with a dot
-    can collide with a nested path (``{"a.b": 1, "a": {"b": 2}}``): the one
-    with fewer levels stays.
+    dates are leaves; empty objects yield nothing; any depth, any characters in
+    keys. A key with a dot can collide with a nested path (``{"a.b": 1, "a":
+    {"b": 2}}``): the one with fewer levels stays.
     """
-    rows = _with_paths(docs, doc_col, keep).select(*keep, "_doc", F.explode("_paths").alias("_steps"))
-    return rows.select(*keep, F.array_join("_steps", ".").alias("path"),
-                       value_at(F.col("_doc"), F.col("_steps")).alias("value"))
+    rows = docs.select(*keep, F.explode(leaves(as_variant(docs, doc_col))).alias("_leaf"))
+    return rows.select(*keep, F.col("_leaf.path").alias("path"), F.col("_leaf.value").alias("value"))
+
+
+def document_shapes(docs: DataFrame, doc_col: str = "doc", by: Sequence[str] = ()) -> DataFrame:
+    """``by`` + ``(_shape, _wholes)`` of each document; null shape for a null document."""
+    parsed = docs.select(*by, as_variant(docs, doc_col).alias("_doc"))
+    shaped = parsed.withColumn("_shape", shape("_doc"))
+    return shaped.select(*by, "_shape", whole_doubles("_doc", "_shape").alias("_wholes"))
+
+
+def typed_paths(shapes: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` + ``(path, type)`` for each leaf of each row's shape, and a row with null path for the row itself.
+
+    The row with null path has a null type for an object and ``NO_OBJECT`` for anything else.
+    """
+    own = F.struct(F.lit(None).cast("string").alias("path"), F.when(~is_object("_shape"), NO_OBJECT).alias("type"))
+    found = F.transform(F.coalesce(shape_leaves("_shape"), F.array()),
+                        lambda r: F.struct(r["path"].alias("path"), leaf_type(r, F.col("_wholes")).alias("type")))
+    return shapes.select(*keep, F.inline(F.array_append(found, own)))
+
+
+def _shape_counts(docs: DataFrame, doc_col: str, by: Sequence[str]) -> DataFrame:
+    return document_shapes(docs, doc_col, by).groupBy(*by, "_shape", "_wholes").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _counted(shapes: DataFrame, by: Sequence[str]) -> DataFrame:
+    return typed_paths(shapes, [*by, "_n"]).groupBy(*by, "path", "type").agg(F.sum("_n").alias("type_count"))
 
 
 def path_type_counts(docs: DataFrame, doc_col: str = "doc",
@@ -57,47 +76,27 @@ def path_type_counts(docs: DataFrame, doc_col: str = "doc",
     Rows without a path count the documents of each group: those that are
     objects under the null type, the others under ``NO_OBJECT``.
     """
-    by = list(by)
-    none = F.array().cast("array<array<string>>")
-    each = F.array_append(F.coalesce("_paths", none), F.lit(None).cast("array<string>"))
-    rows = _with_paths(docs, doc_col, by).select(
-        *by, "_doc", F.col("_paths").isNull().alias("_other"), F.explode(each).alias("_steps"))
-    kind = F.when(F.col("_steps").isNotNull(), value_type(value_at(F.col("_doc"), F.col("_steps")))) \
-        .when(F.col("_other"), F.lit(NO_OBJECT))
-    return rows.select(*by, F.array_join("_steps", ".").alias("path"), kind.alias("type")) \
-        .groupBy(*by, "path", "type").agg(F.count(F.lit(1)).alias("type_count"))
+    return _counted(_shape_counts(docs, doc_col, by), by)
 
 
 def object_documents(docs: DataFrame, doc_col: str = "doc", by: Sequence[str] = ()) -> DataFrame:
     """``by`` + number of documents that are objects (``docs``) and that aren't (``others``)."""
-    doc = as_variant(docs, doc_col)
-    is_object = F.coalesce(F.startswith(F.to_json(doc), F.lit("{")), F.lit(False))
-    return docs.select(*by, is_object.alias("_is")).groupBy(*by).agg(
+    own = is_object(shape(as_variant(docs, doc_col)))
+    return docs.select(*by, own.alias("_is")).groupBy(*by).agg(
         F.count_if("_is").alias("docs"), F.count_if(~F.col("_is")).alias("others"))
 
 
-def field_profile(docs: DataFrame, doc_col: str = "doc",
-                  by: Sequence[str] = ()) -> DataFrame:
-    """Per path and type: counts and percentages (O-18).
-
-    ``doc_col`` is VARIANT or JSON text. Returns ``by`` + ``(path, type,
-    type_count, type_pct, occurrences, occurrence_pct)``; ``type_pct`` is
-    relative to the path's occurrences, ``occurrence_pct`` to all object
-    documents (of the group). Documents that are no objects are not profiled;
-    ``object_documents`` counts them. Document totals are a second, light
-    aggregate, so no intermediate result is stored and no job runs before the
-    caller's own.
-    """
+def with_percentages(counts: DataFrame, objects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Field-profile columns from the rows of ``path_type_counts`` and ``by`` + ``_docs`` of the object documents."""
     by = list(by)
-    per_type = path_type_counts(docs, doc_col, by).where(F.col("path").isNotNull())
-    per_path = per_type.withColumn(
+    per_type = counts.where(F.col("path").isNotNull()).withColumn(
         "occurrences", F.sum("type_count").over(Window.partitionBy(*by, "path")))
-    totals = object_documents(docs, doc_col, by).select(*by, F.col("docs").alias("_docs"))
     if by:
-        per_path = per_path.join(totals, by)
+        same = [F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
+        per_type = per_type.alias("p").join(objects.alias("t"), same).select("p.*", "_docs")
     else:
-        per_path = per_path.withColumn("_docs", totals.scalar())
-    return per_path.select(
+        per_type = per_type.withColumn("_docs", objects.select("_docs").scalar())
+    return per_type.select(
         *by, "path", "type",
         F.col("type_count").cast("bigint"),
         pct(F.col("type_count"), F.col("occurrences")).alias("type_pct"),
@@ -105,6 +104,24 @@ def field_profile(docs: DataFrame, doc_col: str = "doc",
         pct(F.col("occurrences"), F.col("_docs")).alias("occurrence_pct"))
 
 
+def field_profile(docs: DataFrame, doc_col: str = "doc",
+                  by: Sequence[str] = ()) -> DataFrame:
+    """Per path and type: counts and percentages (O-18).
+
+    ``doc_col`` is VARIANT or JSON text. Returns ``by`` + ``(path, type,
+    type_count, type_pct, occurrences, occurrence_pct)``; ``type_pct`` is
+    relative to the path's occurrences, ``occurrence_pct`` to all object
+    documents (of the group). Documents that are no objects are not profiled;
+    ``object_documents`` counts them. Totals come from the counts by shape
+    (Spark reuses their exchange), so documents are parsed once and no job runs
+    before the caller's own.
+    """
+    shapes = _shape_counts(docs, doc_col, by)
+    # No filter, which Spark would push below the exchange that both sides share.
+    objects = shapes.groupBy(*by).agg(F.coalesce(F.sum(F.when(is_object("_shape"), F.col("_n"))), F.lit(0)).alias("_docs"))
+    return with_percentages(_counted(shapes, by), objects, by)
+
+
 def document_columns(profile: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Field profile -> canonical column rows (O-20).
 

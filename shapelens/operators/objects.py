@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelens.functions.flatten import leaf_paths, value_at
+from shapelens.functions.shapes import depth, entries, shape
 from shapelens.functions.values import format_bytes
 from shapelens.operators.documents import as_variant
 from shapelens.session import union_all
@@ -114,34 +114,35 @@ def flatten_mapping(df: DataFrame, index_col: str = "index",
     """Search-engine mapping trees -> one row per field (O-41).
 
     A field is whatever stands under a ``properties`` key (of the root or of
-    another field) or under a field's ``fields`` key. So every leaf of the
-    mapping names the fields above it: the beginnings of its keys that alternate
-    ``properties`` and a name, the last pair with ``fields`` for a multi-field.
-    Type ``object`` (multi-fields: ``unknown``) where none is given; comment
-    ``Analyzer: x``. Mappings that don't parse have no fields;
-    ``unparsable_mappings`` lists them.
+    another field) or under a field's ``fields`` key. The tree is walked level by
+    level, so each field is met once: a step adds the fields under the
+    ``properties`` of the last level's. Type ``object`` (multi-fields:
+    ``unknown``) where none is given; comment ``Analyzer: x``. Mappings that
+    don't parse have no fields; ``unparsable_mappings`` lists them.
     """
-    leaves = _mapping_docs(df, index_col, mapping_col).select(
-        "index", "mapping", F.explode(leaf_paths(F.col("mapping"), empty=True)).alias("steps"))
-    # Beginnings of even length, with what their odd places say.
-    ends = F.filter(F.sequence(F.lit(2), F.greatest(F.size("steps"), F.lit(2)), F.lit(2)),
-                    lambda n: n <= F.size("steps"))
-    own = leaves.select("index", "mapping", F.explode(F.transform(
-        ends, lambda n: F.slice("steps", 1, n))).alias("steps"))
-    odd = F.filter("steps", lambda s, i: i % 2 == 0)
-    above = F.slice(odd, 1, F.size(odd) - 1)
-    last = F.element_at(odd, -1)
-    is_field = F.forall(above, lambda s: s == "properties") & (
-        (last == "properties") | ((last == "fields") & (F.size(odd) > 1)))
-    names = F.array_join(F.filter("steps", lambda s, i: i % 2 == 1), ".")
-    fields = own.where(is_field).withColumns({"path": names, "multi": last == "fields"})
-    given = F.try_variant_get(value_at(F.col("mapping"), F.col("steps")), "$.type", "string")
-    analyzer = F.try_variant_get(value_at(F.col("mapping"), F.col("steps")), "$.analyzer", "string")
-    named = fields.select(
-        "index", "path", "multi",
-        F.coalesce(given, F.when(F.col("multi"), "unknown").otherwise("object")).alias("type"),
-        F.when(~F.col("multi"), F.concat(F.lit("Analyzer: "), analyzer)).alias("comment"))
-    return named.distinct().select("index", "path", "type", F.lit(True).alias("nullable"), "comment")
+    def under(path: Column, spec: Column, key: str) -> Column:
+        inner = entries(F.try_variant_get(spec, f"$.{key}", "variant"))
+        found = F.transform(inner, lambda e: F.struct(F.concat_ws(".", path, e["key"]).alias("path"), e["value"].alias("spec")))
+        return F.coalesce(found, F.array())
+
+    def step(state: Column, _: Column) -> Column:
+        return F.struct(F.concat(state["all"], state["last"]).alias("all"), F.flatten(F.transform(
+            state["last"], lambda f: under(f["path"], f["spec"], "properties"))).alias("last"))
+
+    top = under(F.lit(None).cast("string"), F.col("mapping"), "properties")
+    start = F.struct(F.slice(top, 1, 0).alias("all"), top.alias("last"))
+    levels = F.sequence(F.lit(1), F.greatest(F.coalesce(depth(shape("mapping")), F.lit(1)), F.lit(1)))
+    fields = F.aggregate(levels, start, step, lambda s: F.concat(s["all"], s["last"]))
+    given = lambda spec, key: F.try_variant_get(spec, f"$.{key}", "string")
+    named = lambda f: F.struct(
+        f["path"].alias("path"), F.coalesce(given(f["spec"], "type"), F.lit("object")).alias("type"),
+        F.concat(F.lit("Analyzer: "), given(f["spec"], "analyzer")).alias("comment"))
+    multi = lambda f: F.transform(under(f["path"], f["spec"], "fields"), lambda m: F.struct(
+        m["path"].alias("path"), F.coalesce(given(m["spec"], "type"), F.lit("unknown")).alias("type"),
+        F.lit(None).cast("string").alias("comment")))
+    rows = F.array_distinct(F.concat(F.transform("fields", named), F.flatten(F.transform("fields", multi))))
+    return (_mapping_docs(df, index_col, mapping_col).withColumn("fields", fields)
+            .select("index", F.inline(rows)).select("index", "path", "type", F.lit(True).alias("nullable"), "comment"))
 
 
 def unparsable_mappings(df: DataFrame, index_col: str = "index",

@@ -11,13 +11,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shapelens.functions.keys import key_template
-from shapelens.functions.values import pct
-from shapelens.operators.documents import path_type_counts
+from shapelens.operators.documents import document_shapes, typed_paths, with_percentages
 from shapelens.session import ensure_checkpoint_dir
 
 
@@ -46,25 +45,19 @@ def stream_key_templates(stream: DataFrame, ts_col: str, key_col: str,
 def stream_field_profile(stream: DataFrame, json_col: str) -> DataFrame:
     """Running (path, type, type_count) over message bodies (O-48).
 
-    The batch path counts, aggregated in the stream's state: one count per
-    (path, type). The row with null path and type counts object documents.
-    Percentages are computed on read with ``profile_percentages``.
+    Each document's shape is walked where it is read, so the stream's state is one
+    count per (path, type), however many shapes there are. The row with null path
+    and type counts object documents. Percentages are computed on read with
+    ``profile_percentages``.
     """
-    return path_type_counts(stream, json_col)
+    return typed_paths(document_shapes(stream, json_col), []).groupBy("path", "type").agg(
+        F.count(F.lit(1)).alias("type_count"))
 
 
 def profile_percentages(counts: DataFrame) -> DataFrame:
     """Field-profile percentages from a snapshot of ``stream_field_profile``."""
-    per_type = counts.where(F.col("path").isNotNull())
-    docs = counts.where(F.col("path").isNull() & F.col("type").isNull()).select(
-        F.coalesce(F.sum("type_count"), F.lit(0))).scalar()
-    with_occ = per_type.withColumn(
-        "occurrences", F.sum("type_count").over(Window.partitionBy("path")))
-    return with_occ.select(
-        "path", "type", F.col("type_count").cast("bigint"),
-        pct(F.col("type_count"), F.col("occurrences")).alias("type_pct"),
-        F.col("occurrences").cast("bigint"),
-        pct(F.col("occurrences"), docs).alias("occurrence_pct"))
+    objects = counts.where(F.col("path").isNull() & F.col("type").isNull()).agg(F.sum("type_count").alias("_docs"))
+    return with_percentages(counts, objects)
 
 
 def run_available_now(result: DataFrame, mode: str = "update") -> DataFrame:

@@ -1,7 +1,10 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from shapelens.functions.flatten import leaf_steps
+from shapelens.functions.shapes import depth, leaves, levels, shape, shape_leaves
 from shapelens.operators.documents import (NO_OBJECT, collection_profile, document_columns, field_profile,
                                            flatten_documents, object_documents, path_type_counts,
                                            sample_documents, sample_documents_per_group)
@@ -130,8 +133,91 @@ def test_sample_is_reproducible(spark):
     assert a == b and len(a) == 50 and len(set(a)) == 50
 
 
-def test_leaf_steps():
-    text = '{"a": {"b": 1}, "a.b": 2, "c": {}, "d": [1, {"x": 1}]}'
-    assert leaf_steps(text, False) == [["a.b"], ["d"]]
-    assert leaf_steps(text, True) == [["a.b"], ["c"], ["d"]]
-    assert leaf_steps("[1]", False) is None and leaf_steps(None, False) is None
+def leaf_steps(doc):
+    """Dotted path -> the keys down to a leaf; of equal paths the one with fewer keys, then the first by key."""
+    found, level = {}, [([], doc)]
+    while level:
+        below = []
+        for steps, node in level:
+            for key in sorted(node, key=str.encode):
+                if isinstance(node[key], dict):
+                    below.append(([*steps, key], node[key]))
+                else:
+                    found.setdefault(".".join([*steps, key]), ([*steps, key], node[key]))
+        level = below
+    return found
+
+
+def type_of(value):
+    if isinstance(value, bool) or value is None:
+        return "boolean" if value is not None else "null"
+    if isinstance(value, (int, float)):
+        return "number" if value % 1 == 0 else "double"
+    return "array" if isinstance(value, list) else "string"
+
+
+ODD_KEYS = ["a", "b", "a.b", "", "9", "x y", "q`q", "``", "[", "k", "a'b\"c", "\\", "<>", "OBJECT<", "z: BIGINT", ", ", "é", "tab\there", "nl\n", "VOID"]
+
+
+def random_documents(n, seed=5):
+    rng = random.Random(seed)
+
+    def value(depth):
+        kind = rng.randint(0, 9 if depth else 6)
+        if kind > 6:
+            return {rng.choice(ODD_KEYS): value(depth - 1) for _ in range(rng.randint(0, 5))}
+        return [None, True, rng.randint(-5, 5), 2.5, 1e300, "OBJECT<a: VOID>", [1, {"x": {"y": ["z"]}}, [[]]]][kind]
+
+    return [{rng.choice(ODD_KEYS): value(4) for _ in range(rng.randint(0, 6))} for _ in range(n)]
+
+
+def test_shapes_against_brute_force(spark):
+    """Keys with any characters, clashing dotted paths, arrays of arrays and objects, whole and broken doubles."""
+    made = random_documents(300)
+    docs = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(made)], "doc_id int, doc string")
+    want = {}
+    for d in made:
+        for path, (_, value) in leaf_steps(d).items():
+            want[path, type_of(value)] = want.get((path, type_of(value)), 0) + 1
+    got = {(r.path, r.type): r.type_count for r in path_type_counts(docs).collect()}
+    assert got.pop((None, None)) == len(made) and got == want
+    flat = {}
+    for r in flatten_documents(docs).select("doc_id", "path", F.to_json("value").alias("v")).collect():
+        flat.setdefault(r.doc_id, {})[r.path] = r.v
+    for i, d in enumerate(made):
+        steps = leaf_steps(d)
+        assert flat.get(i, {}).keys() == steps.keys()
+        assert all(json.loads(flat[i][p]) == v for p, (_, v) in steps.items())
+
+
+def test_shape_and_values_give_the_same_paths(spark):
+    docs = spark.createDataFrame([(json.dumps(d),) for d in random_documents(200, 6)], "doc string").select(F.try_parse_json("doc").alias("doc"))
+    rows = docs.select(F.transform(shape_leaves(shape("doc")), lambda r: F.struct(r["path"], r["level"])).alias("a"),
+                       F.transform(leaves("doc"), lambda r: F.struct(r["path"], r["level"])).alias("b"),
+                       levels(shape("doc")).alias("n"), depth(shape("doc")).alias("depth")).collect()
+    for r in rows:
+        assert sorted(r.a) == sorted(r.b) and all(x.level <= min(r.n, r.depth) for x in r.a)
+
+
+def test_as_many_shapes_as_documents(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('{\"k', id, '\": ', id, ', \"same\": 1e2}') AS doc")
+    rows = {(r.path, r.type): r.type_count for r in path_type_counts(docs).collect()}
+    assert len(rows) == 3002 and rows["same", "number"] == 3000 and rows[None, None] == 3000 and rows["k7", "number"] == 1
+
+
+def test_wide_document(spark):
+    text = json.dumps({f"k{i}": {"v": i} for i in range(5000)})
+    docs = spark.createDataFrame([(0, text)], "doc_id int, doc string")
+    assert path_type_counts(docs).count() == 5001 and flatten_documents(docs).count() == 5000
+
+
+def test_profiles_stay_in_the_jvm(docs, spark):
+    for df in (field_profile(docs), flatten_documents(docs), collection_profile(docs, "doc_id")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_profile_by_group_with_null(spark):
+    docs = spark.createDataFrame([(None, '{"a":1}'), (None, '{"b":1}'), ("x", '{"a":null}'), ("y", "[1]")], "g string, doc string")
+    got = {(r.g, r.path, r.type): r.occurrence_pct for r in field_profile(docs, by=["g"]).collect()}
+    assert got == {(None, "a", "number"): 50, (None, "b", "number"): 50, ("x", "a", "null"): 100}
