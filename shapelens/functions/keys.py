@@ -76,6 +76,12 @@ def key_prefixes(key) -> Column:
                  F.lit("/")).alias("prefix")))
 
 
+def normal_path(key) -> Column:
+    """The key's deepest prefix: ``a//b`` -> ``/a/b/``; ``//`` for a key without parts."""
+    parts = F.filter(F.split(_col(key), "/", -1), lambda p: p != "")
+    return F.concat(F.lit("/"), F.array_join(parts, "/"), F.lit("/"))
+
+
 def glob_to_regex(glob: str) -> str:
     """Anchored Java regex for a key-store glob (``*``, ``?``, ``[...]``, ``\\``)."""
     out = ["^"]

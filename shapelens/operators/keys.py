@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapelens.functions.keys import key_prefixes, key_template
+from shapelens.functions.keys import key_template, normal_path
+from shapelens.functions.tries import fold_paths
 
 
 def top_n_per_group(df: DataFrame, group: str | Sequence[str],
@@ -69,25 +70,23 @@ def prefix_rollup(keys: DataFrame, key_col: str = "key", n: int = 5,
                   samples: bool = True) -> DataFrame:
     """Distinct keys under every ``/`` prefix (O-22).
 
-    Keys are deduplicated once, up front, so each prefix needs a plain count.
     Kept: depth 1, or prefixes with at least two keys; ordered by depth,
     count desc, prefix. Returns ``(prefix, depth, count, sample_keys
-    array<string>)``; without ``samples`` the sample column (and its window) is
-    left out. The ``n`` sample keys of a prefix are picked before the join, so a
-    hot prefix never joins more than ``n`` rows per input partition.
+    array<string>)``, the ``n`` smallest keys; without ``samples`` that column is
+    left out.
+
+    Distinct keys are sorted into ranges, so the keys under a prefix are neighbours and
+    each task folds its part of the trie on the way (``functions.tries``): a prefix that ends
+    inside a range is complete there, and one with a single key goes no further. So a key
+    is moved once, whatever its depth, and what is moved after that are kept
+    prefixes and those at the edges of ranges. A hot prefix spreads over as many ranges as it has keys for.
     """
-    exploded = distinct_keys(keys, key_col).where(F.col("key").isNotNull()).select(
-        "key", F.inline(key_prefixes(F.col("key"))))
-    counts = exploded.groupBy("prefix", "depth").agg(
-        F.count(F.lit(1)).alias("count"))
-    kept = counts.where((F.col("depth") == 1) | (F.col("count") >= 2))
-    ordered = [F.col("depth"), F.col("count").desc(), F.col("prefix")]
-    if not samples:
-        return kept.select("prefix", "depth", "count").orderBy(*ordered)
-    sampled = sample_keys_per_group(exploded, "prefix", "key", n)
-    return (kept.join(sampled, "prefix")
-            .select("prefix", "depth", "count", "sample_keys")
-            .orderBy(*ordered))
+    named = distinct_keys(keys, key_col).where(F.col("key").isNotNull()).select("key", normal_path("key").alias("path"))
+    folded = fold_paths(named.where(F.col("path") != "//").repartitionByRange("path").sortWithinPartitions("path"), n if samples else 0)
+    whole = folded.groupBy("prefix", "depth").agg(
+        F.sum("count").alias("count"), F.slice(F.array_sort(F.flatten(F.collect_list("sample_keys"))), 1, n).alias("sample_keys"))
+    kept = whole.where((F.col("depth") == 1) | (F.col("count") >= 2))
+    return kept.select("prefix", "depth", "count", *["sample_keys"] * samples).orderBy("depth", F.col("count").desc(), "prefix")
 
 
 def key_totals(keys: DataFrame, rollup: DataFrame,

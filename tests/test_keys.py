@@ -1,3 +1,4 @@
+import random
 from pyspark.sql import functions as F
 
 from shapelens.functions.keys import glob_to_regex, key_template
@@ -109,3 +110,48 @@ def test_glob_scan(spark):
     got = sorted(r.key for r in scan_keys(keys, glob="user:[12]*").collect())
     assert got == ["user:1", "user:12", "user:1a", "user:2"]
     assert glob_to_regex("a*").endswith("\\z")
+
+
+def test_prefix_rollup_against_brute_force(spark):
+    """Doubled slashes, keys that are prefixes of others, deep chains, a hot prefix over several ranges, repeats and nulls."""
+    rng = random.Random(8)
+    keys = [None, "", "/", "a", "/a", "a/", "//a//b", "/a/b", "é/中/x", "/".join("c" * 60)] + ["/".join("c" * 59) + "/d"]
+    keys += ["/hot/" + "/".join(rng.choice("xyz") for _ in range(rng.randint(1, 5))) + f"/{i % 300}" for i in range(1500)]
+    keys += ["/" + "/".join(rng.choice(["a", "b", "a b", "B", "a!"]) for _ in range(rng.randint(1, 4))) for _ in range(500)]
+    want = {}
+    for k in {k for k in keys if k is not None}:
+        parts = [p for p in k.split("/") if p]
+        for d in range(1, len(parts) + 1):
+            want.setdefault(("/" + "/".join(parts[:d]) + "/", d), []).append(k)
+    want = {(p, d, len(own), tuple(sorted(own)[:5])) for (p, d), own in want.items() if d == 1 or len(own) >= 2}
+    df = spark.createDataFrame([(k,) for k in keys], "key string").repartition(5)
+    roll = prefix_rollup(df, "key", n=5)
+    got = [(r.prefix, r.depth, r["count"], tuple(r.sample_keys)) for r in roll.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert got == sorted(got, key=lambda r: (r[1], -r[2], r[0]))
+    plain = prefix_rollup(df, "key", samples=False)
+    assert plain.columns == ["prefix", "depth", "count"] and {tuple(r) for r in plain.collect()} == {w[:3] for w in want}
+    total = key_totals(df, plain, "key").first()
+    assert total.distinct_keys == len({k for k in keys if k is not None}) and total.overlapped_total == sum(w[2] for w in want)
+    assert prefix_rollup(df.limit(0), "key").count() == 0
+
+
+def test_prefix_rollup_moves_a_key_once(spark, tmp_path):
+    """Bytes and rows exchanged, by Spark's own counters: keys 4 and 40 parts deep are moved alike."""
+    def moved(depth):
+        df = spark.range(20000).selectExpr(f"concat(repeat('/p', {depth - 2}), '/', id % 100, '/k', id) AS key")
+        roll = prefix_rollup(df, "key", samples=False)
+        roll.collect()
+        plan = roll._jdf.queryExecution().executedPlan()
+        rows = []
+
+        def walk(node):
+            for kid in (node.executedPlan(),) if "AdaptiveSparkPlan" in node.nodeName() else (node.plan(),) if "QueryStage" in node.nodeName() else [
+                    node.children().apply(i) for i in range(node.children().size())]:
+                walk(kid)
+            if node.nodeName() == "Exchange":
+                rows.append(node.metrics().apply("shuffleRecordsWritten").value())
+        walk(plan)
+        return sum(rows)
+
+    assert moved(40) <= moved(4) + 40 * 8 * 4
