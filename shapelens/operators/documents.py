@@ -152,20 +152,47 @@ def sample_order(id_col: Column, seed: str) -> Column:
 def sample_documents(df: DataFrame, id_col: str = "doc_id", n: int = 1000,
                      seed: str = "0") -> DataFrame:
     """Exactly ``min(n, count)`` documents, the same ones on every run (O-32)."""
-    return df.orderBy(sample_order(F.col(id_col), seed), F.col(id_col)).limit(n)
+    return _first_in_order(df, [], id_col, n, seed)
 
 
 def sample_documents_per_group(df: DataFrame, group: str, id_col: str,
                                n: int, seed: str = "0") -> DataFrame:
-    """The same sample rule applied within each group (top-n per group).
+    """The same sample rule applied within each group; null is a group."""
+    return _first_in_order(df, [group], id_col, n, seed)
 
-    Only ids are ranked; the documents are picked by a semi-join.
+
+def _first_in_order(df: DataFrame, by: Sequence[str], id_col: str, n: int, seed: str) -> DataFrame:
+    """The ``n`` rows of each group that come first in ``sample_order``, then by id, without an order of them all.
+
+    The order is cut into 65,536 slices by its first digits. Rows are counted by slice (ids alone are
+    read), and the slice in which the sample ends follows from the running sum. Rows of
+    earlier slices are taken as they are read; only those of the last slice are ranked.
     """
-    w = Window.partitionBy(group).orderBy(sample_order(F.col(id_col), seed),
-                                          F.col(id_col))
-    chosen = (df.select(group, id_col).withColumn("_rank", F.row_number().over(w))
-              .where(F.col("_rank") <= n).drop("_rank"))
-    return df.join(chosen, [group, id_col], "left_semi")
+    if n <= 0:
+        return df.limit(0)
+    taken = {c.lower() for c in df.columns}
+    mark = "_"  # so long that no column of the sample's own has a name of the table's
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    at, end, rest, rank = (mark + c for c in ("slice", "end", "rest", "rank"))
+    order = sample_order(F.col(id_col), seed)
+    slice_no = F.coalesce(F.conv(F.substring(order, 1, 4), 16, 10).cast("int"), F.lit(-1))
+    keys = [f"{mark}by{i}" for i in range(len(by))]
+    counts = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], slice_no.alias(at)).groupBy(*keys, at).agg(
+        F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("reached", F.sum("n").over(Window.partitionBy(*keys).orderBy(at)))
+    # One row a group: the slice in which the n-th row is, and how many rows of it belong to the sample.
+    ends = counts.where((F.col("reached") >= n) & (F.col("reached") - F.col("n") < n)).select(
+        *keys, F.col(at).alias(end), (n - F.col("reached") + F.col("n")).alias(rest))
+    rows = df.withColumn(at, slice_no)
+    if by:
+        rows = rows.join(ends, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)], "left")
+    else:
+        rows = rows.withColumns({end: ends.select(end).scalar(), rest: ends.select(rest).scalar()})
+    whole = rows.where(F.col(end).isNull() | (F.col(at) < F.col(end)))
+    ranked = rows.where(F.col(at) == F.col(end)).withColumn(rank, F.row_number().over(
+        Window.partitionBy(*by, at).orderBy(order, F.col(id_col))))
+    return whole.select(*df.columns).unionAll(ranked.where(F.col(rank) <= F.col(rest)).select(*df.columns))
 
 
 def collection_profile(docs: DataFrame, collection_col: str = "collection",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shapelens.functions.shapes import depth, entries, shape
 from shapelens.functions.values import format_bytes
 from shapelens.operators.documents import as_variant
-from shapelens.session import union_all
+from shapelens.session import footer_session, no_less, qualified, union_all
 
 # Fixed value: the note shown for a cache whose keys cannot be listed.
 CACHE_NOTE = "N/A (Memcached does not support key enumeration)"
@@ -68,18 +68,20 @@ def cache_totals(stats: DataFrame, note: str = CACHE_NOTE) -> DataFrame:
 def storage_stats(paths: Mapping[str, str], spark: SparkSession) -> DataFrame:
     """(table, total_rows, total_bytes, size_text) of Parquet tables by path (O-28).
 
-    Rows are counted from the files' metadata (no data column is read); sizes
-    come from the file listing, so files without rows count too.
+    Rows are summed from the files' footers (``footer_session``); sizes come from one
+    listing of all tables' files, so files without rows count too. A folder that
+    isn't there is an error.
     """
-    parts = []
-    for name, path in paths.items():
-        files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-                 .option("recursiveFileLookup", True).load(path))
-        size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("total_bytes"))
-        rows = spark.read.parquet(path).agg(F.count(F.lit(1)).cast("bigint").alias("total_rows"))
-        parts.append(rows.select(F.lit(name).alias("table"), "total_rows",
-                                 size.scalar().alias("total_bytes")))
-    return union_all(parts).withColumn("size_text", format_bytes(F.col("total_bytes")))
+    own = footer_session(spark)
+    rows = union_all([own.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+                      .select(F.lit(name).alias("table"), no_less(F.col("n")).alias("total_rows")) for name, path in paths.items()])
+    files = (own.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+             .load(list(dict.fromkeys(paths.values()))).select("path", "length"))
+    under = F.array(*[F.struct(F.lit(name).alias("table"), F.lit(qualified(spark, path)).alias("at")) for name, path in paths.items()])
+    sizes = files.select("length", F.inline(F.filter(under, lambda t: (F.col("path") == t["at"]) | F.startswith(
+        F.col("path"), F.concat(t["at"], F.lit("/")))))).groupBy("table").agg(F.sum("length").cast("bigint").alias("total_bytes"))
+    return (rows.join(sizes, "table", "left").withColumn("total_bytes", F.coalesce("total_bytes", F.lit(0).cast("bigint")))
+            .withColumn("size_text", format_bytes(F.col("total_bytes"))))
 
 
 def vector_profile(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:

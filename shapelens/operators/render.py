@@ -11,9 +11,10 @@ write.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shapelens.functions.values import format_bytes, thousands
@@ -529,7 +530,61 @@ def render_database(blocks: Mapping[str, DataFrame], name: str, db_type: str,
     return union_all([head, heads, body, no_data])
 
 
+def _line_checks(text: Column) -> list[Column]:
+    """Number of lines of all texts (a text may have several) and the sum of their hashes."""
+    each = F.split(F.coalesce(text, _lit("")), "\n")
+    return [F.sum(F.size(each)).alias("lines"), F.sum(F.aggregate(
+        each, F.lit(0).cast("bigint"), lambda s, x: s + F.xxhash64(x).bitwiseAND(F.lit((1 << 31) - 1)))).alias("digest")]
+
+
+def _file_checks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lines, digest) of the text files below a folder; a file's name is that below the folder."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"((?:section=[^/]*/)?[^/]*)\z", 1)
+    return spark.read.text(path).select(name.alias("file"), F.col("value")).groupBy("file").agg(*_line_checks(_c("value")))
+
+
 def write_markdown(lines: DataFrame, path: str) -> None:
-    """Write the ordered document as text files, in order, part by part (O-04)."""
+    """Write the ordered document as text files with a manifest (O-04).
+
+    Lines are dealt into ranges of (section, sort_key) and sorted inside each, and a section
+    has a folder of its own, so the document is its files in the order of section and file name.
+    ``path/_manifest`` has name, lines and a digest of each file; the sums are held against those of
+    the lines as they were written, so that a lost or repeated part is an error here, and one that
+    is lost later is an error in ``read_markdown``.
+    """
     order = [c for c in ("section", "sort_key") if c in lines.columns]
-    lines.orderBy(*order).select("text").write.mode("overwrite").text(path)
+    spark, seen = lines.sparkSession, Observation()
+    dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order).observe(seen, *_line_checks(_c("text")))
+    if "section" in order:
+        dealt.select("section", "text").write.mode("overwrite").partitionBy("section").text(f"{path}/document")
+    else:
+        dealt.select("text").write.mode("overwrite").text(f"{path}/document")
+    files = [tuple(r) for r in _file_checks(spark, f"{path}/document").collect()]
+    written, sent = [sum(f[1] for f in files), sum(f[2] for f in files)], [seen.get[c] or 0 for c in ("lines", "digest")]
+    if written != sent:
+        raise RuntimeError(f"{path}: {written[0]} lines in files, {sent[0]} were written, or their texts differ")
+    spark.createDataFrame(files, "file string, lines bigint, digest bigint").coalesce(1).write.mode("overwrite").json(f"{path}/_manifest")
+
+
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """(line from 1, text) of a document that ``write_markdown`` wrote; an error if its files aren't those of the manifest."""
+    own = {r.file: (r.lines, r.digest) for r in spark.read.schema("file string, lines bigint, digest bigint").json(f"{path}/_manifest").collect()}
+    there = {f: (n, d) for f, n, d in _file_checks(spark, f"{path}/document").collect()}
+    if own != there:
+        raise RuntimeError(f"{path}: files lost, added or changed: {sorted(f for f in own.keys() | there.keys() if own.get(f) != there.get(f))}")
+
+    def rank(name: str) -> tuple:
+        section = re.match(r"section=(-?[0-9]+)/", name)
+        return (int(section[1]) if section else 0, name)
+
+    before, starts = 0, []
+    for name in sorted(own, key=rank):
+        starts.append((name, before))
+        before += own[name][0]
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"((?:section=[^/]*/)?[^/]*)\z", 1)
+    # A file that is split is read in blocks; inside a block ids rise with the lines.
+    rows = spark.read.text(f"{path}/document").select(
+        name.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+    within = F.row_number().over(Window.partitionBy("file").orderBy("block", "id"))
+    return (rows.withColumn("at", within).join(spark.createDataFrame(starts, "file string, start bigint"), "file")
+            .select((F.col("start") + F.col("at")).alias("line"), "text"))

@@ -2,18 +2,27 @@
 
 Lake schemas declare every column nullable and no keys; these operators
 measure nullability, lengths, key uniqueness and key inclusion instead.
+``column_sketches`` and ``minimal_keys`` use mergeable sketches, so that a new
+partition costs a scan of itself, and a set of columns that is far from unique no shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import combinations
+from math import prod
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shapelens.session import footer_session, no_less, union_all
 
+#: Shares of the values below which ``quantiles`` of a profile lie.
+QUANTILES = (0.25, 0.5, 0.75)
+#: Longer texts are compared by a digest.
+LONG_TEXT = 64
 
 def check_foreign_key(child: DataFrame, child_cols: Sequence[str],
                       parent: DataFrame, parent_cols: Sequence[str]) -> DataFrame:
@@ -114,3 +123,164 @@ def unique_keys(df: DataFrame, candidates: Sequence[Sequence[str]],
         F.coalesce("_keys", zero).cast("bigint").alias("distinct_rows"),
         F.coalesce("_null", no).alias("has_null"),
         ((F.coalesce("_most", zero) <= 1) & ~F.coalesce("_null", no)).alias("is_unique"))
+
+
+def _hash(*names: str) -> Column:
+    """64 bits for the values of some columns; null where one is null."""
+    return F.when(~reduce(lambda a, b: a | b, [F.col(_at(c)).isNull() for c in names]), F.xxhash64(*[F.col(_at(c)) for c in names]))
+
+
+def column_sketches(df: DataFrame, part: Column | None = None, lg_k: int = 14) -> DataFrame:
+    """Mergeable profile of each column (O-39), one row per ``part`` (an expression; one part if None) and column.
+
+    Returns (part, column, type, rows, non_null, max_length, distinct binary, quantiles
+    binary): a HyperLogLog sketch of the values' hashes and, for numbers, a KLL sketch. One
+    pass, one wide aggregate. ``merge_sketches`` turns any set of rows into a profile.
+    """
+    aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
+    for i, f in enumerate(df.schema.fields):
+        if isinstance(f.dataType, (T.MapType, T.VariantType)):
+            continue  # these can't be hashed
+        col = F.col(_at(f.name))
+        number = isinstance(f.dataType, T.NumericType)
+        aggs += [F.count(col).alias(f"_n{i}"),
+                 (F.max(F.length(col)) if _string_like(f.dataType) else F.max(F.lit(None).cast("int"))).alias(f"_l{i}"),
+                 F.hll_sketch_agg(_hash(f.name), lg_k).alias(f"_d{i}"),
+                 (F.kll_sketch_agg_double(col.cast("double")) if number else F.max(F.lit(None).cast("binary"))).alias(f"_q{i}")]
+        rows.append(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+                             F.col("_rows").alias("rows"), F.col(f"_n{i}").alias("non_null"), F.col(f"_l{i}").cast("int").alias("max_length"),
+                             F.col(f"_d{i}").alias("distinct"), F.col(f"_q{i}").alias("quantiles")))
+    own = (part if part is not None else F.lit(0)).cast("string").alias("part")
+    return df.select("*", own).groupBy("part").agg(*aggs).select("part", F.inline(F.array(*rows)))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by`` + (column, type, non_null, nulls, nullable, max_length, distinct_approx, quantiles array<double>)."""
+    merged = sketches.groupBy(*by, "column", "type").agg(
+        F.sum("rows").alias("rows"), F.sum("non_null").alias("non_null"), F.max("max_length").alias("max_length"),
+        F.hll_union_agg("distinct").alias("distinct"), F.kll_merge_agg_double("quantiles").alias("quantiles"))
+    nulls = F.col("rows") - F.col("non_null")
+    # A column without numbers has an empty sketch here, as one of NaN has.
+    number = F.regexp_extract("type", "^[a-z]+", 0).isin("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    points = F.array(*[F.kll_sketch_get_quantile_double("quantiles", F.lit(q)) for q in QUANTILES])
+    return merged.select(
+        *by, "column", "type", "non_null", nulls.alias("nulls"), (nulls > 0).alias("nullable"), "max_length",
+        F.hll_sketch_estimate("distinct").alias("distinct_approx"),
+        F.when(number & (F.kll_sketch_get_n_double("quantiles") > 0), points).alias("quantiles"))
+
+
+def store_sketches(df: DataFrame, path: str, part: str) -> None:
+    """Sketch one partition of a table into the sketch table at ``path``; written again, it replaces its own rows."""
+    column_sketches(df).drop("part").write.mode("overwrite").parquet(f"{path}/part={part}")
+
+
+def stored_profile(spark: SparkSession, path: str) -> DataFrame:
+    """Profile of all partitions that ``store_sketches`` wrote; no data is read."""
+    return merge_sketches(spark.read.parquet(path))
+
+
+def minimal_keys(df: DataFrame, columns: Sequence[str] | None = None, most: int = 3, slack: float = 0.1,
+                 per_pass: int = 128, per_test: int = 8) -> DataFrame:
+    """All minimal unique keys of up to ``most`` columns (O-40): (columns, n_columns, rows).
+
+    Sets of columns are searched level by level. A set is out if it holds a smaller key or a column with nulls;
+    if the product of its columns' distinct counts, or the estimate of its own, is below the
+    rows by more than ``slack`` (six standard errors of the sketches); only what is left is tested exactly
+    (``unique_keys``). Sketches take one pass for ``per_pass`` sets, and nothing but counts comes to the
+    driver. Columns that can't be grouped (maps, VARIANT) are no keys; in an empty table every column is one.
+    """
+    names = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    names = [c for c in columns or names if c in names]
+
+    def estimates(sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
+        out = {}
+        for i in range(0, len(sets), per_pass):
+            own = sets[i:i + per_pass]
+            row = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(_hash(*s), 12)).alias(f"_{j}") for j, s in enumerate(own)]).first()
+            out |= dict(zip(own, row))
+        return out
+
+    first = df.agg(F.count(F.lit(1)), *[F.count(F.col(_at(c))) for c in names]).first()
+    rows = first[0]
+    usable = [c for c, n in zip(names, first[1:]) if n == rows]
+    keys: list[tuple[str, ...]] = []
+    single: dict[tuple[str, ...], int] = {}
+    for size in range(1, most + 1):
+        sets = [s for s in combinations(usable, size) if not any(set(k) <= set(s) for k in keys)]
+        if size > 1:
+            sets = [s for s in sets if prod((1 + slack) * single[c,] for c in s) >= rows]
+        found = estimates(sets)
+        single = single or found
+        left = [s for s, n in found.items() if n >= (1 - slack) * rows]
+        for i in range(0, len(left), per_test):
+            own = left[i:i + per_test]
+            unique = {r[0] for r in unique_keys(df, own).where("is_unique").select("columns").collect()}
+            keys += [s for s in own if ", ".join(s) in unique]
+    return df.sparkSession.createDataFrame([(", ".join(k), len(k), rows) for k in keys], "columns string, n_columns int, rows bigint")
+
+
+def inclusions(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Every column whose values all occur in another column of its kind (O-15, for all pairs at once).
+
+    Whole numbers are compared with whole numbers and texts with texts, in the named columns or all of
+    them. Returns (child_table, child_column, parent_table, parent_column, child_values, parent_values), the
+    numbers of distinct values; nulls don't count and a column without values is in none.
+
+    One shuffle for all pairs: a value's columns are gathered as bits (combined inside each task, so a
+    value that is in every row or column is one row for a task), equal sets of columns are counted, and pairs come from the few
+    distinct sets: a column is included in another where all its values are in sets that hold both.
+    """
+    named, parts = [], []
+    for table, df in tables.items():
+        values = []
+        for f in df.schema.fields:
+            if columns is not None and f.name not in columns.get(table, ()):
+                continue
+            text = F.col(_at(f.name)).cast("string")
+            if isinstance(f.dataType, T.IntegralType):
+                kind = "number"
+            elif _string_like(f.dataType):
+                kind, text = "text", F.when(F.length(text) <= LONG_TEXT, F.concat(F.lit("="), text)).otherwise(F.sha2(text, 256))
+            else:
+                continue
+            values.append(F.struct(F.lit(kind).alias("kind"), text.alias("value"), F.lit(len(named)).alias("id")))
+            named.append((table, f.name))
+        if values:
+            parts.append(df.select(F.inline(F.array(*values))).where("value IS NOT NULL"))
+    words = [f"_w{i}" for i in range(-(-len(named) // 63))]
+    own_word, own_bit = F.floor(F.col("id") / 63), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("id") % 63)
+    sets = union_all(parts).groupBy("kind", "value").agg(
+        *[F.bit_or(F.when(own_word == i, own_bit).otherwise(F.lit(0).cast("bigint"))).alias(w) for i, w in enumerate(words)])
+    sets = sets.groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
+    word_of = lambda i: F.element_at(F.array(*words), F.floor(i / 63).cast("int") + 1)
+    held = F.filter(F.sequence(F.lit(0), F.lit(len(named) - 1)), lambda i: word_of(i).bitwiseAND(F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), i % 63)) != 0)
+    sets = sets.select("n", held.alias("ids"))
+    pairs = sets.select("n", "ids", F.explode("ids").alias("a")).select("n", "a", F.explode("ids").alias("b")) \
+        .groupBy("a", "b").agg(F.sum("n").alias("n"))
+    sizes = pairs.where("a = b").select("a", F.col("n").alias("values"))
+    both = pairs.where("a <> b").join(sizes, "a").where("n = values").drop("n") \
+        .join(sizes.select(F.col("a").alias("b"), F.col("values").alias("parent_values")), "b")
+    name = lambda c, side: F.element_at(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c")) for t, c in named]), F.col(c) + 1)[side]
+    return both.select(name("a", "t").alias("child_table"), name("a", "c").alias("child_column"), name("b", "t").alias("parent_table"),
+                       name("b", "c").alias("parent_column"), F.col("values").alias("child_values"), "parent_values")
+
+
+def column_ranges(paths: Mapping[str, str], spark: SparkSession) -> DataFrame:
+    """(table, column, rows, min, max) of the number, date and truth columns of Parquet tables, from their footers alone.
+
+    ``min`` and ``max`` are doubles (days since 1970 of a date). No data page is read: the aggregates are pushed to the footers.
+    """
+    own, parts = footer_session(spark), []
+    for name, path in paths.items():
+        df = own.read.parquet(path)
+        fields = [f for f in df.schema.fields if isinstance(f.dataType, (T.IntegralType, T.FloatType, T.DoubleType, T.DateType, T.BooleanType))]
+        if not fields:
+            continue
+        found = df.agg(F.count(F.lit(1)).alias("_rows"), *[x for i, f in enumerate(fields) for x in (
+            F.min(_at(f.name)).alias(f"_a{i}"), F.max(_at(f.name)).alias(f"_z{i}"))])
+        number = lambda c, f: (F.unix_date(c) if isinstance(f.dataType, T.DateType) else F.col(c)).cast("double")
+        parts.append(found.select(F.inline(F.array(*[F.struct(
+            F.lit(name).alias("table"), F.lit(f.name).alias("column"), no_less(F.col("_rows")).alias("rows"),
+            number(f"_a{i}", f).alias("min"), number(f"_z{i}", f).alias("max")) for i, f in enumerate(fields)]))))
+    return union_all(parts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shapelens.functions.values import pct
@@ -12,8 +14,8 @@ from shapelens.operators.documents import (collection_profile, document_columns,
 from shapelens.plans import duck
 from shapelens.plans.inputs import EVENT_DOCUMENTS, ORDER_DOCUMENTS
 from shapelens.plans.registry import duck_sql, query, spark_sql
-from shapelens.session import read_table
-from shapelens.sources.documents import document_validity, read_documents
+from shapelens.session import ensure_checkpoint_dir, read_table
+from shapelens.sources.documents import document_validity, read_documents, read_json_lines
 
 _ORDER_DOCS = duck_sql(ORDER_DOCUMENTS)
 _EVENT_DOCS = duck_sql(EVENT_DOCUMENTS)
@@ -61,6 +63,25 @@ def q_read_documents(spark, sf):
         *[F.col(c).cast("bigint") for c in ("total", "valid", "objects")])
 
 
+# Lines as a log would have them: every seventh event is cut short, every eleventh is an array.
+JSON_LINES = """
+SELECT CASE WHEN event_id % 7 = 0 THEN substr(props, 1, length(props) - 1)
+            WHEN event_id % 11 = 0 THEN concat('[', props, ']') ELSE props END AS json FROM {events}
+"""
+
+
+@query("read_json_lines", f"""
+SELECT CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE json_valid(json)) AS BIGINT) AS valid,
+       CAST(count(*) FILTER (WHERE CASE WHEN json_valid(json) THEN json_type(json) END = 'OBJECT') AS BIGINT) AS objects
+FROM ({duck_sql(JSON_LINES)})
+""")
+def q_read_json_lines(spark, sf):
+    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    spark_sql(spark, sf, JSON_LINES).write.text(path)
+    return document_validity(read_json_lines(spark, path)).select(*[F.col(c).cast("bigint") for c in ("total", "valid", "objects")])
+
+
 @query("flatten_documents", f"""
 WITH d AS ({_ORDER_DOCS}), l AS ({duck.json_leaves('d', 'CAST(t.value AS VARCHAR) AS v')})
 SELECT doc_id, path, CASE WHEN type NOT IN ('number', 'double') THEN v END AS value,

@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import os
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from shapelens.functions.values import extract_version, format_bytes
 from shapelens.operators.objects import (cache_totals, config_map, flatten_mapping,
                                          object_counts, row_counts, storage_stats,
                                          topic_rollup, vector_profile)
-from shapelens.operators.tables import check_foreign_key, column_profile, unique_keys
+from shapelens.operators.tables import (check_foreign_key, column_profile, column_ranges, column_sketches,
+                                        inclusions, merge_sketches, minimal_keys, unique_keys)
 from shapelens.plans.registry import duck_sql, query, spark_sql
 from shapelens.session import TESTDATA_TABLES, read_table, union_all
 
@@ -270,9 +272,85 @@ def q_column_profile(spark, sf):
                       .select(F.lit(t).alias("table"), "*") for t in TESTDATA_COLUMNS])
 
 
+def _sketches(spark, sf):
+    """Sketches of every table, in four parts each by a hash of the first column."""
+    return union_all([column_sketches(df, F.pmod(F.xxhash64(df.columns[0]), F.lit(4))).select(F.lit(t).alias("table"), "*")
+                      for t, df in _all_tables(spark, sf).items()])
+
+
 @query("column_profile_approx")
 def q_column_profile_approx(spark, sf):
-    return column_profile(read_table(spark, sf, "lineitem"), approx=True)
+    return merge_sketches(_sketches(spark, sf), ["table"])
+
+
+#: Largest difference of an estimate from the exact number of distinct values.
+SKETCH_ERROR = 0.03
+
+
+@query("column_sketch_errors", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table, '{c}' AS column, CAST(count({c}) AS BIGINT) AS non_null, CAST(count(DISTINCT {c}) AS BIGINT) AS exact, "
+    f"true AS within FROM {t}" for t, cols in TESTDATA_COLUMNS.items() for c, _ in cols))
+def q_column_sketch_errors(spark, sf):
+    """Merged sketches against exact counts: every estimate is within 3 %."""
+    exact = union_all([df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias("h"))
+                                                    for c in df.columns]))).distinct().groupBy("column").agg(F.count("h").alias("exact"))
+                       .select(F.lit(t).alias("table"), "*") for t, df in _all_tables(spark, sf).items()])
+    both = merge_sketches(_sketches(spark, sf), ["table"]).join(exact, ["table", "column"])
+    near = F.abs(F.col("distinct_approx") - F.col("exact")) <= F.greatest(SKETCH_ERROR * F.col("exact"), F.lit(0.5))
+    return both.select("table", "column", "non_null", "exact", near.alias("within"))
+
+
+def _range_oracle() -> str:
+    number = ("int", "bigint", "double")
+    return "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table, '{c}' AS column, CAST(count(*) AS BIGINT) AS rows, CAST(min({c}) AS DOUBLE) AS min, "
+        f"CAST(max({c}) AS DOUBLE) AS max FROM {t}" for t, cols in TESTDATA_COLUMNS.items() for c, typ in cols if typ in number)
+
+
+@query("column_ranges", _range_oracle())
+def q_column_ranges(spark, sf):
+    return column_ranges(table_paths(sf), spark)
+
+
+#: Tables without long texts and vectors.
+KEYED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels")
+
+
+def _minimal_keys_oracle() -> str:
+    sets = [(t, s) for t in KEYED for n in (1, 2, 3) for s in combinations([c for c, _ in TESTDATA_COLUMNS[t]], n)]
+    tests = "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS t, [{', '.join(repr(c) for c in s)}] AS s, (SELECT count(*) = count(DISTINCT ({', '.join(s)})) "
+        f"AND {' AND '.join(f'count({c}) = count(*)' for c in s)} FROM {t}) AS u" for t, s in sets)
+    return f"""
+WITH k AS (SELECT * FROM ({tests}) WHERE u)
+SELECT t AS table, array_to_string(s, ', ') AS columns, CAST(len(s) AS INTEGER) AS n_columns FROM k
+WHERE NOT EXISTS (SELECT 1 FROM k AS o WHERE o.t = k.t AND len(o.s) < len(k.s) AND list_has_all(k.s, o.s))
+"""
+
+
+@query("minimal_keys", _minimal_keys_oracle())
+def q_minimal_keys(spark, sf):
+    return union_all([minimal_keys(read_table(spark, sf, t)).select(F.lit(t).alias("table"), "columns", "n_columns") for t in KEYED])
+
+
+def _inclusion_oracle() -> str:
+    parts = "\nUNION ALL\n".join(
+        f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{typ == 'string'}' AS kind, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL"
+        for t, cols in TESTDATA_COLUMNS.items() for c, typ in cols if typ in ("int", "bigint", "string"))
+    return f"""
+WITH v AS MATERIALIZED ({parts}),
+n AS (SELECT t, c, kind, count(*) AS n FROM v GROUP BY ALL),
+p AS (SELECT a.t, a.c, b.t AS pt, b.c AS pc, count(*) AS n FROM v a JOIN v b ON a.kind = b.kind AND a.v = b.v
+      WHERE (a.t, a.c) <> (b.t, b.c) GROUP BY ALL)
+SELECT p.t AS child_table, p.c AS child_column, p.pt AS parent_table, p.pc AS parent_column,
+       CAST(n.n AS BIGINT) AS child_values, CAST(m.n AS BIGINT) AS parent_values
+FROM p JOIN n ON p.t = n.t AND p.c = n.c AND p.n = n.n JOIN n m ON p.pt = m.t AND p.pc = m.c
+"""
+
+
+@query("inclusions", _inclusion_oracle())
+def q_inclusions(spark, sf):
+    return inclusions(_all_tables(spark, sf))
 
 
 UNIQUE_CANDIDATES = [

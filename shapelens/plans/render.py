@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from shapelens.operators.keys import key_template_groups, prefix_rollup
 from shapelens.operators.objects import config_map, row_counts, topic_rollup
 from shapelens.operators.documents import field_profile
 from shapelens.operators.render import (collection_lines, nest_table_details, render_database, render_listing,
-                                        render_objects, render_table_details, write_markdown)
+                                        render_objects, render_table_details, read_markdown, write_markdown)
 from shapelens.plans import duck
 from shapelens.operators.catalog import list_routines, list_tables, list_views
 from shapelens.operators.objects import cache_totals, storage_stats, vector_profile
@@ -227,12 +226,30 @@ def q_render_database(spark, sf):
     return _database_lines(spark, sf).select("section", "text")
 
 
-@query("write_markdown")
+@query("write_markdown", """
+WITH l AS (SELECT '0' AS k, '# Tables in customers' AS text UNION ALL SELECT '1' AS k, '' AS text
+  UNION ALL SELECT '2' AS k, 'Found ' || CAST((SELECT count(*) FROM customer) AS VARCHAR) || ' table(s):' AS text
+  UNION ALL SELECT '3' AS k, '' AS text
+  UNION ALL SELECT '4' || c_name AS k, '- **' || c_name || '**: ' || c_mktsegment || ' [' || format('{:,}', c_custkey) || ' rows]' AS text FROM customer)
+SELECT CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS line, text FROM l
+""")
 def q_write_markdown(spark, sf):
-    root = ensure_checkpoint_dir(spark)
-    path = os.path.join(root, "markdown", uuid.uuid4().hex)
+    """A listing of all customers, written, checked and read back in order."""
+    listing = read_table(spark, sf, "customer").select(
+        F.col("c_name").alias("name"), F.lit("table").alias("type"), F.col("c_mktsegment").alias("comment"), F.col("c_custkey").alias("row_count"))
+    path = f"{ensure_checkpoint_dir(spark)}/markdown-{uuid.uuid4().hex}"
+    write_markdown(render_listing(listing, "customers"), path)
+    return read_markdown(spark, path)
+
+
+@query("write_database_document", "SELECT CAST(count(*) AS BIGINT) AS lines, count(*) = max(line) AND min(line) = 1 AS gapless FROM (SELECT "
+       "row_number() OVER () AS line FROM (SELECT unnest(string_split(text, chr(10))) FROM (" + _render_database_oracle() + ")))")
+def q_write_database_document(spark, sf):
+    """The whole database document as files by section."""
+    path = f"{ensure_checkpoint_dir(spark)}/markdown-{uuid.uuid4().hex}"
     write_markdown(_database_lines(spark, sf), path)
-    return spark.read.text(path)
+    return read_markdown(spark, path).agg(F.count(F.lit(1)).alias("lines"), ((F.count_distinct("line") == F.max("line")) & (
+        F.count(F.lit(1)) == F.max("line")) & (F.min("line") == 1)).alias("gapless"))
 
 
 @query("render_collections", f"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TESTDATA_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -60,6 +61,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark's file sources name it, with its file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.makeQualified(target).toString()
+
+
+def footer_session(spark: SparkSession) -> SparkSession:
+    """A session like this one whose Parquet reader answers counts, minima and maxima from the files' footers.
+
+    That takes Spark's second reader, which is chosen by a setting; the caller's session keeps its own.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own
+
+
+def no_less(count: Column) -> Column:
+    """A count from footers: of no row groups at all Spark's pushed count is null, or -1 in generated code."""
+    return F.greatest(count, F.lit(0).cast("bigint"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL (by position) of many DataFrames, analysed once.
 

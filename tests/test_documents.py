@@ -8,7 +8,7 @@ from shapelens.functions.shapes import depth, leaves, levels, shape, shape_leave
 from shapelens.operators.documents import (NO_OBJECT, collection_profile, document_columns, field_profile,
                                            flatten_documents, object_documents, path_type_counts,
                                            sample_documents, sample_documents_per_group)
-from shapelens.sources.documents import document_validity, read_documents
+from shapelens.sources.documents import document_validity, read_documents, read_json_lines
 from shapelens.functions.values import value_type
 
 from conftest import SF_SMALL
@@ -221,3 +221,12 @@ def test_profile_by_group_with_null(spark):
     docs = spark.createDataFrame([(None, '{"a":1}'), (None, '{"b":1}'), ("x", '{"a":null}'), ("y", "[1]")], "g string, doc string")
     got = {(r.g, r.path, r.type): r.occurrence_pct for r in field_profile(docs, by=["g"]).collect()}
     assert got == {(None, "a", "number"): 50, (None, "b", "number"): 50, ("x", "a", "null"): 100}
+
+
+def test_json_lines(spark, tmp_path):
+    lines = ['{"a":1}', "{bad", "[1,2]", "7", "", '{"a":1,"a":2}', "null", '"s"', "  ", '{"_corrupt_record":5}', '{"doc":{"x":1}}']
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    got = read_json_lines(spark, str(tmp_path))
+    assert document_validity(got).first()[:] == (9, 7, 3)
+    assert sorted(r.malformed for r in got.where("NOT is_valid").collect()) == sorted(["{bad", '{"a":1,"a":2}'])
+    assert {r.path for r in path_type_counts(got).where("path IS NOT NULL").collect()} == {"a", "_corrupt_record", "doc.x"}

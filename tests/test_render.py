@@ -1,9 +1,14 @@
 import os
+import subprocess
+import sys
+
+import pytest
+import os
 
 
 from shapelens.operators.render import (collection_lines, nest_table_details, render_database,
                                         render_listing, render_objects, render_table_details,
-                                        write_markdown)
+                                        read_markdown, write_markdown)
 
 
 def _tables(spark):
@@ -103,7 +108,8 @@ def test_database_document(spark, tmp_path):
     assert md.index("## Key Patterns") < md.index("## Topics")
     out = os.path.join(str(tmp_path), "doc")
     write_markdown(lines, out)
-    assert spark.read.text(out).count() == len(md.split("\n"))
+    back = [r.text for r in read_markdown(spark, out).orderBy("line").collect()]
+    assert back == md.split("\n")
     empty = render_database({"topics": render_objects(topics.limit(0), "topics")}, "x", "redis")
     assert "**No schema data available**" in _text(empty)
 
@@ -157,3 +163,46 @@ def test_same_names_in_two_schemas(spark):
     assert got == {"a": (["x"], [["x"]]), "b": (["y"], [["y"]])}
     page = render_table_details(tables, cols, idx, fks, "db", "t", "b").collect()
     assert len(page) == 1 and "| y |" in page[0].text
+
+
+def test_a_lost_or_repeated_part_is_an_error(spark, tmp_path):
+    """Each way a task's file can go wrong after or while the document is written."""
+    lines = spark.range(5000).selectExpr("CAST(id % 12 AS INT) AS section", "lpad(id, 6, '0') AS sort_key",
+                                         "CASE WHEN id % 9 = 0 THEN 'two\\nlines' WHEN id % 7 > 0 THEN concat('line ', id) END AS text")
+    want = [t for r in lines.orderBy("section", "sort_key").collect() for t in (r.text or "").split("\n")]
+    out = f"{tmp_path}/doc"
+    for _ in range(2):  # written again, it is replaced
+        write_markdown(lines, out)
+        assert [r.text for r in read_markdown(spark, out).orderBy("line").collect()] == want
+    files = sorted(str(f) for f in (tmp_path / "doc" / "document").rglob("part-*.txt"))
+    assert len(files) >= 12
+    with open(files[3]) as f:
+        body = f.read()
+    for bad in ("", body + body, body.replace("line", "lime")):
+        with open(files[3], "w") as f:
+            f.write(bad)
+        with pytest.raises(Exception, match="lost, added or changed|checksum|Checksum"):
+            read_markdown(spark, out)
+
+
+def test_a_failed_task_runs_again(tmp_path):
+    """Tasks that fail at first, in a session that tries them again: every line once, in order."""
+    code = f"""
+import os, sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession, functions as F
+from shapelens.operators.render import read_markdown, write_markdown
+spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+def fails_once(batches):
+    from pyspark import TaskContext
+    for n, b in enumerate(batches):
+        yield b
+    if TaskContext.get().attemptNumber() == 0 and TaskContext.get().partitionId() % 2:
+        raise RuntimeError("lost")
+lines = spark.range(0, 2000, 1, 4).selectExpr("lpad(id, 6, '0') AS sort_key", "concat('line ', id) AS text")
+write_markdown(lines.mapInArrow(fails_once, lines.schema), {str(tmp_path / "again")!r})
+got = [r.text for r in read_markdown(spark, {str(tmp_path / "again")!r}).orderBy("line").collect()]
+print("whole" if got == [f"line {{i}}" for i in range(2000)] else "broken")
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("whole"), done.stderr[-2000:]
