@@ -178,22 +178,23 @@ FROM d LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.h = k.h
 """
 
 
-@query("op9_line_dedup", OP9_SQL)
+@query("op9_passage_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repeats(spark, sf_dir, "line")
+    """Passages of some 50 words and more that an earlier document has."""
+    return _repeats(spark, sf_dir, unit="passage", inside=False)
 
 
-#: Passages inside lines go too, which OP9_SQL, a comparison of whole lines, can't state.
-@query("op9_passage_dedup")
-def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repeats(spark, sf_dir, "passage")
+@query("whole_line_dedup", OP9_SQL)
+def whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with lines as units, whatever their length from five words on."""
+    return _repeats(spark, sf_dir, unit="line")
 
 
-def _repeats(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
+def _repeats(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("kept_text", F.lit(""))
     spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
-    return lines.dedup(docs, unit=unit, keep=["doc_id"]).select(
+    return lines.dedup(docs, keep=["doc_id"], **how).select(
         "doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed"),
         F.length(text).cast("long").alias("kept_chars"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
