@@ -193,7 +193,8 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", unit: str
     often = shared_table(table.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2"), "unit-repeats")
     again = shared_table(table.join(often, ["d1", "d2"], "left_semi"), "unit-copies")
     rank = F.struct(F.col("k").isNull().alias("none"), "k", "h", "i")
-    first = again.groupBy("d1", "d2").agg(F.min(rank).alias("first"))
+    # Written, so that the join has two plain exchanges and Spark can split that of a digest that very many texts have.
+    first = shared_table(again.groupBy("d1", "d2").agg(F.min(rank).alias("first")), "unit-firsts")
     same_text = F.col("k").eqNullSafe(F.col("first.k")) & (F.col("h") == F.col("first.h"))
     later = again.join(first, ["d1", "d2"]).where(rank != F.col("first") if inside else ~same_text)
     later = later.groupBy(F.col("k").alias(k), F.col("h").alias(h)).agg(
