@@ -46,19 +46,19 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(words), "")
 
 
-def lexicon(docs: DataFrame, *, text: str = "text", share: tuple[float, float] = (0.001, 0.1),
-            max_terms: int = 100_000, seed: int = 6) -> DataFrame:
-    """(term, code, mask): terms in the band, a hash, and the subsets a term belongs to as bits."""
+def lexicon(docs: DataFrame, *, text: str = "text", share: tuple[float, float] = (0.001, 0.1), seed: int = 6) -> DataFrame:
+    """(term, code, mask): terms in the band, a hash, and the subsets a term belongs to as bits.
+
+    The band is one of shares of documents, whatever the length of texts or their number.
+    """
     found = docs.select(terms(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     per_term = shared_table(found.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("n")), "term-counts")
     total = max(1, docs.count())
-    mean = (per_term.agg(F.sum("n")).first()[0] or 0) / total
-    lowest = max(share[0], mean / max_terms)
     mask = F.lit(0).cast("bigint")
     for k, n in enumerate(ONE_IN):
         chosen = F.xxhash64("term", F.lit(seed * 1000 + k)).bitwiseAND(F.lit(n - 1)) == 0
         mask = mask.bitwiseOR(F.when(chosen, F.shiftleft(F.lit(1).cast("bigint"), k)).otherwise(0))
-    own = per_term.where((F.col("n") >= lowest * total) & (F.col("n") <= share[1] * total))
+    own = per_term.where((F.col("n") >= share[0] * total) & (F.col("n") <= share[1] * total))
     return shared_table(own.select("term", F.xxhash64("term", F.lit(seed)).alias("code"), mask.alias("mask")), "lexicon")
 
 
@@ -127,13 +127,16 @@ def neighbours(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rang
             .withColumn("place", F.row_number().over(line)).withColumn("next_text", F.lead("text").over(line)))
 
 
-def compare(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def compare(docs: DataFrame, *, key: str = "doc_id", text: str = "text", max_terms: int = 100_000, **options) -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text has its last third replaced by the beginning of the next
-    document's text, in descending key order; near_next compares with that document.
+    document's text, in descending key order; near_next compares with that document. A
+    lexicon of ``max_terms`` terms or fewer is sent to every task; a larger one is joined by an
+    exchange of the terms, with the same result.
     """
     words = lexicon(docs, text=text, **options)
+    small = words.limit(max_terms + 1).count() <= max_terms
     blank = docs.sparkSession.sql("SELECT '' AS term, 0L AS code, 0L AS mask")
     rows = neighbours(docs, key=key, text=text)
     third = F.floor(F.length("text") / 3).cast("int")
@@ -149,8 +152,8 @@ def compare(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **optio
 
     carried = ["range", "place", "end", "key", "digest", "n_chars", "edited_sha256"]
     each = rows.select(*carried, F.explode(F.concat(sided("text", 0), sided("edited", 1))).alias("t"))
-    each = each.select(*carried, "t.*").join(F.broadcast(words.unionByName(blank)), "term")
-    # Rows of a document lie in the partition of its range: no exchange from here on.
+    each = each.select(*carried, "t.*").join((F.broadcast if small else lambda w: w)(words.unionByName(blank)), "term")
+    # With a small lexicon, rows of a document lie in the partition of its range: no exchange from here on.
     own = each.groupBy(*carried).agg(parts_of(0).alias("a"), parts_of(1).alias("b"))
     line = Window.partitionBy("range").orderBy("place")
     own = own.withColumn("next_a", F.lead("a").over(line)).withColumn("next_digest", F.lead("digest").over(line))

@@ -3,7 +3,9 @@
 Terms are a text's distinct lower-case words, and the beginnings of longer ones
 (a stem often carries the meaning), hashed into ``SLOTS`` slots. Spark counts, over a bounded sample
 of labelled rows, in how many toxic and clean texts each slot occurs; slots
-whose shares differ clearly become features. The machine adds a bias, a weight
+whose shares differ clearly become features, and so do their partners: slots whose shares
+differ clearly among the texts that hold a feature, however common they are elsewhere (a group's name is
+in many clean texts, but beside an insult it tells). The machine adds a bias, a weight
 for each feature and the dot product of the latent vectors of each pair of
 features, so a pair (an insult beside a group's name) can count for more than
 the sum of its parts. It is trained by Adam on the sample's feature rows; weights start from, and
@@ -14,7 +16,8 @@ Edge cases: null and empty texts have no features and get the bias alone;
 labels that are null or join no text teach nothing; a key with several labels
 counts as toxic if one of them says so; without a toxic or without a clean
 training row every score is 0 or 1 by the one class seen, and 0 with no row;
-repeated rows are scored each; other columns are not read.
+repeated rows are scored each, and a key with several texts teaches the least of them; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapelens.llm.common import tidy, unit_hash
+from shapelens.llm.common import shared_table, tidy, unit_hash
 
 SLOTS = 1 << 18
 LATENT = 8
@@ -39,6 +42,8 @@ START = 0.35
 WORD = re.compile(r"[^\W\d_]+")
 #: A slot is a feature if its shares in toxic and clean texts differ by Z standard errors and by a factor of e^RATIO.
 Z, RATIO = 5.0, 1.0
+#: A partner's shares among the texts with a feature differ by Z standard errors and by this factor (as a logarithm).
+PARTNER_RATIO = 0.7
 #: Distinct words whose slots a task remembers.
 KEPT = 200_000
 
@@ -122,6 +127,17 @@ def train_rows(rows: list[list[int]], toxic: np.ndarray, start: np.ndarray, seed
     return float(p[0][0]), p[1], p[2]
 
 
+def _telling(found: DataFrame, n1: int, n0: int, ratio: float, least: float = Z) -> list[tuple[int, float]]:
+    """(slot, log ratio of its shares) of the slots whose shares in ``n1`` toxic and ``n0`` clean rows differ clearly."""
+    slot = found.select("y", F.explode("slots").alias("s")).groupBy("s").agg(
+        F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
+    p1, p0 = (F.col("c1") + 0.5) / (n1 + 1), (F.col("c0") + 0.5) / (n0 + 1)
+    pooled = (F.col("c1") + F.col("c0") + 1) / (n1 + n0 + 2)
+    z = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
+    chosen = slot.where((F.abs(z) >= least) & (F.abs(F.log(p1 / p0)) >= ratio)).select("s", F.log(p1 / p0).alias("r"))
+    return sorted((r.s, r.r) for r in chosen.collect())
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text",
         toxic: str = "toxic", where: Column | None = None, rows_per_class: int = 12_000,
         seed: int = 1) -> Machine:
@@ -140,6 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     sample = sample.select(F.col(key).alias("k"), "y")
     # At most about 2 * rows_per_class rows of two numbers: small enough to send to every task.
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")
+    # One row for a key, however often it comes; the sample is read several times.
+    rows = shared_table(rows.groupBy("k").agg(F.max("y").alias("y"), F.min("t").alias("t")), "toxicity-sample")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -154,14 +172,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not (n0 and n1):
         return Machine(40.0 if n1 else -40.0, {}, np.zeros(0), np.zeros((0, LATENT)))
-    slot = found.select("y", F.explode("slots").alias("s")).groupBy("s").agg(
-        F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
-    p1, p0 = (F.col("c1") + 0.5) / (n1 + 1), (F.col("c0") + 0.5) / (n0 + 1)
-    pooled = (F.col("c1") + F.col("c0") + 1) / (n1 + n0 + 2)
-    z = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    chosen = slot.where((F.abs(z) >= Z) & (F.abs(F.log(p1 / p0)) >= RATIO)).select("s", F.log(p1 / p0).alias("r"))
-    ratios = sorted(chosen.collect())
-    index = {r.s: i for i, r in enumerate(ratios)}
+    ratios = _telling(found, n1, n0, RATIO)
+    index = {s: i for i, (s, _) in enumerate(ratios)}
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([any(s in index for s in own) for own in batch.column("slots").to_pylist()], pa.bool_()))
+
+    near = found.mapInArrow(tidy(beside), "y int, slots array<int>")
+    m = {r.y: r.n for r in near.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if m.get(0) and m.get(1):
+        partners = {s for s, _ in _telling(near, m[1], m[0], PARTNER_RATIO)} - index.keys()
+        ratios = sorted(ratios + [(s, r) for s, r in _telling(found, n1, n0, 0.0, 0.0) if s in partners])
+        index = {s: i for i, (s, _) in enumerate(ratios)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -173,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     data = rows.mapInArrow(tidy(features), "y int, f array<int>").collect()
     data.sort(key=lambda r: (r.y, r.f))  # the same order on each run
     bias, weight, latent = train_rows([r.f for r in data], np.array([r.y for r in data], float),
-                                      np.array([r.r * START for r in ratios], float), seed)
+                                      np.array([r * START for _, r in ratios], float), seed)
     return Machine(bias + float(np.log(share[0]) - np.log(share[1])), index, weight, latent)
 
 

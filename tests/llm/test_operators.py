@@ -113,6 +113,46 @@ def test_toxicity_held_out(spark):
     assert hits / (held.toxic == 1).sum() >= 0.85 and hits / (held.predicted == 1).sum() >= 0.95
 
 
+@pytest.mark.parametrize("common", [0.4, 0.1])
+def test_fit_learns_a_pair(spark, common):
+    """An insult alone is clean, a group's name too, however common; together, or with a slur, they are toxic."""
+    from shapelens.llm import toxicity
+    rng = random.Random(7)
+    rows = []
+    for i in range(20_000):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(10, 40))]
+        group, insult, slur = rng.random() < common, rng.random() < 0.03, rng.random() < 0.01
+        words += ["zarquon"] * group + ["blithering"] * insult + ["grebnitz"] * slur
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int((group and insult) or slur), group, insult, slur))
+    docs = spark.createDataFrame(rows, "doc_id int, text string, toxic int, g boolean, i boolean, s boolean")
+    machine = toxicity.fit(docs, docs.select("doc_id", "toxic"), where=F.col("doc_id") % 4 != 2)
+    held = toxicity.score(docs, machine).where("doc_id % 4 = 2").select("g", "i", "s", (F.col("score") >= 0.3).alias("p")).collect()
+    share = lambda rows: sum(r.p for r in rows) / max(1, len(rows))
+    assert share([r for r in held if r.g and r.i and not r.s]) >= 0.9 and share([r for r in held if r.s]) >= 0.9
+    assert share([r for r in held if r.i and not r.g and not r.s]) <= 0.05
+    assert share([r for r in held if not r.i and not r.s]) <= 0.01
+
+
+def test_a_repeated_key_teaches_once(spark):
+    """A labelled key in a third of all rows is one row of the sample."""
+    from shapelens.llm import toxicity
+    rows = [(1, "same old text")] * 300 + [(i, f"fine day {i}") for i in range(2, 300)] + [(i, f"awful day {i}") for i in range(300, 600)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(1, 600)], "doc_id int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    once = toxicity.fit(docs.dropDuplicates(), labels)
+    again = {r.doc_id: r.score for r in toxicity.score(docs, once).collect()}
+    assert got == pytest.approx(again) and got[400] > 0.8 and got[100] < 0.2
+
+
+def test_a_large_lexicon_gives_the_same_fingerprints(spark):
+    from shapelens.llm import imatch
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 150").select("doc_id", "text")
+    small, large = (sorted(map(tuple, imatch.compare(docs, max_terms=n, share=(0.01, 0.2)).collect())) for n in (100_000, 10))
+    assert small == large and len(small) == docs.count()
+
+
 def test_machine_learns_a_pair():
     """Two terms that are toxic only together: the sum of their weights can't say so."""
     import numpy as np
