@@ -460,3 +460,63 @@ def test_urls_beyond_the_table(spark):
     assert sum(right) >= 0.9 * len(right)
     assert [got[len(rows) + i][0] for i in range(len(sure))] == [v for _, v in sure]
     assert all((v == "block") == (s >= 0.5) for v, s in got.values())
+
+
+def host_pages(n=30, seed=3):
+    """Pages of one host without telling classes: a notice and an address that repeat, an article, a trailing teaser."""
+    rng = random.Random(seed)
+
+    def words(k):
+        return " ".join(f"w{rng.randint(0, 9999)}" for _ in range(k))
+
+    notice, address, rows, want = words(90), words(8), [], {}
+    for i in range(n):
+        t, p, q, teaser = words(5), words(60), words(30), words(4)
+        rows.append((i, f"http://d.example/{i}",
+                     f"<body><div class=qa><p>{notice}</div><h1>{t}</h1><div class=qb><p>{p}<div class=qx><a href=/>{q}</a></div>"
+                     f"<p>same closing words</div><div class=qd><p>{teaser}</div><div class=qc>{address}</div></body>"))
+        want[i] = f"{t}\n{p}\n{q}\nsame closing words"
+    return rows, want
+
+
+def test_html_vote_decides(spark):
+    """The article alone, which no page can tell by itself: with a constant in place of the votes the result is another."""
+    from shapelens.llm import html_text
+    rows, want = host_pages()
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+    copies = pages.where("page_id < 2").crossJoin(spark.range(50).select()).unionByName(pages.where("page_id >= 2"))
+    assert {(r.page_id, r.text) for r in html_text.extract(copies).collect()} == set(want.items())
+    for constant in (None, ">body", ">html>body>article"):
+        assert all(html_text.Page(source).text(constant) != want[i] for i, _, source in rows)
+
+
+def test_html_consensus_is_the_plain_count(spark):
+    """Winner and judged keys of each host against loops over all votes."""
+    import json
+
+    from shapelens.llm import html_text
+    pages = [(r.url.split("/")[2].lower(), r.html) for r in table(SMALL, "pages").itertuples()]
+    pages += [("d.example", source) for _, _, source in host_pages()[0]] * 2 + [("e.example", "<div><p>one page</div>")]
+    votes = [(h, *v) for h, source in pages for v in html_text.Page(source).votes()]
+    got = {r.host: r for r in html_text.consensus(spark.createDataFrame(votes, html_text.VOTE)).collect()}
+    by_host = defaultdict(lambda: defaultdict(list))
+    for h, path, element, *rest in votes:
+        by_host[h][path, element].append(rest)
+    for h, keys in by_host.items():
+        of = len({v[5] for v in keys["", None]})
+        heard = {k: v for k, v in keys.items() if k[0] and min(3, of) <= len({x[5] for x in v}) and 100 * len({x[5] for x in v}) >= of}
+        repeated = {k for k, v in heard.items() if len({x[5] for x in v}) >= 3 and 2 * len({x[4] for x in v}) <= len({x[5] for x in v})}
+        scores = defaultdict(int)
+        for (path, element), v in heard.items():
+            if element is None and (path, element) not in repeated:
+                parts = path[1:].split(">")
+                for n in range(1, len(parts) + 1):
+                    scores[">" + ">".join(parts[:n])] += int(sum(x[0] for x in v) * 0.9 ** (len(parts) - n) + 0.5)
+        weighed = {p: s * html_text.WEIGHTS.get(p.rsplit(">", 1)[1].split(".")[0], 1.0) for p, s in scores.items() if s}
+        winner = max(weighed.values())
+        assert abs(weighed[got[h].winner] - winner) <= 1
+        model = {(r["path"], r.get("element")): r["keep"] for r in json.loads(got[h].model)}
+        assert {k for k in model if k[1] is None} == {k for k in repeated if k[1] is None}
+        below = {k for k in heard if k[1] is not None and not f"{k[0]}>".startswith(f"{got[h].winner}>")}
+        assert {k for k in model if k[1] is not None} == below and not any(model[k] for k in repeated & below)
