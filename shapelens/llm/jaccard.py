@@ -24,7 +24,11 @@ link. The pairs left, each of two classes and within that bound, are compared.
 So no link is lost, and a group of near copies costs a multiple of its size.
 
 Shuffled shingles are packed: arrays of numbers for each piece of input and
-slice of the hash range. Every phase ends in a table in the shared folder.
+slice of the hash range. Every phase ends in a table in the shared folder. A slice
+that holds more than ``most`` numbers, as one with a shingle of very many sets
+does, is cut into parts by set: each part counts its sets, the slice adds up one
+number for each part and shingle, and the sums go back to the parts. So no task
+holds all owners of a shingle.
 
 Edge cases: null, empty and blank texts have no shingles, size 0, no links and
 themselves as component; fewer words than a shingle make one shingle; the
@@ -195,15 +199,72 @@ def _packed_sets(docs: DataFrame, text: str, words: int, slots: int) -> DataFram
     return docs.select(F.col(text).alias("t")).mapInArrow(tidy(run), PACKED)
 
 
-def _shared_shingles(table: pa.Table, slots: int) -> pa.Table:
-    """Of one slice: the shingles that several sets have, with the number of sets, by set."""
+def _cut(rows: DataFrame) -> DataFrame:
+    """The packed rows of a slice dealt to its ``parts`` by set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                slot, parts = row.column("slot")[0].as_py(), row.column("parts")[0].as_py()
+                ids, sizes, counts, shingles, _ = unpacked(row)
+                own = dealt(mixed(ids[:, 1]) >> np.uint64(16), parts)
+                of = np.repeat(own, counts)
+                out += [(*packed(slot, ids[own == k], sizes[own == k], counts[own == k], shingles[of == k]), int(k))
+                        for k in np.unique(own)]
+            yield from to_batch(out, f"{PACKED}, part int").to_batches()
+
+    return rows.mapInArrow(tidy(run), f"{PACKED}, part int")
+
+
+COUNTED = "slot int, shingles binary, freqs binary"
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """Of one part of a slice: the number of its sets with each shingle."""
+    _, _, shingles, _ = _once(table)
+    values, n = np.unique(shingles, return_counts=True)
+    return to_batch([(table.column("slot")[0].as_py(), six_bytes(values), n.astype(np.uint32).tobytes())], COUNTED)
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Of one slice: the number of sets with each shingle that several have, from its parts."""
+    shingles = from_six_bytes(b"".join(table.column("shingles").to_pylist()))
+    freqs = np.frombuffer(b"".join(table.column("freqs").to_pylist()), np.uint32)
+    values, place = np.unique(shingles, return_inverse=True)
+    total = np.bincount(place, freqs, len(values)).astype(np.int64)
+    both = total > 1
+    return to_batch([(table.column("slot")[0].as_py(), six_bytes(values[both]), total[both].astype(np.uint32).tobytes())], COUNTED)
+
+
+def _shared_of_part(table: pa.Table, sums: pa.Table, slots: int) -> pa.Table:
+    """Of one part of a slice: the shingles that several sets have, with the number of sets in the whole slice, by set."""
+    if not table.num_rows or not sums.num_rows:
+        return to_batch([], PACKED)
+    ids, sizes, shingles, owner = _once(table)
+    values = from_six_bytes(b"".join(sums.column("shingles").to_pylist()))
+    freqs = np.frombuffer(b"".join(sums.column("freqs").to_pylist()), np.uint32)
+    if not len(values):
+        return to_batch([], PACKED)
+    place = np.searchsorted(values, shingles).clip(max=len(values) - 1)
+    both = values[place] == shingles
+    return _by_set(ids, sizes, owner[both], shingles[both], freqs[place[both]], slots)
+
+
+def _once(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sizes, shingles and their owners, with a set that comes in several pieces once."""
     ids, sizes, counts, shingles, _ = unpacked(table)
     by_id = np.lexsort((ids[:, 1], ids[:, 0]))
     again = np.zeros(len(ids), bool)  # the same set in another piece
     again[by_id[1:]] = (ids[by_id[1:]] == ids[by_id[:-1]]).all(axis=1)
     owner = np.repeat(np.arange(len(ids)), counts)
     first = ~again[owner]
-    owner, shingles = owner[first], shingles[first]
+    return ids, sizes, shingles[first], owner[first]
+
+
+def _shared_shingles(table: pa.Table, slots: int) -> pa.Table:
+    """Of one slice: the shingles that several sets have, with the number of sets, by set."""
+    ids, sizes, shingles, owner = _once(table)
     order = np.argsort(shingles, kind="stable")
     run = shingles[order]
     starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
@@ -211,7 +272,12 @@ def _shared_shingles(table: pa.Table, slots: int) -> pa.Table:
     freq = np.empty(len(run), np.uint32)
     freq[order] = np.repeat(lengths, lengths)
     both = freq > 1
-    owner, shingles, freq = owner[both], shingles[both], freq[both]
+    return _by_set(ids, sizes, owner[both], shingles[both], freq[both], slots)
+
+
+def _by_set(ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, shingles: np.ndarray, freq: np.ndarray,
+            slots: int) -> pa.Table:
+    """Packed rows by slice of the set ids."""
     slot = dealt(mixed(ids[owner, 0]) >> np.uint64(16), slots)
     order = np.argsort(slot, kind="stable")
     ends = np.searchsorted(slot[order], np.arange(slots + 1))
@@ -345,15 +411,32 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
                               .select("set_id", F.coalesce("new", "label").alias("label")), "near-labels")
 
 
-def classes(docs: DataFrame, *, text: str = "text", words: int = 5, percent: int = 80, shingles: int | None = None) -> DataFrame:
+def _shared(sets: DataFrame, slots: int, most: int) -> DataFrame:
+    """Packed shared shingles of the ``sets`` of all slices; slices of more than ``most`` numbers go by parts."""
+    sets = shared_table(sets, "near-packed")
+    load = sets.groupBy("slot").agg(F.ceil(F.sum(F.octet_length("shingles")) / (6 * most)).cast("int").alias("parts"))
+    load = shared_table(load, "near-parts")
+    sets = sets.join(load, "slot")
+    whole = sets.where("parts = 1").drop("parts").groupBy("slot").applyInArrow(tidy_group(lambda t: _shared_shingles(t, slots)), PACKED)
+    cut = _cut(sets.where("parts > 1"))
+    sums = cut.groupBy("slot", "part").applyInArrow(tidy_group(_counted), COUNTED)
+    sums = sums.groupBy("slot").applyInArrow(tidy_group(_summed), COUNTED).join(load.where("parts > 1"), "slot")
+    sums = sums.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    back = cut.groupBy("slot", "part").cogroup(sums.groupBy("slot", "part")).applyInArrow(
+        lambda t, own: _shared_of_part(t, own, slots), PACKED)
+    return whole.unionByName(back)
+
+
+def classes(docs: DataFrame, *, text: str = "text", words: int = 5, percent: int = 80, shingles: int | None = None,
+            most: int = 2 * SLICE) -> DataFrame:
     """(set_id, label) of every set that links to another; sets with one label are one class.
 
-    ``shingles`` is the number of shingles of all documents, if known.
+    ``shingles`` is the number of shingles of all documents, if known; ``most`` how many a task may hold of a slice.
     """
     if shingles is None:
         shingles = sign(docs, text=text, words=words, keep=[]).agg(F.sum("n_shingles")).first()[0]
     slots = max(16, -(-(shingles or 0) // SLICE))
-    shared = _packed_sets(docs, text, words, slots).groupBy("slot").applyInArrow(tidy_group(lambda t: _shared_shingles(t, slots)), PACKED)
+    shared = _shared(_packed_sets(docs, text, words, slots), slots, most)
     sets = shared_table(shared.groupBy("slot").applyInArrow(tidy_group(lambda t: _linkable(t, percent)), SETS), "near-sets")
     light = boundary(_costs(sets, percent))
     keys = _keys(sets, light, percent)
@@ -432,7 +515,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
     found = components(docs, key=key, text=text, words=words, percent=percent).where("class_id is not null")
     best = found.groupBy("class_id").agg(F.min(order).alias("b")).select(
         F.col("b.set_id").alias("best_set"), F.col(f"b.{key}").alias("best_key"))
-    signed = sign(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns}), text=f"_{text}", words=words)
+    signed = sign(docs.toDF(*(f"_{c}" for c in docs.columns)), text=f"_{text}", words=words)
     full = signed.where("set_id is not null").join(
         shared_table(best, "near-best"), (F.col("set_id") == F.col("best_set")) & F.col(f"_{key}").eqNullSafe(F.col("best_key")))
     full = full.dropDuplicates(["set_id", f"_{key}"])
