@@ -93,6 +93,12 @@ def scratch_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under column names of its own (own name: new name), beside which any column can be added."""
+    names = {c: f"own_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def give_back() -> None:
     """Return freed memory of this Python worker to the system: workers stay alive between tasks."""
     pa.default_memory_pool().release_unused()

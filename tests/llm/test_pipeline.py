@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shapelens.llm.queries import ORACLES
@@ -81,3 +82,29 @@ def test_shards(stages):
 def test_run(spark, stages):
     got = corpus_pipeline.run(spark, FOLDER).toPandas()
     assert ids(got) == ids(stages[0][5])
+
+
+def test_columns_of_any_name_pass(spark):
+    """Columns named like those that the operators add keep their values; an empty table goes through."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    names = ["_copy", "copy", "copies", "size", "n_hit", "items", "lang_pred", "_lang", "score", "shard", "_shard", "slot", "set_id", "own_0", "body"]
+    wide = docs.select("*", *(F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, FOLDER)
+        plain = stage(spark, docs, FOLDER)
+        kept = {n: n for n in names}
+        if name == "sharding":
+            kept |= {"size": "_size", "shard": "__shard", "slot": "_slot"}
+        got = out.select("doc_id", *kept.values()).collect()
+        assert sorted(r.doc_id for r in got) == ids(plain.select("doc_id").toPandas())
+        assert all(r[new] == f"{old} {r.doc_id}" for r in got for old, new in kept.items())
+        assert name == "sharding" or out.columns == wide.columns
+        assert stage(spark, wide.limit(0), FOLDER).count() == 0
+
+
+def test_very_long_text_goes_through(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    long = spark.createDataFrame([(9100, " ".join(f"long{i % 997}y tail{i}" for i in range(60_000)), "en", "src1", None)], docs.schema)
+    docs = docs.unionByName(long)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, FOLDER).where("doc_id = 9100").count() >= (stage is not corpus_pipeline.source_mix)
