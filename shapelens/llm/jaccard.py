@@ -271,8 +271,10 @@ def _shared_shingles(table: pa.Table, slots: int) -> pa.Table:
     lengths = np.diff(np.concatenate([starts, [len(run)]]))
     freq = np.empty(len(run), np.uint32)
     freq[order] = np.repeat(lengths, lengths)
+    del order, run, starts, lengths
     both = freq > 1
-    return _by_set(ids, sizes, owner[both], shingles[both], freq[both], slots)
+    owner, shingles, freq = owner[both], shingles[both], freq[both]
+    return _by_set(ids, sizes, owner, shingles, freq, slots)
 
 
 def _by_set(ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, shingles: np.ndarray, freq: np.ndarray,
@@ -411,20 +413,37 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
                               .select("set_id", F.coalesce("new", "label").alias("label")), "near-labels")
 
 
-def _shared(sets: DataFrame, slots: int, most: int) -> DataFrame:
-    """Packed shared shingles of the ``sets`` of all slices; slices of more than ``most`` numbers go by parts."""
-    sets = shared_table(sets, "near-packed")
-    load = sets.groupBy("slot").agg(F.ceil(F.sum(F.octet_length("shingles")) / (6 * most)).cast("int").alias("parts"))
-    load = shared_table(load, "near-parts")
-    sets = sets.join(load, "slot")
-    whole = sets.where("parts = 1").drop("parts").groupBy("slot").applyInArrow(tidy_group(lambda t: _shared_shingles(t, slots)), PACKED)
-    cut = _cut(sets.where("parts > 1"))
+def _loads(docs: DataFrame, text: str, words: int, slots: int, most: int) -> DataFrame:
+    """(slot, parts) of the slices in which the pieces' distinct sets have more than ``most`` numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = WordHashes(), np.zeros(slots, np.int64)
+        for batch in batches:
+            for piece in pieces(batch, "t", 4 << 20):
+                for t in dict.fromkeys(as_bytes(piece.column("t"))):
+                    total += np.bincount(dealt(shingle_set(t, hashes, words), slots), minlength=slots)
+        has = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array(total[has])], names=["slot", "n"])
+
+    found = docs.select(F.col(text).alias("t")).mapInArrow(tidy(run), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    return shared_table(found.where(F.col("n") > most).select("slot", F.ceil(F.col("n") / most).cast("int").alias("parts")), "near-parts")
+
+
+def _shared(docs: DataFrame, text: str, words: int, slots: int, most: int) -> DataFrame:
+    """Packed shared shingles of all slices; slices of more than ``most`` numbers go by parts."""
+    sets, hot = _packed_sets(docs, text, words, slots), _loads(docs, text, words, slots, most)
+
+    def of_whole(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("slot").applyInArrow(tidy_group(lambda t: _shared_shingles(t, slots)), PACKED)
+
+    if hot.isEmpty():
+        return of_whole(sets)
+    cut = shared_table(_cut(sets.join(hot, "slot")), "near-parts")
     sums = cut.groupBy("slot", "part").applyInArrow(tidy_group(_counted), COUNTED)
-    sums = sums.groupBy("slot").applyInArrow(tidy_group(_summed), COUNTED).join(load.where("parts > 1"), "slot")
+    sums = sums.groupBy("slot").applyInArrow(tidy_group(_summed), COUNTED).join(hot, "slot")
     sums = sums.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     back = cut.groupBy("slot", "part").cogroup(sums.groupBy("slot", "part")).applyInArrow(
         lambda t, own: _shared_of_part(t, own, slots), PACKED)
-    return whole.unionByName(back)
+    return of_whole(sets.join(hot, "slot", "left_anti")).unionByName(back)
 
 
 def classes(docs: DataFrame, *, text: str = "text", words: int = 5, percent: int = 80, shingles: int | None = None,
@@ -436,7 +455,7 @@ def classes(docs: DataFrame, *, text: str = "text", words: int = 5, percent: int
     if shingles is None:
         shingles = sign(docs, text=text, words=words, keep=[]).agg(F.sum("n_shingles")).first()[0]
     slots = max(16, -(-(shingles or 0) // SLICE))
-    shared = _shared(_packed_sets(docs, text, words, slots), slots, most)
+    shared = _shared(docs, text, words, slots, most)
     sets = shared_table(shared.groupBy("slot").applyInArrow(tidy_group(lambda t: _linkable(t, percent)), SETS), "near-sets")
     light = boundary(_costs(sets, percent))
     keys = _keys(sets, light, percent)

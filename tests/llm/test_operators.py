@@ -537,8 +537,7 @@ def test_hot_shingles_go_by_parts(spark):
 
     whole = found(jaccard.SLICE)
     assert len(whole) >= 120 and found(50) == whole and found(400) == whole
-    packed = jaccard._packed_sets(docs, "text", 5, 16)
     rows = lambda most: sorted(
-        (x.tobytes(), int(n), int(f)) for r in [jaccard._shared(packed, 16, most).toArrow()]
+        (x.tobytes(), int(n), int(f)) for r in [jaccard._shared(docs, "text", 5, 16, most).toArrow()]
         for x, n, f in zip(np.repeat(jaccard.unpacked(r)[0], jaccard.unpacked(r)[2], axis=0), jaccard.unpacked(r)[3], jaccard.unpacked(r)[4]))
     assert rows(50) == rows(jaccard.SLICE)
