@@ -521,23 +521,3 @@ def test_html_consensus_is_the_plain_count(spark):
         assert {k for k in model if k[1] is None} == {k for k in repeated if k[1] is None}
         below = {k for k in heard if k[1] is not None and not f"{k[0]}>".startswith(f"{got[h].winner}>")}
         assert {k for k in model if k[1] is not None} == below and not any(model[k] for k in repeated & below)
-
-
-def test_hot_shingles_go_by_parts(spark):
-    """One passage in a third of all distinct documents: slices cut into parts give the classes of whole ones."""
-    rng = random.Random(8)
-    passage = " ".join(f"p{i}" for i in range(30))
-    texts = [" ".join(f"w{rng.randint(0, 99999)}" for _ in range(40)) for _ in range(300)]
-    texts += [f"{passage} {t}" for t in texts[:150]] + [f"{t} end" for t in texts[:60]] + texts[:20]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-
-    def found(most):
-        rows = jaccard.classes(docs, most=most).collect()
-        return {(bytes(r.set_id), bytes(r.label)) for r in rows}
-
-    whole = found(jaccard.SLICE)
-    assert len(whole) >= 120 and found(50) == whole and found(400) == whole
-    rows = lambda most: sorted(
-        (x.tobytes(), int(n), int(f)) for r in [jaccard._shared(docs, "text", 5, 16, most).toArrow()]
-        for x, n, f in zip(np.repeat(jaccard.unpacked(r)[0], jaccard.unpacked(r)[2], axis=0), jaccard.unpacked(r)[3], jaccard.unpacked(r)[4]))
-    assert rows(50) == rows(jaccard.SLICE)
