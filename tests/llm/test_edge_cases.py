@@ -84,9 +84,13 @@ def test_decontaminate(spark, docs, none):
             assert r.n_hit == 0 and r["items"] == [] and r.spans == []
     assert decontaminate.hits(none, items).count() == 0
     assert decontaminate.hits(docs, items.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
-    blocks = decontaminate.hits(docs, items, block=1).select("doc_id", "n_words", "n_hit", "items", "spans")
-    assert sorted(map(str, blocks.collect())) == sorted(
+    full = decontaminate.hits(docs, items, most_bits=1).select("doc_id", "n_words", "n_hit", "items", "spans")
+    assert sorted(map(str, full.collect())) == sorted(
         map(str, decontaminate.hits(docs, items).select("doc_id", "n_words", "n_hit", "items", "spans").collect()))
+    named = decontaminate.hits(docs, items.withColumn("item_id", F.concat(F.lit("item "), "item_id")), item_text="text")
+    assert [r["items"] for r in named.where("doc_id = 1").collect()] == [["item 1", "item 2", "item 6"]] * 2
+    assert decontaminate.clean(docs, items).columns == docs.columns
+    assert decontaminate.clean(docs, items).count() == len(ROWS) - sum(r[0] == 1 for r in ROWS)
 
 
 def test_jaccard(docs, none):
