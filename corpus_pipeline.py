@@ -44,7 +44,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     table gives no rows, an empty benchmark all.
     """
     rows, back = apart(docs)
-    found = decontaminate.hits(rows, read_table(spark, sf_dir, "benchmark"), text=back["text"]).where(F.col("n_hit") == 0)
+    found = decontaminate.clean(rows, read_table(spark, sf_dir, "benchmark"), text=back["text"])
     return found.select(*(F.col(x).alias(c) for c, x in back.items()))
 
 
