@@ -5,8 +5,9 @@ subdomain of it and the URL's path starts with the rule's; the longest rule
 (host and path together) decides, an equally long one by the smaller text. A
 URL that no rule fits is judged by a logistic regression on hashed character
 n-grams of host and path, trained from a small labelled URL table. The sums of
-host and path are divided each by the root of its own number of n-grams, so that
-no long path outweighs the host; n-grams that tell nothing leave the bias, allow.
+host and path are divided each by the root of its own number of telling n-grams, so that
+no long path outweighs the host. The table is made by rule from lists of words, with many allowed names
+of no known word, from which the bias is learnt.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, which
 no rule with a host fits; its score is 0 and its verdict allow; long URLs
@@ -15,6 +16,7 @@ are read whole; repeated rows are judged each; other columns pass through.
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -27,65 +29,66 @@ from shapelens.llm.common import ascii_lower, scratch_name, tidy
 
 SLOTS = 1 << 18
 GRAMS = (3, 4, 5)
-#: Beginnings of host names of the small labelled table, by verdict.
-BLOCKED_NAMES = (
-    "adult-x adult-video ads-track ad-server banner-ads bet-now best-casino big-casino buy-pills casino-win "
-    "casino-bonus cheap-pills cheap-loans cheap-meds click-ads crack-keys dating-xxx discount-pills fake-watches "
-    "free-bets free-casino free-porn free-spins hot-cams hot-singles link-farm live-bets live-sex lottery-win "
-    "lucky-jackpot malware-host miracle-diet online-pharma online-poker payday-loans phish-login pills-shop "
-    "poker-room popup-ads porn-tube replica-bags seo-links sex-chat slots-win spam-farm spam-mail spy-track "
-    "sports-betting track-pixel viagra-shop warez-files win-prize xxx-cams xxx-videos"
+#: Words that tell a blocked host or path.
+BLOCKED_WORDS = (
+    "adult adserver banner bets betting bingo blackjack camgirl camsex cams casino clickbait cracked doorway erotic escort "
+    "fakeid fetish gamble gambling hentai hookup hotgirls jackpot keygen lottery malware milf naked nude onlinebet "
+    "payday pharma phish phishing pills pirate poker popads popup porn porno pornhub ransom replica roulette scam seolinks "
+    "sexcam sexchat sexy slots spam spamlink spyware sportsbet steroids stripper tracker tracking trojan viagra warez "
+    "weightloss xxx xxxtube cialis adtrack adclick"
 ).split()
-ALLOWED_NAMES = (
-    "academy archive art astronomy bakery biology blog books botany bridge chemistry children cinema city climate "
-    "college community cooking council cycling daily dictionary docs economy education encyclopedia energy farm-house "
-    "festival forest forum garden geography health-care history hospital journal kitchen language law library "
-    "mathematics medicine museum music nature network-news news novels observatory orchestra parliament photo physics "
-    "poetry radio railway recipes research river school science society sports-club statistics story theatre therapy "
-    "thesis clothes months maths paths northern southern otherwise together weather-than "
-    "thread tourism trade travel university village weather wiki winter-sports"
+#: Words of allowed hosts and paths; many share letters with the blocked ones.
+ALLOWED_WORDS = (
+    "academy adulteducation alphabet archive art astronomy bakery beads betterlife betty biology blog books botany "
+    "bridge cameras campus castle caterpillar chemistry children cinema city climate college community cooking council cracker "
+    "cycling daily dictionary docs downloads economy education encyclopedia energy essex farming festival forest forum "
+    "garden geography health heads history hospital island journal kitchen language law leads library lotus market mathematics "
+    "medicine middlesex museum music nature network news novels observatory orchestra parliament photo physics pillar pillow "
+    "poetry popular postman racetrack radio railway recipes research river roads school science slotcar society soundtrack "
+    "spaniel sports statistics story sussex theatre therapy thesis tourism trade travel university village weather wiki winter"
 ).split()
-
-
-#: Paths that tell the verdict, on hosts that don't.
-BLOCKED_PATHS = (
-    "/casino/ /casino/bonus /free-bets /bets/live-odds /porn/ /porn/videos.html /xxx/ /xxx-videos/12 /sex-chat /sex/cams "
-    "/poker/room /online-poker.html /slots/free-spins /jackpot /lottery/win-prize /viagra /buy-pills /cheap-pills.html "
-    "/pharma/no-prescription /payday-loans /adult/ /adult-video/3 /escort /warez/crack-keys /keygen /torrent/warez "
-    "/phish/login-verify /malware/download.exe /replica-watches /gambling/ /betting/tips /ads/banner /popup/track"
-).split()
-ALLOWED_PATHS = (
-    "/about /about-us.html /contact /articles/history-of-the-town /blog/2021/05/a-walk-in-the-hills /news/world "
-    "/research/papers /docs/manual /wiki/Main_Page /library/catalogue /recipes/bread-and-soup /science/physics "
-    "/school/courses /health/children /travel/mountains /music/concerts /sports/results /weather/today /help "
-    "/archive/1998 /books/novels /museum/visit /language/grammar /community/events /garden/plants /index.html /search"
-).split()
-PLAIN_HOSTS = ("www.example.org", "example.com", "site.example.net", "pages.org", "www.home.net")
-#: Log odds of a URL whose n-grams tell nothing.
-PRIOR = -1.0
+#: Words that both verdicts have.
+FILLERS = "online best top the world shop club live 24 real big super now hub zone my old new".split()
+#: Beginnings and ends of the syllables of made-up allowed names.
+ONSETS = "b bl br c ch cl d dr f fl g gr h j k l m n p pl pr qu r s sh sl sp st str t th tr v w wh z".split()
+VOWELS = "a e i o u ai ea ee ie io oo ou".split()
+CODAS = " n r s l t d ck nd ng nt rd st th m".split(" ")
+#: Made-up names in the labelled table: what a host looks like that nothing is known of.
+MADE_UP = 900
 #: A slot has a weight if its shares in both verdicts differ by a factor of e^TELLING.
 TELLING = 0.7
-#: Short paths that tell nothing.
-PLAIN_PATHS = ("/en/1", "/fr/20.html", "/de/300/", "/es/4000", "/en/77.html", "/p/123", "/a/b/c.html", "/x/y/z/", "/videos/9.html", "/tips/")
-#: A long path that tells nothing: both verdicts have its words.
-PLAIN_WORDS = (
-    "the of and to in is that for it as with on by from at which this all their more one when has been other about into "
-    "time only some could these two may then first any new work years our over such most people after also many well "
-    "der die und das nicht von mit ist les des une est que pour dans los las una por con para como page part item list"
-).split()
+
+
+def made_up_names(n: int, seed: int = 11) -> list[str]:
+    """Names of two to four syllables, the same for each run."""
+    rng = random.Random(seed)
+    return ["".join(rng.choice(ONSETS) + rng.choice(VOWELS) + rng.choice(CODAS) for _ in range(rng.randint(2, 4)))
+            for _ in range(n)]
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table, 1 for block: each name on several hosts and plain paths, each telling path on plain hosts."""
-    hosts = ("www.{}.example.com", "{}.example.org", "blog.{}.example.net", "m.{}.com", "{}.net", "www.{}.org")
-    long = ["/" + "-".join(PLAIN_WORDS[(7 * i + 3 * j) % len(PLAIN_WORDS)] for j in range(30)) for i in range(len(PLAIN_WORDS))]
+    """The small labelled table, 1 for block, by rule: telling words alone and with fillers, in hosts and in paths.
+
+    Made-up names and slugs are allowed, and stand around telling words too, so that only telling parts tell.
+    """
+    rng = random.Random(7)
+    made = made_up_names(MADE_UP)
+    hosts = [f"{a}{{}}.{b}{c}" for a in ("", "www.", "m.", "blog.") for b in ("", *(f"{m}." for m in made[:2]), "pages.", "sites.")
+             for c in ("com", "org", "net", "info")]
+
+    def slug() -> str:
+        return rng.choice(("/", "/{}/{}", "/{}.html", "/{}/", "/{}-{}-{}", "/{}/{}.html", "/{}-{}-{}-{}-{}-{}-{}")).format(
+            *(rng.choice((*made, *FILLERS, str(rng.randint(1, 2000)))) for _ in range(7)))
+
     out = []
-    for y, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)):
-        for i, name in enumerate(names):
-            paths = ("/", *(PLAIN_PATHS[(i + k) % len(PLAIN_PATHS)] for k in range(4)), long[i % len(long)])
-            out += [(f"https://{h.format(name)}{p}", y) for h, p in zip(hosts, paths)]
-    out += [(f"https://{h}{p}", y) for y, paths in ((1, BLOCKED_PATHS), (0, ALLOWED_PATHS)) for h in PLAIN_HOSTS for p in paths]
-    return out + [(f"https://{h}{p}", 0) for h in PLAIN_HOSTS for p in ("", "/", *PLAIN_PATHS, *long)]
+    for y, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)):
+        for word in words:
+            fill = rng.sample(FILLERS, 5)
+            forms = (word, f"{fill[0]}-{word}", f"{fill[1]}{word}", f"{word}-{fill[2]}", f"{word}{fill[3]}", f"{fill[4]}-{word}-{rng.choice(made)}")
+            out += [(f"https://{h.format(form)}{slug()}", y) for h, form in zip(rng.sample(hosts, 6), forms)]
+            out += [(f"https://{rng.choice(hosts).format(rng.choice(made))}{p}", y)
+                    for p in (f"/{word}", f"/{word}/{fill[0]}", f"/{fill[1]}-{word}.html", f"/{rng.choice(made)}/{word}-{fill[2]}")]
+    return out + [(f"https://{rng.choice(hosts).format(name)}{slug()}", 0) for name in made]
 
 
 def grams(mark: str, text: str) -> list[int]:
@@ -108,29 +111,32 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (host, path[:stop]) if mark else ("", "")
 
 
-def train(labelled: Iterable[tuple[str, int]], epochs: int = 300, rate: float = 0.5,
+def train(labelled: Iterable[tuple[str, int]], epochs: int = 600, rate: float = 0.5,
           decay: float = 1e-4) -> tuple[float, np.ndarray]:
     """Bias and weights, by gradient descent on the labelled table (bounded: it is an argument).
 
-    The bias is not learnt: telling n-grams raise or lower it. Slots that both verdicts have alike keep weight 0.
+    Slots that both verdicts have alike, or the table never has, weigh 0 and don't count in the root. Without labelled URLs the bias allows all.
     """
     table = [(slots(*split_url(u)), y) for u, y in labelled]
     if not table:
-        return PRIOR, np.zeros(SLOTS)
+        return -1.0, np.zeros(SLOTS)
     parts = [s for both, _ in table for s in both]
-    sizes = np.array([len(s) for s in parts])
-    row = np.repeat(np.arange(len(parts)) // 2, sizes)
-    col = np.concatenate([np.array(s, np.int64) for s in parts])
-    scale = np.repeat(1 / np.sqrt(sizes.clip(1)), sizes)
+    part = np.repeat(np.arange(len(parts)), [len(s) for s in parts])
+    col, at = np.unique(np.concatenate([np.array(s, np.int64) for s in parts]), return_inverse=True)
     y = np.array([y for _, y in table], float)
-    share = [(np.bincount(col, (y == v)[row], SLOTS) + 0.5) / ((y == v).sum() + 1) for v in (0, 1)]
-    known = np.abs(np.log(share[1] / share[0])) >= TELLING
-    weight, bias = np.zeros(SLOTS), PRIOR
+    share = [(np.bincount(at, (y == v)[part // 2], len(col)) + 0.5) / ((y == v).sum() + 1) for v in (0, 1)]
+    telling = (np.abs(np.log(share[1] / share[0])) >= TELLING)[at]
+    part, at = part[telling], at[telling]
+    row, scale = part // 2, 1 / np.sqrt(np.bincount(part, minlength=len(parts)))[part]
+    weight, bias = np.zeros(len(col)), 0.0
     for _ in range(epochs):
-        z = bias + np.bincount(row, weight[col] * scale, len(y))
+        z = bias + np.bincount(row, weight[at] * scale, len(y))
         error = 1 / (1 + np.exp(-z)) - y
-        weight -= known * rate * (np.bincount(col, error[row] * scale, SLOTS) / np.sqrt(len(y)) + decay * weight)
-    return bias, weight
+        weight -= rate * (np.bincount(at, error[row] * scale, len(col)) / np.sqrt(len(y)) + decay * weight)
+        bias -= rate * error.mean()
+    out = np.zeros(SLOTS)
+    out[col] = weight
+    return float(bias), out
 
 
 def score_of(host: str, path: str, bias: float, weight: np.ndarray) -> float:
@@ -139,7 +145,8 @@ def score_of(host: str, path: str, bias: float, weight: np.ndarray) -> float:
         return 0.0
     z = bias
     for part in slots(host, path):
-        z += weight[part].sum() / max(1, len(part)) ** 0.5
+        own = weight[part]
+        z += own.sum() / max(1, np.count_nonzero(own)) ** 0.5
     return float(1 / (1 + np.exp(-z)))
 
 

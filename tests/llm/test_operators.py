@@ -447,7 +447,8 @@ def test_urls_beyond_the_table(spark):
     from shapelens.llm import urls
     blocked = "super-casino poker-stars-bonus porn-videos sex-cams-live betting-odds lotto-jackpot viagra-pills spam-links".split()
     allowed = "ceramics telescope marathon vineyard lighthouse dentistry botanist violin archery knitting ththon erthan".split()
-    assert not {*blocked, *allowed} & {*urls.BLOCKED_NAMES, *urls.ALLOWED_NAMES}
+    labels = {part for u, _ in urls.labelled_urls() for part in urls.split_url(u)[0].split(".")}
+    assert not {*blocked, *allowed} & labels
     slug = "/" + "-".join(f"{a}-{b}" for a in "old river stones under bright morning sky".split() for b in "walk tree lamp field".split())
     rows = [(f"https://{h.format(n)}{p}", v) for v, names in (("block", blocked), ("allow", allowed)) for n in names
             for h in ("www.{}.example.org", "{}.com") for p in ("/", "/en/5", slug)]
@@ -463,6 +464,32 @@ def test_urls_beyond_the_table(spark):
     assert all((v == "block") == (s >= 0.5) for v, s in got.values())
 
 
+def test_urls_of_names_chosen_before_training():
+    """Names written down before the table was trained, and the given pages, none of whose hosts the table has."""
+    from shapelens.llm import urls
+    blocked = ("megacasino777.com freepornclips.net buyviagranow.org pokerstarz.info sportsbetting4u.com nakedladies.net "
+               "xxxmovies.org spammers-den.com phishingkit.net onlinepharmacy-pills.com jackpotparty.com escortgirls.net "
+               "banner-ads-network.com malwaredrop.org lottery-winners.com warezscene.net").split()
+    allowed = ("stadtbibliothek.org greenpeace.org timetable.net carpenter.com ceramics.org abbey-road.com adsorption.org "
+               "spatula.com alphabetsoup.org paddle.net beta-carotene.org pinball.com lobster.net sextant.org cassette.com "
+               "rackets.net").split()
+    rows = urls.labelled_urls()
+    bias, weight = urls.train(rows)
+    around = (("", "/"), ("www.", "/en/5"), ("m.", "/a-long-walk-by-the-old-river.html"))
+
+    def share(names):
+        marked = [urls.score_of(h + n, p, bias, weight) >= 0.5 for n in names for h, p in around]
+        return sum(marked) / len(marked)
+
+    print("blocked", share(blocked), share(allowed))
+    assert share(blocked) >= 0.8 and share(allowed) <= 0.15
+    assert urls.labelled_urls() == rows and bias < 0
+    hosts = {urls.split_url(u)[0] for u in table(SMALL, "pages").url}
+    assert not {h.split(".")[-3] for h in hosts} & {part for u, _ in rows for part in urls.split_url(u)[0].split(".")}
+    plain = {h for h in hosts if "-" not in h}
+    assert sum(urls.score_of(h, "/en/1", bias, weight) >= 0.5 for h in plain) <= 0.02 * len(plain)
+
+
 def host_pages(n=30, seed=3):
     """Pages of one host without telling classes: a notice and an address that repeat, an article, a trailing teaser."""
     rng = random.Random(seed)
