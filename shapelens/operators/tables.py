@@ -2,8 +2,8 @@
 
 Lake schemas declare every column nullable and no keys; these operators
 measure nullability, lengths, key uniqueness and key inclusion instead.
-``column_sketches`` and ``minimal_keys`` use mergeable sketches, so that a new
-partition costs a scan of itself, and a set of columns that is far from unique no shuffle.
+``column_sketches`` uses mergeable sketches, so that a new partition costs a
+scan of itself; ``minimal_keys`` moves all rows only for sets of columns that no slice of the rows rules out.
 """
 
 from __future__ import annotations
@@ -17,12 +17,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shapelens.llm.common import shared_table
 from shapelens.session import footer_session, no_less, union_all
 
 #: Shares of the values below which ``quantiles`` of a profile lie.
 QUANTILES = (0.25, 0.5, 0.75)
 #: Longer texts are compared by a digest.
 LONG_TEXT = 64
+#: Rows in the first slice that a possible key is tested on, how much larger each further one is, and the least slices in all rows.
+SLICE_ROWS, SLICE_STEP, SLICE_LEAST = 1 << 13, 8, 4
+#: A table of so many hashes is sent to every task.
+FEW_HASHES = 1 << 16
+#: ``GROUPING SETS`` takes 64 columns.
+GROUPED_COLUMNS = 60
 
 def check_foreign_key(child: DataFrame, child_cols: Sequence[str],
                       parent: DataFrame, parent_cols: Sequence[str]) -> DataFrame:
@@ -179,43 +186,107 @@ def stored_profile(spark: SparkSession, path: str) -> DataFrame:
     return merge_sketches(spark.read.parquet(path))
 
 
+def _together(sets: Sequence[tuple[str, ...]]) -> list[list[tuple[str, ...]]]:
+    """The sets in lists whose columns are few enough for one ``unique_keys``."""
+    out: list[list[tuple[str, ...]]] = []
+    for s in sets:
+        if not out or len(set(s).union(*out[-1])) > GROUPED_COLUMNS:
+            out.append([])
+        out[-1].append(s)
+    return out
+
+
+def _slice(df: DataFrame, column: str, slices: int) -> DataFrame:
+    """All rows of some of the column's values."""
+    return df if slices == 1 else df.where(F.pmod(F.xxhash64(F.col(_at(column))), F.lit(slices)) == 0)
+
+
+def _repeated(df: DataFrame, sets: Mapping[tuple[str, ...], tuple[str, ...]], slices: int = 1) -> set[tuple[str, ...]]:
+    """The sets of columns (each with some of its columns, its base) whose values repeat in ``df``.
+
+    Rows that agree in a set agree in its base and in a hash of that. So the hashes of each base are counted
+    over all rows (or one of ``slices`` by the base's first column), and only rows whose hash repeats are compared by the
+    values of the sets with that base.
+    """
+    bases = list(dict.fromkeys(sets.values()))
+    key = "_h" + "_" * max(map(len, df.columns))
+    hashed = [_slice(df, b[0], slices).withColumn(key, _hash(*b)) for b in bases]
+    twice = shared_table(union_all([own.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(i).alias("i"), key)
+                                    for i, own in enumerate(hashed)]), "repeated-hashes")
+    tests = []
+    for i, n in twice.groupBy("i").count().collect():
+        own = twice.where(F.col("i") == i).select(key)
+        rows = hashed[i].join(F.broadcast(own) if n <= FEW_HASHES else own, key, "left_semi")
+        tests += [unique_keys(rows, some).select(F.lit(i).alias("i"), "columns", "is_unique")
+                  for some in _together([s for s, b in sets.items() if b == bases[i]])]
+    found = {(r["i"], r["columns"]) for r in union_all(tests).where("NOT is_unique").collect()} if tests else set()
+    return {s for s, b in sets.items() if (bases.index(b), ", ".join(s)) in found}
+
+
 def minimal_keys(df: DataFrame, columns: Sequence[str] | None = None, most: int = 3, slack: float = 0.1,
                  per_pass: int = 128, per_test: int = 8) -> DataFrame:
     """All minimal unique keys of up to ``most`` columns (O-40): (columns, n_columns, rows).
 
-    Sets of columns are searched level by level. A set is out if it holds a smaller key or a column with nulls;
-    if the product of its columns' distinct counts, or the estimate of its own, is below the
-    rows by more than ``slack`` (six standard errors of the sketches); only what is left is tested exactly
-    (``unique_keys``). Sketches take one pass for ``per_pass`` sets, and nothing but counts comes to the
-    driver. Columns that can't be grouped (maps, VARIANT) are no keys; in an empty table every column is one.
+    Sets of columns are searched level by level. A set is out if it holds a smaller key or a column with nulls, or
+    if the product of its columns' distinct counts is below the rows by more than ``slack`` (six standard errors
+    of the sketches). Rows that agree in a set agree in its column of most values, so the rows with some of that
+    column's values have all duplicates of theirs: the sets left are tested (``unique_keys``, then ``_repeated``) on
+    such slices, small ones first, and a duplicate puts a set out. What no slice puts out, every key among them, is
+    tested over all rows; a table too small for slices at once. One pass takes ``per_pass`` sets (``per_test`` pairs of columns over all rows), and
+    nothing but counts comes to the driver. Columns that can't be grouped (maps, VARIANT) are no keys; in an empty
+    table every column is one.
     """
     names = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     names = [c for c in columns or names if c in names]
 
-    def estimates(sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
+    def estimates(cols: list[str]) -> dict[str, int]:
         out = {}
-        for i in range(0, len(sets), per_pass):
-            own = sets[i:i + per_pass]
-            row = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(_hash(*s), 12)).alias(f"_{j}") for j, s in enumerate(own)]).first()
+        for i in range(0, len(cols), per_pass):
+            own = cols[i:i + per_pass]
+            row = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(_hash(c), 12)).alias(f"_{j}") for j, c in enumerate(own)]).first()
             out |= dict(zip(own, row))
         return out
 
+    def refuted(sets: list[tuple[str, ...]], slices: int) -> set[tuple[str, ...]]:
+        """The sets with duplicates in one of so many slices."""
+        out = set()
+        for i in range(0, len(sets), per_pass):
+            own = [part for c in usable for part in _together([s for s in sets[i:i + per_pass] if max(s, key=single.get) == c])]
+            tests = [unique_keys(_slice(df, max(part[0], key=single.get), slices), part).select(F.lit(j).alias("j"), "columns", "is_unique")
+                     for j, part in enumerate(own)]
+            bad = {(r["j"], r["columns"]) for r in union_all(tests).where("NOT is_unique").collect()}
+            out |= {s for j, part in enumerate(own) for s in part if (j, ", ".join(s)) in bad}
+        return out
+
+    def repeated(sets: list[tuple[str, ...]], slices: int) -> set[tuple[str, ...]]:
+        """The same by hashes of the sets' two columns of most values; values with collations may be equal and have different ones."""
+        out = set()
+        base = {s: tuple(sorted(s, key=lambda c: -single[c])[:2]) for s in sets if collated.isdisjoint(s)}
+        bases = list(dict.fromkeys(base.values()))
+        for i in range(0, len(bases), per_test):
+            out |= _repeated(df, {s: b for s, b in base.items() if b in bases[i:i + per_test]}, slices)
+        other = [s for s in sets if s not in base]
+        return out | refuted(other, slices) if other else out
+
     first = df.agg(F.count(F.lit(1)), *[F.count(F.col(_at(c))) for c in names]).first()
     rows = first[0]
     usable = [c for c, n in zip(names, first[1:]) if n == rows]
+    single = estimates(usable)
+    collated = {f.name for f in df.schema.fields if "collate" in f.dataType.simpleString()}
     keys: list[tuple[str, ...]] = []
-    single: dict[tuple[str, ...], int] = {}
     for size in range(1, most + 1):
-        sets = [s for s in combinations(usable, size) if not any(set(k) <= set(s) for k in keys)]
-        if size > 1:
-            sets = [s for s in sets if prod((1 + slack) * single[c,] for c in s) >= rows]
-        found = estimates(sets)
-        single = single or found
-        left = [s for s, n in found.items() if n >= (1 - slack) * rows]
-        for i in range(0, len(left), per_test):
-            own = left[i:i + per_test]
-            unique = {r[0] for r in unique_keys(df, own).where("is_unique").select("columns").collect()}
-            keys += [s for s in own if ", ".join(s) in unique]
+        left = [s for s in combinations(usable, size) if not any(set(k) <= set(s) for k in keys)]
+        if size == 1:
+            left = [s for s in left if single[s[0]] >= (1 - slack) * rows]
+        else:
+            left = [s for s in left if prod((1 + slack) * single[c] for c in s) >= rows]
+        part, test = SLICE_ROWS, refuted
+        while left and SLICE_LEAST * part <= rows:
+            out = test(left, rows // part)
+            left = [s for s in left if s not in out]
+            part, test = part * SLICE_STEP, repeated
+        out = test(left, 1) if left else set()
+        keys += [s for s in left if s not in out]
     return df.sparkSession.createDataFrame([(", ".join(k), len(k), rows) for k in keys], "columns string, n_columns int, rows bigint")
 
 

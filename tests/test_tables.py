@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shapelens.operators.documents import sample_documents, sample_documents_per_group, sample_order
 from shapelens.operators.objects import storage_stats
+from shapelens.operators import tables
 from shapelens.operators.tables import (column_profile, column_ranges, column_sketches, inclusions, merge_sketches, minimal_keys,
                                         store_sketches, stored_profile)
 
@@ -81,6 +82,36 @@ def test_minimal_keys_against_brute_force(spark, seed):
     assert minimal_keys(df.unionAll(df)).count() == 0
 
 
+def test_minimal_keys_compares_few_rows(spark, monkeypatch):
+    """Sets of columns that are almost unique are put out on slices of the rows; none but rows whose hash repeats are compared in all of them."""
+    rng = random.Random(5)
+    names, n = ["a", "b", "c", "d", "e", "f", "g"], 40_000
+    rows = [(i // 2, i * 7919 % n // 2, rng.randint(0, n), rng.randint(0, 300), rng.randint(0, 30), rng.randint(0, 6), "x" if i % 3 else "y") for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'string' if c == 'g' else 'int'}" for c in names)).repartition(4).localCheckpoint()
+    compared, count = [], tables.unique_keys
+    monkeypatch.setattr(tables, "unique_keys", lambda rows, sets, *a: (compared.append(rows.count() * len(sets)), count(rows, sets, *a))[1])
+    assert sorted(r.columns for r in minimal_keys(df).collect()) == brute_keys(rows, names, 3)
+    assert sum(compared) < 10 * n
+
+
+def test_repeated_sets_despite_equal_hashes(spark, monkeypatch):
+    """Where hashes of different values are equal the values decide; names of columns and many repeats don't matter."""
+    rng = random.Random(6)
+    rows = [(i, rng.randint(0, 40), i // 30, i % 30, rng.randint(0, 1)) for i in range(600)]
+    df = spark.createDataFrame(rows, "_h int, h int, i int, `d x` int, n int")
+    sets = {("_h",): ("_h",), ("i", "d x"): ("i", "d x"), ("h", "i"): ("h", "i"), ("h", "i", "n"): ("h", "i"), ("i", "d x", "n"): ("d x", "i")}
+    want = {("h", "i"), ("h", "i", "n")}
+    assert tables._repeated(df, sets) == want and tables._repeated(df.repartition(3), sets, 2) <= want
+    monkeypatch.setattr(tables, "_hash", lambda *names: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(7)))
+    monkeypatch.setattr(tables, "FEW_HASHES", 3)
+    assert tables._repeated(df, sets) == want
+
+
+def test_minimal_keys_of_collated_texts(spark):
+    df = spark.createDataFrame([("a", 1), ("A", 2), ("b", 1)], "s string, n int").withColumn("s", F.collate("s", "UTF8_LCASE"))
+    assert [r.columns for r in minimal_keys(df).collect()] == ["s, n"]
+
+
 def test_inclusions_against_brute_force(spark):
     """Columns of three tables, more than fit one word of bits, a value in all of them, nulls, long texts, numbers beside texts."""
     rng = random.Random(4)
