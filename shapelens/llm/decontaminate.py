@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 from xxhash import xxh64_intdigest
 
 from shapelens.llm.common import as_bytes, byte_table, pieces, scratch_name, shared_table, tidy
@@ -48,8 +48,6 @@ BITMAP_BYTES = 4096
 BATCH_ROWS = 20_000
 #: Word bytes stay (A-Z lower-cased), all else separates.
 BYTES = byte_table((0, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
-#: A word, for Spark's functions.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -163,6 +161,19 @@ def _places(texts: DataFrame, bitmap: np.ndarray, needs: list[tuple[int, int]],
     return texts.mapInArrow(tidy(run), "digest binary, pos int, h bigint, at int, around array<string>").distinct()
 
 
+@F.arrow_udf(LongType())
+def n_words_of(texts: pa.Array) -> pa.Array:
+    """Number of words of each text: the places where a word begins, counted between the texts' starts."""
+    counts = [np.zeros(0, np.int64)]
+    for piece in pieces(pa.RecordBatch.from_arrays([texts], names=["t"]), "t"):
+        each = as_bytes(piece.column("t"))
+        own = np.frombuffer(b" ".join([b"", *each]).translate(BYTES), np.uint8) != 0x20  # a space before each text
+        begins = np.concatenate([[False], own[1:] & ~own[:-1]])
+        starts = np.cumsum([0, *(len(t) + 1 for t in each[:-1])])
+        counts.append(np.add.reduceat(begins, starts, dtype=np.int64))
+    return pa.array(np.concatenate(counts))
+
+
 def digest_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
@@ -210,8 +221,7 @@ def hits(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
     kept = [c for c in keep or docs.columns if c.lower() not in ("n_words", "n_hit", "items", "spans")]
     found = found_texts(docs, items, text=text, item_id=item_id, item_text=item_text, window=window, most_bits=most_bits)
     key = scratch_name(docs, "text_digest")
-    n_words = F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))).cast("bigint")
-    rows = docs.select(*kept, n_words.alias("n_words"), digest_of(F.col(text)).alias(key))
+    rows = docs.select(*kept, n_words_of(F.col(text)).alias("n_words"), digest_of(F.col(text)).alias(key))
     empty = {c: F.array().cast(found.schema[c].dataType) for c in ("items", "spans")}
     return (rows.join(found.withColumnRenamed("digest", key), key, "left")
             .select(*kept, "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),

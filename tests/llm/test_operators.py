@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shapelens.llm import jaccard, mixture, shards
+from shapelens.llm import decontaminate, jaccard, mixture, shards
 from shapelens.llm.queries import ORACLES, QUERIES, URL_RULES
 
 SMALL, MIDDLE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -548,3 +548,17 @@ def test_html_consensus_is_the_plain_count(spark):
         assert {k for k in model if k[1] is None} == {k for k in repeated if k[1] is None}
         below = {k for k in heard if k[1] is not None and not f"{k[0]}>".startswith(f"{got[h].winner}>")}
         assert {k for k in model if k[1] is not None} == below and not any(model[k] for k in repeated & below)
+
+
+def test_words_are_counted_without_a_regular_expression(spark):
+    """Equal to the regular expression's matches for null, empty, long and non-ASCII texts, over several batches and pieces."""
+    rng = random.Random(8)
+    texts = [None, "", " ", "a", " a", "a ", "a,b", "\x00a\x7fb", "\u00e9\u00c9 \u4e2d\u6587\u3000x \U0001f600", "w " * 3_000_000] + [
+        "".join(rng.choice("aZ09 @[`{/:~\n\t\u00a0\u00df\ud55c") for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    items = spark.createDataFrame([(1, "a b c")], "item_id int, text string")
+    got = decontaminate.hits(docs, items)
+    word = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    assert got.select("n_words", F.size(word).alias("n")).where("n_words <> n").count() == 0 and got.count() == len(texts)
+    assert decontaminate.hits(docs.limit(0), items).count() == 0
+    assert "regexp" not in got._jdf.queryExecution().executedPlan().toString()
