@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapelens.llm.common import shared_table
-from shapelens.session import footer_session, no_less, union_all
+from shapelens.session import footer_session, no_less, shared_table, union_all
 
 #: Shares of the values below which ``quantiles`` of a profile lie.
 QUANTILES = (0.25, 0.5, 0.75)
